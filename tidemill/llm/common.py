@@ -49,6 +49,32 @@ def digest_bucket(column: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], mb: float = 2.0) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that hold about mb of text each."""
+    limit = int(mb * (1 << 20))
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        text = batch.column("text")
+        sizes = np.diff(np.frombuffer(text.buffers()[1], np.int32, n + 1, text.offset * 4))
+        ends = np.flatnonzero(np.diff(np.append(np.cumsum(sizes + 1) // limit, -1)) != 0) + 1
+        a = 0
+        for e in ends.tolist():
+            yield batch.slice(a, e - a)
+            a = e
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    """UTF-8 texts of a batch; a null text is empty."""
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def with_text(docs: DataFrame) -> DataFrame:
+    """doc_id and text alone, whatever other columns there are."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+
 # ---------------------------------------------------------------- blocks
 
 

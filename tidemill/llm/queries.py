@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.llm import substring, suffixes
+from tidemill.llm import decontaminate, pieces, substring, suffixes, tokenfiles
 
-MODULES = (substring, suffixes)
+MODULES = (substring, suffixes, decontaminate, tokenfiles, pieces)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}

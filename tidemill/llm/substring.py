@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.common import Hashed, Numbered, looked_up, mixed, rolling_hash, sliding_min, table
-from tidemill.llm.windows import equal_groups, flagged_runs, repeated_windows
+from tidemill.llm.windows import eights, equal_groups, flagged_runs, repeated_windows
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _HASHES = Hashed()
@@ -62,8 +62,7 @@ def matcher(k: int):
         begin = np.cumsum(count) - count
         position = first[own] + np.arange(len(own)) - begin[own]
         hashes = rolling_hash(mixed(flat.astype(np.uint64) + np.uint64(1)), k)[position]
-        span = np.arange(k)
-        twice = equal_groups(hashes, lambda i: flat[position[i][:, None] + span]) | many[own]
+        twice = equal_groups(hashes, eights(flat, k, position)) | many[own]
         out, at, base = [], 0, 0
         for n in lengths:
             size = int(count[at : at + n].sum())

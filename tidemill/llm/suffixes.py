@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.common import mixed, ranges, rolling_hash, runs_of, sliding_min, table
-from tidemill.llm.windows import equal_groups, flagged_runs, repeated_windows
+from tidemill.llm.windows import eights, equal_groups, flagged_runs, repeated_windows
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 PIECE = 1 << 20
@@ -130,8 +130,7 @@ class Family:
         first = np.cumsum(counts + k - 1) - (counts + k - 1)
         position = ranges(first, counts)
         hashes = rolling_hash(mixed(data.astype(np.uint64) + np.uint64(1)), k)[position]
-        span = np.arange(k)
-        twice = equal_groups(hashes, lambda i: data[position[i][:, None] + span])
+        twice = equal_groups(hashes, eights(data, k, position))
         a = 0
         for i, n in zip(touched, counts.tolist()):
             self.flags[i] |= twice[a : a + n]

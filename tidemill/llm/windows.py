@@ -116,13 +116,22 @@ def flagged_runs(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([own[edge], edge - starts[own[edge]], after + 1 - starts[own[edge]]], 1)
 
 
+def eights(data: np.ndarray, k: int, position: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The k units of windows as rows of 8-byte words, the last of which may overlap the one before."""
+    each = 8 // data.itemsize
+    data = np.ascontiguousarray(data)
+    words = np.ndarray((max(0, len(data) - each + 1),), "<u8", data.data, 0, (data.itemsize,))
+    span = np.unique(np.append(np.arange(0, k - each + 1, each), k - each))
+    return lambda i: words[position[i][:, None] + span]
+
+
 def equal_groups(hashes: np.ndarray, row: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Which windows equal another one: sorted by hash, neighbours then compared unit by unit.
 
     row(positions) gives the units of windows as a matrix. Windows of one hash that differ are told
     apart by their content.
     """
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     same = hashes[order[1:]] == hashes[order[:-1]]
     twice = np.zeros(len(hashes), bool)
     at = np.flatnonzero(same)
