@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, lm, pieces, quality, substring, suffixes, tokenfiles
+from tidemill.llm import decontaminate, jaccard, language, lm, pieces, quality, substring, suffixes, tokenfiles, toxicity
 
-MODULES = (substring, suffixes, decontaminate, tokenfiles, pieces, quality, lm)
+MODULES = (substring, suffixes, decontaminate, tokenfiles, pieces, jaccard, quality, toxicity, language, lm)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}

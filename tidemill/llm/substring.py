@@ -76,17 +76,18 @@ def matcher(k: int):
 def finisher(texts_too: bool):
     def finish(ids, texts, found, mask) -> pa.Table:
         words, ends = found[5], found[6].tolist()
+        whole = iter(texts)
         removed = np.concatenate(([0], np.cumsum(mask)))
         out = {"doc_id": ids, "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
         a = 0
         for e in ends:
-            gone = int(removed[e] - removed[a])
+            gone, next_text = int(removed[e] - removed[a]), next(whole)
             kept = b" ".join(compress(words[a:e], (~mask[a:e]).tolist()) if gone else words[a:e])
             out["n_words"].append(e - a)
             out["n_removed"].append(gone)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             if texts_too:
-                out["kept"].append(kept)
+                out["kept"].append(kept if gone else next_text)
             a = e
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
         result = pa.table({c: pa.array(out[c], t) for c, t in types.items()})
@@ -95,13 +96,14 @@ def finisher(texts_too: bool):
     return finish
 
 
-def remove_repeats(docs: DataFrame, k: int = 35, m: int = 6, block_mb: float = 4.0, texts_too: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row, and with texts_too the kept text.
+def remove_repeats(docs: DataFrame, k: int = 35, m: int = 6, block_mb: float = 4.0, texts_too: bool = False, carry: tuple = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row, and with texts_too the kept text (as it was
+    if nothing is removed, else the words left, joined by spaces) and the columns in carry.
 
     Each word in a window of k words whose sequence starts anywhere else is removed.
     """
     schema = SCHEMA + (", kept string" if texts_too else "")
-    return repeated_windows(docs, k, b" ", lambda texts: super_kmers(texts, k, m), matcher(k), finisher(texts_too), schema, block_mb)
+    return repeated_windows(docs, k, b" ", lambda texts: super_kmers(texts, k, m), matcher(k), finisher(texts_too), schema, block_mb, carry)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

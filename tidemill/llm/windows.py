@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import answer_blocks, block_texts, covered, each_block, packed_blocks, ranges
+from tidemill.llm.common import answer_blocks, block_texts, covered, each_block, from_blob, packed_blocks, ranges
 
 SENT = "block long, bucket long, keys binary, sizes binary, many binary"
 REPLY = "block long, bucket long, hits binary"
@@ -58,10 +58,12 @@ def repeated_windows(
     finish: Callable[[list, list[bytes], tuple, np.ndarray], pa.Table],
     schema: str,
     block_mb: float,
+    carry: tuple = (),
 ) -> DataFrame:
     """cut(texts) finds the runs, match(rows) the repeated windows of a bucket as (string, first
-    window, window after the last) triples for each row, finish(ids, texts, cut, mask) the result."""
-    blocks, mb = packed_blocks(docs, block_mb)
+    window, window after the last) triples for each row, finish(ids, texts, cut, mask) the result.
+    carry: further columns of docs that come along, as `carried_<name>`."""
+    blocks, mb = packed_blocks(docs, block_mb, ("doc_id", "text", *carry))
     n_buckets = max(16, round(mb / block_mb))
 
     def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
@@ -99,7 +101,14 @@ def repeated_windows(
                 begin.append(at + np.repeat(hit[:, 1], last - first))
                 end.append(at + np.repeat(hit[:, 2] + k - 1, last - first))
         mask = covered(n_units, np.concatenate(begin), np.concatenate(end))
-        return finish(ids, texts, found, mask)
+        result = finish(ids, texts, found, mask)
+        rows = from_blob(blob) if carry else None
+        for c in carry:
+            result = result.append_column(f"carried_{c}", rows.column(c))
+        return result
+
+    for c in carry:
+        schema += f", carried_{c} {dict(docs.dtypes)[c]}"
 
     sent = blocks.mapInArrow(each_block(send), SENT)
     replies = sent.groupBy("bucket").applyInArrow(answer, REPLY)
