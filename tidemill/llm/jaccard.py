@@ -225,24 +225,25 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
         group = {n: (g, p) for n, g, p in zip(*(told[c].to_pylist() for c in ("node", "label", "parts")))}
         rows = []
         if group:
-            held, _ = classes(ids, shingle_sets(texts, k))
+            held, first = classes(ids, shingle_sets(texts, k))
+            text_of = {i: t for i, t, f in zip(ids, texts, first) if i == f}
             for i, s in held.items():
                 if i in group:
                     g, p = group[i]
                     c = int(np.bitwise_xor.reduce(mixed(s)) % np.uint64(p))
                     for j in [c] if p == 1 else [j for j in range(p) if j != c]:
-                        rows.append((g, min(c, j), max(c, j), c, i, s.tobytes()))
-        return pa.table({f: pa.array([r[n] for r in rows], pa.binary() if f == "shingles" else pa.int64()) for n, f in enumerate(("label", "i", "j", "part", "node", "shingles"))})
+                        rows.append((g, min(c, j), max(c, j), c, p - 1, i, text_of[i]))
+        return pa.table({f: pa.array([r[n] for r in rows], pa.binary() if f == "words" else pa.int64()) for n, f in enumerate(("label", "i", "j", "part", "last", "node", "words"))})
 
     def solve(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("label", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
         key = np.stack([rows[c].to_numpy() for c in ("label", "i", "j")], 1)
-        node, part, data = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["shingles"]
+        node, part, data = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["words"]
         cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
         label, links = np.empty(len(node), np.int64), np.zeros(len(node), np.int64)
         for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             numbers: dict[bytes, int] = {}
-            at = np.array([numbers.setdefault(x.as_py(), len(numbers)) for x in data[a:e].combine_chunks()])
+            at = np.array([numbers.setdefault(s.tobytes(), len(numbers)) for s in shingle_sets([x.as_py() for x in data[a:e]], k)])
             if len(numbers) == 1:
                 label[a:e] = node[a]
                 continue
@@ -259,10 +260,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
         return rows["last"][a].as_py()
 
     by_block = where.join(split, "node")
-    fields = "label long, i long, j long, part long, node long, shingles binary"
+    fields = "label long, i long, j long, part long, last long, node long, words binary"
     sent = answer_blocks(blocks, by_block, gather, fields)
-    last = split.select("label", (F.col("parts") - 1).alias("last")).distinct()
-    solved = written(sent.join(last, "label").groupBy(F.pmod(F.xxhash64("label", "i", "j"), F.lit(n_buckets * 2))).applyInArrow(solve, "node long, label long, links long"))
+    solved = written(sent.groupBy(F.pmod(F.xxhash64("label", "i", "j"), F.lit(n_buckets * 2))).applyInArrow(solve, "node long, label long, links long"))
     counts = solved.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
     if large.limit(1).count():  # parts of split groups know their own links alone
         counts = counts.drop("label").join(components(solved.select(F.col("node").alias("a"), F.col("label").alias("b"))), "node")

@@ -1,8 +1,8 @@
 """Suffix-array dedup over bytes (operator 2): a logarithmic family of sparse suffix arrays.
 
-Super-strings (see windows.py) reach the bucket of their minimiser, a 64-byte gram. There they come
+Super-strings (see windows.py) reach the bucket of their minimiser, a 40-byte gram. There they come
 in batches. Each batch gets a suffix array of the suffixes that start at the grams; it is merge-
-scanned against every existing level for suffixes that share the gram (matches of 64 bytes or more),
+scanned against every existing level for suffixes that share the gram (matches of 40 bytes or more),
 whose 200-byte windows are then compared exactly; the batch becomes a level, and levels of about
 equal size merge, so a suffix is merged a logarithmic number of times.
 
@@ -194,7 +194,7 @@ def finisher(texts_too: bool):
     return finish
 
 
-def remove_repeated_bytes(docs: DataFrame, k: int = 200, q: int = 64, block_mb: float = 4.0, batch_mb: float = 3.0, texts_too: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, k: int = 200, q: int = 40, block_mb: float = 4.0, batch_mb: float = 3.0, texts_too: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with texts_too the kept bytes.
 
     k: bytes of a window. q: bytes of a gram, a multiple of 8 up to k. batch_mb: string bytes of a batch.

@@ -69,7 +69,7 @@ def repeated_windows(
     def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
         _, texts = block_texts(blob)
         found, _, _ = cut_into_buckets(cut(texts)[:4], n_buckets)
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         rows = {name: [] for name in ("block", "bucket", "keys", "sizes", "many")}
         for b, (keys, times) in found.items():
             packed = np.array(times, np.int32).reshape(-1, 2)
