@@ -1,10 +1,11 @@
 """N-gram Jaccard join (operator 6): exact links by set-relation skipping, and their components.
 
-1. A fixed-size table of hashed shingle counts, added up over all blocks, orders shingles from rare
-   to common; any order is correct, this one keeps lists short.
-2. Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each. Every block
-   sends those, once per shingle however many of its documents hold it; buckets connect their
-   holders to the smallest one. Connected holders form candidate groups.
+1. Blocks send the prints of their shingles to buckets, which answer how many sets hold each. That
+   orders shingles from rare to common.
+2. Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each, and one that
+   no other set holds is shared by none. Every block sends the rest of those, once per shingle
+   however many of its documents hold it; buckets connect their holders to the smallest one.
+   Connected holders form candidate groups.
 3. The different sets of a group meet in one task (a group of over `limit` sets in pairs of parts,
    dealt by content). Index lists of its shingles are kept by position in size order, with skip
    pointers every 256 positions, so a set reads only the blocks whose sizes can qualify. Sets follow
@@ -31,7 +32,6 @@ from tidemill.llm.common import Hashed, answer_blocks, block_texts, each_block,
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, n_links long"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SLOTS, PARTS = 1 << 20, 16
 SKIP = 256
 _HASHES = Hashed()
 
@@ -76,42 +76,65 @@ def classes(ids: list, sets: list[np.ndarray]) -> tuple[dict, list]:
     return {i: np.frombuffer(key, np.uint64) for key, i in first.items()}, [first[k] if k else None for k in keys]
 
 
-def slot_counts(blocks: DataFrame, k: int) -> np.ndarray:
-    """How often the shingles of each of SLOTS hash slots occur, over all documents."""
-    part = SLOTS // PARTS
+def shared_counts(blocks: DataFrame, k: int, n_buckets: int) -> DataFrame:
+    """(block, bucket, codes): for each block its distinct 32-bit shingle prints in ascending order,
+    by bucket, and for each a code of how many sets hold the print: 0 for one, else 8 log2."""
 
-    def count(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
-        held, _ = classes(*(lambda x: (x[0], shingle_sets(x[1], k)))(block_texts(blob)))
-        slots = np.bincount(np.concatenate([*held.values(), np.zeros(0, np.uint64)]).astype(np.uint64) >> np.uint64(44), minlength=SLOTS).astype(np.uint32)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int64()), "counts": pa.array([squeezed(slots[i * part : (i + 1) * part].tobytes()) for i in range(PARTS)], pa.binary())})
+    def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        ids, texts = block_texts(blob)
+        held, _ = classes(ids, shingle_sets(texts, k))
+        prints, times, ends = split_prints(held, n_buckets)
+        gaps = [np.diff(prints[a:e], prepend=prints[a : a + 1]) for a, e in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([block] * n_buckets, pa.int64()), "bucket": pa.array(range(n_buckets), pa.int64()), "first": pa.array([int(prints[a]) if a < e else 0 for a, e in zip(ends[:-1], ends[1:])], pa.int64()),
+            "gaps": pa.array([squeezed(g.tobytes()) for g in gaps], pa.binary()), "times": pa.array([squeezed(times[a:e].tobytes()) for a, e in zip(ends[:-1], ends[1:])], pa.binary()),
+        })
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(part, np.int64)
-        for x in rows["counts"]:
-            total += np.frombuffer(opened(x.as_py()), np.uint32)
-        return pa.table({"part": rows["part"][:1], "counts": pa.array([np.log2(total + 1.0).astype(np.float32).tobytes()], pa.binary())})
+    def answer(rows: pa.Table) -> pa.Table:
+        own = [np.cumsum(np.frombuffer(opened(g.as_py()), np.uint32), dtype=np.uint32) + np.uint32(f.as_py()) for g, f in zip(rows["gaps"], rows["first"])]
+        times = np.concatenate([np.frombuffer(opened(t.as_py()), np.uint16) for t in rows["times"]])
+        _, where = np.unique(np.concatenate(own), return_inverse=True)
+        codes = np.minimum(np.log2(np.maximum(np.bincount(where, weights=times), 1)) * 8, 255).astype(np.uint8)[where]
+        ends = np.cumsum([len(x) for x in own])
+        return pa.table({"block": rows["block"], "bucket": rows["bucket"], "codes": pa.array([squeezed(codes[e - len(x) : e].tobytes()) for x, e in zip(own, ends)], pa.binary())})
 
-    found = blocks.mapInArrow(each_block(count), "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()  # 4 MB at any size
-    out = np.zeros(SLOTS, np.float32)
-    for r in found:
-        out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.counts, np.float32)
-    return (out * 8).astype(np.uint8)
+    sent = blocks.mapInArrow(each_block(send), "block long, bucket long, first long, gaps binary, times binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, codes binary")
 
 
-def candidate_edges(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFrame:
-    """(a, b): documents a with the smallest document b that shares a prefix shingle."""
-    common = blocks.sparkSession.sparkContext.broadcast(slot_counts(blocks, k))  # SLOTS bytes at any size
+def split_prints(held: dict, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct prints, how many sets of the block hold each, and where each bucket's begin."""
+    flat = np.concatenate([*held.values(), np.zeros(0, np.uint64)]).astype(np.uint64) >> np.uint64(32)
+    prints, times = np.unique(flat.astype(np.uint32), return_counts=True)
+    ends = np.searchsorted(prints, (np.arange(n_buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_buckets))
+    return prints, np.minimum(times, 60_000).astype(np.uint16), ends
 
-    def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+
+PREFIXES = "doc_id long, block long, n long, rep long, bucket long, shingles binary, owners binary, links binary"
+
+
+def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFrame:
+    """Two kinds of rows. bucket null: a document, its block, set size and the smallest document of
+    its block with the same set. Else: prefix shingles that several sets hold, each with one holder,
+    and links of further holders of the block to that one."""
+
+    def find(blob: bytes, told: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
-        held, _ = classes(ids, shingle_sets(texts, k))
-        weight = common.value
+        sets = shingle_sets(texts, k)
+        held, first = classes(ids, sets)
+        prints, _, ends = split_prints(held, n_buckets)
+        codes = np.zeros(len(prints), np.uint8)
+        for b, data in zip(told["bucket"].to_pylist(), told["codes"]):
+            codes[ends[b] : ends[b + 1]] = np.frombuffer(opened(data.as_py()), np.uint8)
         shingles, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, s in held.items():
             n = len(s) - -(-percent * len(s) // 100) + 1
-            w = weight[s >> np.uint64(44)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
-            shingles.append(s[np.argpartition(w, n - 1)[:n]] if n < len(s) else s)
-            owners.append(np.full(n, i))
+            code = codes[np.searchsorted(prints, (s >> np.uint64(32)).astype(np.uint32))]
+            lone = int((code == 0).sum())
+            if lone < n:
+                pick = np.lexsort((s, code))[lone:n]
+                shingles.append(s[pick])
+                owners.append(np.full(n - lone, i))
         shingle, owner = np.concatenate(shingles), np.concatenate(owners)
         order = np.lexsort((owner, shingle))
         shingle, owner = shingle[order], owner[order]
@@ -120,8 +143,16 @@ def candidate_edges(blocks: DataFrame, k: int, percent: int, n_buckets: int) ->
         links = np.unique(np.stack([owner, least], 1)[owner != least], axis=0)
         shingle, owner = shingle[fresh], owner[fresh]
         to, link_to = (shingle % np.uint64(n_buckets)).astype(np.int64), links[:, 0] % n_buckets
-        rows = [(b, *(x[to == b].tobytes() for x in (shingle, owner)), links[link_to == b].tobytes()) for b in range(n_buckets)]
-        yield pa.RecordBatch.from_pydict({c: pa.array([r[j] for r in rows], pa.int64() if c == "bucket" else pa.binary()) for j, c in enumerate(("bucket", "shingles", "owners", "links"))})
+        block = told["block"][0].as_py()
+        rows = [(i, block, len(s), f, None, None, None, None) for i, s, f in zip(ids, sets, first)]
+        rows += [(None, block, None, None, b, *(x[to == b].tobytes() for x in (shingle, owner)), links[link_to == b].tobytes()) for b in np.union1d(to, link_to).tolist()]
+        return pa.table({f.split()[0]: pa.array([r[j] for r in rows], pa.binary() if f.endswith("binary") else pa.int64()) for j, f in enumerate(PREFIXES.split(", "))})
+
+    return written(answer_blocks(blocks, shared_counts(blocks, k, n_buckets), find, PREFIXES))
+
+
+def candidate_edges(found: DataFrame) -> DataFrame:
+    """(a, b): documents a with the smallest document b that shares a prefix shingle."""
 
     def star(rows: pa.Table) -> pa.Table:
         shingle, owner = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), t) for c, t in (("shingles", np.uint64), ("owners", np.int64)))
@@ -133,7 +164,7 @@ def candidate_edges(blocks: DataFrame, k: int, percent: int, n_buckets: int) ->
         edges = np.unique(np.concatenate((np.stack([owner, least], 1)[owner != least], links)), axis=0)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    sent = blocks.mapInArrow(each_block(send), "bucket long, shingles binary, owners binary, links binary")
+    sent = found.where("bucket is not null").select("bucket", "shingles", "owners", "links")
     return written(sent.groupBy("bucket").applyInArrow(star, "a long, b long").distinct())
 
 
@@ -211,12 +242,10 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
     blocks, mb = packed_blocks(docs, block_mb)
     n_buckets = max(16, round(mb / block_mb))
 
-    def places(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
-        ids, _ = block_texts(blob)
-        yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "block": pa.array([block] * len(ids), pa.int64())})
-
-    where = blocks.mapInArrow(each_block(places), "node long, block long").where("node is not null")
-    groups = components(candidate_edges(blocks, k, percent, n_buckets))
+    found = prefixes(blocks, k, percent, n_buckets)
+    members = found.where("bucket is null").select("doc_id", "block", "n", "rep")
+    where = members.where("doc_id = rep").select(F.col("doc_id").alias("node"), "block").distinct()
+    groups = components(candidate_edges(found))
     large = groups.groupBy("label").count().where(F.col("count") > limit).select("label", F.ceil(F.col("count") / limit).cast("long").alias("parts"))
     split = written(groups.join(large, "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts")))
 
@@ -267,15 +296,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
     if large.limit(1).count():  # parts of split groups know their own links alone
         counts = counts.drop("label").join(components(solved.select(F.col("node").alias("a"), F.col("label").alias("b"))), "node")
 
-    def finish(blob: bytes, told: pa.Table) -> pa.Table:
-        ids, texts = block_texts(blob)
-        sets = shingle_sets(texts, k)
-        _, first = classes(ids, sets)
-        known = {n: (g, x) for n, g, x in zip(*(told[c].to_pylist() for c in ("node", "label", "links")))}
-        found = [(None, 0) if i is None else known.get(f, (f, 0)) if f is not None else (i, 0) for i, f in zip(ids, first)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "component_id": pa.array([x[0] for x in found], pa.int64()), "n_links": pa.array([x[1] for x in found], pa.int64())})
-
-    return answer_blocks(blocks, where.join(counts, "node"), finish, SCHEMA)
+    own = members.join(counts.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("label", "rep"))
+    return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
