@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DAY = Window.partitionBy("symbol").orderBy("d")
+def by_day():
+    return Window.partitionBy("symbol").orderBy("d")
 
 
 def rows_back(first: int, last: int = 0):
-    return BY_DAY.rowsBetween(-first, -last)
+    return by_day().rowsBetween(-first, -last)
 
 
 def full(value: Column, n: int, last: int = 0) -> Column:
@@ -22,7 +23,7 @@ def moving_mean(c: str, n: int, last: int = 0) -> Column:
 
 
 def change_pct(c: str, n: int) -> Column:
-    return (F.col(c) / F.lag(c, n).over(BY_DAY) - 1) * 100
+    return (F.col(c) / F.lag(c, n).over(by_day()) - 1) * 100
 
 
 def volume_ratio(c: str, short: int = 5, long: int = 20) -> Column:
@@ -33,7 +34,7 @@ def volume_ratio(c: str, short: int = 5, long: int = 20) -> Column:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Mean gain against mean loss, each over its own days only; no loss counts as 1e-9."""
-    step = bars.withColumn("_s", F.col("close") - F.lag("close").over(BY_DAY))
+    step = bars.withColumn("_s", F.col("close") - F.lag("close").over(by_day()))
     w = rows_back(n - 1)
     up = F.coalesce(F.avg(F.when(F.col("_s") > 0, F.col("_s"))).over(w), F.lit(0.0))
     down = F.coalesce(F.avg(F.when(F.col("_s") < 0, -F.col("_s"))).over(w), F.lit(1e-9))
@@ -84,4 +85,4 @@ def divergence(rows: DataFrame, price: str, other: str, n: int = 20) -> DataFram
 
 
 def drawdown(c: str) -> Column:
-    return F.col(c) / F.max(c).over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return F.col(c) / F.max(c).over(by_day().rowsBetween(Window.unboundedPreceding, 0)) - 1

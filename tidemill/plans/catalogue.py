@@ -1,6 +1,273 @@
-"""Every registered query by name, and its SQL."""
+"""Every registered analytics query by name, and its SQL on the same tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import classify
+from tidemill.operators import maintenance, series, simulate, temporal
+from tidemill.sources.tables import calendar, daily_bars, load, read_range
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+BARS = """bars AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS d, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close,
+ round(max(l_extendedprice / l_quantity), 6) AS high, round(min(l_extendedprice / l_quantity), 6) AS low, CAST(sum(l_quantity) AS DOUBLE) AS vol,
+ round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1, 2)"""
+FACTORS = "factors AS (SELECT symbol, min(d) AS d, 1 + CAST(0.01 AS DOUBLE) * (year(min(d)) * 12 + month(min(d)) - 23900) AS factor FROM bars GROUP BY symbol, year(d), month(d))"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def factors(bars: DataFrame) -> DataFrame:
+    """A rising adjustment factor from each symbol's first day in a month on."""
+    first = bars.groupBy("symbol", F.year("d").alias("y"), F.month("d").alias("m")).agg(F.min("d").alias("d"))
+    return first.select("symbol", "d", (1 + 0.01 * (F.col("y") * 12 + F.col("m") - 23900)).alias("factor"))
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+DRAWDOWN = f"""WITH {BARS}, r AS (SELECT symbol, d, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS dd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d))
+SELECT symbol, round(stddev_samp(r) * sqrt(252), 4) AS ann_vol, round(min(dd), 4) AS max_drawdown, count(*) AS days FROM r GROUP BY symbol"""
+
+
+@query(DRAWDOWN)
+def drawdown_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = daily_bars(spark, sf_dir)
+    r = b.select("symbol", (F.col("close") / F.lag("close").over(series.by_day()) - 1).alias("r"), series.drawdown("close").alias("dd"))
+    return r.groupBy("symbol").agg(F.round(F.stddev_samp("r") * 252**0.5, 4).alias("ann_vol"), F.round(F.min("dd"), 4).alias("max_drawdown"), F.count("*").alias("days"))
+
+
+@query(f"""WITH {BARS}, r AS (SELECT symbol, d, close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r FROM bars)
+SELECT symbol, round((avg(r) - (pow(1.02, 1 / 252.0) - 1)) / stddev_samp(r) * sqrt(252), 4) AS sharpe, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 4) AS win_rate,
+round(avg(r) FILTER (r > 0) / abs(avg(r) FILTER (r < 0)), 4) AS profit_loss FROM r WHERE r IS NOT NULL GROUP BY symbol""")
+def sharpe_win_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = daily_bars(spark, sf_dir).withColumn("r", F.col("close") / F.lag("close").over(series.by_day()) - 1).where("r is not null")
+    win, loss = F.avg(F.when(F.col("r") > 0, F.col("r"))), F.avg(F.when(F.col("r") < 0, F.col("r")))
+    return r.groupBy("symbol").agg(F.round((F.avg("r") - (1.02 ** (1 / 252) - 1)) / F.stddev_samp("r") * 252**0.5, 4).alias("sharpe"), F.round(F.avg((F.col("r") > 0).cast("double")), 4).alias("win_rate"), F.round(win / F.abs(loss), 4).alias("profit_loss"))
+
+
+@query(f"""WITH {BARS}, r AS (SELECT symbol, d, close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r FROM bars), m AS (SELECT d, avg(r) AS b FROM r WHERE r IS NOT NULL GROUP BY d)
+SELECT symbol, round(covar_samp(r, b) / var_samp(b), 4) AS beta, round(stddev_samp(r - b) * sqrt(252), 4) AS tracking_error, round(avg(r - b) / stddev_samp(r - b) * sqrt(252), 4) AS information_ratio,
+round(avg(r) FILTER (b > 0) / avg(b) FILTER (b > 0), 4) AS up_capture, round(avg(r) FILTER (b < 0) / avg(b) FILTER (b < 0), 4) AS down_capture, round(corr(r, b), 4) AS corr FROM r JOIN m USING (d) WHERE r IS NOT NULL GROUP BY symbol""")
+def relative_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = daily_bars(spark, sf_dir).withColumn("r", F.col("close") / F.lag("close").over(series.by_day()) - 1).where("r is not null").select("symbol", "d", "r")
+    x = r.join(r.groupBy("d").agg(F.avg("r").alias("b")), "d")
+    part = lambda c, cond: F.avg(F.when(cond, F.col(c)))
+    up, down = F.col("b") > 0, F.col("b") < 0
+    e = F.col("r") - F.col("b")
+    return x.groupBy("symbol").agg(*(F.round(v, 4).alias(k) for k, v in {"beta": F.covar_samp("r", "b") / F.var_samp("b"), "tracking_error": F.stddev_samp(e) * 252**0.5, "information_ratio": F.avg(e) / F.stddev_samp(e) * 252**0.5, "up_capture": part("r", up) / part("b", up), "down_capture": part("r", down) / part("b", down), "corr": F.corr("r", "b")}.items()))
+
+
+@query(f"""WITH {BARS}, r AS (SELECT symbol, d, close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r FROM bars)
+SELECT symbol, CAST(year(d) AS INTEGER) AS y, CAST(month(d) AS INTEGER) AS m, round(product(1 + coalesce(r, 0)) - 1, 4) AS ret FROM r GROUP BY 1, 2, 3""")
+def monthly_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = daily_bars(spark, sf_dir).withColumn("r", F.coalesce(F.col("close") / F.lag("close").over(series.by_day()) - 1, F.lit(0.0)))
+    return r.groupBy("symbol", F.year("d").alias("y"), F.month("d").alias("m")).agg(F.round(F.product(1 + F.col("r")) - 1, 4).alias("ret"))
+
+
+WINDOW = "WINDOW w AS (PARTITION BY symbol ORDER BY d)"
+
+
+@query(f"""WITH {BARS}, x AS (SELECT symbol, d, (close / lag(close, 20) OVER w - 1) * 100 AS chg, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN avg(vol) OVER (w ROWS 4 PRECEDING) / avg(vol) OVER (w ROWS BETWEEN 19 PRECEDING AND 5 PRECEDING) END AS vr, (close / lag(close) OVER w - 1) * 100 AS day FROM bars {WINDOW}),
+v AS (SELECT *, CASE WHEN abs(chg) > 1.5 THEN 2 * sign(chg) WHEN abs(chg) > 0.3 THEN sign(chg) ELSE 0 END AS a, CASE WHEN vr > 1.05 THEN sign(chg) WHEN vr < 0.95 THEN -abs(sign(chg)) ELSE 0 END AS b, CASE WHEN abs(day) > 4 THEN 2 * sign(day) WHEN abs(day) > 2 THEN sign(day) ELSE 0 END AS c FROM x)
+SELECT symbol, d, round(chg, 4) AS chg, round(vr, 4) AS vr, CAST(greatest(-6, least(6, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0))) AS INTEGER) AS beta FROM v""")
+def volume_and_beta_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = daily_bars(spark, sf_dir).select("symbol", "d", series.change_pct("close", 20).alias("chg"), series.volume_ratio("vol").alias("vr"), series.change_pct("close", 1).alias("day"))
+    return rounded(x.withColumn("beta", classify.beta_score(F.col("chg"), F.col("vr"), F.col("day"))).drop("day"), "chg", "vr")
+
+
+@query(f"""WITH {BARS}, s AS (SELECT symbol, d, close - lag(close) OVER w AS s FROM bars {WINDOW}), x AS (SELECT symbol, d, count(s) OVER (w ROWS 13 PRECEDING) AS n, coalesce(avg(s) FILTER (s > 0) OVER (w ROWS 13 PRECEDING), 0) AS up, coalesce(avg(-s) FILTER (s < 0) OVER (w ROWS 13 PRECEDING), 1e-9) AS down FROM s {WINDOW})
+SELECT symbol, d, CASE WHEN n = 14 THEN round(100 - 100 / (1 + up / down), 4) END AS rsi FROM x""")
+def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(series.rsi(daily_bars(spark, sf_dir)).select("symbol", "d", "rsi"), "rsi")
+
+
+@query(f"""WITH {BARS}, x AS (SELECT symbol, d, close, high, low, count(*) OVER w20 AS n, avg(close) OVER w20 AS mid, stddev_pop(close) OVER w20 AS dev, count(*) OVER w14 AS n14, min(low) OVER w14 AS lo, max(high) OVER w14 AS hi FROM bars
+WINDOW w20 AS (PARTITION BY symbol ORDER BY d ROWS 19 PRECEDING), w14 AS (PARTITION BY symbol ORDER BY d ROWS 13 PRECEDING))
+SELECT symbol, d, CASE WHEN n = 20 THEN round(mid + 2 * dev, 3) END AS upper, CASE WHEN n = 20 THEN round(mid - 2 * dev, 3) END AS lower, CASE WHEN n14 = 14 THEN CASE WHEN hi = lo THEN 50.0 ELSE round((close - lo) / (hi - lo) * 100, 4) END END AS rsv FROM x""")
+def bollinger_and_rsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = series.stochastic(series.bollinger(daily_bars(spark, sf_dir)))
+    return rounded(rounded(x, "rsv").select("symbol", "d", "upper", "lower", "rsv"), "upper", "lower", digits=3)
+
+
+@query(f"""WITH {BARS}, x AS (SELECT symbol, d, close, count(*) OVER (w ROWS 54 PRECEDING) AS n, avg(close) OVER (w ROWS 12 PRECEDING) AS a, avg(close) OVER (w ROWS 20 PRECEDING) AS b, avg(close) OVER (w ROWS 33 PRECEDING) AS c, avg(close) OVER (w ROWS 54 PRECEDING) AS e FROM bars {WINDOW})
+SELECT symbol, d, CASE WHEN n = 55 THEN round((a + b + c + e) / 4, 3) END AS bbi FROM x""")
+def bbi_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = sum((series.moving_mean("close", n) for n in (13, 21, 34, 55)), F.lit(0.0)) / 4
+    return rounded(daily_bars(spark, sf_dir).select("symbol", "d", mean.alias("bbi")), "bbi", digits=3)
+
+
+@query(f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM bars), e AS (SELECT symbol, i, close AS fast, close AS slow, CAST(0 AS DOUBLE) AS dea FROM n WHERE i = 1
+UNION ALL SELECT n.symbol, n.i, e.fast * (1 - 2 / 13.0) + n.close * (2 / 13.0), e.slow * (1 - 2 / 27.0) + n.close * (2 / 27.0), e.dea * 0.8 + 0.2 * ((e.fast * (1 - 2 / 13.0) + n.close * (2 / 13.0)) - (e.slow * (1 - 2 / 27.0) + n.close * (2 / 27.0))) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)
+SELECT symbol, round(fast - slow, 3) AS dif, round(dea, 3) AS dea, round(2 * (fast - slow - dea), 3) AS hist FROM e QUALIFY i = max(i) OVER (PARTITION BY symbol)""")
+def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(series.macd(daily_bars(spark, sf_dir)), "dif", "dea", "hist", digits=3)
+
+
+@query(f"""WITH {BARS}, x AS (SELECT symbol, d, close, vol, count(*) OVER (w ROWS 19 PRECEDING) AS n, max(close) OVER p AS hc, max(vol) OVER p AS hv, min(close) OVER p AS lc, min(vol) OVER p AS lv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d), p AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING))
+SELECT symbol, d, CASE WHEN n < 20 THEN 'none' WHEN close >= hc AND vol < hv * 0.9 THEN 'top' WHEN close <= lc AND vol > lv * 1.1 THEN 'bottom' ELSE 'none' END AS signal FROM x""")
+def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.divergence(daily_bars(spark, sf_dir), "close", "vol").select("symbol", "d", "signal")
+
+
+@query(f"""WITH {BARS}, {FACTORS}, l AS (SELECT symbol, max(factor) AS last FROM factors GROUP BY symbol) SELECT b.symbol, b.d, round(b.close * coalesce(f.factor, 1.0), 4) AS hfq, round(b.close * coalesce(f.factor, 1.0) / l.last, 4) AS qfq
+FROM bars b ASOF LEFT JOIN factors f ON b.symbol = f.symbol AND b.d >= f.d JOIN l ON l.symbol = b.symbol""")
+def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = daily_bars(spark, sf_dir)
+    f = factors(b)
+    x = temporal.asof_join(b, f, "symbol", "d", "factor", first_as_fallback=True, default=1.0).join(f.groupBy("symbol").agg(F.max("factor").alias("last")), "symbol")
+    return x.select("symbol", "d", F.round(F.col("close") * F.col("factor"), 4).alias("hfq"), F.round(F.col("close") * F.col("factor") / F.col("last"), 4).alias("qfq"))
+
+
+@query(f"""WITH {BARS}, {FACTORS} SELECT b.symbol, b.d, round(f.factor, 6) AS strict, round(CASE WHEN date_diff('day', t.d, b.d) <= 5 THEN t.factor END, 6) AS near, round(n.factor, 6) AS ahead
+FROM bars b ASOF LEFT JOIN factors f ON b.symbol = f.symbol AND b.d > f.d ASOF LEFT JOIN factors t ON b.symbol = t.symbol AND b.d >= t.d ASOF LEFT JOIN factors n ON b.symbol = n.symbol AND b.d <= n.d""")
+def asof_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = daily_bars(spark, sf_dir)
+    f, out = factors(b), b.select("symbol", "d")
+    for name, how in (("strict", {"strict": True}), ("near", {"tolerance_days": 5}), ("ahead", {"forward": True})):
+        out = temporal.asof_join(out, f.withColumnRenamed("factor", name), "symbol", "d", name, **how)
+    return rounded(out, "strict", "near", "ahead", digits=6)
+
+
+SPANS = "spans AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 20 AS INTEGER) AS e FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    return o.select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), (30 + F.col("o_orderkey") % 20).cast("int")).alias("e"))
+
+
+@query(f"WITH {SPANS} SELECT o_orderkey, count(*) AS n FROM orders JOIN spans ON o_custkey = k AND CAST(o_orderdate AS DATE) >= s AND CAST(o_orderdate AS DATE) < e GROUP BY 1")
+def interval_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.to_date("o_orderdate").alias("d"))
+    return temporal.interval_join(points, spans(spark, sf_dir), "k", "d", "s", "e").groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SPANS}, x AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans), y AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e) AS i FROM x)
+SELECT k, min(s) AS s, max(e) AS e, count(*) AS parts FROM y GROUP BY k, i""")
+def span_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.islands(spans(spark, sf_dir), "k", "s", "e", 3)
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey, o_orderkey AS other, CAST(o_orderdate AS DATE) AS od FROM orders WHERE o_orderstatus = 'O')
+SELECT o_orderkey, other, CAST(d - od AS INTEGER) AS gap FROM a JOIN b USING (o_custkey) WHERE d - od BETWEEN 0 AND 60 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY d - od, other) = 1""")
+def nearest_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    a = o.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    b = o.where("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("other"), F.to_date("o_orderdate").alias("od"))
+    return temporal.nearest_before(a, b, "o_custkey", "d", "od", 60, [F.col("other")]).select("o_orderkey", "other", F.datediff("d", "od").alias("gap"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
+def pit_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("1998-06-30").cast("timestamp"))
+    return temporal.latest_by(o, ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""SELECT p_partkey, code, board, CAST(CASE WHEN board = 'bse' THEN 0.3 WHEN board IN ('gem', 'star') THEN 0.2 WHEN p_partkey % 7 = 0 THEN 0.05 ELSE 0.1 END AS DOUBLE) AS lim FROM (SELECT p_partkey, CASE WHEN regexp_matches(x, '^[569]') THEN x || '.SH' WHEN regexp_matches(x, '^(4|8)') THEN x || '.BJ' ELSE x || '.SZ' END AS code,
+CASE WHEN regexp_matches(x, '^(300|301|302)') THEN 'gem' WHEN regexp_matches(x, '^(688|689)') THEN 'star' WHEN regexp_matches(x, '^(4|8|920)') THEN 'bse' ELSE 'main' END AS board FROM (SELECT p_partkey, lpad(CAST((p_partkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS x FROM part))""")
+def codes_and_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").select("p_partkey", F.lpad(((F.col("p_partkey") * 7919) % 1000000).cast("string"), 6, "0").alias("x"))
+    b = classify.board(F.col("x"))
+    return p.select("p_partkey", classify.exchange_code(F.col("x")).alias("code"), b.alias("board"), classify.limit_pct(b, F.col("p_partkey") % 7 == 0, F.lit("2020-01-01").cast("date")).alias("lim"))
+
+
+BREADTH = f"""{BARS}, x AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY d) * 0.9 AS floor FROM bars), day AS (SELECT d, count(*) AS n, CAST(sum(CASE WHEN floor > 0 AND close <= floor * 1.0001 THEN 1 ELSE 0 END) AS BIGINT) AS down FROM x WHERE floor IS NOT NULL GROUP BY d)"""
+
+
+def breadth_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = daily_bars(spark, sf_dir).withColumn("floor", F.lag("close").over(series.by_day()) * 0.9).where("floor is not null")
+    return x.groupBy("d").agg(F.count("*").alias("n"), F.sum(classify.touches_down(F.col("close"), F.col("floor")).cast("long")).alias("down"))
+
+
+@query(f"WITH {BREADTH} SELECT d, n, down, round(100.0 * down / n, 4) AS pct FROM day")
+def breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breadth_days(spark, sf_dir).withColumn("pct", F.round(100.0 * F.col("down") / F.col("n"), 4))
+
+
+@query(f"""WITH RECURSIVE {BREADTH}, r AS (SELECT d, CASE WHEN down * 100 >= 45 * n THEN 'CRISIS' WHEN down * 100 >= 40 * n THEN 'WATCH' ELSE 'NORMAL' END AS raw, row_number() OVER (ORDER BY d) AS i FROM day),
+m AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS d, '' AS raw, '' AS status, 'IDLE' AS phase, 0 AS k UNION ALL SELECT r.i, r.d, r.raw,
+CASE WHEN r.raw = 'CRISIS' OR (r.raw = 'WATCH' AND phase <> 'IDLE') THEN 'CRISIS' WHEN r.raw = 'WATCH' THEN 'WATCH' WHEN phase = 'CONFIRM' AND k + 1 < 3 THEN 'CRISIS' WHEN phase = 'CONFIRM' OR (phase = 'RECOVERY' AND k + 1 < 3) THEN 'RECOVERY' ELSE 'NORMAL' END,
+CASE WHEN r.raw = 'CRISIS' OR (r.raw = 'WATCH' AND phase <> 'IDLE') THEN 'CONFIRM' WHEN r.raw = 'WATCH' THEN 'IDLE' WHEN phase = 'CONFIRM' AND k + 1 < 3 THEN 'CONFIRM' WHEN phase = 'CONFIRM' OR (phase = 'RECOVERY' AND k + 1 < 3) THEN 'RECOVERY' ELSE 'IDLE' END,
+CASE WHEN r.raw = 'NORMAL' AND phase IN ('CONFIRM', 'RECOVERY') AND k + 1 < 3 THEN k + 1 ELSE 0 END FROM m JOIN r ON r.i = m.i + 1) SELECT d, raw, status FROM m WHERE i > 0""")
+def liquidity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = 100 * F.col("down")
+    raw = F.when(share >= 45 * F.col("n"), "CRISIS").when(share >= 40 * F.col("n"), "WATCH").otherwise("NORMAL")
+    return simulate.liquidity_states(breadth_days(spark, sf_dir).select("d", raw.alias("raw")))
+
+
+@query(f"WITH {BARS} SELECT d, symbol, amount FROM bars QUALIFY row_number() OVER (PARTITION BY d ORDER BY amount, symbol) <= 3")
+def topk_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("d").orderBy("amount", "symbol")
+    return daily_bars(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 3").select("d", "symbol", "amount")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 1)
+SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b UNION ALL SELECT o_orderkey, round(o_totalprice, 2) FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)""")
+def upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    b = o.where("o_orderkey % 2 = 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return rounded(maintenance.upsert(o.where("o_orderkey % 2 = 0 or o_orderkey % 5 = 0"), b, ["o_orderkey"]), "o_totalprice", digits=2)
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'touched' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v""")
+def keyed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    b = o.where("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("v")))
+    return maintenance.changes(o.where("k % 3 <> 0"), b, ["k"], ["v"])
+
+
+@query("SELECT count(*) AS n, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS key_dups FROM lineitem")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").count()
+    return keys.agg(F.sum("count").alias("n"), F.sum(F.col("count") - 1).alias("key_dups"))
+
+
+@query("""WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) SELECT c.d, max(c.d) OVER (PARTITION BY year(c.d), month(c.d)) = c.d AS month_last FROM c ANTI JOIN s ON s.d = c.d + 3""")
+def calendar_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = load(spark, sf_dir, "lineitem").select(F.date_sub(F.to_date("l_shipdate"), 3).alias("d")).distinct()
+    month = Window.partitionBy(F.year("d"), F.month("d"))
+    return calendar(spark, sf_dir).join(done, "d", "left_anti").withColumn("month_last", F.max("d").over(month) == F.col("d"))
+
+
+@query(f"""WITH {BARS}, x AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY d) AS q FROM bars) SELECT symbol, count(*) AS days, CAST(sum(CASE WHEN high < close - 1e-6 OR low > close + 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS bad_range, CAST(sum(CASE WHEN vol IS NULL OR vol <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_volume, CAST(sum(CASE WHEN q > 1.1 OR q < 0.9 THEN 1 ELSE 0 END) AS BIGINT) AS jumps FROM x GROUP BY symbol""")
+def bar_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = daily_bars(spark, sf_dir).withColumn("q", F.col("close") / F.lag("close").over(series.by_day()))
+    some = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
+    return x.groupBy("symbol").agg(F.count("*").alias("days"), some((F.col("high") < F.col("close") - 1e-6) | (F.col("low") > F.col("close") + 1e-6)).alias("bad_range"), F.sum((F.col("vol").isNull() | (F.col("vol") <= 0)).cast("long")).alias("bad_volume"), some((F.col("q") > 1.1) | (F.col("q") < 0.9)).alias("jumps"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, round(l_extendedprice / l_quantity, 4) AS p, l_linestatus = 'F' AS sell, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), x AS (SELECT *, greatest(q * p * 0.00025, 5) AS c, CASE WHEN sell THEN q * p * 0.001 ELSE 0 END AS s, q * 0.0006 AS t FROM f)
+SELECT d, count(*) AS n, round(sum(c), 2) AS commission, round(sum(s), 2) AS stamp, round(sum(t), 2) AS transfer FROM x GROUP BY d""")
+def fees_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_range(spark, sf_dir, "lineitem", "1990-01-01", "1997-12-31", ["l_quantity", "l_extendedprice", "l_linestatus", "l_shipdate"])
+    q, p = F.col("l_quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    sell = F.col("l_linestatus") == "F"
+    return li.groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count("*").alias("n"), F.round(F.sum(F.greatest(q * p * 2.5e-4, F.lit(5.0))), 2).alias("commission"), F.round(F.sum(F.when(sell, q * p * 0.001).otherwise(0.0)), 2).alias("stamp"), F.round(F.sum(q * 0.0006), 2).alias("transfer"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS fold, i * 60 AS train_from, i * 60 + 250 AS test_from, i * 60 + 250 + 60 AS test_to FROM (SELECT unnest(generate_series(0, (SELECT (count(DISTINCT CAST(o_orderdate AS DATE)) - 310) // 60 FROM orders))) AS i)")
+def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = calendar(spark, sf_dir).agg(F.count("*").alias("n"))
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 310) / 60))).alias("fold")
+    return n.select(i).select("fold", (F.col("fold") * 60).alias("train_from"), (F.col("fold") * 60 + 250).alias("test_from"), (F.col("fold") * 60 + 310).alias("test_to"))
+
+
+@query()
+def equal_weight_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = daily_bars(spark, sf_dir)
+    runs = b.select("symbol", F.explode(F.array(*(F.when(F.col("symbol") % k == 0, F.lit(k).cast("long")) for k in (2, 3, 5)))).alias("run_id")).where("run_id is not null").distinct()
+    return simulate.run_equal_weight(b.select("symbol", "d", "close"), runs)
