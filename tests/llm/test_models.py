@@ -56,4 +56,19 @@ def test_path_shortcut_is_exact(spark):
             own = score[a : a + n]
             value = lambda p: own[np.arange(n), p].sum() - 2.5 * (p[1:] != p[:-1]).sum()  # noqa: B023, E731
             assert value(path[a : a + n]) >= value(model.viterbi(own)) - 1e-9
+            assert (model.viterbi(own) == plain_viterbi(own, 2.5)).all()
             a += n
+        assert (model.viterbi(score, counts) == np.concatenate([plain_viterbi(score[e - n : e], 2.5) for n, e in zip(counts, counts.cumsum())])).all()
+
+
+def plain_viterbi(score, penalty):
+    total, back = [list(score[0])], []
+    for row in score[1:]:
+        last = total[-1]
+        top = max(range(len(last)), key=lambda i: last[i])
+        back.append([top if last[top] - penalty > x else i for i, x in enumerate(last)])
+        total.append([last[j] - penalty * (j != i) + row[i] for i, j in enumerate(back[-1])])
+    path = [max(range(len(score[0])), key=lambda i: total[-1][i])]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return path[::-1]

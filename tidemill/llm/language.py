@@ -16,13 +16,14 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Numbered, digest_bucket, looked_up, table, text_chunks, with_text
+from tidemill.llm.common import Numbered, digest_bucket, looked_up, ranges, table, text_chunks, with_text
 
 SLOTS = 1 << 16
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -65,12 +66,33 @@ class LanguageModel:
         total = Counter()
         for (lang, _), n in scripts.items():
             total[lang] += n
+        self.forget()
         self.scripts: dict[str, np.ndarray] = {}
         for s in {s for _, s in scripts}:
             self.scripts[s] = np.array([scripts.get((n, s), 0) >= 0.01 * total[n] for n in self.names])
 
+    def forget(self) -> None:
+        self.numbers, self.known = Numbered(), np.zeros((0, max(1, len(self.names))), np.float32)
+        self.letters = np.zeros(0, bool)
+
+    def looked_up(self, words: list[str], most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word begins with a letter, and its scores. Words are scored once while this
+        copy of the model remembers them; with over `most` of them it starts anew."""
+        if len(self.numbers) > most:
+            self.forget()
+        codes = looked_up(self.numbers, words, np.int64)
+        fresh = list(islice(self.numbers, len(self.known), None))
+        if fresh:
+            parts = [self.word_scores(fresh[i : i + 50_000]).astype(np.float32) for i in range(0, len(fresh), 50_000)]
+            self.known = np.concatenate((self.known, *parts))
+            self.letters = np.concatenate((self.letters, np.fromiter((bool(script(w)) for w in fresh), bool, len(fresh))))
+        letters = self.letters[codes]
+        return letters, self.known[codes[letters]].astype(float)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each language for each word; -50 outside of its script's languages."""
+        if not self.names:
+            return np.zeros((len(words), 1))
         slots = [slots_of(w) for w in words]
         size = np.fromiter(map(len, slots), np.int64, len(slots))
         flat = np.fromiter((x for own in slots for x in own), np.int64, int(size.sum()))
@@ -97,24 +119,35 @@ class LanguageModel:
         shift = own * -1e7  # restarts the running minimum at each text
         least = np.minimum.accumulate(start - start[first][own] + shift) - shift
         rise = np.maximum.reduceat(run - start[first][own] - least, first)
-        for d in np.flatnonzero((rise > self.penalty) & (np.maximum.reduceat(gain, first) > 0)):
-            path[first[d] : ends[d]] = self.viterbi(score[first[d] : ends[d]])
+        walk = np.flatnonzero((rise > self.penalty) & (np.maximum.reduceat(gain, first) > 0))
+        if len(walk):
+            at = ranges(first[walk], counts[walk])
+            path[at] = self.viterbi(score[at], counts[walk])
         return path
 
-    def viterbi(self, score: np.ndarray) -> np.ndarray:
-        back = np.empty(score.shape, np.int64)
-        stay = np.arange(score.shape[1])
-        total = score[0].copy()
-        for t in range(1, len(score)):
-            top = int(total.argmax())
-            switch = total[top] - self.penalty > total
-            back[t] = np.where(switch, top, stay)
-            total = np.where(switch, total[top] - self.penalty, total) + score[t]
-            total -= total.max()
+    def viterbi(self, score: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """Best paths of texts that follow one another (one text without counts), walked side by side."""
+        counts = np.array([len(score)]) if counts is None else counts
+        order = np.argsort(-counts, kind="stable")
+        size, start = counts[order], (np.cumsum(counts) - counts)[order]
+        active = np.searchsorted(-size, -np.arange(size[0]), "left")  # texts of over t words
+        back = np.empty(score.shape, np.int16)
+        stay = np.arange(score.shape[1], dtype=np.int16)
+        total = score[start]
+        for t in range(1, size[0]):
+            k = active[t]
+            now, row = total[:k], start[:k] + t
+            top = now.argmax(1)
+            moved = now[np.arange(k), top, None] - self.penalty
+            switch = moved > now
+            back[row] = np.where(switch, top[:, None], stay)
+            now = np.where(switch, moved, now) + score[row]
+            total[:k] = now - now.max(1, keepdims=True)
         path = np.empty(len(score), np.int64)
-        path[-1] = total.argmax()
-        for t in range(len(score) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
+        path[start + size - 1] = total.argmax(1)
+        for t in range(size[0] - 1, 0, -1):
+            row = start[: active[t]] + t
+            path[row - 1] = back[row, path[row]]
         return path
 
 
@@ -158,21 +191,19 @@ def learned(docs: DataFrame, sample: int = 6000, penalty: float = 12.0) -> Langu
     return LanguageModel(counts, scripts, penalty)
 
 
-def labelled_words(texts: list, model: LanguageModel):
-    """Words, words of each text (letters only), and the language number of each word."""
+def labelled_words(texts: list, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text (those of letters only), and the language number of each word."""
     words: list[str] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = [w for w in words_of(t) if script(w)]
+    counts = []
+    for t in texts:
+        own = words_of(t)
         words += own
-        counts[i] = len(own)
-    if not words or not model.names:
-        return words, counts, np.zeros(len(words), np.int64)
-    numbers = Numbered()
-    codes = looked_up(numbers, words, np.int64)
-    known = list(numbers)
-    score = np.concatenate([model.word_scores(known[i : i + 50_000]) for i in range(0, len(known), 50_000)])
-    return words, counts, model.paths(score[codes], counts[counts > 0])
+        counts.append(len(own))
+    letters, score = model.looked_up(words)
+    of_text = np.bincount(np.repeat(np.arange(len(counts)), counts)[letters], minlength=len(counts))
+    if not len(score) or not model.names:
+        return of_text, np.zeros(len(score), np.int64)
+    return of_text, model.paths(score, of_text[of_text > 0])
 
 
 def predicted(docs: DataFrame, model: LanguageModel, chunk_mb: float = 2.0) -> DataFrame:
@@ -182,7 +213,7 @@ def predicted(docs: DataFrame, model: LanguageModel, chunk_mb: float = 2.0) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in text_chunks(batches, chunk_mb):
-            _, counts, path = labelled_words(batch.column("text").to_pylist(), own)
+            counts, path = labelled_words(batch.column("text").to_pylist(), own)
             votes = np.zeros((len(counts), max(1, len(own.names))), np.int64)
             np.add.at(votes, (np.repeat(np.arange(len(counts)), counts), path), 1)
             best = votes.argmax(1)
@@ -200,7 +231,7 @@ def spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in text_chunks(batches):
-            _, counts, path = labelled_words(batch.column("text").to_pylist(), own)
+            counts, path = labelled_words(batch.column("text").to_pylist(), own)
             doc = np.repeat(np.arange(len(counts)), counts)
             if not len(doc) or not own.names:
                 continue
