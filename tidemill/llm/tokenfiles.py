@@ -11,9 +11,11 @@ A null or empty text has the end id alone. Rows with equal doc_id stay next to e
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -107,30 +109,45 @@ class WaveletMatrix:
 
 
 class WordEncoder:
-    """Ids of words as the tokenizers library gives them, each distinct word encoded once."""
+    """Ids of words as the tokenizers library gives them, each distinct word encoded once.
 
-    def __init__(self, path: str):
+    A process keeps its encoder from task to task; with over `most` words it starts anew.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.reset()
 
+    @staticmethod
+    @functools.cache
+    def kept(path: str) -> WordEncoder:
+        """This process's encoder."""
+        return WordEncoder(path)
+
     def reset(self):
         self.numbers, self.known = Numbered(), 0
         self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used = 0
 
+    def asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word and all ids in a row. In small batches: few objects live at a time."""
+        size, flat = [], []
+        for i in range(0, len(words), 2_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 2_000], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
+        return np.concatenate(size), np.concatenate(flat)
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
-        if len(self.numbers) > 1_000_000:
+        if len(self.numbers) > self.most:
             self.reset()
         codes = looked_up(self.numbers, words, np.int64)
         if len(self.numbers) > self.known:
-            fresh = [w.decode() for w in list(self.numbers)[self.known :]]
-            found = [e.ids for i in range(0, len(fresh), 10_000) for e in self.tokenizer.encode_batch_fast(fresh[i : i + 10_000], add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
-            flat = np.fromiter((y for x in found for y in x), np.uint32, int(size.sum()))
+            size, flat = self.asked([w.decode() for w in islice(self.numbers, self.known, None)])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             self.ids[self.used : self.used + len(flat)] = flat
@@ -146,7 +163,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian, the end id last; 2 bytes each if the vocabulary allows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = WordEncoder.kept(path)
         kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         for batch in text_chunks(batches):
             words: list[bytes] = []
