@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tidemill.operators import maintenance, simulate
-from tidemill.plans import catalogue
+from tidemill.plans import catalogue, research  # noqa: F401  registers its queries
 from tidemill.sources.tables import union_all
 
 SF = "/root/testdata/sf0.001"
