@@ -59,12 +59,12 @@ def factor_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where(F.abs(chg) > 0.001).select("symbol", "d", F.round(chg, 6).alias("chg"), (F.col("factor") < F.col("was") - F.greatest(F.lit(1e-3), 1e-4 * F.col("was"))).alias("falls"))
 
 
-@query(f"""WITH {BARS}, x AS (SELECT symbol, d, vol - lag(vol) OVER w AS step, lag(close) OVER w AS price FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)) SELECT symbol, d, round(step * price, 6) AS flow FROM x WHERE price IS NOT NULL""")
+@query(f"""WITH {BARS}, x AS (SELECT symbol, d, vol - lag(vol) OVER w AS step, lag(close) OVER w AS price FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)) SELECT symbol, d, round(step * price, 0) AS flow FROM x WHERE price IS NOT NULL""")
 def share_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change of shares times the price before."""
+    """Change of shares times the price before, in whole units."""
     w = series.by_day()
     flow = (F.col("vol") - F.lag("vol").over(w)) * F.lag("close").over(w)
-    return daily_bars(spark, sf_dir).select("symbol", "d", F.round(flow, 6).alias("flow")).where("flow is not null")
+    return daily_bars(spark, sf_dir).select("symbol", "d", F.round(flow, 0).alias("flow")).where("flow is not null")
 
 
 @query(f"""WITH {BARS}, {RETURNS}, m AS (SELECT d, avg(r) AS b FROM r GROUP BY d) SELECT symbol, count(*) AS n, round(regr_slope(r, b), 4) AS slope, round(regr_intercept(r, b), 4) AS intercept, round(regr_r2(r, b), 4) AS r2 FROM r JOIN m USING (d) WHERE r IS NOT NULL GROUP BY symbol""")
