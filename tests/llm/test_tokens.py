@@ -11,7 +11,7 @@ import pytest
 
 from tidemill.llm.decontaminate import hits, longest_matches, without_hits
 from tidemill.llm.pieces import PieceCoder, coded
-from tidemill.llm.tokenfiles import WaveletMatrix, read_shards, token_files
+from tidemill.llm.tokenfiles import WaveletMatrix, WordEncoder, read_shards, token_files
 
 ODD_TEXTS = [None, "", " ", "   a  b ", "a\n\nb\tc", "It's <|endoftext|> x<s>y <0x0A> 'LL", "é é ﬁ Ｆ ǅ Σς 　x y", "▁▁ a▁b", "日本語テキスト \U0001f600!!", "ha" * 3000, "aaaa bbbb " * 50, "\x00\x01 \x85z", "THE QUICK brown", "   ", "\n", "\n \n", "1234567 000 ½²"]
 
@@ -58,6 +58,18 @@ def test_token_files(spark):
     assert sorted(r.start for r in read_shards(token_files(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), path)).collect()) == [0, 2, 4]
 
 
+def test_words_cut_before_the_library():
+    e, r = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    assert e.lowers
+    pool = list("abzABZtheion019'.,!<|>_-éÉßÿ×÷ªµ²½ \n\t\x1c\x85\xa0\u0338\u0331\u0300hHİſΣς한") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "'re"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 20))) for _ in range(5000)]
+    own = [e.split(t.encode()) for t in texts]
+    ids, sizes = e.encode([w for words in own for w in words])
+    ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(words) for words in own])].tolist()
+    for t, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 300, 5000).astype(np.uint32)
     m = WaveletMatrix.from_bytes(WaveletMatrix.of(ids).to_bytes(), len(ids))

@@ -12,7 +12,9 @@ A null or empty text has the end id alone. Rows with equal doc_id stay next to e
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -108,19 +110,46 @@ class WaveletMatrix:
         return cls(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8).reshape(bits, -1), n)
 
 
+#: The normalizer and the splitting pattern for which words are cut before the library sees them.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Words of visible ASCII and small Latin-1 letters stay as they are under NORMAL; on them this is SPLIT.
+PLAIN = re.compile(r"[!-@\[-~ß-öø-ÿ]+").fullmatch
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+
+
 class WordEncoder:
     """Ids of words as the tokenizers library gives them, each distinct word encoded once.
 
+    If the file normalizes by NORMAL and splits by SPLIT, plain words are cut here and go to the
+    library's byte-level merges by the thousand, without the steps that would not change them; the
+    mark at the end of a piece tells whose ids are whose. All other words take the library's whole way.
+
     A process keeps its encoder from task to task; with over `most` words it starts anew.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        made = json.loads(self.tokenizer.to_str())
+        cuts = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        mark = made["model"].get("end_of_word_suffix")
+        self.lowers = bool(mark) and (made["normalizer"] or {}).get("normalizers") == NORMAL and [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": SPLIT}
+        if self.lowers:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.last = np.zeros(1 + max(made["model"]["vocab"].values()), bool)
+            self.last[[i for piece, i in made["model"]["vocab"].items() if piece.endswith(mark)]] = True
         self.reset()
 
+    def split(self, text: bytes) -> list[bytes]:
+        """Words; A-Z lowered where the file does so, unless a mark could join a letter or a special token be meant."""
+        return (text.lower() if self.lowers and b"\xcc" not in text and b"<|" not in text else text).split()
+
     @staticmethod
     @functools.cache
     def kept(path: str) -> WordEncoder:
@@ -132,15 +161,33 @@ class WordEncoder:
         self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used = 0
 
-    def asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word and all ids in a row. In small batches: few objects live at a time."""
-        size, flat = [], []
+        size, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for i in range(0, len(words), 2_000):
             found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 2_000], add_special_tokens=False)]
             size.append(np.fromiter(map(len, found), np.int64, len(found)))
             flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
         return np.concatenate(size), np.concatenate(flat)
 
+    def asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As whole(), plain words by their pieces."""
+        plain = np.fromiter((self.lowers and PLAIN(w) is not None and "<|" not in w for w in words), bool, len(words))
+        if not plain.any():
+            return self.whole(words)
+        cut = [CUT(w) for w, is_plain in zip(words, plain.tolist()) if is_plain]
+        pieces = list(chain.from_iterable(cut))
+        part = np.concatenate([np.array(self.bare.encode_batch_fast([pieces[i : i + 2_000]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(pieces), 2_000)])
+        ends = np.flatnonzero(self.last[part]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("a piece without an end mark")
+        size = np.zeros(len(words), np.int64)
+        size[plain] = np.diff(ends[np.cumsum([len(own) for own in cut]) - 1], prepend=0)
+        size[~plain], rest = self.whole([w for w, is_plain in zip(words, plain.tolist()) if not is_plain])
+        flat, mine = np.zeros(int(size.sum()), np.uint32), np.repeat(plain, size)
+        flat[mine], flat[~mine] = part, rest
+        return size, flat
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
         if len(self.numbers) > self.most:
@@ -169,7 +216,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             words: list[bytes] = []
             counts = []
             for t in texts_of(batch):
-                own = t.split()
+                own = encoder.split(t)
                 words += own
                 counts.append(len(own))
             ids, sizes = encoder.encode(words)
