@@ -4,8 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from tidemill.llm import substring, suffixes, windows
 from tidemill.llm.substring import remove_repeats
 from tidemill.llm.suffixes import remove_repeated_bytes
 
@@ -72,3 +74,47 @@ def test_bytes(spark, block_mb):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(none).collect() == [] and remove_repeated_bytes(none).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_hot_minimiser(spark, monkeypatch, kind):
+    """A passage of little more than a window, in every document between words of its own: no bucket may hold all its strings."""
+    r = random.Random(9)
+    own = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
+    passage = own(36)
+    rows = [(i, f"{own(40)} {passage} {own(40)}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bound = 4 * int(0.02 * (2 << 20))
+    module = substring if kind == "words" else suffixes
+    made = module.matcher
+
+    def small(*args):
+        match = made(*args)
+
+        def checked(rows):
+            rows = list(rows)
+            assert sum(len(x[0]) for x in rows) < bound
+            return match(rows)
+
+        return checked
+
+    monkeypatch.setattr(module, "matcher", small)
+    if kind == "words":
+        got, want = remove_repeats(docs, block_mb=0.02), brute_words(rows, 35)
+    else:
+        got, want = remove_repeated_bytes(docs, block_mb=0.02), brute_bytes(rows, 200)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_equal_strings():
+    row = lambda *keys: (b"".join(keys), np.array([len(x) for x in keys], np.int32), np.array([x == b"m" for x in keys]))
+    got = windows.equal_strings(iter([row(b"ab", b"c"), row(b"a", b"bc", b"m"), row(b"c", b"ab")]))
+    assert [x[:, 0].tolist() for x in got] == [[0, 1], [2], [0, 1]]
+    assert all((x[:, 1:] == [0, 1]).all() for x in got)
+
+
+def test_word_hashes():
+    words = [b"a", b"b", b"ab", b"a\0", b"12345678", b"123456789", b"x" * 64, b"x" * 65, b"x" * 66, b"x" * 900]
+    start, end, hashes = substring.word_hashes(b" \t" + b"\n\r\x0b".join(words * 2) + b" " * 8)
+    assert (end - start).tolist() == [len(w) for w in words * 2]
+    assert hashes[: len(words)].tolist() == hashes[len(words) :].tolist() and len(set(hashes.tolist())) == len(words)

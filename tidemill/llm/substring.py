@@ -7,40 +7,58 @@ copies lose them. A row is never dropped; documents shorter than the window are
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm.common import Hashed, Numbered, looked_up, mixed, rolling_hash, sliding_min, table
+from tidemill.llm.common import ODD, Numbered, looked_up, mixed, rolling_hash, sliding_min, table
 from tidemill.llm.windows import eights, equal_groups, flagged_runs, repeated_windows
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_HASHES = Hashed()
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def word_hashes(whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of a text that ends in 8 blanks, 8 bytes a step."""
+    data = np.frombuffer(whole, np.uint8)
+    edge = np.flatnonzero(np.diff(BLANK[data], prepend=True))
+    start, end = edge[::2], edge[1::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, 0, (1,))
+    out = (end - start).astype(np.uint64)
+    word, at, left = np.arange(len(start)), start, end - start
+    for _ in range(8):
+        out[word] = mixed(out[word] * np.uint64(ODD) + (eight[at] & LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        word, at, left = word[more], at[more] + 8, left[more] - 8
+    for i in word.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[start[i] : end[i]])
+    return start, end, out
 
 
 def super_kmers(texts: list[bytes], k: int, m: int) -> tuple:
     """Runs of consecutive windows that share their minimiser."""
-    words: list[bytes] = []
-    counts = []
-    for t in texts:
-        own = t.split()
-        words += own
-        counts.append(len(own))
-    n = len(words)
-    ends = np.cumsum(np.array(counts, np.int64))
+    whole = b" ".join([*texts, b" " * 8])
+    begin, end, hashes = word_hashes(whole)
+    words = cache(whole.split)
+    ends = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))
+    counts = np.diff(ends, prepend=0)
+    n = len(begin)
     if n < k:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), None, n, words, ends
-    least = sliding_min(mixed(rolling_hash(looked_up(_HASHES, words, np.uint64), m)), k - m + 1)
+        return none, none, none.astype(np.uint64), None, n, words, ends, None
+    least = sliding_min(mixed(rolling_hash(hashes, m)), k - m + 1)
     doc = np.repeat(np.arange(len(counts)), counts)
     valid = doc[: n - k + 1] == doc[k - 1 :]
     fresh = valid.copy()
     fresh[1:] &= (least[1:] != least[:-1]) | (doc[1 : n - k + 1] != doc[: n - k]) | ~valid[:-1]
     starts = np.flatnonzero(fresh)
     owner = np.cumsum(fresh)[valid] - 1
-    return starts, np.bincount(owner, minlength=len(starts)), least[starts], lambda s, c: b" ".join(words[s : s + c + k - 1]), n, words, ends
+    return starts, np.bincount(owner, minlength=len(starts)), least[starts], lambda s, c: b" ".join(words()[s : s + c + k - 1]), n, words, ends, lambda s, c: end[s + c + k - 2] - begin[s]
 
 
 def matcher(k: int):
@@ -75,7 +93,7 @@ def matcher(k: int):
 
 def finisher(texts_too: bool):
     def finish(ids, texts, found, mask) -> pa.Table:
-        words, ends = found[5], found[6].tolist()
+        words, ends = found[5](), found[6].tolist()
         whole = iter(texts)
         removed = np.concatenate(([0], np.cumsum(mask)))
         out = {"doc_id": ids, "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}

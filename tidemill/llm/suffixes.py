@@ -52,7 +52,7 @@ def super_strings(texts: list[bytes], k: int, q: int) -> tuple:
             counts.append(np.diff(np.append(fresh, len(least))))
             minima.append(least[fresh])
         a = e
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(minima), lambda s, c: whole[s : s + c + k - 1], len(whole), whole
+    return np.concatenate(starts), np.concatenate(counts), np.concatenate(minima), lambda s, c: whole[s : s + c + k - 1], len(whole), whole, lambda s, c: c + k - 1
 
 
 class Family:

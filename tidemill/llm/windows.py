@@ -6,6 +6,10 @@ minimiser names, so all equal windows meet in one bucket. Equal strings of a blo
 with a mark, so a passage that a third of all rows hold reaches its bucket once per block. The
 bucket answers each block with the windows that occur more than once; the block, which is brought
 together with its answers, spreads them over its own occurrences.
+
+The strings at the edges of a passage that many documents hold differ, yet share a minimiser. Where
+the strings of one minimiser exceed a bound, its windows travel one by one to further buckets, dealt
+by their content: equal windows still meet, and no bucket grows with a single minimiser.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,29 +29,94 @@ SENT = "block long, bucket long, keys binary, sizes binary, many binary"
 REPLY = "block long, bucket long, hits binary"
 
 
-def cut_into_buckets(cut: tuple, n_buckets: int) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Distinct super-strings of each bucket, and bucket and number in it of each run.
+def heavy_minimisers(cut: tuple, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimisers whose distinct strings hold `least` bytes or more in a block, those bytes, and about
+    how many bytes their windows have one by one."""
+    starts, counts, minima, string = cut[:4]
+    keys, own = np.unique(minima, return_inverse=True)
+    held, apart = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    if len(keys):
+        likely = np.flatnonzero((np.bincount(own, weights=cut[-1](starts, counts)) >= least)[own])
+        seen: set[bytes] = set()
+        for s, c, o in zip(starts[likely].tolist(), counts[likely].tolist(), own[likely].tolist()):
+            key = string(s, c)
+            if key not in seen:
+                seen.add(key)
+                held[o] += len(key)
+                apart[o] += c * -(-len(key) * k // (c + k - 1))
+    keep = held >= least
+    return keys[keep], held[keep], apart[keep]
+
+
+def heavy_overall(blocks: DataFrame, cut: Callable[[list[bytes]], tuple], k: int, bound: int) -> tuple[np.ndarray, int]:
+    """All minimisers whose strings, distinct in each block, exceed `bound` bytes in total, and about
+    the bytes of their windows. Below an even share of half the bound a block keeps a minimiser to
+    itself, so what is missed is less than half the bound."""
+    least = bound / 2 / max(1, blocks.count())
+
+    def weigh(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        keys, held, apart = heavy_minimisers(cut(block_texts(blob)[1]), k, least)
+        yield pa.RecordBatch.from_pydict({"minimiser": pa.array(keys.astype(np.uint64).view(np.int64)), "held": pa.array(held), "apart": pa.array(apart)})
+
+    weighed = blocks.select("block", "blob").mapInArrow(each_block(weigh), "minimiser long, held long, apart long")
+    heavy = weighed.groupBy("minimiser").agg(F.sum("held").alias("held"), F.sum("apart").alias("apart")).where(F.col("held") >= bound / 2).collect()
+    return np.sort(np.array([r.minimiser for r in heavy], np.int64).view(np.uint64)), sum(r.apart for r in heavy)
+
+
+def cut_into_buckets(cut: tuple, n_buckets: int, heavy: np.ndarray, n_further: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct super-strings of each bucket, and first unit, bucket and number in it of each run.
 
     cut: first unit and number of windows of each run, its minimiser, and a function that gives a
-    run's string and size.
+    run's string and size. Runs of heavy minimisers are cut into single windows, for the n_further
+    buckets from n_buckets on.
     """
     starts, counts, minima, string = cut
+    alone = np.isin(minima, heavy)
     buckets = (minima % np.uint64(n_buckets)).astype(np.int64)
+    if alone.any():
+        times_each = np.where(alone, counts, 1)
+        starts, buckets = ranges(starts, times_each), np.repeat(np.where(alone, -1, buckets), times_each)
+        counts = np.repeat(np.where(alone, 1, counts), times_each)
     numbers = np.empty(len(starts), np.int64)
     found: dict[int, dict] = {}
     times: dict[int, list] = {}
     for i, (s, c, b) in enumerate(zip(starts.tolist(), counts.tolist(), buckets.tolist())):
+        key = string(s, c)
+        if b < 0:
+            b = buckets[i] = n_buckets + xxhash.xxh3_64_intdigest(key) % n_further
         own = found.get(b)
         if own is None:
             own, times[b] = found.setdefault(b, {}), []
-        key = string(s, c)
         k = own.setdefault(key, len(own))
         if k == len(times[b]):
             times[b].append((1, c))
         else:
             times[b][k] = (2, c)
         numbers[i] = k
-    return {b: (list(own), times[b]) for b, own in found.items()}, buckets, numbers
+    return {b: (list(own), times[b]) for b, own in found.items()}, starts, buckets, numbers
+
+
+def equal_strings(rows: Iterator[tuple[bytes, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The repeated ones among single windows, given by their bytes and lengths, as match() returns them."""
+    first: dict[bytes, int] = {}
+    marks, lengths, pairs, n = [], [], [], 0
+    for data, sizes, many in rows:
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        for i, (a, e) in enumerate(zip([0, *ends[:-1]], ends), n):
+            f = first.setdefault(data[a:e], i)
+            if f != i:
+                pairs += f, i
+        marks.append(many)
+        lengths.append(len(ends))
+        n += len(ends)
+    twice = np.concatenate([np.zeros(0, bool), *marks])
+    twice[np.array(pairs, np.int64)] = True
+    out, a = [], 0
+    for m in lengths:
+        hit = np.flatnonzero(twice[a : a + m])
+        out.append(np.stack([hit, np.zeros_like(hit), np.ones_like(hit)], 1))
+        a += m
+    return out
 
 
 def repeated_windows(
@@ -62,25 +132,30 @@ def repeated_windows(
 ) -> DataFrame:
     """cut(texts) finds the runs, match(rows) the repeated windows of a bucket as (string, first
     window, window after the last) triples for each row, finish(ids, texts, cut, mask) the result.
+    The last item of a cut is a function that gives the bytes of runs by first unit and windows.
     carry: further columns of docs that come along, as `carried_<name>`."""
     blocks, mb = packed_blocks(docs, block_mb, ("doc_id", "text", *carry))
     n_buckets = max(16, round(mb / block_mb))
+    heavy, apart = heavy_overall(blocks, cut, k, int(block_mb * (2 << 20)))
+    n_further = 1 + int(apart / (block_mb * (1 << 20)))
 
     def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
         _, texts = block_texts(blob)
-        found, _, _ = cut_into_buckets(cut(texts)[:4], n_buckets)
+        found = cut_into_buckets(cut(texts)[:4], n_buckets, heavy, n_further)[0]
         squeeze = zstandard.ZstdCompressor(level=3)
         rows = {name: [] for name in ("block", "bucket", "keys", "sizes", "many")}
         for b, (keys, times) in found.items():
             packed = np.array(times, np.int32).reshape(-1, 2)
-            for name, value in zip(rows, (block, b, squeeze.compress(joiner.join(keys)), squeeze.compress(packed[:, 1].tobytes()), squeeze.compress((packed[:, 0] > 1).tobytes()))):
+            if b >= n_buckets:
+                packed[:, 1] = [len(x) for x in keys]
+            for name, value in zip(rows, (block, b, squeeze.compress((joiner if b < n_buckets else b"").join(keys)), squeeze.compress(packed[:, 1].tobytes()), squeeze.compress((packed[:, 0] > 1).tobytes()))):
                 rows[name].append(value)
         if found:
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("many", pa.binary())]))
 
     def answer(rows: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
-        hits = match((open_(key.as_py()), np.frombuffer(open_(size.as_py()), np.int32), np.frombuffer(open_(many.as_py()), bool)) for key, size, many in zip(rows["keys"], rows["sizes"], rows["many"]))
+        hits = (match if rows["bucket"][0].as_py() < n_buckets else equal_strings)((open_(key.as_py()), np.frombuffer(open_(size.as_py()), np.int32), np.frombuffer(open_(many.as_py()), bool)) for key, size, many in zip(rows["keys"], rows["sizes"], rows["many"]))
         keep = pa.array([i for i, h in enumerate(hits) if len(h)], pa.int64())
         return pa.table({"block": rows["block"].take(keep), "bucket": rows["bucket"].take(keep), "hits": pa.array([hits[i].astype(np.int32).tobytes() for i in keep.to_pylist()], pa.binary())})
 
@@ -90,14 +165,14 @@ def repeated_windows(
         n_units = found[4]
         begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if replies.num_rows:
-            _, buckets, numbers = cut_into_buckets(found[:4], n_buckets)
+            _, starts, buckets, numbers = cut_into_buckets(found[:4], n_buckets, heavy, n_further)
             order = np.lexsort((numbers, buckets))
             where, number = buckets[order], numbers[order]
             for b, blob_ in zip(replies["bucket"].to_pylist(), replies["hits"]):
                 hit = np.frombuffer(blob_.as_py(), np.int32).reshape(-1, 3).astype(np.int64)
                 lo, hi = np.searchsorted(where, [b, b + 1])
                 first, last = (lo + np.searchsorted(number[lo:hi], hit[:, 0], side) for side in ("left", "right"))
-                at = found[0][order[ranges(first, last - first)]]
+                at = starts[order[ranges(first, last - first)]]
                 begin.append(at + np.repeat(hit[:, 1], last - first))
                 end.append(at + np.repeat(hit[:, 2] + k - 1, last - first))
         mask = covered(n_units, np.concatenate(begin), np.concatenate(end))
