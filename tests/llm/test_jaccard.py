@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tidemill.llm import jaccard
 from tidemill.llm.jaccard import linked
 
 
@@ -54,3 +55,26 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (7, None)], "doc_id long, text string")
     assert sorted(map(str, (tuple(r)[:3] for r in linked(docs).collect()))) == sorted(map(str, [(None, 2, None), (5, 2, 5), (5, 2, 5), (7, 0, 7)]))
     assert linked(docs.limit(0)).collect() == []
+
+
+def test_few_long_sets(spark, monkeypatch):
+    """A group of few but long sets is split by its shingles; no task holds more than two parts of it."""
+    r = random.Random(4)
+    base = [f"v{r.randrange(400)}" for _ in range(600)]
+    rows = [(i, " ".join(base[:i] + ["new"] + base[i:])) for i in range(40)] + [(100 + i, " ".join(r.choices(base, k=50))) for i in range(5)]
+    inner = jaccard.link_group
+
+    def bounded(sets, part, percent):
+        assert sum(map(len, sets)) < 14_000
+        return inner(sets, part, percent)
+
+    monkeypatch.setattr(jaccard, "link_group", bounded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, linked(docs, 3, 90, 0.01, shingles=4000).collect()))
+    assert got == brute(rows, 3, 90)
+
+
+def test_split_by_shingles(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, linked(docs, 3, 90, 0.002, shingles=150).collect())) == brute(rows, 3, 90)

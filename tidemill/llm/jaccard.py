@@ -6,8 +6,8 @@
    no other set holds is shared by none. Every block sends the rest of those, once per shingle
    however many of its documents hold it; buckets connect their holders to the smallest one.
    Connected holders form candidate groups.
-3. The different sets of a group meet in one task (a group of over `limit` sets in pairs of parts,
-   dealt by content). Index lists of its shingles are kept by position in size order, with skip
+3. The different sets of a group meet in one task (a group of over `limit` sets or `shingles`
+   shingles in pairs of parts, dealt by content, each pair a task group of its own). Index lists of its shingles are kept by position in size order, with skip
    pointers every 256 positions, so a set reads only the blocks whose sizes can qualify. Sets follow
    one another by likeness, and a set's overlaps with all others are derived from its predecessor's
    by the few lists in which the two differ. No pairs are emitted, only each set's component and
@@ -237,7 +237,7 @@ def link_group(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[
     return label, links
 
 
-def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0, limit: int = 4000) -> DataFrame:
+def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0, limit: int = 4000, shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (different other sets that link with the row's)."""
     blocks, mb = packed_blocks(docs, block_mb)
     n_buckets = max(16, round(mb / block_mb))
@@ -246,7 +246,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
     members = found.where("bucket is null").select("doc_id", "block", "n", "rep")
     where = members.where("doc_id = rep").select(F.col("doc_id").alias("node"), "block").distinct()
     groups = components(candidate_edges(found))
-    large = groups.groupBy("label").count().where(F.col("count") > limit).select("label", F.ceil(F.col("count") / limit).cast("long").alias("parts"))
+    weights = members.where("doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
+    parts = F.ceil(F.greatest(F.count("*") / limit, F.sum("n") / shingles)).cast("long")
+    large = groups.join(weights, "node").groupBy("label").agg(parts.alias("parts")).where("parts > 1")
     split = written(groups.join(large, "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts")))
 
     def gather(blob: bytes, told: pa.Table) -> pa.Table:
@@ -291,7 +293,8 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
     by_block = where.join(split, "node")
     fields = "label long, i long, j long, part long, last long, node long, words binary"
     sent = answer_blocks(blocks, by_block, gather, fields)
-    solved = written(sent.groupBy(F.pmod(F.xxhash64("label", "i", "j"), F.lit(n_buckets * 2))).applyInArrow(solve, "node long, label long, links long"))
+    slot = F.when(F.col("last") > 0, F.col("label")).otherwise(F.pmod(F.xxhash64("label", "i", "j"), F.lit(n_buckets * 2)))
+    solved = written(sent.groupBy(slot.alias("slot"), "i", "j").applyInArrow(solve, "node long, label long, links long"))
     counts = solved.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
     if large.limit(1).count():  # parts of split groups know their own links alone
         counts = counts.drop("label").join(components(solved.select(F.col("node").alias("a"), F.col("label").alias("b"))), "node")
