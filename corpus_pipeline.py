@@ -1,13 +1,14 @@
 """From documents to token digests: STAGES in order, each written as Parquet and read by the next.
 
 1. quality_rules drops the documents that the base or the learned decision list rejects.
-2. jaccard_join keeps the first document of each group of near copies (5-word shingles, 0.8).
+2. jaccard_join keeps one row of each group of near copies (5-word shingles, 0.8): that of the
+   smallest doc_id, null last. Rows are told apart by a key of their own, not by doc_id.
 3. substring_dedup removes words in repeated 35-word windows; a document keeps its row.
 4. decontaminate drops documents that hold a window of a benchmark item.
 5. pieces encodes and decodes what is left.
 
 All stages but the last return the columns of documents; n_chars follows the text. Null texts fail
-the first stage; rows with a null doc_id are no one's copy and stay in the second.
+the first stage.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import shared_folder, table
+from tidemill.llm.common import shared_folder, table, written
 from tidemill.llm.decontaminate import without_hits
 from tidemill.llm.jaccard import linked
 from tidemill.llm.pieces import coded
@@ -31,8 +32,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = linked(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = linked(keyed.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

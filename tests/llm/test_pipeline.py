@@ -32,3 +32,16 @@ def test_stages(spark, tmp_path):
         assert x.text == (dict(docs)[i] if i < 200 or i == 300 else " ".join(dict(docs)[i].replace(passage, "").split())) and x.n_chars == len(x.text)
     assert set(seen[3]) == set(seen[4]) == unique
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == unique
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choices("abcdefg", k=6)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (2, c), (3, c), (3, d), (None, e), (4, e)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    kept = corpus_pipeline.jaccard_join(spark, docs, str(tmp_path))
+    want = [(1, a), (2, c), (3, d), (4, e), (None, b)]
+    assert sorted(map(str, (tuple(x)[:2] for x in kept.collect()))) == sorted(map(str, want))
+    after = corpus_pipeline.substring_dedup(spark, kept, str(tmp_path))
+    assert sorted(map(str, (tuple(x)[:2] for x in after.collect()))) == sorted(map(str, want))
