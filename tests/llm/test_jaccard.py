@@ -57,6 +57,15 @@ def test_odd_rows(spark):
     assert linked(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_ids(spark, parts):
+    """Rows that share a doc_id but not their text keep their own links, in one block or in several."""
+    a, b = "one two three four five six seven", "red green blue white black grey pink"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string").repartition(parts)
+    got = sorted(map(tuple, linked(docs).collect()))
+    assert got == [(3, 5, 3, 0), (5, 5, 3, 0), (5, 5, 5, 0), (9, 5, 5, 0)]
+
+
 def test_few_long_sets(spark, monkeypatch):
     """A group of few but long sets is split by its shingles; no task holds more than two parts of it."""
     r = random.Random(4)

@@ -106,7 +106,7 @@ def packed_blocks(docs: DataFrame, mb: float = 4.0, columns: tuple = ("doc_id",
         def close():
             whole = pa.Table.from_batches(pending)
             return pa.RecordBatch.from_pydict(
-                {"block": pa.array([(task << 24) + k], pa.int64()), "bytes": pa.array([held], pa.int64()), "blob": pa.array([to_blob(whole)], pa.binary())}
+                {"block": pa.array([(task << 18) + k], pa.int64()), "bytes": pa.array([held], pa.int64()), "blob": pa.array([to_blob(whole)], pa.binary())}
             )
 
         for batch in batches:
@@ -172,22 +172,13 @@ class Numbered(dict):
         return n
 
 
-class Hashed(dict):
-    """64-bit hash of byte strings, each computed once; emptied when it has grown large."""
-
-    def __missing__(self, key):
-        if len(self) > 2_000_000:
-            self.clear()
-        self[key] = h = xxhash.xxh3_64_intdigest(key)
-        return h
-
-
 def looked_up(mapping: dict, keys: list, dtype) -> np.ndarray:
     return np.fromiter(map(mapping.__getitem__, keys), dtype, len(keys))
 
 
 ODD = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -219,6 +210,30 @@ def rolling_hash(x: np.ndarray, k: int) -> np.ndarray:
         span *= 2
 
 
+def word_hashes(whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of a text that ends in 8 blanks, 8 bytes a step."""
+    data = np.frombuffer(whole, np.uint8)
+    edge = np.flatnonzero(np.diff(BLANK[data], prepend=True))
+    start, end = edge[::2], edge[1::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, 0, (1,))
+    out = (end - start).astype(np.uint64)
+    word, at, left = np.arange(len(start)), start, end - start
+    for _ in range(8):
+        out[word] = mixed(out[word] * np.uint64(ODD) + (eight[at] & LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        word, at, left = word[more], at[more] + 8, left[more] - 8
+    for i in word.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[start[i] : end[i]])
+    return start, end, out
+
+
+def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row, and how many each text has; no dictionary is kept."""
+    begin, _, hashes = word_hashes(b" ".join([*texts, b" " * 8]))
+    ends = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))
+    return hashes, np.diff(ends, prepend=0)
+
+
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values."""
     span = 1

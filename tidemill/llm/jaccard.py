@@ -13,9 +13,11 @@
    by the few lists in which the two differ. No pairs are emitted, only each set's component and
    number of links.
 
-Documents of equal sets join a class before anything is sent. A document without words has size 0
-and links with nothing, its component_id is its own doc_id. Rows with a null doc_id take no part and
-have a null component_id; rows with equal doc_id count as one node.
+Rows of equal sets join a class before anything is sent. Rows are told apart by their place, block
+and position, not by doc_id: rows that repeat a doc_id with other texts keep their own links, and each
+row's component_id is the smallest doc_id of its own component. A document without words has size 0 and
+links with nothing, its component_id is its own doc_id. Rows with a null doc_id take no part and have
+a null component_id.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Hashed, answer_blocks, block_texts, each_block, looked_up, mixed, packed_blocks, ranges, rolling_hash, table, written
+from tidemill.llm.common import answer_blocks, block_texts, each_block, hashed_texts, mixed, packed_blocks, ranges, rolling_hash, table, written
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, n_links long"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SKIP = 256
-_HASHES = Hashed()
+ROW_BITS = 23  #: a block of block_mb MB has under 2 ** 23 rows, each of which counts a byte at least
 
 
 def squeezed(data: bytes) -> bytes:
@@ -46,16 +48,10 @@ def opened(data: bytes) -> bytes:
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    words: list[bytes] = []
-    counts = []
-    for t in texts:
-        own = t.translate(LOWER).split()
-        words += own
-        counts.append(len(own))
-    flat = looked_up(_HASHES, words, np.uint64)
+    flat, counts = hashed_texts([t.translate(LOWER) for t in texts])
     hashes = mixed(rolling_hash(flat, k))
     out, a = [], 0
-    for n in counts:
+    for n in counts.tolist():
         if n >= k:
             out.append(np.unique(hashes[a : a + n - k + 1]))
         elif n:
@@ -66,14 +62,14 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def classes(ids: list, sets: list[np.ndarray]) -> tuple[dict, list]:
-    """Smallest id of each distinct non-empty set, to its set; and that id for each row (or None)."""
+def classes(block: int, ids: list, sets: list[np.ndarray]) -> tuple[dict, list]:
+    """First row of each distinct non-empty set, to its set; and that row for each row (or None)."""
     first: dict[bytes, int] = {}
     keys = [s.tobytes() if len(s) and i is not None else b"" for i, s in zip(ids, sets)]
-    for i, key in zip(ids, keys):
-        if key and i < first.get(key, i + 1):
-            first[key] = i
-    return {i: np.frombuffer(key, np.uint64) for key, i in first.items()}, [first[k] if k else None for k in keys]
+    for row, key in enumerate(keys, block << ROW_BITS):
+        if key:
+            first.setdefault(key, row)
+    return {row: np.frombuffer(key, np.uint64) for key, row in first.items()}, [first[k] if k else None for k in keys]
 
 
 def shared_counts(blocks: DataFrame, k: int, n_buckets: int) -> DataFrame:
@@ -82,7 +78,7 @@ def shared_counts(blocks: DataFrame, k: int, n_buckets: int) -> DataFrame:
 
     def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
         ids, texts = block_texts(blob)
-        held, _ = classes(ids, shingle_sets(texts, k))
+        held, _ = classes(block, ids, shingle_sets(texts, k))
         prints, times, ends = split_prints(held, n_buckets)
         gaps = [np.diff(prints[a:e], prepend=prints[a : a + 1]) for a, e in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_pydict({
@@ -114,14 +110,15 @@ PREFIXES = "doc_id long, block long, n long, rep long, bucket long, shingles bin
 
 
 def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFrame:
-    """Two kinds of rows. bucket null: a document, its block, set size and the smallest document of
-    its block with the same set. Else: prefix shingles that several sets hold, each with one holder,
+    """Two kinds of rows. bucket null: a document, its block, set size and the first row of its block
+    with the same set. Else: prefix shingles that several sets hold, each with one holder,
     and links of further holders of the block to that one."""
 
     def find(blob: bytes, told: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
         sets = shingle_sets(texts, k)
-        held, first = classes(ids, sets)
+        block = told["block"][0].as_py()
+        held, first = classes(block, ids, sets)
         prints, _, ends = split_prints(held, n_buckets)
         codes = np.zeros(len(prints), np.uint8)
         for b, data in zip(told["bucket"].to_pylist(), told["codes"]):
@@ -143,7 +140,6 @@ def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFra
         links = np.unique(np.stack([owner, least], 1)[owner != least], axis=0)
         shingle, owner = shingle[fresh], owner[fresh]
         to, link_to = (shingle % np.uint64(n_buckets)).astype(np.int64), links[:, 0] % n_buckets
-        block = told["block"][0].as_py()
         rows = [(i, block, len(s), f, None, None, None, None) for i, s, f in zip(ids, sets, first)]
         rows += [(None, block, None, None, b, *(x[to == b].tobytes() for x in (shingle, owner)), links[link_to == b].tobytes()) for b in np.union1d(to, link_to).tolist()]
         return pa.table({f.split()[0]: pa.array([r[j] for r in rows], pa.binary() if f.endswith("binary") else pa.int64()) for j, f in enumerate(PREFIXES.split(", "))})
@@ -152,7 +148,7 @@ def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFra
 
 
 def candidate_edges(found: DataFrame) -> DataFrame:
-    """(a, b): documents a with the smallest document b that shares a prefix shingle."""
+    """(a, b): rows a with the smallest row b that shares a prefix shingle."""
 
     def star(rows: pa.Table) -> pa.Table:
         shingle, owner = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), t) for c, t in (("shingles", np.uint64), ("owners", np.int64)))
@@ -238,17 +234,17 @@ def link_group(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[
 
 
 def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0, limit: int = 4000, shingles: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (different other sets that link with the row's)."""
+    """doc_id, n_shingles, component_id, n_links (different other sets that link with the row's) of every row."""
     blocks, mb = packed_blocks(docs, block_mb)
     n_buckets = max(16, round(mb / block_mb))
 
     found = prefixes(blocks, k, percent, n_buckets)
     members = found.where("bucket is null").select("doc_id", "block", "n", "rep")
-    where = members.where("doc_id = rep").select(F.col("doc_id").alias("node"), "block").distinct()
+    of_class = members.where("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"), F.max("block").alias("block"), F.min("doc_id").alias("low"))
+    of_class = written(of_class)
     groups = components(candidate_edges(found))
-    weights = members.where("doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
     parts = F.ceil(F.greatest(F.count("*") / limit, F.sum("n") / shingles)).cast("long")
-    large = groups.join(weights, "node").groupBy("label").agg(parts.alias("parts")).where("parts > 1")
+    large = groups.join(of_class, "node").groupBy("label").agg(parts.alias("parts")).where("parts > 1")
     split = written(groups.join(large, "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts")))
 
     def gather(blob: bytes, told: pa.Table) -> pa.Table:
@@ -256,8 +252,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
         group = {n: (g, p) for n, g, p in zip(*(told[c].to_pylist() for c in ("node", "label", "parts")))}
         rows = []
         if group:
-            held, first = classes(ids, shingle_sets(texts, k))
-            text_of = {i: t for i, t, f in zip(ids, texts, first) if i == f}
+            block = told["block"][0].as_py()
+            held, first = classes(block, ids, shingle_sets(texts, k))
+            text_of = {row: texts[row - (block << ROW_BITS)] for row in held}
             for i, s in held.items():
                 if i in group:
                     g, p = group[i]
@@ -290,7 +287,7 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
     def rows_last(rows: pa.Table, a: int) -> int:
         return rows["last"][a].as_py()
 
-    by_block = where.join(split, "node")
+    by_block = of_class.select("node", "block").join(split, "node")
     fields = "label long, i long, j long, part long, last long, node long, words binary"
     sent = answer_blocks(blocks, by_block, gather, fields)
     slot = F.when(F.col("last") > 0, F.col("label")).otherwise(F.pmod(F.xxhash64("label", "i", "j"), F.lit(n_buckets * 2)))
@@ -299,8 +296,11 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
     if large.limit(1).count():  # parts of split groups know their own links alone
         counts = counts.drop("label").join(components(solved.select(F.col("node").alias("a"), F.col("label").alias("b"))), "node")
 
-    own = members.join(counts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("label", "rep"))
+    graded = written(of_class.select("node", "low").join(counts, "node", "left"))
+    least = graded.where("label is not null").groupBy("label").agg(F.min("low").alias("least"))
+    named = graded.join(least, "label", "left").select(F.col("node").alias("rep"), "links", F.coalesce("least", "low").alias("component"))
+    own = members.join(named, "rep", "left")
+    component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 

@@ -25,26 +25,21 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm.common import Hashed, answer_blocks, block_texts, each_block, looked_up, mixed, packed_blocks, table
+from tidemill.llm.common import answer_blocks, block_texts, each_block, hashed_texts, mixed, packed_blocks, table
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END, START = np.uint64(1), np.uint64(2)
-_HASHES = Hashed()
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, each with its end token, and the tokens of each text."""
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = t.translate(LOWER).split()
-        words += own
-        counts[i] = len(own) + 1
-    flat = np.full(len(words) + len(texts), END)
+    hashes, counts = hashed_texts([t.translate(LOWER) for t in texts])
+    counts = counts + 1
+    flat = np.full(len(hashes) + len(texts), END)
     keep = np.ones(len(flat), bool)
     keep[np.cumsum(counts) - 1] = False
-    flat[keep] = looked_up(_HASHES, words, np.uint64)
+    flat[keep] = hashes
     return flat, counts
 
 

@@ -86,7 +86,7 @@ class PieceModel:
 class PieceCoder:
     """Encodes and decodes whole texts; remembers words."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 100_000):
         self.model, self.remember = PieceModel(path), remember
         inner = f"[^{SPACE}{self.model.apart}]"
         self.cut = re.compile(f"{SPACE}+{inner}*|{inner}+" + (f"|{self.model.apart}" if self.model.apart else "")).findall

@@ -12,32 +12,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm.common import ODD, Numbered, looked_up, mixed, rolling_hash, sliding_min, table
+from tidemill.llm.common import Numbered, looked_up, mixed, rolling_hash, sliding_min, table, word_hashes
 from tidemill.llm.windows import eights, equal_groups, flagged_runs, repeated_windows
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
-LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-
-
-def word_hashes(whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of a text that ends in 8 blanks, 8 bytes a step."""
-    data = np.frombuffer(whole, np.uint8)
-    edge = np.flatnonzero(np.diff(BLANK[data], prepend=True))
-    start, end = edge[::2], edge[1::2]
-    eight = np.ndarray((len(data) - 7,), "<u8", data.data, 0, (1,))
-    out = (end - start).astype(np.uint64)
-    word, at, left = np.arange(len(start)), start, end - start
-    for _ in range(8):
-        out[word] = mixed(out[word] * np.uint64(ODD) + (eight[at] & LOW_BYTES[np.minimum(left, 8)]))
-        more = left > 8
-        word, at, left = word[more], at[more] + 8, left[more] - 8
-    for i in word.tolist():
-        out[i] = xxhash.xxh3_64_intdigest(whole[start[i] : end[i]])
-    return start, end, out
 
 
 def super_kmers(texts: list[bytes], k: int, m: int) -> tuple:
