@@ -1,15 +1,19 @@
 """Toxicity (operator 8): weak supervision by a generative label model, then a linear classifier.
 
-Voters are lexicons, learned as words far likelier in toxic than in other training texts and dealt
-among `lexicons` voters, and text patterns. The label model explains the votes of all training rows,
-labelled or not, by a hidden class: each voter has a vote probability in each class (its accuracy)
-and may depend on one other voter, chosen as the tree with most information within the classes (the
-correlations); expectation maximisation fits it. Its posteriors of the sample are the labels of a
-logistic regression over word and pattern features, which scores every text.
-
-At most `sample` labelled rows teach the lexicons and the classifier, chosen by hash. Null and empty
-texts have no features and get the intercept's score. Without labels of both kinds every score is
-the share of toxic labels, or 0. Null labels teach nothing.
+Voters are lexicons and text patterns. The lexicons are learned as words far likelier in toxic than in
+other labelled training texts, and dealt among `lexicons` voters; no label reaches the label model. It
+explains the votes on all training rows by a hidden class: each voter has a vote probability in each
+class and stratum of text length (its accuracy; longer texts give every voter more to vote on) and may
+depend on one other voter, chosen as the tree with most information within the classes (the
+correlations); expectation maximisation fits it to the counts of the distinct vote patterns. Its
+posteriors, not the labels, then train a logistic regression over words and patterns, which scores
+every text. The words it sees are chosen by the posteriors too.
+
+At most `sample` labelled rows teach the lexicons and lend their texts to the classifier, chosen by
+hash of the id. Null and empty texts have no features and get the intercept's score. Without labels of
+both kinds, or without a telling word, every score is the share of toxic labels, or 0. Null labels
+teach nothing. Texts of the labelled sample with the same three least hashes of long words count once
+for the lexicons (that of the smallest id): copies of one text would make its chance words look telling.
 """
 
 from __future__ import annotations
@@ -25,22 +29,32 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import digest_bucket, table, text_chunks, with_text, written
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
-PATTERNS = ("shouts", "marks", "addressed", "repeats")
+PATTERNS = ("shouts", "marks", "addressed", "repeats", "signs", "digits")
+STRATA = 6
 
 
 def patterns(text: str, words: list[str]) -> list[int]:
-    """Votes on the form of a text: capitals, exclamation marks, second person, one word over and over."""
+    """Votes on the form of a text: capitals, exclamation marks, second person, one word over and over,
+    signs among the letters, many digits."""
     letters = sum(map(len, words))
     return [
         int(letters > 0 and sum(map(str.isupper, text)) * 3 > letters),
         int(text.count("!") * 20 > len(words)),
         int(words.count("you") * 100 > 2 * len(words)),
         int(len(words) > 20 and len(set(words)) * 3 < len(words)),
+        int(sum(map(text.count, "*#$%&@")) * 5 > len(words)),
+        int(sum(map(str.isdigit, text)) * 10 > letters),
     ]
 
 
+def stratum(n_words: int) -> int:
+    """0 for under 32 words, then one more for each doubling, STRATA - 1 from 512 on."""
+    return min(max(n_words.bit_length() - 5, 0), STRATA - 1)
+
+
 def facts(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
-    """The rows with `words`, the distinct words of a text (of the vocabulary, if any), and `form`."""
+    """The rows with `words`, the distinct words of a text (of the vocabulary, if any), `form`, the votes of
+    the patterns, and `stratum` of its length."""
     kept = None if vocabulary is None else frozenset(vocabulary)
     columns = [c for c in docs.columns if c != "text"]
 
@@ -50,125 +64,146 @@ def facts(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
             for t in batch.column("text").to_pylist():
                 own = LETTERS(t.lower()) if t else []
                 distinct = set(own) if kept is None else kept.intersection(own)
-                found.append((sorted(distinct), patterns(t or "", own)))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | {"words": pa.array([x[0] for x in found], pa.list_(pa.string())), "form": pa.array([x[1] for x in found], pa.list_(pa.int64()))})
+                found.append((sorted(distinct), patterns(t or "", own), stratum(len(own))))
+            made = {"words": pa.list_(pa.string()), "form": pa.list_(pa.int64()), "stratum": pa.int64()}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | {c: pa.array([x[i] for x in found], kind) for i, (c, kind) in enumerate(made.items())})
 
     fields = ", ".join(f"{c} {t}" for c, t in docs.select(columns).dtypes)
-    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, fields + ", words array<string>, form array<long>")
+    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, fields + ", words array<string>, form array<long>, stratum long")
 
 
-def telling_words(rows: DataFrame, most: int, least: int = 8) -> list[tuple[str, float]]:
-    """Words with their log-odds of toxic against other texts, the surest first. Copies count once:
-    texts with the same three least hashes of long words, near copies for the most part, are one."""
-    long = F.slice(F.sort_array(F.transform(F.filter("words", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))), 1, 3)
-    once = rows.withColumn("sketch", F.when(F.size(long) == 3, long).otherwise(F.array(F.xxhash64("words")))).dropDuplicates(["sketch"])
-    total = once.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+def telling_words(rows: DataFrame, weight: str, most: int, surely: float, least: int = 5) -> list[str]:
+    """Words whose log-odds between rows of `weight` 1 and 0, less two standard errors, exceed `surely`."""
+    total = rows.agg(F.sum(weight).alias("t"), F.count("*").alias("n")).first()
     toxic, other = (total.t or 0), total.n - (total.t or 0)
     if not toxic or not other:
         return []
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (other + 1))
-    # standard error of the log-odds; a word must be sure, not only frequent
-    sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
-    counts = once.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    ranked = counts.where(F.col("t") >= least).withColumn("odds", odds).withColumn("sure", sure * F.sqrt(F.col("t").cast("double"))).where("odds > 2")
-    return [(r.word, r.odds) for r in ranked.orderBy(F.desc("sure"), "word").limit(most).collect()]
+    seen = rows.select(F.explode("words").alias("word"), F.col(weight).alias("t")).groupBy("word").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
+    rest = F.col("n") - F.col("t") + 0.5
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log(rest / (other + 1))
+    low = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / rest)
+    return [r.word for r in seen.where(F.col("t") >= least).withColumn("low", F.round(low, 9)).where(F.col("low") > surely).orderBy(F.desc("low"), "word").limit(most).collect()]
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row of those with the same sketch, that of the smallest id."""
+    long = F.slice(F.sort_array(F.transform(F.filter("words", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))), 1, 3)
+    sketch = F.when(F.size(long) == 3, long).otherwise(F.array(F.xxhash64("words")))
+    return rows.groupBy(sketch.alias("sketch")).agg(F.min(F.struct("doc_id", "toxic", "words")).alias("r")).select("r.*")
 
 
 class LabelModel:
-    """Hidden class with voters in a tree; fitted to counts of distinct vote patterns.
+    """Hidden class with voters in a tree, by strata; fitted to counts of distinct vote patterns.
 
-    The last column of votes is the given label, a voter like the others but for rows with -1,
-    where it abstains."""
+    votes: a row of 0 and 1 for each pattern. strata: its stratum. weight: how many texts have it.
+    prior: share of the class at the start. speaking: the first so many voters speak for the class."""
 
-    def __init__(self, votes: np.ndarray, weight: np.ndarray, prior: float, lexicons: int, rounds: int = 40):
-        votes = np.asarray(votes, np.int64)
-        self.m = votes.shape[1] - 1
-        self.parent = [-1] * self.m
+    def __init__(self, votes: np.ndarray, strata: np.ndarray, weight: np.ndarray, prior: float, speaking: int, rounds: int = 40):
+        votes = np.asarray(votes, float)
+        self.m = votes.shape[1]
+        self.parent = np.full(self.m, -1)
         self.prior = min(max(prior, 1e-4), 0.5)
-        hits = votes[:, :lexicons].sum(1)
-        post = np.where(hits > 0, 0.9, 0.02)  # a lexicon speaks for toxic until the fit says otherwise
+        post = np.where(votes[:, :speaking].sum(1) > 0, 0.9, 0.02)  # a lexicon speaks for toxic until the fit says otherwise
         for r in range(rounds):
             if r == rounds // 2:
                 self.parent = self.tree(votes, weight, post)
-            self.maximise(votes, weight, post)
-            post = self.posterior(votes)
+            self.maximise(votes, strata, weight, post)
+            post = self.posterior(votes, strata)
 
-    def tree(self, votes, weight, post) -> list[int]:
+    def tree(self, votes, weight, post) -> np.ndarray:
         """Maximum spanning tree of the information between voters within the classes."""
         gain = np.zeros((self.m, self.m))
         for w in (weight * post, weight * (1 - post)):
-            total = w.sum() + 4e-3
-            for i in range(self.m):
-                for j in range(i):
-                    p = np.array([[w[(votes[:, i] == a) & (votes[:, j] == b)].sum() + 1e-3 for b in (0, 1)] for a in (0, 1)]) / total
-                    gain[i, j] += total * (p * np.log(p / np.outer(p.sum(1), p.sum(0)))).sum()
-        gain = (gain + gain.T) / weight.sum()
-        parent, inside = [-1] * self.m, {0}
-        while len(inside) < self.m:
+            both = (votes * w[:, None]).T @ votes + 1e-3
+            one, total = np.diag(both), w.sum() + 4e-3
+            cells = ((both, one[:, None], one), (one[:, None] - both, one[:, None], total - one), (one - both, total - one[:, None], one), (total - one[:, None] - one + both, total - one[:, None], total - one))
+            for joint, a, b in cells:
+                p = np.maximum(joint, 1e-9) / total
+                gain += total * p * np.log(p * total * total / np.maximum(a * b, 1e-9))
+        gain /= weight.sum()
+        parent, inside = np.full(self.m, -1), [0]
+        for _ in range(self.m - 1):
             i, j = max(((i, j) for i in range(self.m) if i not in inside for j in inside), key=lambda x: gain[x])
             parent[i] = j if gain[i, j] > 1e-4 else -1
-            inside.add(i)
+            inside.append(i)
         return parent
 
-    def maximise(self, votes, weight, post) -> None:
-        total = weight.sum()
-        told, label = weight * (votes[:, -1] >= 0), votes[:, -1] == 1
-        self.label = [((told * w * label).sum() + 0.1) / ((told * w).sum() + 0.2) for w in (1 - post, post)]
-        self.prior = float(np.clip((weight * post).sum() / total, 1e-4, 0.5))
-        self.table = np.empty((self.m, 2, 2))  # voter, class, parent's vote: probability of a vote
-        for i in range(self.m):
-            above = votes[:, self.parent[i]] if self.parent[i] >= 0 else np.zeros(len(votes), np.int64)
-            for y, w in ((0, weight * (1 - post)), (1, weight * post)):
+    def above(self, votes: np.ndarray) -> np.ndarray:
+        """The vote of each voter's parent, 0 without one."""
+        return np.where(self.parent >= 0, votes[:, self.parent], 0).astype(np.int64)
+
+    def maximise(self, votes, strata, weight, post) -> None:
+        self.prior = float(np.clip((weight * post).sum() / weight.sum(), 1e-4, 0.5))
+        self.table = np.empty((2, STRATA, 2, self.m))  # class, stratum, parent's vote, voter: probability of a vote
+        above = self.above(votes)
+        for y, w in ((0, weight * (1 - post)), (1, weight * post)):
+            for s in range(STRATA):
+                own = np.where(strata == s, w, 0.0)
+                mean = ((own @ votes) + 0.1) / (own.sum() + 0.2)
                 for a in (0, 1):
-                    own = w[above == a]
-                    self.table[i, y, a] = ((own * votes[above == a, i]).sum() + 0.1) / (own.sum() + 0.2 + 1e-9)
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        votes = np.asarray(votes, np.int64)
-        log = np.tile(np.log([1 - self.prior, self.prior]), (len(votes), 1))
-        for y, p in enumerate(self.label):
-            log[:, y] += np.select([votes[:, -1] == 1, votes[:, -1] == 0], [np.log(p), np.log(1 - p)], 0.0)
-        for i in range(self.m):
-            above = votes[:, self.parent[i]] if self.parent[i] >= 0 else np.zeros(len(votes), np.int64)
-            for y in (0, 1):
-                p = self.table[i, y, above]
-                log[:, y] += np.log(np.where(votes[:, i] == 1, p, 1 - p))
-        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-
-
-def fitted(rows: DataFrame, labels: DataFrame, sample: int = 20_000, words: int = 96, lexicons: int = 4) -> tuple[float, dict[str, float], np.ndarray]:
-    """Intercept, word weights and pattern weights of the classifier. rows, labels: training rows alone."""
+                    given = own[:, None] * (above == a)
+                    self.table[y, s, a] = ((given * votes).sum(0) + 2 * mean) / (given.sum(0) + 2)
+
+    def posterior(self, votes: np.ndarray, strata: np.ndarray) -> np.ndarray:
+        """Probability of the class for each row of votes."""
+        votes = np.asarray(votes, float)
+        above, log = self.above(votes), []
+        for y, share in ((0, 1 - self.prior), (1, self.prior)):
+            p = self.table[y][strata[:, None], above, np.arange(self.m)]
+            log.append(np.log(share) + np.log(np.where(votes == 1, p, 1 - p)).sum(1))
+        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+
+
+def vote_bits(lexicons: list[list[str]]) -> F.Column:
+    """All votes of a row as one number: a bit for each lexicon, then one for each pattern."""
+    heard = [F.arrays_overlap("words", F.array(*map(F.lit, own))) for own in lexicons] + [F.get("form", i) == 1 for i in range(len(PATTERNS))]
+    return sum((F.when(v, F.lit(1 << i)).otherwise(F.lit(0)) for i, v in enumerate(heard)), F.lit(0)).cast("long")
+
+
+def unpacked(bits, n: int) -> np.ndarray:
+    return (np.asarray(bits, np.int64)[:, None] >> np.arange(n)) & 1
+
+
+Classifier = tuple[float, dict[str, float], np.ndarray]
+
+
+def fitted(rows: DataFrame, labels: DataFrame, sample: int = 20_000, words: int = 96, lexicons: int = 12, features: int = 2048) -> Classifier:
+    """Intercept, word weights and pattern weights of the classifier. rows, labels: training rows alone.
+
+    words: most lexicon words. features: most words that the classifier sees."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     base = rows.select("doc_id", "text")
-    known = written(facts(base.join(F.broadcast(chosen), "doc_id"), None))  # at most `sample` rows
-    lexicon = telling_words(known, words)
+    known = written(facts(base.join(F.broadcast(chosen), "doc_id"), None))  # at most `sample` ids
+    telling = telling_words(once(known), "toxic", words, 1.5)
     share = known.agg(F.avg("toxic")).first()[0]
-    if not lexicon:
+    if not telling:
         return float(np.log((share or 1e-9) / (1 - (share or 1e-9)))) if (share or 0) < 1 else 30.0, {}, np.zeros(len(PATTERNS))
-    vocabulary = [w for w, _ in lexicon]
-    dealt = [vocabulary[i::lexicons] for i in range(lexicons)]
-    votes = F.array(*(F.arrays_overlap("words", F.array(*map(F.lit, own))).cast("long") for own in dealt if own), *(F.get("form", i) for i in range(len(PATTERNS))))
-    n_lexicons = sum(map(bool, dealt))
-    cast = facts(base, vocabulary).select("doc_id", votes.alias("votes")).join(own, "doc_id", "left")
-    with_label = F.concat("votes", F.array(F.coalesce("toxic", F.lit(-1)).cast("long"))).alias("votes")
-    seen = cast.select(with_label).groupBy("votes").count().collect()  # 3 * 2 ** voters rows at most
-    model = LabelModel(np.array([r.votes for r in seen]), np.array([r["count"] for r in seen], float), float(share), n_lexicons)
-    return classifier(known.select(F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("words"), "form", F.concat(votes, F.array("toxic")).alias("votes")), vocabulary, model)
-
-
-def classifier(rows: DataFrame, vocabulary: list[str], model: LabelModel) -> tuple[float, dict[str, float], np.ndarray]:
+    dealt = [x for x in (telling[i::lexicons] for i in range(lexicons)) if x]
+    n = len(dealt) + len(PATTERNS)
+    cast = facts(base, telling).select(vote_bits(dealt).alias("bits"), "stratum")
+    seen = cast.groupBy("bits", "stratum").count().orderBy("bits", "stratum").toPandas()  # under STRATA * 2 ** voters rows
+    model = LabelModel(unpacked(seen["bits"], n), seen["stratum"].to_numpy(), seen["count"].to_numpy(float), float(share), len(dealt))
+    return classifier(known.withColumn("bits", vote_bits(dealt)), n, telling, model, features)
+
+
+def classifier(rows: DataFrame, voters: int, telling: list[str], model: LabelModel, features: int) -> Classifier:
     """Logistic regression on soft labels: each row counts for both classes by its posterior."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
     from pyspark.ml.functions import array_to_vector
 
-    patterns_seen = rows.select("votes").distinct().collect()
-    post = model.posterior(np.array([r.votes for r in patterns_seen]))
-    soft = rows.sparkSession.createDataFrame([(r.votes, float(p)) for r, p in zip(patterns_seen, post)], "votes array<long>, p double")
-    x = array_to_vector(F.concat(F.transform(F.array(*map(F.lit, vocabulary)), lambda w: F.array_contains("words", w).cast("double")), F.transform("form", lambda v: v.cast("double"))))
-    both = rows.join(F.broadcast(soft), "votes").select("words", "form", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y"))
-    train = written(both.select("words", "form", "y.label", "y.weight")).select(x.alias("features"), "label", "weight")
-    found = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60, standardization=False).fit(train)
+    spark = rows.sparkSession
+    kinds = rows.select("bits", "stratum").distinct().toPandas()  # of the bounded sample
+    kinds["p"] = model.posterior(unpacked(kinds["bits"], voters), kinds["stratum"].to_numpy())
+    soft = written(rows.join(F.broadcast(spark.createDataFrame(kinds)), ["bits", "stratum"]).select("words", "form", F.round("p", 9).alias("p")))
+    vocabulary = list(dict.fromkeys(telling + telling_words(soft, "p", features, 0.5)))[:features]
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
+    train = soft.select("words", array_to_vector(F.transform("form", lambda v: v.cast("double"))).alias("shape"), both.alias("y")).select("words", "shape", "y.*")
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="has", minTF=1.0)
+    counted.setBinary(True)
+    ready = VectorAssembler(inputCols=["has", "shape"], outputCol="features").transform(counted.transform(train))
+    found = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60, standardization=False).fit(ready)
     weights = found.coefficients.toArray()
     return float(found.intercept), dict(zip(vocabulary, weights.tolist())), weights[len(vocabulary) :]
 
