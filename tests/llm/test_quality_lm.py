@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 
-from tidemill.llm.lm import scores
+import numpy as np
+
+from tidemill.llm.lm import Automaton, Grams, scores
 from tidemill.llm.quality import BASE, base_failed, judged, labelled_rows, learn
 
 from pyspark.sql import functions as F
@@ -64,22 +66,49 @@ def test_lm(spark):
     got = sorted(map(tuple, scores(spark.createDataFrame([(*x, 1.0) for x in rows], "doc_id long, text string, score double").repartition(3), block_mb=0.01).collect()), key=str)
     words = lambda t: [*SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s>"]
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    one, two, starts = Counter(), Counter(), 0
+    one, two, three, starts = Counter(), Counter(), Counter(), 0
     for i, t in rows:
         if not out(i):
             w = words(t)
             starts += 1
             one.update(w)
             two.update(zip(["<s>", *w], w))
-    n, v, mu = sum(one.values()), len(one), 200.0
+            three.update(zip(["<s>", *w], w, w[1:]))
+    n, v, mu, nu = sum(one.values()), len(one), 100.0, 4.0
     want = []
     for i, t in rows:
         w = words(t)
         p = [(one[x] + 1) / (n + v + 1) for x in w]
         s = [(two[h, x] + mu * q) / ((starts if h == "<s>" else one[h]) + mu) for h, x, q in zip(["<s>", *w], w, p)]
+        s[1:] = [(three[g, h, x] + nu * q) / (two[g, h] + nu) for g, h, x, q in zip(["<s>", *w], w, w[1:], s[1:])]
         want.append((i, out(i), len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, p)), sum(map(math.log10, s))))
     want.sort(key=str)
     for a, b in zip(sorted(got, key=lambda x: (str(x[0]), x[2])), sorted(want, key=lambda x: (str(x[0]), x[2]))):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
     assert len(got) == len(want)
     assert scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_automaton():
+    """Stretches of any length give the same weights; the weights of a state's arcs, with failure, sum to 1."""
+    texts = [t.encode() for t in some_texts(30) if t] + [b"a b a b c", b""]
+    g = Grams(list(range(len(texts))), texts, 9, 7)
+    total = g.times.astype(float)
+    known = int((g.keys & np.uint64(3) == 0).sum())
+    a = Automaton(g, total, int(g.counts.sum()), len(texts), known, (3.0, 2.0))
+    whole = a.read(g.counts, 10**6)
+    assert all(np.allclose(whole, a.read(g.counts, n)) for n in (2, 3, 7, 64))
+    words, last = np.arange(a.width), np.cumsum(g.counts) - 1
+    ends = {*g.word[last].tolist(), *g.pair[last].tolist()}  # nothing follows the end
+    for state in [a.empty, a.start, *np.random.default_rng(1).integers(0, a.start, 200)]:
+        if state >= a.start or g.keys[state] & np.uint64(3) < 2 and state not in ends:
+            reached, weight = a.step(np.full(a.width, state), words)
+            assert np.isclose((10**weight).sum() + 1 / (g.counts.sum() + known + 1) * 10 ** unseen(a, state), 1), state
+
+
+def unseen(a, state):
+    """Log-weight of the failure arcs from a state to the empty history."""
+    out = 0.0
+    while state != a.empty:
+        out, state = out + a.lost[state], a.fail[state]
+    return out
