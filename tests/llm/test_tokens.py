@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +41,22 @@ def test_pieces(spark):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want, t
 
 
+def test_long_words():
+    """Long runs without spaces: as the library, in a time that does not grow with their square."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, coder, r = sentencepiece.SentencePieceProcessor(model_file=path), PieceCoder(path), random.Random(7)
+    parts = ["the", "tion", "ing", "and", "re", "qu", "e", "a", "o", "z", "ver", "schaft", "ment"]
+    latin = "".join(r.choice(parts) for _ in range(36_000))
+    base64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    chinese = "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(100_000))
+    for text in (latin, base64, chinese, "a" * 100_001, "abab" * 5000 + "aab" * 3000):
+        begun = time.process_time()
+        ids = coder.encode(text)
+        assert time.process_time() - begun < 5 and ids == sp.encode(text)
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 

@@ -2,9 +2,12 @@
 
 Text with spaces as U+2581 falls into words, runs of U+2581 with what follows them, for no piece
 crosses their borders (checked when the model is read). Distinct words are merged together: in each
-round every word merges its leftmost pair of least rank (best score), all words at once on flat
-arrays; words without a pair leave, the rest are compacted. Characters without a piece become
-bytes. Each distinct word is merged once and kept for later texts.
+round every word merges its pairs of least rank (best score) from the left, up to the first that makes
+a better pair, all words at once on flat arrays. Words without a pair leave, the rest are compacted, and only pairs beside a merge are ranked anew. Words are cut first
+between characters that no piece holds side by side, so a long text without spaces is many short
+stretches, and takes no round for each of its merges.
+Characters without a piece become bytes. Distinct words are merged once and kept for later texts, up
+to `remember` of them.
 
 A null or empty text has no ids and decodes to the empty text.
 """
@@ -51,36 +54,92 @@ class PieceModel:
         rank = {s: r for r, s in enumerate(scores)}
         pairs = sorted((self.symbols[p[:j]] * self.base + self.symbols[p[j:]], rank[sp.get_score(i)], i) for p, i in self.pieces.items() for j in range(1, len(p)) if p[:j] in self.symbols and p[j:] in self.symbols)
         self.keys, self.rank, self.merged = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), (), ())))
+        codes = {(a, b) for p in self.pieces for a, b in zip(p, p[1:])}
+        self.inside = np.array(sorted(self.symbols[a] * self.base + self.symbols[b] for a, b in codes), np.int64)
         self.never = len(scores)
+        self.together = self.safe_ranks()
+
+    def safe_ranks(self) -> np.ndarray:
+        """Ranks whose pairs never make a better pair: one piece alone has the rank, and every pair with
+        that piece ranks behind it."""
+        safe = np.ones(self.never + 1, bool)
+        of_piece = np.full(self.base, -1, np.int64)
+        of_piece[self.merged] = self.rank
+        for part in (self.keys // self.base, self.keys % self.base):
+            early = self.rank <= of_piece[part]
+            safe[of_piece[part[early]]] = False
+        pieces = np.unique(np.stack([self.rank, self.merged], 1), axis=0)[:, 0] if len(self.keys) else self.rank
+        safe[pieces[1:][pieces[1:] == pieces[:-1]]] = False
+        return safe
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair and the symbol it becomes; rank `never` if it does not merge."""
+        rank, merged = np.full(len(left), self.never), np.zeros(len(left), np.int64)
+        if len(self.keys):
+            key = left * self.base + right
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero((self.keys[at] == key) & (left >= 0) & (right >= 0))
+            rank[hit], merged[hit] = self.rank[at[hit]], self.merged[at[hit]]
+        return rank, merged
+
+    def early(self, best: np.ndarray, flat: np.ndarray, word: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        """Which of the pairs at `best`, merged from the left, make a pair that goes before the next of them."""
+        new, n = merged[best], len(flat)
+        inner = np.append(-1, best[:-1]) == best - 2  # right after another pair
+        left = np.where(inner, np.append(-1, new[:-1]), np.append(flat, -1)[best - 1])
+        left[word[best - 1] != word[best]] = -1
+        right = np.append(flat, (-1, -1))[best + 2]
+        right[np.append(word, (-1, -1))[best + 2] != word[best]] = -1
+        return np.minimum(self.pairs(left, new)[0], self.pairs(new, right)[0]) <= rank[best]
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; a character without piece is -1 - code point until the end."""
         symbols = self.symbols
         flat = np.fromiter((symbols.get(c, -1 - ord(c)) for w in words for c in w), np.int64)
-        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        out: list[list[int]] = [[] for _ in words]
+        whole = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        code = np.concatenate((flat[:-1] * self.base + flat[1:], [0])) if len(flat) else flat
+        apart = ~np.isin(code, self.inside) | (flat < 0) | np.append(flat[1:] < 0, True) | (np.diff(whole, append=-1) != 0)
+        word = np.concatenate(([0], np.cumsum(apart)[:-1])) if len(flat) else flat  # from here on, stretches of words
+        whole = whole[np.flatnonzero(apart)]
+        out: list[list[int]] = [[] for _ in whole]
+        rank, merged = self.pairs(flat, np.append(flat[1:], -1))
+        rank[np.flatnonzero(np.diff(word, append=-1))] = self.never
         while len(flat):
-            rank = np.full(len(flat), self.never)
-            merged = np.zeros(len(flat), np.int64)
-            ok = np.flatnonzero((word[1:] == word[:-1]) & (flat[1:] >= 0) & (flat[:-1] >= 0))
-            key = flat[ok] * self.base + flat[ok + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-            hit = self.keys[at] == key if len(self.keys) else np.zeros(len(at), bool)
-            rank[ok[hit]], merged[ok[hit]] = self.rank[at[hit]], self.merged[at[hit]]
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
             size = np.diff(np.append(first, len(word)))
             least = np.minimum.reduceat(rank, first)
-            done = np.repeat(least == self.never, size)
-            ended = np.split(flat[done], np.cumsum(size[least == self.never])[:-1])
-            for w, ids in zip(word[first[least == self.never]].tolist(), ended):
-                out[w] = ids.tolist()
-            best = np.flatnonzero((rank == np.repeat(least, size)) & ~done)
-            best = best[np.concatenate(([True], word[best[1:]] != word[best[:-1]]))] if len(best) else best
+            keep = np.ones(len(flat), bool)
+            over = least == self.never
+            if over.any():
+                keep = np.repeat(~over, size)
+                for w, ids in zip(word[first[over]].tolist(), np.split(flat[~keep], np.cumsum(size[over])[:-1])):
+                    out[w] = ids.tolist()
+            best = np.flatnonzero((rank == np.repeat(least, size)) & keep)
+            if not len(best):
+                break
+            run = np.flatnonzero(np.diff(best, prepend=-2) != 1)  # overlapping pairs: every other one
+            nth = np.arange(len(best)) - np.repeat(run, np.diff(np.append(run, len(best))))
+            best = best[nth % 2 == 0]
+            if not self.together[rank[best]].all():
+                early = self.early(best, flat, word, rank, merged)
+                held = np.cumsum(early) - early  # how many of the stretch, or of those before it, precede
+                own = np.diff(word[best], prepend=-1) != 0
+                best = best[held == held[np.flatnonzero(own)][np.cumsum(own) - 1]]
             flat[best] = merged[best]
-            keep = ~done
             keep[best + 1] = False
-            flat, word = flat[keep], word[keep]
-        return [[y for x in ids for y in ((x,) if x in self.surface else [self.bytes[b] for b in self.loose.get(x, chr(-1 - min(x, -1))).encode()])] for ids in out]
+            changed = np.zeros(len(flat), bool)
+            changed[best] = True
+            before = best - 1
+            before -= (before >= 0) & ~keep[before]  # over a symbol that went into the one before it
+            changed[before[before >= 0]] = True
+            flat, word, rank, merged, changed = flat[keep], word[keep], rank[keep], merged[keep], changed[keep]
+            at = np.flatnonzero(changed)
+            rank[at], merged[at] = self.pairs(flat[at], np.append(flat, -1)[at + 1])
+            rank[at[np.append(word, -1)[at + 1] != word[at]]] = self.never
+        joined: list[list[int]] = [[] for _ in words]
+        for w, ids in zip(whole.tolist(), out):
+            joined[w] += ids
+        return [[y for x in ids for y in ((x,) if x in self.surface else [self.bytes[b] for b in self.loose.get(x, chr(-1 - min(x, -1))).encode()])] for ids in joined]
 
 
 class PieceCoder:
