@@ -12,7 +12,7 @@ import pytest
 
 from tidemill.llm.decontaminate import hits, longest_matches, without_hits
 from tidemill.llm.pieces import PieceCoder, coded
-from tidemill.llm.tokenfiles import WaveletMatrix, WordEncoder, read_shards, token_files
+from tidemill.llm.tokenfiles import WaveletMatrix, WordEncoder, looked_up_tokens, read_shards, shard_starts, token_files
 
 ODD_TEXTS = [None, "", " ", "   a  b ", "a\n\nb\tc", "It's <|endoftext|> x<s>y <0x0A> 'LL", "é é ﬁ Ｆ ǅ Σς 　x y", "▁▁ a▁b", "日本語テキスト \U0001f600!!", "ha" * 3000, "aaaa bbbb " * 50, "\x00\x01 \x85z", "THE QUICK brown", "   ", "\n", "\n \n", "1234567 000 ½²"]
 
@@ -68,8 +68,12 @@ def test_token_files(spark):
     for i, x in enumerate(texts()):
         ids = t.encode(x or "", add_special_tokens=False).ids + [1]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), x
+        assert (got[i].first_id, got[i].last_id, got[i].end_ids) == (ids[0], 1, ids.count(1))
         start += len(ids)
     assert files.count() > 4
+    common = t.encode("the", add_special_tokens=False).ids[0]
+    places = sorted((i, k) for i, x in enumerate(texts()) for k, y in enumerate(t.encode(x or "", add_special_tokens=False).ids) if y == common)
+    assert sorted(map(tuple, looked_up_tokens(files, common).collect())) == places and places
     none = token_files(spark.createDataFrame([], "doc_id long, text string"), path)
     assert read_shards(none).collect() == []
     assert sorted(r.start for r in read_shards(token_files(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), path)).collect()) == [0, 2, 4]
@@ -87,6 +91,31 @@ def test_words_cut_before_the_library():
         assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_shard_starts(spark):
+    files = [(p, s, 1 + (7 * p + s) % 5) for p in range(40) for s in range(p % 3)]
+    got = {(r.part, r.shard): r.base for r in shard_starts(spark.createDataFrame(files, "part long, shard long, n_ids long"), group=8).collect()}
+    at = 0
+    for p, s, n in files:
+        assert got[p, s] == at
+        at += n
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 140_000])
+def test_planes(n):
+    """Sizes around a block and a stretch; the directory takes a sixteenth of the planes."""
+    ids = np.random.default_rng(n).integers(0, 40_000, n).astype(np.uint32)
+    m = WaveletMatrix.from_bytes(WaveletMatrix.of(ids).to_bytes(), n)
+    assert (m.tokens() == ids).all() and m.ranks.size * 4 <= m.bits * (n / 8 / 16 + 8)
+    at = np.random.default_rng(2).integers(0, n, 50) if n else np.zeros(0, np.int64)
+    assert (m.access(at) == ids[at]).all() and m.count(7) == (ids == 7).sum()
+    for v in ids[at[:5]].tolist():
+        assert (m.occurrences(v) == np.flatnonzero(ids == v)).all()
+    if n > 100_000:
+        few = WaveletMatrix.from_bytes(WaveletMatrix.of(ids).to_bytes(), n)
+        few.access(5)
+        assert len(few.opened) <= 2 * few.bits
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 300, 5000).astype(np.uint32)
     m = WaveletMatrix.from_bytes(WaveletMatrix.of(ids).to_bytes(), len(ids))

@@ -3,10 +3,12 @@
 Documents are encoded word by word (white space always ends a token of this vocabulary, so equal
 words have equal ids and each is encoded once), dealt by doc_id ranges, and packed into shards. A
 shard is one row of a Parquet file: the bit-planes of its ids, from the highest bit down, each
-plane ordering the ids stably by the bits above. Access, counting and occurrence lookup walk the
-planes by rank and select; nothing else of the file is read.
+plane ordering the ids stably by the bits above, with the ones before every 512 bits (a sixteenth of the
+planes' size). Access, counting and occurrence lookup walk the planes by rank and select; they open
+the stretches of 16 KB they touch, each compressed by itself. Reading all ids opens every stretch.
 
-A null or empty text has the end id alone. Rows with equal doc_id stay next to each other.
+A null or empty text has the end id alone. Rows with equal doc_id stay next to each other; a null
+doc_id comes first. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,70 +33,109 @@ SCHEMA = "doc_id long, n_tokens long, ids binary"
 SHARD = "part long, shard long, n_ids long, doc_ids binary, known binary, sizes binary, matrix binary"
 
 
+BLOCK, STRETCH = 512, 256  #: bits between two entries of a rank directory; blocks compressed together
+
+
 class WaveletMatrix:
-    """Rank and select over bit-planes: ids[i], count(id, before) and occurrences(id)."""
+    """Rank and select over bit-planes: ids[i], count(id, before) and occurrences(id).
+
+    frames: plane by plane, its compressed stretches. ranks: for each plane the ones before each block.
+    """
 
-    def __init__(self, planes: np.ndarray, n: int):
-        self.planes, self.n, self.bits = planes, n, len(planes)
-        ones = np.bitwise_count(planes)
-        self.ranks = np.concatenate((np.zeros((self.bits, 1), np.int64), np.cumsum(ones, 1, np.int64)), 1)
+    def __init__(self, frames: list[list[bytes]], ranks: np.ndarray, n: int):
+        self.frames, self.ranks, self.n, self.bits = frames, ranks.astype(np.int64), n, len(frames)
         self.zeros = n - self.ranks[:, -1] if self.bits else np.zeros(0, np.int64)
+        self.opened: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes = np.zeros((bits, -(-len(ids) // 8)), np.uint8)
+        n, squeeze = len(ids), zstandard.ZstdCompressor(level=1).compress
+        bits = max(1, int(ids.max()).bit_length()) if n else 1
+        blocks = -(-n // BLOCK)
+        frames, ranks = [], np.zeros((bits, blocks + 1), np.uint32)
         for level in range(bits):
-            bit = (ids >> (bits - 1 - level)) & 1
-            planes[level] = np.packbits(bit.astype(np.uint8))
-            up = bit.astype(bool)
+            up = ((ids >> (bits - 1 - level)) & 1).astype(bool)
+            plane = np.zeros(blocks * BLOCK // 8, np.uint8)
+            own = np.packbits(up, bitorder="little")
+            plane[: len(own)] = own
+            ranks[level, 1:] = np.cumsum(np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32))
+            step = STRETCH * BLOCK // 8
+            frames.append([squeeze(plane[i : i + step].tobytes()) for i in range(0, len(plane), step)])
             ids = np.concatenate((ids[~up], ids[up]))
-        return cls(planes, len(ids))
+        return cls(frames, ranks, n)
+
+    def stretch(self, level: int, k: int) -> np.ndarray:
+        """The blocks of a stretch, a row of 64-bit words each."""
+        if (level, k) not in self.opened:
+            self.opened[level, k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[level][k]), np.uint64).reshape(-1, BLOCK // 64)
+        return self.opened[level, k]
+
+    def blocks(self, level: int, block: np.ndarray) -> np.ndarray:
+        """The words of blocks; zeros after the last one."""
+        out = np.zeros((len(block), BLOCK // 64), np.uint64)
+        for k in np.unique(block[block < self.ranks.shape[1] - 1] // STRETCH).tolist():
+            at = np.flatnonzero(block // STRETCH == k)
+            own = self.stretch(level, k)
+            at = at[block[at] % STRETCH < len(own)]
+            out[at] = own[block[at] % STRETCH]
+        return out
 
     def rank1(self, level: int, i: np.ndarray) -> np.ndarray:
         """Ones of a plane before each position."""
-        row = np.append(self.planes[level], np.uint8(0))
-        part = row[i >> 3] >> (8 - (i & 7)).astype(np.uint8)
-        return self.ranks[level][i >> 3] + np.bitwise_count(np.where(i & 7, part, 0))
+        words = self.blocks(level, i // BLOCK)
+        room = np.clip((i % BLOCK)[:, None] - np.arange(0, BLOCK, 64), 0, 64).astype(np.uint64)
+        mask = np.where(room == 64, ~np.uint64(0), (np.uint64(1) << (room & np.uint64(63))) - np.uint64(1))
+        return self.ranks[level][i // BLOCK] + np.bitwise_count(words & mask).sum(1, dtype=np.int64)
+
+    def select(self, level: int, up: int, k: np.ndarray) -> np.ndarray:
+        """Where a plane has its k-th one, or zero, counted from 0."""
+        before = self.ranks[level] if up else np.arange(self.ranks.shape[1]) * BLOCK - self.ranks[level]
+        block = np.searchsorted(before, k, "right") - 1
+        words = self.blocks(level, block)
+        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little") == up
+        return block * BLOCK + (np.cumsum(bits, 1, dtype=np.int16) > (k - before[block])[:, None]).argmax(1)
 
     def access(self, i) -> np.ndarray:
-        i = np.asarray(i, np.int64)
-        value = np.zeros(i.shape, np.int64)
+        shape, i = np.shape(i), np.atleast_1d(np.asarray(i, np.int64)).ravel()
+        value = np.zeros(len(i), np.int64)
         for level in range(self.bits):
-            bit = (self.planes[level][i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1
-            before = self.rank1(level, i)
-            i = np.where(bit, self.zeros[level] + before, i - before)
+            before, after = self.rank1(level, i), self.rank1(level, i + 1)
+            bit = after - before
+            i = np.where(bit == 1, self.zeros[level] + before, i - before)
             value = value * 2 + bit
-        return value
+        return value.reshape(shape)
 
-    def interval(self, value: int, a: int, b: int) -> tuple[int, int]:
-        """Where the occurrences of value among [a, b) stand below the last plane."""
+    def interval(self, value: int, a, b) -> tuple[np.ndarray, np.ndarray]:
+        """Where the occurrences of value among each [a, b) stand below the last plane."""
+        a, b = np.atleast_1d(np.asarray(a, np.int64)), np.atleast_1d(np.asarray(b, np.int64))
         if value >> self.bits:
-            return 0, 0
+            return a * 0, a * 0
         for level in range(self.bits):
-            at = self.rank1(level, np.array([a, b]))
-            a, b = (at + self.zeros[level] if value >> (self.bits - 1 - level) & 1 else np.array([a, b]) - at).tolist()
+            low, high = self.rank1(level, a), self.rank1(level, b)
+            a, b = (low + self.zeros[level], high + self.zeros[level]) if value >> (self.bits - 1 - level) & 1 else (a - low, b - high)
         return a, b
 
-    def count(self, value: int, a: int = 0, b: int | None = None) -> int:
+    def count(self, value: int, a=0, b=None):
+        """How often value comes in [a, b); a and b may be arrays."""
         low, high = self.interval(value, a, self.n if b is None else b)
-        return high - low
+        return high - low if np.ndim(a) else int(high[0] - low[0])
 
     def occurrences(self, value: int) -> np.ndarray:
         """Positions of value, ascending: select upwards through the planes."""
         a, b = self.interval(value, 0, self.n)
-        at = np.arange(a, b)
+        at = np.arange(int(a[0]), int(b[0]))
         for level in reversed(range(self.bits)):
             up = value >> (self.bits - 1 - level) & 1
-            bits = np.unpackbits(self.planes[level], count=self.n)
-            at = np.flatnonzero(bits == up)[at - (self.zeros[level] if up else 0)]
+            at = self.select(level, up, at - (self.zeros[level] if up else 0))
         return at
 
     def tokens(self) -> np.ndarray:
         """All ids, from the last plane up."""
         ids = np.zeros(self.n, np.uint32)
+        open_ = zstandard.ZstdDecompressor().decompress
         for level in reversed(range(self.bits)):
-            up = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            plane = np.frombuffer(b"".join([open_(f) for f in self.frames[level]]), np.uint8)
+            up = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(ids)
             zeros = int(self.zeros[level])
             back[~up], back[up] = ids[:zeros], ids[zeros:] | np.uint32(1 << (self.bits - 1 - level))
@@ -102,12 +143,21 @@ class WaveletMatrix:
         return ids
 
     def to_bytes(self) -> bytes:
-        return self.bits.to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(self.planes.tobytes())
+        """Number of planes, sizes of stretches and of the directory, the directory, the stretches."""
+        ranks = zstandard.ZstdCompressor(level=1).compress(self.ranks.astype("<u4").tobytes())
+        flat = [f for own in self.frames for f in own]
+        return np.array([self.bits, len(ranks), *map(len, flat)], "<u4").tobytes() + ranks + b"".join(flat)
 
     @classmethod
     def from_bytes(cls, data: bytes, n: int) -> WaveletMatrix:
-        bits = int.from_bytes(data[:4], "little")
-        return cls(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8).reshape(bits, -1), n)
+        bits, size = np.frombuffer(data, "<u4", 2).tolist()
+        blocks = -(-n // BLOCK)
+        each = -(-blocks // STRETCH)
+        head = 8 + 4 * bits * each
+        ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[head : head + size]), "<u4").reshape(bits, blocks + 1)
+        ends = head + size + np.cumsum(np.frombuffer(data, "<u4", bits * each, 8), dtype=np.int64)
+        cut = [head + size, *ends.tolist()]
+        return cls([[data[cut[i] : cut[i + 1]] for i in range(level * each, (level + 1) * each)] for level in range(bits)], ranks, n)
 
 
 #: The normalizer and the splitting pattern for which words are cut before the library sees them.
@@ -179,8 +229,8 @@ class WordEncoder:
         pieces = list(chain.from_iterable(cut))
         part = np.concatenate([np.array(self.bare.encode_batch_fast([pieces[i : i + 2_000]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(pieces), 2_000)])
         ends = np.flatnonzero(self.last[part]) + 1
-        if len(ends) != len(pieces):
-            raise ValueError("a piece without an end mark")
+        if len(ends) != len(pieces):  # some piece has no end mark: the library's whole way
+            return self.whole(words)
         size = np.zeros(len(words), np.int64)
         size[plain] = np.diff(ends[np.cumsum([len(own) for own in cut]) - 1], prepend=0)
         size[~plain], rest = self.whole([w for w, is_plain in zip(words, plain.tolist()) if not is_plain])
@@ -266,23 +316,52 @@ def write_shards(tokens: DataFrame, shards: int, shard_ids: int = 1 << 20) -> Da
     return written(tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, SHARD), 8 << 20)
 
 
-def read_shards(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file, not a row a document
-    starts = files.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+def shard_starts(files: DataFrame, group: int = 4096) -> DataFrame:
+    """part, shard, base (ids of all shards before): sums within a part, of parts within a group of
+    them, and of groups, so that no task sees more than a group's rows or a row for each group."""
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda rows, keys, name, *by: rows.select(*keys, F.coalesce(F.sum("n_ids").over(before(*by)), F.lit(0)).alias(name))
+    own = files.select("part", "shard", "n_ids", F.floor(F.col("part") / group).alias("group"))
+    parts = own.groupBy("group", "part").agg(F.sum("n_ids").alias("n_ids"))
+    groups = parts.groupBy("group").agg(F.sum("n_ids").alias("n_ids"))
+    in_part, in_group, in_all = summed(own, ("group", "part", "shard"), "x", "part", "shard"), summed(parts, ("part",), "y", "group", "part"), summed(groups, ("group",), "z", "group")
+    return in_part.join(in_group, "part").join(in_all, "group").select("part", "shard", (F.col("x") + F.col("y") + F.col("z")).alias("base"))
+
+
+def read_shards(files: DataFrame, end_id: int = 1) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files; first_id and last_id
+    by access, end_ids (occurrences of the end id in the document) by rank."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = WaveletMatrix.from_bytes(r["matrix"], r["n_ids"]).tokens().astype("<u4").tobytes()
+                matrix = WaveletMatrix.from_bytes(r["matrix"], r["n_ids"])
+                ids = matrix.tokens().astype("<u4").tobytes()
                 sizes = np.frombuffer(r["sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[4 * a : 4 * e]) for a, e in zip((ends - sizes).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(np.frombuffer(r["doc_ids"], np.int64), mask=~np.frombuffer(r["known"], bool)), "start": pa.array(ends - sizes + r["base"]), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64()),
+                    "first_id": pa.array(matrix.access(ends - sizes)), "last_id": pa.array(matrix.access(ends - 1)), "end_ids": pa.array(matrix.count(end_id, ends - sizes, ends)),
                 })
 
-    return files.join(starts, ["part", "shard"]).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    fields = "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, last_id long, end_ids long"
+    return files.join(shard_starts(files), ["part", "shard"]).mapInArrow(unpack, fields)
+
+
+def looked_up_tokens(files: DataFrame, token: int) -> DataFrame:
+    """doc_id, token_at: every place of a token id in its document, by select; no shard is decoded."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = WaveletMatrix.from_bytes(r["matrix"], r["n_ids"]).occurrences(token)
+                ends = np.cumsum(np.frombuffer(r["sizes"], np.int64))
+                own = np.searchsorted(ends, at, "right")
+                ids = pa.array(np.frombuffer(r["doc_ids"], np.int64), mask=~np.frombuffer(r["known"], bool))
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(own)), "token_at": pa.array(at - np.concatenate(([0], ends))[own])})
+
+    return files.mapInArrow(find, "doc_id long, token_at long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 1, shard_ids: int = 1 << 20) -> DataFrame:
