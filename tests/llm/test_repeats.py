@@ -118,3 +118,37 @@ def test_word_hashes():
     start, end, hashes = substring.word_hashes(b" \t" + b"\n\r\x0b".join(words * 2) + b" " * 8)
     assert (end - start).tolist() == [len(w) for w in words * 2]
     assert hashes[: len(words)].tolist() == hashes[len(words) :].tolist() and len(set(hashes.tolist())) == len(words)
+
+
+def test_prefixes():
+    r = np.random.default_rng(4)
+    for k in (8, 13, 24, 200):
+        data = r.integers(0, 2, 3000).astype(np.uint8)
+        data[1000:1400] = data[100:500]
+        starts = np.sort(r.choice(len(data) - k + 1, 2000, replace=False))
+        seen = Counter(data[a : a + k].tobytes() for a in starts)
+        assert suffixes.repeated_prefixes(data, starts, k).tolist() == [seen[data[a : a + k].tobytes()] > 1 for a in starts]
+    assert suffixes.repeated_prefixes(data, starts[:0], 200).tolist() == []
+
+
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Windows across the pieces in which a long text is cut."""
+    monkeypatch.setattr(suffixes, "PIECE", 64)
+    rows = corpus()
+    starts, counts, minima, string, *_ = suffixes.super_strings([(t or "").encode() for _, t in rows], 200, 40)
+    got = Counter(string(s, c)[i : i + 200] for s, c in zip(starts.tolist(), counts.tolist()) for i in range(c))
+    assert got == Counter(t.encode()[i : i + 200] for _, t in rows if t for i in range(len(t.encode()) - 199))
+
+
+def test_family_of_batches(spark, tmp_path):
+    """Later batches against all before them; levels merge geometrically."""
+    rows, family = corpus(), suffixes.SuffixFamily(spark, str(tmp_path), buckets=5, batch_mb=0.001)
+    random.Random(2).shuffle(rows)
+    seen: list = []
+    for a in range(0, len(rows), 16):
+        own = rows[a : a + 16]
+        got = [tuple(x) for x in family.add(spark.createDataFrame(own, "doc_id long, text string"), block_mb=0.01).collect()]
+        assert sorted(got, key=key) == sorted(brute_bytes(seen + own, 200)[len(seen) :], key=key)
+        seen += own
+    sizes = [n for _, n in family.levels]
+    assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:])) and len(sizes) < len(rows) / 16

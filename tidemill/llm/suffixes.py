@@ -1,10 +1,13 @@
-"""Suffix-array dedup over bytes (operator 2): a logarithmic family of sparse suffix arrays.
+"""Suffix-array dedup over bytes (operator 2): a logarithmic family of suffix arrays per bucket.
 
 Super-strings (see windows.py) reach the bucket of their minimiser, a 40-byte gram. There they come
 in batches. Each batch gets a suffix array of the suffixes that start at the grams; it is merge-
-scanned against every existing level for suffixes that share the gram (matches of 40 bytes or more),
-whose 200-byte windows are then compared exactly; the batch becomes a level, and levels of about
-equal size merge, so a suffix is merged a logarithmic number of times.
+scanned against every existing level for neighbours that share the gram (matches of 40 bytes or more).
+The strings so found get an array of the suffixes at all their window starts, in which neighbours with
+a common prefix of 200 bytes are the repeated windows. The batch then becomes a level, and levels of
+about equal size merge, so a suffix is merged a logarithmic number of times.
+
+`SuffixFamily` keeps the levels in a folder: later batches are scanned against what came before.
 
 A null or empty text has no bytes. Repeated rows lose what they share. No row is dropped.
 """
@@ -17,9 +20,10 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm.common import mixed, ranges, rolling_hash, runs_of, sliding_min, table
-from tidemill.llm.windows import eights, equal_groups, flagged_runs, repeated_windows
+from tidemill.llm.common import mixed, ranges, runs_of, sliding_min, table, written
+from tidemill.llm.windows import distinct_strings, flagged_runs, merged_run, repeated_windows
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 PIECE = 1 << 20
@@ -128,18 +132,53 @@ class Family:
         data = np.frombuffer(b"".join([self.strings[i] for i in touched]), np.uint8)
         counts = np.array([len(self.flags[i]) for i in touched])
         first = np.cumsum(counts + k - 1) - (counts + k - 1)
-        position = ranges(first, counts)
-        hashes = rolling_hash(mixed(data.astype(np.uint64) + np.uint64(1)), k)[position]
-        twice = equal_groups(hashes, eights(data, k, position))
+        twice = repeated_prefixes(data, ranges(first, counts), k)
         a = 0
         for i, n in zip(touched, counts.tolist()):
             self.flags[i] |= twice[a : a + n]
             a += n
 
+    def load(self, strings: list[bytes]) -> None:
+        """A level from an earlier batch; its windows are not looked at among themselves."""
+        fresh = list(range(len(self.strings), len(self.strings) + len(strings)))
+        self.strings += strings
+        self.flags += [np.zeros(len(s) - self.k + 1, bool) for s in strings]
+        self.numbers.update(zip(strings, fresh))
+        self.levels.append(sorted(zip(self.anchored(fresh)[0], fresh)))
+
+
+def repeated_prefixes(data: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Which of the suffixes at `starts` share their first k bytes with another: the suffixes are sorted
+    8 bytes at a time, and only those that still have an equal neighbour are sorted on."""
+    words = np.ndarray((max(0, len(data) - 7),), ">u8", data.data, 0, (1,))
+    out = np.zeros(len(starts), bool)
+    at, first = np.arange(len(starts)), np.zeros(min(1, len(starts)), np.int64)  # suffixes in order; where groups begin
+    for depth in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
+        if not len(at):
+            break
+        key = words[starts[at] + depth].astype(np.uint64)
+        size = np.diff(np.append(first, len(at)))
+        mixed_groups = np.repeat(np.logical_or.reduceat(key != np.repeat(key[first], size), first), size)
+        if mixed_groups.any():
+            group = np.repeat(np.arange(len(first)), size)
+            some = np.flatnonzero(mixed_groups)
+            order = some[np.argsort(key[some]) if len(first) == 1 else np.lexsort((key[some], group[some]))]
+            at[some], key[some] = at[order], key[order]
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
+            keep = ~(fresh & np.append(fresh[1:], True))  # groups of two or more
+            at, fresh = at[keep], fresh[keep]
+            first = np.flatnonzero(fresh)
+        elif len(at) == 1:
+            return out
+    out[at] = True
+    return out
+
 
 def matcher(k: int, q: int, batch_bytes: int):
-    def match(rows) -> list[np.ndarray]:
+    def match(rows, levels: list[list[bytes]] = ()) -> list[np.ndarray]:
         family = Family(k, q)
+        for strings in levels:
+            family.load(strings)
         numbers: list[list[int]] = []
         strings, marks, lengths, held = [], [], [], 0
 
@@ -203,6 +242,41 @@ def remove_repeated_bytes(docs: DataFrame, k: int = 200, q: int = 40, block_mb:
     return repeated_windows(docs, k, b"", lambda texts: super_strings(texts, k, q), matcher(k, q, int(batch_mb * (1 << 20))), finisher(texts_too), schema, block_mb)
 
 
+class SuffixFamily:
+    """The index kept in a folder of the cluster: a table for each level, a row for each bucket and block.
+
+    add(batch) answers a batch as remove_repeated_bytes does, but counts windows of all earlier batches
+    too (those documents stay as they are), and makes the batch a level; while the level before it is
+    less than twice its size, the two merge. Strings are dealt by minimiser among `buckets` buckets."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256, k: int = 200, q: int = 40, batch_mb: float = 3.0):
+        self.spark, self.folder, self.buckets, self.k, self.q, self.batch_mb = spark, folder, buckets, k, q, batch_mb
+        self.levels: list[tuple[str, int]] = []  # path and bytes of strings, the largest first
+        self.made = 0
+
+    def add(self, batch: DataFrame, block_mb: float = 4.0) -> DataFrame:
+        known = None
+        for i, (path, _) in enumerate(self.levels):
+            own = self.spark.read.parquet(path).withColumn("level", F.lit(i))
+            known = own if known is None else known.unionByName(own)
+        k, q = self.k, self.q
+        cut = lambda texts: super_strings(texts, k, q)
+        match = matcher(k, q, int(self.batch_mb * (1 << 20)))
+        found = written(repeated_windows(batch, k, b"", cut, match, finisher(False), SCHEMA, block_mb, n_buckets=self.buckets, known=known))
+        self.levels.append(self.stored(distinct_strings(batch, cut, self.buckets, block_mb)))
+        while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
+            a, b = (self.spark.read.parquet(self.levels.pop()[0]) for _ in range(2))
+            self.levels.append(self.stored(b.unionByName(a)))
+        return found
+
+    def stored(self, strings: DataFrame) -> tuple[str, int]:
+        """Rows (bucket, keys, sizes) as a level: one sorted run of distinct strings for each bucket."""
+        self.made += 1
+        path = f"{self.folder}/level-{self.made}"
+        strings.groupBy("bucket").applyInArrow(merged_run, "bucket long, bytes long, keys binary, sizes binary").write.parquet(path)
+        return path, self.spark.read.parquet(path).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 

@@ -129,14 +129,17 @@ def repeated_windows(
     schema: str,
     block_mb: float,
     carry: tuple = (),
+    n_buckets: int | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """cut(texts) finds the runs, match(rows) the repeated windows of a bucket as (string, first
     window, window after the last) triples for each row, finish(ids, texts, cut, mask) the result.
     The last item of a cut is a function that gives the bytes of runs by first unit and windows.
-    carry: further columns of docs that come along, as `carried_<name>`."""
+    carry: further columns of docs that come along, as `carried_<name>`. n_buckets: a number of buckets
+    that stays, by minimiser alone. known: strings of earlier texts, (bucket, level, keys, sizes)."""
     blocks, mb = packed_blocks(docs, block_mb, ("doc_id", "text", *carry))
-    n_buckets = max(16, round(mb / block_mb))
-    heavy, apart = heavy_overall(blocks, cut, k, int(block_mb * (2 << 20)))
+    heavy, apart = (np.zeros(0, np.uint64), 0) if n_buckets else heavy_overall(blocks, cut, k, int(block_mb * (2 << 20)))
+    n_buckets = n_buckets or max(16, round(mb / block_mb))
     n_further = 1 + int(apart / (block_mb * (1 << 20)))
 
     def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
@@ -153,9 +156,13 @@ def repeated_windows(
         if found:
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("many", pa.binary())]))
 
-    def answer(rows: pa.Table) -> pa.Table:
+    def answer(rows: pa.Table, before: pa.Table | None = None) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
-        hits = (match if rows["bucket"][0].as_py() < n_buckets else equal_strings)((open_(key.as_py()), np.frombuffer(open_(size.as_py()), np.int32), np.frombuffer(open_(many.as_py()), bool)) for key, size, many in zip(rows["keys"], rows["sizes"], rows["many"]))
+        sent_rows = ((open_(key.as_py()), np.frombuffer(open_(size.as_py()), np.int32), np.frombuffer(open_(many.as_py()), bool)) for key, size, many in zip(rows["keys"], rows["sizes"], rows["many"]))
+        if before is not None:
+            hits = match(sent_rows, [strings_of(r) for r in before.sort_by("level").to_pylist()]) if rows.num_rows else []
+        else:
+            hits = (match if rows["bucket"][0].as_py() < n_buckets else equal_strings)(sent_rows)
         keep = pa.array([i for i, h in enumerate(hits) if len(h)], pa.int64())
         return pa.table({"block": rows["block"].take(keep), "bucket": rows["bucket"].take(keep), "hits": pa.array([hits[i].astype(np.int32).tobytes() for i in keep.to_pylist()], pa.binary())})
 
@@ -186,10 +193,40 @@ def repeated_windows(
         schema += f", carried_{c} {dict(docs.dtypes)[c]}"
 
     sent = blocks.mapInArrow(each_block(send), SENT)
-    replies = sent.groupBy("bucket").applyInArrow(answer, REPLY)
+    by_bucket = sent.groupBy("bucket")
+    replies = by_bucket.applyInArrow(lambda rows: answer(rows), REPLY) if known is None else by_bucket.cogroup(known.groupBy("bucket")).applyInArrow(lambda rows, before: answer(rows, before), REPLY)
     return answer_blocks(blocks, replies, resolve, schema)
 
 
+def strings_of(row: dict) -> list[bytes]:
+    """The strings of a level's row."""
+    data, ends = zstandard.ZstdDecompressor().decompress(row["keys"]), np.cumsum(np.frombuffer(row["sizes"], np.int32)).tolist()
+    return [data[a:e] for a, e in zip([0, *ends[:-1]], ends)]
+
+
+def distinct_strings(docs: DataFrame, cut: Callable[[list[bytes]], tuple], n_buckets: int, block_mb: float) -> DataFrame:
+    """(bucket, keys, sizes): the distinct strings of each block by bucket."""
+
+    def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        found = cut_into_buckets(cut(block_texts(blob)[1])[:4], n_buckets, np.zeros(0, np.uint64), 1)[0]
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(list(found), pa.int64()), "keys": pa.array([squeeze(b"".join(keys)) for keys, _ in found.values()], pa.binary()),
+            "sizes": pa.array([np.array([len(x) for x in keys], np.int32).tobytes() for keys, _ in found.values()], pa.binary()),
+        })
+
+    return packed_blocks(docs, block_mb)[0].mapInArrow(each_block(send), "bucket long, keys binary, sizes binary")
+
+
+def merged_run(rows: pa.Table) -> pa.Table:
+    """The distinct strings of a bucket's rows, sorted, as one row."""
+    strings = sorted({s for r in rows.to_pylist() for s in strings_of(r)})
+    return pa.table({
+        "bucket": rows["bucket"][:1], "bytes": pa.array([sum(map(len, strings))], pa.int64()), "keys": pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(strings))], pa.binary()),
+        "sizes": pa.array([np.array([len(x) for x in strings], np.int32).tobytes()], pa.binary()),
+    })
+
+
 def flagged_runs(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Runs of True in flags, cut at the strings that begin at `starts`, as (string, from, to)."""
     if not flags.any():
