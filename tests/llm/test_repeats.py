@@ -59,7 +59,7 @@ def key(row):
 def test_words(spark, block_mb):
     rows = corpus()
     docs = spark.createDataFrame([(*x, "n") for x in rows], "doc_id long, text string, n_words string").repartition(3)
-    got = [tuple(x) for x in remove_repeats(docs, block_mb=block_mb).collect()]
+    got = [tuple(x) for x in remove_repeats(docs, block_mb=block_mb, bucket_mb=block_mb).collect()]
     assert sorted(got, key=key) == sorted(brute_words(rows, 35), key=key)
 
 
@@ -67,7 +67,7 @@ def test_words(spark, block_mb):
 def test_bytes(spark, block_mb):
     rows = corpus()
     docs = spark.createDataFrame([(*x, "n") for x in rows], "doc_id long, text string, block string").repartition(3)
-    got = [tuple(x) for x in remove_repeated_bytes(docs, block_mb=block_mb, batch_mb=0.001).collect()]
+    got = [tuple(x) for x in remove_repeated_bytes(docs, block_mb=block_mb, bucket_mb=block_mb, batch_mb=0.001).collect()]
     assert sorted(got, key=key) == sorted(brute_bytes(rows, 200), key=key)
 
 
@@ -100,9 +100,9 @@ def test_hot_minimiser(spark, monkeypatch, kind):
 
     monkeypatch.setattr(module, "matcher", small)
     if kind == "words":
-        got, want = remove_repeats(docs, block_mb=0.02), brute_words(rows, 35)
+        got, want = remove_repeats(docs, block_mb=0.02, bucket_mb=0.02), brute_words(rows, 35)
     else:
-        got, want = remove_repeated_bytes(docs, block_mb=0.02), brute_bytes(rows, 200)
+        got, want = remove_repeated_bytes(docs, block_mb=0.02, bucket_mb=0.02), brute_bytes(rows, 200)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 

@@ -148,10 +148,10 @@ def each_block(function):
 
 
 def answer_blocks(blocks: DataFrame, replies: DataFrame, function, schema: str) -> DataFrame:
-    """Bring each block together with its replies: function(blob, replies table) -> pa.Table."""
+    """Bring each block together with its replies: function(block, blob, replies table) -> pa.Table."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [function(blob.as_py(), right) for blob in left.column("blob")]
+        parts = [function(block.as_py(), blob.as_py(), right) for block, blob in zip(left.column("block"), left.column("blob"))]
         return pa.concat_tables(parts) if parts else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema

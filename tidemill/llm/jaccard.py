@@ -35,7 +35,7 @@ from tidemill.llm.common import answer_blocks, block_texts, each_block, hashed_t
 SCHEMA = "doc_id long, n_shingles long, component_id long, n_links long"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SKIP = 256
-ROW_BITS = 23  #: a block of block_mb MB has under 2 ** 23 rows, each of which counts a byte at least
+ROW_BITS = 24  #: a block of block_mb MB has under 2 ** 24 rows, each of which counts a byte at least
 
 
 def squeezed(data: bytes) -> bytes:
@@ -80,10 +80,11 @@ def shared_counts(blocks: DataFrame, k: int, n_buckets: int) -> DataFrame:
         ids, texts = block_texts(blob)
         held, _ = classes(block, ids, shingle_sets(texts, k))
         prints, times, ends = split_prints(held, n_buckets)
-        gaps = [np.diff(prints[a:e], prepend=prints[a : a + 1]) for a, e in zip(ends[:-1], ends[1:])]
+        some = [(b, a, e) for b, (a, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < e]
         yield pa.RecordBatch.from_pydict({
-            "block": pa.array([block] * n_buckets, pa.int64()), "bucket": pa.array(range(n_buckets), pa.int64()), "first": pa.array([int(prints[a]) if a < e else 0 for a, e in zip(ends[:-1], ends[1:])], pa.int64()),
-            "gaps": pa.array([squeezed(g.tobytes()) for g in gaps], pa.binary()), "times": pa.array([squeezed(times[a:e].tobytes()) for a, e in zip(ends[:-1], ends[1:])], pa.binary()),
+            "block": pa.array([block] * len(some), pa.int64()), "bucket": pa.array([b for b, _, _ in some], pa.int64()), "first": pa.array([int(prints[a]) for _, a, _ in some], pa.int64()),
+            "gaps": pa.array([squeezed(np.diff(prints[a:e], prepend=prints[a : a + 1]).tobytes()) for _, a, e in some], pa.binary()),
+            "times": pa.array([squeezed(times[a:e].tobytes()) for _, a, e in some], pa.binary()),
         })
 
     def answer(rows: pa.Table) -> pa.Table:
@@ -114,10 +115,9 @@ def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFra
     with the same set. Else: prefix shingles that several sets hold, each with one holder,
     and links of further holders of the block to that one."""
 
-    def find(blob: bytes, told: pa.Table) -> pa.Table:
+    def find(block: int, blob: bytes, told: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
         sets = shingle_sets(texts, k)
-        block = told["block"][0].as_py()
         held, first = classes(block, ids, sets)
         prints, _, ends = split_prints(held, n_buckets)
         codes = np.zeros(len(prints), np.uint8)
@@ -233,7 +233,7 @@ def link_group(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[
     return label, links
 
 
-def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0, limit: int = 4000, shingles: int = 2_000_000) -> DataFrame:
+def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 8.0, limit: int = 4000, shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (different other sets that link with the row's) of every row."""
     blocks, mb = packed_blocks(docs, block_mb)
     n_buckets = max(16, round(mb / block_mb))
@@ -247,12 +247,11 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 4.0
     large = groups.join(of_class, "node").groupBy("label").agg(parts.alias("parts")).where("parts > 1")
     split = written(groups.join(large, "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts")))
 
-    def gather(blob: bytes, told: pa.Table) -> pa.Table:
+    def gather(block: int, blob: bytes, told: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
         group = {n: (g, p) for n, g, p in zip(*(told[c].to_pylist() for c in ("node", "label", "parts")))}
         rows = []
         if group:
-            block = told["block"][0].as_py()
             held, first = classes(block, ids, shingle_sets(texts, k))
             text_of = {row: texts[row - (block << ROW_BITS)] for row in held}
             for i, s in held.items():

@@ -216,7 +216,7 @@ def scores(docs: DataFrame, held_part: int = 2, parts: int = 7, mu: tuple[float,
             "totals": pa.array([squeeze(total[w].tobytes()) for w in own], pa.binary()),
         })
 
-    def walk(blob: bytes, replies: pa.Table) -> pa.Table:
+    def walk(block: int, blob: bytes, replies: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
         g = Grams(ids, texts, held_part, parts)
         cut = g.cuts(n_buckets)

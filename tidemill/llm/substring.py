@@ -94,14 +94,14 @@ def finisher(texts_too: bool):
     return finish
 
 
-def remove_repeats(docs: DataFrame, k: int = 35, m: int = 6, block_mb: float = 4.0, texts_too: bool = False, carry: tuple = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 35, m: int = 6, block_mb: float = 8.0, bucket_mb: float = 8.0, texts_too: bool = False, carry: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, and with texts_too the kept text (as it was
     if nothing is removed, else the words left, joined by spaces) and the columns in carry.
 
     Each word in a window of k words whose sequence starts anywhere else is removed.
     """
     schema = SCHEMA + (", kept string" if texts_too else "")
-    return repeated_windows(docs, k, b" ", lambda texts: super_kmers(texts, k, m), matcher(k), finisher(texts_too), schema, block_mb, carry)
+    return repeated_windows(docs, k, b" ", lambda texts: super_kmers(texts, k, m), matcher(k), finisher(texts_too), schema, block_mb, bucket_mb, carry)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

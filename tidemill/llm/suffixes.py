@@ -233,13 +233,13 @@ def finisher(texts_too: bool):
     return finish
 
 
-def remove_repeated_bytes(docs: DataFrame, k: int = 200, q: int = 40, block_mb: float = 4.0, batch_mb: float = 3.0, texts_too: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, k: int = 200, q: int = 40, block_mb: float = 8.0, bucket_mb: float = 5.0, batch_mb: float = 3.0, texts_too: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with texts_too the kept bytes.
 
     k: bytes of a window. q: bytes of a gram, a multiple of 8 up to k. batch_mb: string bytes of a batch.
     """
     schema = SCHEMA + (", kept binary" if texts_too else "")
-    return repeated_windows(docs, k, b"", lambda texts: super_strings(texts, k, q), matcher(k, q, int(batch_mb * (1 << 20))), finisher(texts_too), schema, block_mb)
+    return repeated_windows(docs, k, b"", lambda texts: super_strings(texts, k, q), matcher(k, q, int(batch_mb * (1 << 20))), finisher(texts_too), schema, block_mb, bucket_mb)
 
 
 class SuffixFamily:
@@ -254,7 +254,7 @@ class SuffixFamily:
         self.levels: list[tuple[str, int]] = []  # path and bytes of strings, the largest first
         self.made = 0
 
-    def add(self, batch: DataFrame, block_mb: float = 4.0) -> DataFrame:
+    def add(self, batch: DataFrame, block_mb: float = 8.0) -> DataFrame:
         known = None
         for i, (path, _) in enumerate(self.levels):
             own = self.spark.read.parquet(path).withColumn("level", F.lit(i))
@@ -262,7 +262,7 @@ class SuffixFamily:
         k, q = self.k, self.q
         cut = lambda texts: super_strings(texts, k, q)
         match = matcher(k, q, int(self.batch_mb * (1 << 20)))
-        found = written(repeated_windows(batch, k, b"", cut, match, finisher(False), SCHEMA, block_mb, n_buckets=self.buckets, known=known))
+        found = written(repeated_windows(batch, k, b"", cut, match, finisher(False), SCHEMA, block_mb, block_mb, n_buckets=self.buckets, known=known))
         self.levels.append(self.stored(distinct_strings(batch, cut, self.buckets, block_mb)))
         while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
             a, b = (self.spark.read.parquet(self.levels.pop()[0]) for _ in range(2))

@@ -128,6 +128,7 @@ def repeated_windows(
     finish: Callable[[list, list[bytes], tuple, np.ndarray], pa.Table],
     schema: str,
     block_mb: float,
+    bucket_mb: float,
     carry: tuple = (),
     n_buckets: int | None = None,
     known: DataFrame | None = None,
@@ -135,12 +136,14 @@ def repeated_windows(
     """cut(texts) finds the runs, match(rows) the repeated windows of a bucket as (string, first
     window, window after the last) triples for each row, finish(ids, texts, cut, mask) the result.
     The last item of a cut is a function that gives the bytes of runs by first unit and windows.
+    A block sends a row to each bucket at most, so rows grow as blocks times buckets: block_mb and
+    bucket_mb, bounded by a task's memory, keep the rows of 1 TB at some hundred bytes and more.
     carry: further columns of docs that come along, as `carried_<name>`. n_buckets: a number of buckets
     that stays, by minimiser alone. known: strings of earlier texts, (bucket, level, keys, sizes)."""
     blocks, mb = packed_blocks(docs, block_mb, ("doc_id", "text", *carry))
-    heavy, apart = (np.zeros(0, np.uint64), 0) if n_buckets else heavy_overall(blocks, cut, k, int(block_mb * (2 << 20)))
-    n_buckets = n_buckets or max(16, round(mb / block_mb))
-    n_further = 1 + int(apart / (block_mb * (1 << 20)))
+    heavy, apart = (np.zeros(0, np.uint64), 0) if n_buckets else heavy_overall(blocks, cut, k, int(bucket_mb * (2 << 20)))
+    n_buckets = n_buckets or max(16, round(mb / bucket_mb))
+    n_further = 1 + int(apart / (bucket_mb * (1 << 20)))
 
     def send(block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
         _, texts = block_texts(blob)
@@ -166,7 +169,7 @@ def repeated_windows(
         keep = pa.array([i for i, h in enumerate(hits) if len(h)], pa.int64())
         return pa.table({"block": rows["block"].take(keep), "bucket": rows["bucket"].take(keep), "hits": pa.array([hits[i].astype(np.int32).tobytes() for i in keep.to_pylist()], pa.binary())})
 
-    def resolve(blob: bytes, replies: pa.Table) -> pa.Table:
+    def resolve(block: int, blob: bytes, replies: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
         found = cut(texts)
         n_units = found[4]
