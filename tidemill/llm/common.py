@@ -7,6 +7,8 @@ run again, and an operator can send one row per block and bucket instead of one
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,21 +27,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a folder of this machine, for a local
+    master alone: on a cluster it would be lost with its executor, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext.getCheckpointDir()
         if not kept:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
             kept = spark.sparkContext.getCheckpointDir()
         base = kept
     return f"{base}/tidemill-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, partition_bytes: int = 16 << 20) -> DataFrame:
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are removed at the end, but for those written by the function it gives."""
+    paths: list[str] = []
+    outer = _SCRATCH.set(paths)
+    try:
+        yield lambda df: written(df, scratch_too=False)
+    finally:
+        _SCRATCH.reset(outer)
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, partition_bytes: int = 16 << 20, scratch_too: bool = True) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    if scratch_too and (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     df.write.option("parquet.block.size", partition_bytes).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

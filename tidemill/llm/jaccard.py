@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import answer_blocks, block_texts, each_block, hashed_texts, mixed, packed_blocks, ranges, rolling_hash, table, written
+from tidemill.llm.common import answer_blocks, block_texts, each_block, hashed_texts, mixed, packed_blocks, ranges, rolling_hash, scratch, table, written
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, n_links long"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -235,67 +235,68 @@ def link_group(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[
 
 def linked(docs: DataFrame, k: int = 3, percent: int = 90, block_mb: float = 8.0, limit: int = 4000, shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (different other sets that link with the row's) of every row."""
-    blocks, mb = packed_blocks(docs, block_mb)
-    n_buckets = max(16, round(mb / block_mb))
-
-    found = prefixes(blocks, k, percent, n_buckets)
-    members = found.where("bucket is null").select("doc_id", "block", "n", "rep")
-    of_class = members.where("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"), F.max("block").alias("block"), F.min("doc_id").alias("low"))
-    of_class = written(of_class)
-    groups = components(candidate_edges(found))
-    parts = F.ceil(F.greatest(F.count("*") / limit, F.sum("n") / shingles)).cast("long")
-    large = groups.join(of_class, "node").groupBy("label").agg(parts.alias("parts")).where("parts > 1")
-    split = written(groups.join(large, "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts")))
-
-    def gather(block: int, blob: bytes, told: pa.Table) -> pa.Table:
-        ids, texts = block_texts(blob)
-        group = {n: (g, p) for n, g, p in zip(*(told[c].to_pylist() for c in ("node", "label", "parts")))}
-        rows = []
-        if group:
-            held, first = classes(block, ids, shingle_sets(texts, k))
-            text_of = {row: texts[row - (block << ROW_BITS)] for row in held}
-            for i, s in held.items():
-                if i in group:
-                    g, p = group[i]
-                    c = int(np.bitwise_xor.reduce(mixed(s)) % np.uint64(p))
-                    for j in [c] if p == 1 else [j for j in range(p) if j != c]:
-                        rows.append((g, min(c, j), max(c, j), c, p - 1, i, text_of[i]))
-        return pa.table({f: pa.array([r[n] for r in rows], pa.binary() if f == "words" else pa.int64()) for n, f in enumerate(("label", "i", "j", "part", "last", "node", "words"))})
-
-    def solve(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("label", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
-        key = np.stack([rows[c].to_numpy() for c in ("label", "i", "j")], 1)
-        node, part, data = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["words"]
-        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
-        label, links = np.empty(len(node), np.int64), np.zeros(len(node), np.int64)
-        for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            numbers: dict[bytes, int] = {}
-            at = np.array([numbers.setdefault(s.tobytes(), len(numbers)) for s in shingle_sets([x.as_py() for x in data[a:e]], k)])
-            if len(numbers) == 1:
-                label[a:e] = node[a]
-                continue
-            first = np.unique(at, return_index=True)[1]
-            side = part[a:e][first]
-            i, j = key[a, 1], key[a, 2]
-            if i != j:  # links inside of part c count in one task: that of parts c and c + 1
-                side = np.where((side == i) & (j == i + 1), 2 * side, np.where((side == j) & (i == 0) & (rows_last(rows, a) == j), 2 * side, -1 - side))
-            own, n = link_group([np.frombuffer(x, np.uint64) for x in numbers], side, percent)
-            label[a:e], links[a:e] = node[a:e][first][own[at]], n[at]
-        return pa.table({"node": node, "label": label, "links": links})
-
-    def rows_last(rows: pa.Table, a: int) -> int:
-        return rows["last"][a].as_py()
-
-    by_block = of_class.select("node", "block").join(split, "node")
-    fields = "label long, i long, j long, part long, last long, node long, words binary"
-    sent = answer_blocks(blocks, by_block, gather, fields)
-    slot = F.when(F.col("last") > 0, F.col("label")).otherwise(F.pmod(F.xxhash64("label", "i", "j"), F.lit(n_buckets * 2)))
-    solved = written(sent.groupBy(slot.alias("slot"), "i", "j").applyInArrow(solve, "node long, label long, links long"))
-    counts = solved.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
-    if large.limit(1).count():  # parts of split groups know their own links alone
-        counts = counts.drop("label").join(components(solved.select(F.col("node").alias("a"), F.col("label").alias("b"))), "node")
-
-    graded = written(of_class.select("node", "low").join(counts, "node", "left"))
+    with scratch(docs.sparkSession) as kept:  # what is left at the end: a row each for documents and classes
+        blocks, mb = packed_blocks(docs, block_mb)
+        n_buckets = max(16, round(mb / block_mb))
+
+        found = prefixes(blocks, k, percent, n_buckets)
+        members = kept(found.where("bucket is null").select("doc_id", "block", "n", "rep"))
+        of_class = members.where("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"), F.max("block").alias("block"), F.min("doc_id").alias("low"))
+        of_class = written(of_class)
+        groups = components(candidate_edges(found))
+        parts = F.ceil(F.greatest(F.count("*") / limit, F.sum("n") / shingles)).cast("long")
+        large = groups.join(of_class, "node").groupBy("label").agg(parts.alias("parts")).where("parts > 1")
+        split = written(groups.join(large, "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts")))
+
+        def gather(block: int, blob: bytes, told: pa.Table) -> pa.Table:
+            ids, texts = block_texts(blob)
+            group = {n: (g, p) for n, g, p in zip(*(told[c].to_pylist() for c in ("node", "label", "parts")))}
+            rows = []
+            if group:
+                held, first = classes(block, ids, shingle_sets(texts, k))
+                text_of = {row: texts[row - (block << ROW_BITS)] for row in held}
+                for i, s in held.items():
+                    if i in group:
+                        g, p = group[i]
+                        c = int(np.bitwise_xor.reduce(mixed(s)) % np.uint64(p))
+                        for j in [c] if p == 1 else [j for j in range(p) if j != c]:
+                            rows.append((g, min(c, j), max(c, j), c, p - 1, i, text_of[i]))
+            return pa.table({f: pa.array([r[n] for r in rows], pa.binary() if f == "words" else pa.int64()) for n, f in enumerate(("label", "i", "j", "part", "last", "node", "words"))})
+
+        def solve(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by([("label", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+            key = np.stack([rows[c].to_numpy() for c in ("label", "i", "j")], 1)
+            node, part, data = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["words"]
+            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
+            label, links = np.empty(len(node), np.int64), np.zeros(len(node), np.int64)
+            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                numbers: dict[bytes, int] = {}
+                at = np.array([numbers.setdefault(s.tobytes(), len(numbers)) for s in shingle_sets([x.as_py() for x in data[a:e]], k)])
+                if len(numbers) == 1:
+                    label[a:e] = node[a]
+                    continue
+                first = np.unique(at, return_index=True)[1]
+                side = part[a:e][first]
+                i, j = key[a, 1], key[a, 2]
+                if i != j:  # links inside of part c count in one task: that of parts c and c + 1
+                    side = np.where((side == i) & (j == i + 1), 2 * side, np.where((side == j) & (i == 0) & (rows_last(rows, a) == j), 2 * side, -1 - side))
+                own, n = link_group([np.frombuffer(x, np.uint64) for x in numbers], side, percent)
+                label[a:e], links[a:e] = node[a:e][first][own[at]], n[at]
+            return pa.table({"node": node, "label": label, "links": links})
+
+        def rows_last(rows: pa.Table, a: int) -> int:
+            return rows["last"][a].as_py()
+
+        by_block = of_class.select("node", "block").join(split, "node")
+        fields = "label long, i long, j long, part long, last long, node long, words binary"
+        sent = answer_blocks(blocks, by_block, gather, fields)
+        slot = F.when(F.col("last") > 0, F.col("label")).otherwise(F.pmod(F.xxhash64("label", "i", "j"), F.lit(n_buckets * 2)))
+        solved = written(sent.groupBy(slot.alias("slot"), "i", "j").applyInArrow(solve, "node long, label long, links long"))
+        counts = solved.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
+        if large.limit(1).count():  # parts of split groups know their own links alone
+            counts = counts.drop("label").join(components(solved.select(F.col("node").alias("a"), F.col("label").alias("b"))), "node")
+        graded = kept(of_class.select("node", "low").join(counts, "node", "left"))
+
     least = graded.where("label is not null").groupBy("label").agg(F.min("low").alias("least"))
     named = graded.join(least, "label", "left").select(F.col("node").alias("rep"), "links", F.coalesce("least", "low").alias("component"))
     own = members.join(named, "rep", "left")
