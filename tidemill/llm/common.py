@@ -104,7 +104,7 @@ def with_text(docs: DataFrame) -> DataFrame:
 
 def to_blob(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
         out.write_table(batch.combine_chunks())
     return sink.getvalue().to_pybytes()
 

@@ -17,7 +17,7 @@ The automaton is never gathered anywhere. Every block of text sends its distinct
 training counts, to buckets by hash; the bucket adds up all blocks and answers each block with the
 counts that its own n-grams have, from which the block builds the states and arcs that its texts can
 reach. A block sends a row to every bucket, for each bucket knows a part of N and V. n-grams are told
-apart by 52-bit hashes.
+apart by 50-bit hashes.
 
 A null or empty text is its end token alone. Repeated rows count as often as they come. A null doc_id
 is split by the hash of the empty text. With no training text at all every word is unknown.
@@ -38,7 +38,7 @@ from tidemill.llm.common import answer_blocks, block_texts, each_block, hashed_t
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END, START = np.uint64(1), np.uint64(2)
-KEY_BITS = 54  #: 52 bits of a hash, then the n-gram's order less 1
+KEY_BITS = 52  #: 50 bits of a hash, then the n-gram's order less 1
 WORD, PAIR, TRIPLE = 0, 1, 2
 
 
@@ -79,6 +79,8 @@ class Grams:
         triple = mixed(np.concatenate(([START], pair[:-1]))[later] * odd + flat[later])
         keys = np.concatenate((keyed(flat, WORD), keyed(pair, PAIR), keyed(triple, TRIPLE)))
         self.keys, where = np.unique(keys, return_inverse=True)
+        del keys, before, pair, triple
+        where = where.astype(np.int32)
         self.times = np.bincount(where, weights=np.concatenate((train, train, train[later])).astype(float), minlength=len(self.keys)).astype(np.uint32)
         n = len(flat)
         self.word, self.pair, self.later, self.triple = where[:n], where[n : 2 * n], later, where[2 * n :]
@@ -172,18 +174,17 @@ class Automaton:
         return out
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as gaps, byte plane by byte plane."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, byte plane by byte plane; ascending keys come as gaps."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def scores(docs: DataFrame, held_part: int = 2, parts: int = 7, mu: tuple[float, float] = (100.0, 4.0), block_mb: float = 8.0, bucket_mb: float = 16.0) -> DataFrame:
+def scores(docs: DataFrame, held_part: int = 2, parts: int = 7, mu: tuple[float, float] = (100.0, 4.0), block_mb: float = 4.0, bucket_mb: float = 8.0) -> DataFrame:
     """Scores every row; rows whose id has crc32 mod `parts` equal to held_part teach nothing."""
     blocks, mb = packed_blocks(docs, block_mb)
     n_buckets = max(16, round(mb / bucket_mb))
@@ -196,34 +197,32 @@ def scores(docs: DataFrame, held_part: int = 2, parts: int = 7, mu: tuple[float,
         yield pa.RecordBatch.from_pydict({
             "block": pa.array([block] * n_buckets, pa.int64()), "bucket": pa.array(range(n_buckets), pa.int64()),
             "tokens": pa.array([int(g.counts[~g.out].sum())] * n_buckets, pa.int64()), "texts": pa.array([int((~g.out).sum())] * n_buckets, pa.int64()),
-            "keys": pa.array([packed(g.keys[x]) for x in each], pa.binary()), "times": pa.array([squeeze(g.times[x].tobytes()) for x in each], pa.binary()),
+            "keys": pa.array([packed(np.diff(g.keys[x], prepend=np.uint64(0))) for x in each], pa.binary()), "times": pa.array([squeeze(g.times[x].tobytes()) for x in each], pa.binary()),
         })
 
     def answer(rows: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
-        keys = [unpacked(k.as_py()) for k in rows["keys"]]
+        keys = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) for k in rows["keys"]]
         ends = np.cumsum([len(k) for k in keys])
         times = [np.frombuffer(open_(t.as_py()), np.uint32) for t in rows["times"]]
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
         total = np.bincount(where, weights=np.concatenate(times).astype(float), minlength=len(distinct)).astype(np.uint64)
         known = int(((distinct & np.uint64(3) == WORD) & (total > 0)).sum())
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         n, own = rows.num_rows, np.split(where, ends[:-1])
         return pa.table({
             "block": rows["block"], "bucket": rows["bucket"], "known": pa.array([known] * n, pa.int64()),
             "tokens": pa.array([sum(rows["tokens"].to_pylist())] * n, pa.int64()), "texts": pa.array([sum(rows["texts"].to_pylist())] * n, pa.int64()),
-            "totals": pa.array([squeeze(total[w].tobytes()) for w in own], pa.binary()),
+            "totals": pa.array([packed(total[w]) for w in own], pa.binary()),
         })
 
     def walk(block: int, blob: bytes, replies: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
         g = Grams(ids, texts, held_part, parts)
         cut = g.cuts(n_buckets)
-        open_ = zstandard.ZstdDecompressor().decompress
         total = np.zeros(len(g.keys))
         for b, data in zip(replies["bucket"].to_pylist(), replies["totals"]):
-            total[cut[b] : cut[b + 1]] = np.frombuffer(open_(data.as_py()), np.uint64)
+            total[cut[b] : cut[b + 1]] = unpacked(data.as_py())
         n_all, n_texts, known = replies["tokens"][0].as_py(), replies["texts"][0].as_py(), sum(replies["known"].to_pylist())
         count = total[g.word]
         base = np.log10((count + 1) / (n_all + known + 1))
