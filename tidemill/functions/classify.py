@@ -22,6 +22,25 @@ def beta_score(chg: Column, vr: Column, day: Column) -> Column:
     return F.greatest(F.lit(-6), F.least(F.lit(6), total)).cast("int")
 
 
+def quadrant(chg: Column, vr: Column) -> Column:
+    """State of price against volume; fixed bounds, the first test that holds decides."""
+    heavy, light = vr > 1.05, vr < 0.95
+    return (
+        F.when(chg.isNull() | vr.isNull(), "none").when(heavy & (chg > 2), "rising").when(heavy & (chg >= -2), "building").when(heavy, "falling")
+        .when(light & (chg > 2), "thin rise").when(chg > 0.5, "rising").when(chg < -0.5, "falling").when(vr > 1.0, "building").when(vr < 1.0, "falling").otherwise("none")
+    )
+
+
+def beta_status(b: Column) -> Column:
+    """State of a single score; fixed bounds."""
+    return F.coalesce(steps(b, [3, 1, -1, -3], ["strong", "firm", "neutral", "soft", "weak"]), F.lit("unknown"))
+
+
+def composite_status(b: Column) -> Column:
+    """State of the composite score; fixed bounds."""
+    return F.coalesce(steps(b, [6, 3, 1, -1, -6], ["strong", "leaning long", "neutral to long", "neutral", "leaning short", "weak"]), F.lit("unknown"))
+
+
 # Bounds and shares of the composite score.
 COMPOSITE_BOUNDS = [6, 3, 1, -1, -3, -6]
 COMPOSITE_SHARES = [115, 105, 95, 90, 75, 55, 40]

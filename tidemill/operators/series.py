@@ -27,9 +27,10 @@ def change_pct(c: str, n: int) -> Column:
 
 
 def volume_ratio(c: str, short: int = 5, long: int = 20) -> Column:
-    """Mean of the last `short` rows over the mean of those before them up to `long`; 1 if that is 0."""
-    before = moving_mean(c, long - short, short)
-    return F.when(before == 0, 1.0).otherwise(moving_mean(c, short) / before)
+    """Mean of the last `short` rows over the mean of those before them up to `long`; 1 if that is 0.
+    Sums are divided once, so whole volumes give the same ratio in any order of rows."""
+    before = full(F.sum(c).over(rows_back(long - 1, short)), long - short, short)
+    return F.when(before == 0, 1.0).otherwise(full(F.sum(c).over(rows_back(short - 1)), short) * ((long - short) / short) / before)
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -63,6 +64,18 @@ def ema_step(period: int):
     return lambda s, x: F.when(s.isNull(), x).otherwise(s * (1 - k) + x * k)
 
 
+def smoothed(rows: DataFrame, made: dict[str, tuple[str, float]]) -> DataFrame:
+    """rows with columns that smooth another from a symbol's first day on: name to (column, weight of the
+    new value). A group is one symbol's days, a row for each."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    def run(pdf):
+        pdf = pdf.sort_values("d")
+        return pdf.assign(**{name: pdf[c].ewm(alpha=a, adjust=False).mean() for name, (c, a) in made.items()})
+
+    return rows.groupBy("symbol").applyInPandas(run, StructType([*rows.schema, *(StructField(name, DoubleType()) for name in made)]))
+
+
 def macd(bars: DataFrame) -> DataFrame:
     """dif, dea and histogram of each symbol's last day; each average starts at its first value."""
     empty = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("fast", "slow", "dea")))
