@@ -11,21 +11,29 @@ FEE_SEGMENTS = [(None, 0.001, 0.0006, "par"), ("2015-08-01", 0.001, 0.00002, "am
 
 
 def fees(qty: Column, price: Column, sell: Column, day: Column, shanghai: Column, fund: Column) -> dict[str, Column]:
-    """Commission, stamp duty, transfer fee and their total, each rounded; by the segment of the day."""
+    """Commission, stamp duty, transfer fee and their total, each rounded; by the segment of the day.
+    qty is whole and price a decimal, so that half cents round the same way in any plan."""
 
     def segment(i: int) -> Column:
-        out = F.lit(FEE_SEGMENTS[0][i])
+        exact = lambda x: F.lit(f"{x:.5f}").cast("decimal(10,5)") if isinstance(x, float) else F.lit(x)
+        out = exact(FEE_SEGMENTS[0][i])
         for s in FEE_SEGMENTS[1:]:
-            out = F.when(day >= F.lit(s[0]).cast("date"), F.lit(s[i])).otherwise(out)
+            out = F.when(day >= F.lit(s[0]).cast("date"), exact(s[i])).otherwise(out)
         return out
 
     amount = qty * price
-    commission = F.greatest(amount * 2.5e-4, F.lit(5.0))
-    stamp = F.when(sell & ~fund, amount * segment(1)).otherwise(0.0)
-    transfer = F.when(segment(3) == "par", F.when(shanghai, qty * segment(2)).otherwise(0.0)).otherwise(amount * segment(2))
+    commission = F.greatest(amount * F.lit("0.00025").cast("decimal(10,5)"), F.lit(5).cast("decimal(10,0)"))
+    stamp = F.when(sell & ~fund, amount * segment(1)).otherwise(0)
+    transfer = F.when(segment(3) == "par", F.when(shanghai, qty * segment(2)).otherwise(0)).otherwise(amount * segment(2))
     return {"commission": F.round(commission, 2), "stamp": F.round(stamp, 2), "transfer": F.round(transfer, 2), "total": F.round(commission + stamp + transfer, 2)}
 
 
+def verdict(halted: Column, sell: Column, open_: Column, up: Column, down: Column, qty: Column, volume: Column, lot: int, share: float) -> Column:
+    """The first test that rejects an order at the open, else filled."""
+    at_up, at_down = (up > 0) & (open_ >= up * (1 - 1e-4)), (down > 0) & (open_ <= down * (1 + 1e-4))
+    return F.when(halted, "suspended").when(~sell & at_up, "limit up").when(sell & at_down, "limit down").when(~sell & (qty < lot), "lot").when(qty > volume * share, "volume cap").otherwise("filled")
+
+
 def fifo_pairs(fills: DataFrame) -> DataFrame:
     """symbol, buy_id, sell_id, qty: each sale paired with the oldest shares left. Purchases and sales
     are laid on the line of cumulative shares, where they overlap they pair; no sale may exceed the

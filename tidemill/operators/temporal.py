@@ -66,3 +66,14 @@ def islands(rows: DataFrame, by: str, start: str, end: str, gap_days: int) -> Da
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first in `order`, which must be total."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def later_days(rows: DataFrame, days: DataFrame, after: str, day: str) -> DataFrame:
+    """rows with every later day of a calendar: days are numbered once, and a row spans a sequence of
+    numbers, so nothing is compared in pairs. The calendar, a row a day, is numbered in one window."""
+    numbered = days.select(F.col(day), F.row_number().over(Window.orderBy(day)).alias("_i"))
+    line = numbered.select(F.col(day).alias(after), "_i").unionByName(rows.select(after).distinct().withColumn("_i", F.lit(None).cast("int")))
+    upto = line.select(after, F.coalesce(F.max("_i").over(Window.orderBy(after)), F.lit(0)).alias("_at")).distinct().groupBy(after).agg(F.max("_at").alias("_at"))
+    last = numbered.agg(F.max("_i").alias("_n"))
+    spread = rows.join(upto, after).crossJoin(F.broadcast(last)).where("_at < _n").withColumn("_i", F.explode(F.sequence(F.col("_at") + 1, F.col("_n"))))
+    return spread.join(numbered, "_i").drop("_i", "_at", "_n")
