@@ -3,8 +3,8 @@
 Documents are encoded word by word (white space always ends a token of this vocabulary, so equal
 words have equal ids and each is encoded once), dealt by doc_id ranges, and packed into shards. A
 shard is one row of a Parquet file: the bit-planes of its ids, from the highest bit down, each
-plane ordering the ids stably by the bits above, with the ones before every 512 bits (a sixteenth of the
-planes' size). Access, counting and occurrence lookup walk the planes by rank and select; they open
+plane ordering the ids stably by the bits above, with the ones before every 512 bits (a thirty-second of
+the planes' size in the file). Access, counting and occurrence lookup walk the planes by rank and select; they open
 the stretches of 16 KB they touch, each compressed by itself. Reading all ids opens every stretch.
 
 A null or empty text has the end id alone. Rows with equal doc_id stay next to each other; a null
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Numbered, looked_up, ranges, table, text_chunks, texts_of, with_text, written
+from tidemill.llm.common import Numbered, looked_up, ranges, scratch, table, text_chunks, texts_of, with_text, written
 
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 SHARD = "part long, shard long, n_ids long, doc_ids binary, known binary, sizes binary, matrix binary"
@@ -80,12 +80,16 @@ class WaveletMatrix:
             out[at] = own[block[at] % STRETCH]
         return out
 
-    def rank1(self, level: int, i: np.ndarray) -> np.ndarray:
-        """Ones of a plane before each position."""
-        words = self.blocks(level, i // BLOCK)
-        room = np.clip((i % BLOCK)[:, None] - np.arange(0, BLOCK, 64), 0, 64).astype(np.uint64)
+    def ranked(self, level: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones of a plane before each position, and the bit there (0 after the last)."""
+        words, inner = self.blocks(level, i // BLOCK), i % BLOCK
+        room = np.clip(inner[:, None] - np.arange(0, BLOCK, 64), 0, 64).astype(np.uint64)
         mask = np.where(room == 64, ~np.uint64(0), (np.uint64(1) << (room & np.uint64(63))) - np.uint64(1))
-        return self.ranks[level][i // BLOCK] + np.bitwise_count(words & mask).sum(1, dtype=np.int64)
+        bit = words[np.arange(len(i)), inner // 64] >> (inner % 64).astype(np.uint64) & np.uint64(1)
+        return self.ranks[level][i // BLOCK] + np.bitwise_count(words & mask).sum(1, dtype=np.int64), bit.astype(np.int64)
+
+    def rank1(self, level: int, i: np.ndarray) -> np.ndarray:
+        return self.ranked(level, i)[0]
 
     def select(self, level: int, up: int, k: np.ndarray) -> np.ndarray:
         """Where a plane has its k-th one, or zero, counted from 0."""
@@ -99,8 +103,7 @@ class WaveletMatrix:
         shape, i = np.shape(i), np.atleast_1d(np.asarray(i, np.int64)).ravel()
         value = np.zeros(len(i), np.int64)
         for level in range(self.bits):
-            before, after = self.rank1(level, i), self.rank1(level, i + 1)
-            bit = after - before
+            before, bit = self.ranked(level, i)
             i = np.where(bit == 1, self.zeros[level] + before, i - before)
             value = value * 2 + bit
         return value.reshape(shape)
@@ -111,7 +114,7 @@ class WaveletMatrix:
         if value >> self.bits:
             return a * 0, a * 0
         for level in range(self.bits):
-            low, high = self.rank1(level, a), self.rank1(level, b)
+            low, high = np.split(self.rank1(level, np.concatenate((a, b))), 2)
             a, b = (low + self.zeros[level], high + self.zeros[level]) if value >> (self.bits - 1 - level) & 1 else (a - low, b - high)
         return a, b
 
@@ -132,9 +135,8 @@ class WaveletMatrix:
     def tokens(self) -> np.ndarray:
         """All ids, from the last plane up."""
         ids = np.zeros(self.n, np.uint32)
-        open_ = zstandard.ZstdDecompressor().decompress
         for level in reversed(range(self.bits)):
-            plane = np.frombuffer(b"".join([open_(f) for f in self.frames[level]]), np.uint8)
+            plane = np.concatenate([self.stretch(level, k) for k in range(len(self.frames[level]))] or [np.zeros((0, BLOCK // 64), np.uint64)]).view(np.uint8).ravel()
             up = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(ids)
             zeros = int(self.zeros[level])
@@ -144,7 +146,7 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         """Number of planes, sizes of stretches and of the directory, the directory, the stretches."""
-        ranks = zstandard.ZstdCompressor(level=1).compress(self.ranks.astype("<u4").tobytes())
+        ranks = zstandard.ZstdCompressor(level=1).compress(np.diff(self.ranks, axis=1).astype("<u2").tobytes())
         flat = [f for own in self.frames for f in own]
         return np.array([self.bits, len(ranks), *map(len, flat)], "<u4").tobytes() + ranks + b"".join(flat)
 
@@ -154,7 +156,8 @@ class WaveletMatrix:
         blocks = -(-n // BLOCK)
         each = -(-blocks // STRETCH)
         head = 8 + 4 * bits * each
-        ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[head : head + size]), "<u4").reshape(bits, blocks + 1)
+        ones = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[head : head + size]), "<u2").reshape(bits, blocks)
+        ranks = np.concatenate((np.zeros((bits, 1), np.int64), np.cumsum(ones, 1, dtype=np.int64)), 1)
         ends = head + size + np.cumsum(np.frombuffer(data, "<u4", bits * each, 8), dtype=np.int64)
         cut = [head + size, *ends.tolist()]
         return cls([[data[cut[i] : cut[i + 1]] for i in range(level * each, (level + 1) * each)] for level in range(bits)], ranks, n)
@@ -313,7 +316,7 @@ def write_shards(tokens: DataFrame, shards: int, shard_ids: int = 1 << 20) -> Da
         pack.held = (0 if len(sizes) == 1 else pack.held) + sizes[-1]
         return pack.held >= limit
 
-    return written(tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, SHARD), 8 << 20)
+    return written(tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(pack, SHARD), 8 << 20, scratch_too=False)
 
 
 def shard_starts(files: DataFrame, group: int = 4096) -> DataFrame:
@@ -339,10 +342,11 @@ def read_shards(files: DataFrame, end_id: int = 1) -> DataFrame:
                 ids = matrix.tokens().astype("<u4").tobytes()
                 sizes = np.frombuffer(r["sizes"], np.int64)
                 ends = np.cumsum(sizes)
+                first, last = np.split(matrix.access(np.concatenate((ends - sizes, ends - 1))), 2)
                 crc = [zlib.crc32(ids[4 * a : 4 * e]) for a, e in zip((ends - sizes).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(np.frombuffer(r["doc_ids"], np.int64), mask=~np.frombuffer(r["known"], bool)), "start": pa.array(ends - sizes + r["base"]), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64()),
-                    "first_id": pa.array(matrix.access(ends - sizes)), "last_id": pa.array(matrix.access(ends - 1)), "end_ids": pa.array(matrix.count(end_id, ends - sizes, ends)),
+                    "first_id": pa.array(first), "last_id": pa.array(last), "end_ids": pa.array(matrix.count(end_id, ends - sizes, ends)),
                 })
 
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, last_id long, end_ids long"
@@ -366,9 +370,10 @@ def looked_up_tokens(files: DataFrame, token: int) -> DataFrame:
 
 def token_files(docs: DataFrame, path: str, end_id: int = 1, shard_ids: int = 1 << 20) -> DataFrame:
     """Encode docs and write the files; the DataFrame reads them (columns of SHARD)."""
-    tokens = written(token_rows(docs, path, end_id))
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    return write_shards(tokens, max(4, -(-total // (2 * shard_ids))), shard_ids)
+    with scratch(docs.sparkSession):  # the plain ids go once the files are written
+        tokens = written(token_rows(docs, path, end_id))
+        total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+        return write_shards(tokens, max(4, -(-total // (2 * shard_ids))), shard_ids)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
