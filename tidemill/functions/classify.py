@@ -77,3 +77,38 @@ def touches_up(close: Column, limit: Column) -> Column:
 
 def touches_down(close: Column, limit: Column) -> Column:
     return F.coalesce((limit > 0) & (close <= limit * (1 + 1e-4)), F.lit(False))
+
+
+# Code prefixes of indices and stocks, days from which fund limits widened.
+INDEX_PREFIX = "^(399|93|H3|98)"
+STOCK_PREFIX = "^(600|601|603|605|688|689|900|00|30|20|43|83|87|92)"
+STAR_FUNDS_FROM, GROWTH_FUNDS_FROM = "2019-07-22", "2020-08-24"
+
+
+def daily_table(symbol: Column) -> Column:
+    """Table of a symbol: index, stock or fund; a leading T of a delisted code does not count."""
+    code, suffix = F.regexp_replace(F.substring_index(symbol, ".", 1), r"^T(?=\d{6}$)", ""), F.substring_index(symbol, ".", -1)
+    index = suffix.isin("CSI", "CNI") | code.rlike(INDEX_PREFIX) | (code.startswith("000") & (suffix == "SH"))
+    return F.when(index, "index").when(code.rlike(STOCK_PREFIX), "stock").otherwise("fund")
+
+
+def is_fund(code: Column, suffix: Column) -> Column:
+    return F.when(suffix == "SH", code.startswith("5")).when(suffix == "SZ", code.rlike("^1[5678]")).otherwise(F.lit(False))
+
+
+def fund_kind(code: Column, suffix: Column) -> Column:
+    sh, sz = suffix == "SH", suffix == "SZ"
+    etf = (sh & code.rlike("^5[1235689]")) | (sz & code.rlike("^15[89]"))
+    return F.when(suffix == "OF", "outside").when(etf, "ETF").when((sh & code.startswith("50")) | (sz & code.rlike("^1[68]")), "LOF").otherwise("other")
+
+
+def fund_subclass(code: Column, name: Column) -> Column:
+    """By words of the name, then by the code."""
+    by_name = F.when(name.contains("Nasdaq"), "foreign").when(name.contains("cash"), "money").when(name.contains("gold"), "gold").when(name.contains("bond"), "bond")
+    return F.coalesce(by_name, F.when(code.startswith("513"), "foreign").when(code.startswith("511"), "bond").otherwise("stock"))
+
+
+def fund_limit(equity: Column, follows: Column, day: Column) -> Column:
+    since = lambda x: day >= F.lit(x).cast("date")
+    wide = (follows.contains("star") & since(STAR_FUNDS_FROM)) | (follows.contains("growth") & since(GROWTH_FUNDS_FROM))
+    return F.when(equity & wide, 0.2).otherwise(0.1)

@@ -52,7 +52,8 @@ def merge_keys(rows: DataFrame, keys: list[str], order: str, last: bool = False)
     return rows.groupBy(*keys).agg(*(pick(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in others))
 
 
-def drop_siblings(rows: DataFrame, clean: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """rows without those that clean holds with equal keys and values, nulls equal."""
-    cond = [rows[k] == clean[k] for k in keys] + [rows[v].eqNullSafe(clean[v]) for v in values]
-    return rows.join(clean, cond, "left_anti")
+def without_siblings(rows: DataFrame, clean: DataFrame, keys: list[str], values: list[str], malformed) -> DataFrame:
+    """rows without the malformed ones that clean holds with equal keys and values, nulls equal."""
+    a, b = rows.where(malformed), clean.select(*keys, *values).distinct()
+    cond = [a[k] == b[k] for k in keys] + [a[v].eqNullSafe(b[v]) for v in values]
+    return rows.where(~malformed).unionByName(a.join(b, cond, "left_anti"))

@@ -6,25 +6,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.temporal import asof_join
+
 # First day, stamp duty on sales, transfer rate, basis of the transfer fee.
 FEE_SEGMENTS = [(None, 0.001, 0.0006, "par"), ("2015-08-01", 0.001, 0.00002, "amount"), ("2022-04-29", 0.001, 0.00001, "amount"), ("2023-08-28", 0.0005, 0.00001, "amount")]
 
 
-def fees(qty: Column, price: Column, sell: Column, day: Column, shanghai: Column, fund: Column) -> dict[str, Column]:
+def fees(qty: Column, price: Column, sell: Column, day: Column, shanghai: Column, fund: Column, exact: bool = False) -> dict[str, Column]:
     """Commission, stamp duty, transfer fee and their total, each rounded; by the segment of the day.
-    qty is whole and price a decimal, so that half cents round the same way in any plan."""
+    qty is whole and price a decimal, so that half cents round the same way in any plan. exact: items as they are, without a total."""
 
     def segment(i: int) -> Column:
-        exact = lambda x: F.lit(f"{x:.5f}").cast("decimal(10,5)") if isinstance(x, float) else F.lit(x)
-        out = exact(FEE_SEGMENTS[0][i])
+        rate = lambda x: F.lit(f"{x:.5f}").cast("decimal(10,5)") if isinstance(x, float) else F.lit(x)
+        out = rate(FEE_SEGMENTS[0][i])
         for s in FEE_SEGMENTS[1:]:
-            out = F.when(day >= F.lit(s[0]).cast("date"), exact(s[i])).otherwise(out)
+            out = F.when(day >= F.lit(s[0]).cast("date"), rate(s[i])).otherwise(out)
         return out
 
     amount = qty * price
     commission = F.greatest(amount * F.lit("0.00025").cast("decimal(10,5)"), F.lit(5).cast("decimal(10,0)"))
     stamp = F.when(sell & ~fund, amount * segment(1)).otherwise(0)
     transfer = F.when(segment(3) == "par", F.when(shanghai, qty * segment(2)).otherwise(0)).otherwise(amount * segment(2))
+    if exact:
+        return {"commission": commission, "stamp": stamp, "transfer": transfer}
     return {"commission": F.round(commission, 2), "stamp": F.round(stamp, 2), "transfer": F.round(transfer, 2), "total": F.round(commission + stamp + transfer, 2)}
 
 
@@ -52,47 +56,62 @@ def fifo_pairs(fills: DataFrame) -> DataFrame:
 
 def liquidity_states(days: DataFrame, confirm: int = 3, recovery: int = 3) -> DataFrame:
     """d, raw, status: after a crisis `confirm` calm days still count as crisis, then `recovery` days
-    follow; a watch day inside of either starts it anew. A fold over one row a day."""
-    start = F.array(F.struct(F.lit(None).cast("date").alias("d"), F.lit("").alias("raw"), F.lit("").alias("status"), F.lit("IDLE").alias("phase"), F.lit(0).alias("n")))
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        phase, n, raw = last["phase"], last["n"] + 1, x["raw"]
-        crisis = (raw == "CRISIS") | ((raw == "WATCH") & (phase != "IDLE"))
-        entry = lambda status, ph, k: F.struct(x["d"].alias("d"), raw.alias("raw"), F.lit(status).alias("status"), F.lit(ph).alias("phase"), k.alias("n"))
-        zero = F.lit(0)
-        new = (
-            F.when(crisis, entry("CRISIS", "CONFIRM", zero)).when(raw == "WATCH", entry("WATCH", "IDLE", zero))
-            .when((phase == "CONFIRM") & (n < confirm), entry("CRISIS", "CONFIRM", n)).when(phase == "CONFIRM", entry("RECOVERY", "RECOVERY", zero))
-            .when((phase == "RECOVERY") & (n < recovery), entry("RECOVERY", "RECOVERY", n)).otherwise(entry("NORMAL", "IDLE", zero))
-        )
-        return F.concat(done, F.array(new))
-
-    rows = days.agg(F.sort_array(F.collect_list(F.struct("d", "raw"))).alias("x"))
-    return rows.select(F.explode(F.aggregate("x", start, step)).alias("r")).select("r.d", "r.raw", "r.status").where("d is not null")
+    follow; a watch day inside of either starts it anew. A state machine over a row a day of one market."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        phase, n, status = "IDLE", 0, []
+        pdf = pdf.sort_values("d")
+        for raw in pdf["raw"]:
+            n += 1
+            if raw == "CRISIS" or (raw == "WATCH" and phase != "IDLE"):
+                phase, n, now = "CONFIRM", 0, "CRISIS"
+            elif raw == "WATCH":
+                phase, n, now = "IDLE", 0, "WATCH"
+            elif phase == "CONFIRM" and n < confirm:
+                now = "CRISIS"
+            elif phase == "CONFIRM":
+                phase, n, now = "RECOVERY", 0, "RECOVERY"
+            elif phase == "RECOVERY" and n < recovery:
+                now = "RECOVERY"
+            else:
+                phase, n, now = "IDLE", 0, "NORMAL"
+            status.append(now)
+        return pdf.assign(status=status)[["d", "raw", "status"]]
+
+    return days.select("d", "raw", F.lit("all").alias("market")).groupBy("market").applyInPandas(walk, "d date, raw string, status string")
 
 
 def run_equal_weight(bars: DataFrame, runs: DataFrame, cash: float = 1e6, lot: int = 100) -> DataFrame:
-    """run_id, d, nav: at each month's first day a run spreads its value equally over its symbols in
-    whole lots at the close, with fees. bars: run_id, symbol, d, close. A run is one group: its days
-    follow one another; runs are dealt over the cluster."""
-
-    def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        prices = pdf.pivot_table(index="d", columns="symbol", values="close").sort_index().ffill()
-        money, held, month, out = cash, pd.Series(0.0, prices.columns), None, []
-        for d, row in prices.iterrows():
-            row = row.fillna(0.0)
-            if (d.year, d.month) != month:
-                month, value = (d.year, d.month), money + (held * row).sum()
-                open_ = row[row > 0]
-                target = pd.Series(0.0, prices.columns)
-                if len(open_):
-                    target[open_.index] = (value / len(open_) / open_ // lot) * lot
-                trade = (target - held).where(row > 0, 0.0)
-                amount = trade * row
-                cost = (amount.abs() * 2.5e-4).clip(lower=5.0)[trade != 0].sum() + (-amount.clip(upper=0)).sum() * 0.001
-                money, held = money - amount.sum() - cost, held + trade
-            out.append((pdf["run_id"].iloc[0], d, round(money + (held * row).sum(), 2)))
-        return pd.DataFrame(out, columns=["run_id", "d", "nav"])
-
-    return bars.join(runs, "symbol").groupBy("run_id").applyInPandas(simulate, "run_id long, d date, nav double")
+    """run_id, d, nav: on the first day of a month a run spreads its value equally over its symbols in
+    whole lots at their last close, with fees. bars: symbol, d, close; runs: symbol, run_id.
+
+    Only the months of a run follow one another: a task holds a run's price for each symbol and month
+    and folds them to holdings. Days are valued by a join of holdings with the day's price changes,
+    summed by run and day, and a running sum within the month."""
+    x = bars.join(runs, "symbol").withColumn("m", F.trunc("d", "month"))
+    opens = x.groupBy("run_id", "m").agg(F.min("d").alias("d"))
+    asked = runs.join(opens, "run_id").select("symbol", "run_id", "m", "d")
+    priced = asof_join(asked, bars, "symbol", "d", "close").where("close > 0")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        money, held, out = cash, pd.Series(dtype=float), []
+        for m, now in sorted(pdf.groupby("m"), key=lambda g: g[0]):
+            price = now.set_index("symbol")["close"].sort_index()
+            held = held.reindex(price.index, fill_value=0.0)
+            value = money + (held * price).sum()
+            target = (value / len(price) / price // lot) * lot
+            trade = target - held
+            amount = trade * price
+            cost = (amount.abs() * 2.5e-4).clip(lower=5.0)[trade != 0].sum() + (-amount.clip(upper=0)).sum() * 0.001
+            money, held = money - amount.sum() - cost, target
+            out.append(pd.DataFrame({"run_id": now["run_id"].iloc[0], "m": m, "symbol": target.index, "qty": target.to_numpy(), "at_open": money + (held * price).sum()}))
+        return pd.concat(out)
+
+    held = priced.groupBy("run_id").applyInPandas(fold, "run_id long, m date, symbol long, qty double, at_open double")
+    step = F.col("close") - F.coalesce(F.lag("close").over(Window.partitionBy("symbol").orderBy("d")), F.col("close"))
+    first = opens.withColumnRenamed("d", "d0")
+    moved = x.withColumn("step", step).join(first, ["run_id", "m"]).withColumn("step", F.when(F.col("d") > F.col("d0"), F.col("step")).otherwise(0.0))
+    day = moved.join(held, ["run_id", "m", "symbol"], "left").groupBy("run_id", "m", "d").agg(F.sum(F.coalesce(F.col("qty") * F.col("step"), F.lit(0.0))).alias("gain"))
+    level = held.groupBy("run_id", "m").agg(F.first("at_open").alias("at_open"))
+    nav = F.col("at_open") + F.sum("gain").over(Window.partitionBy("run_id", "m").orderBy("d"))
+    return day.join(level, ["run_id", "m"]).select("run_id", "d", F.round(nav, 2).alias("nav"))

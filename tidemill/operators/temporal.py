@@ -45,14 +45,24 @@ def interval_join(points: DataFrame, spans: DataFrame, by: str, at: str, start:
     return p.join(cut, [by, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("_bin")
 
 
+def interval_counts(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str) -> DataFrame:
+    """points with `n`, how many spans [start, end) of their key hold them: spans open and close on the
+    same line as the points, and a running sum counts the open ones. No pair is formed."""
+    line = points.withColumns({"_step": F.lit(0), "_kind": F.lit(1)})
+    for c, step in ((start, 1), (end, -1)):
+        line = line.unionByName(spans.where(F.col(c).isNotNull()).select(F.col(by), F.col(c).alias(at), F.lit(step).alias("_step"), F.lit(0).alias("_kind")), allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("n", F.sum("_step").over(w)).where("_kind = 1").select(*points.columns, "n")
+
+
 def nearest_before(left: DataFrame, right: DataFrame, by: str, on: str, other: str, days: int, order: list[Column]) -> DataFrame:
-    """For each left row the nearest right row of its key at most `days` earlier; ties by `order`."""
-    bins = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / (days + 1))
-    keyed = left.withColumn("_id", F.struct(*left.columns))
-    a = keyed.withColumn("_bin", F.explode(F.array(bins(F.col(on)), bins(F.col(on)) - 1)))
-    pairs = a.join(right.withColumn("_bin", bins(F.col(other))), [by, "_bin"]).where(F.datediff(on, other).between(0, days))
-    best = Window.partitionBy("_id").orderBy(F.datediff(on, other), *order)
-    return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_id", "_bin")
+    """For each left row the nearest right row of its key at most `days` earlier; of right rows of one
+    day the first by `order`. One line of both sides, so repeated left rows all stay; rows without a
+    near one are left out."""
+    carried = [c for c in right.columns if c != by]
+    one = latest_by(right, [by, other], order).select(by, F.col(other).alias(on), F.struct(*carried).alias("_near"))
+    x = asof_join(left, one, by, on, "_near", tolerance_days=days).where("_near is not null")
+    return x.select(*left.columns, *(F.col("_near")[c].alias(c) for c in carried))
 
 
 def islands(rows: DataFrame, by: str, start: str, end: str, gap_days: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import classify
 from tidemill.operators import maintenance, series, simulate, temporal
-from tidemill.sources.tables import calendar, daily_bars, load, read_range
+from tidemill.sources.tables import calendar, daily_bars, load
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -15,7 +15,7 @@ ORACLE_SQL: dict = {}
 BARS = """bars AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS d, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close,
  round(max(l_extendedprice / l_quantity), 6) AS high, round(min(l_extendedprice / l_quantity), 6) AS low, CAST(sum(l_quantity) AS DOUBLE) AS vol,
  round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1, 2)"""
-FACTORS = "factors AS (SELECT symbol, min(d) AS d, 1 + CAST(0.01 AS DOUBLE) * (year(min(d)) * 12 + month(min(d)) - 23900) AS factor FROM bars GROUP BY symbol, year(d), month(d))"
+FACTORS = "factors AS (SELECT symbol, min(d) AS d, 1 + CAST(0.01 AS DOUBLE) * (year(min(d)) * 12 + month(min(d)) - 23900) - CASE WHEN month(min(d)) = 6 THEN CAST(0.05 AS DOUBLE) ELSE 0 END AS factor FROM bars GROUP BY symbol, year(d), month(d))"
 
 
 def query(sql: str | None = None):
@@ -29,9 +29,9 @@ def query(sql: str | None = None):
 
 
 def factors(bars: DataFrame) -> DataFrame:
-    """A rising adjustment factor from each symbol's first day in a month on."""
+    """An adjustment factor from each symbol's first day in a month on, that rises but for June."""
     first = bars.groupBy("symbol", F.year("d").alias("y"), F.month("d").alias("m")).agg(F.min("d").alias("d"))
-    return first.select("symbol", "d", (1 + 0.01 * (F.col("y") * 12 + F.col("m") - 23900)).alias("factor"))
+    return first.select("symbol", "d", (1 + 0.01 * (F.col("y") * 12 + F.col("m") - 23900) - F.when(F.col("m") == 6, 0.05).otherwise(0.0)).alias("factor"))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
@@ -80,7 +80,7 @@ def monthly_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOW = "WINDOW w AS (PARTITION BY symbol ORDER BY d)"
 
 
-@query(f"""WITH {BARS}, x AS (SELECT symbol, d, (close / lag(close, 20) OVER w - 1) * 100 AS chg, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN avg(vol) OVER (w ROWS 4 PRECEDING) / avg(vol) OVER (w ROWS BETWEEN 19 PRECEDING AND 5 PRECEDING) END AS vr, (close / lag(close) OVER w - 1) * 100 AS day FROM bars {WINDOW}),
+@query(f"""WITH {BARS}, x AS (SELECT symbol, d, (close / lag(close, 20) OVER w - 1) * 100 AS chg, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN sum(vol) OVER (w ROWS 4 PRECEDING) * 3 / sum(vol) OVER (w ROWS BETWEEN 19 PRECEDING AND 5 PRECEDING) END AS vr, (close / lag(close) OVER w - 1) * 100 AS day FROM bars {WINDOW}),
 v AS (SELECT *, CASE WHEN abs(chg) > 1.5 THEN 2 * sign(chg) WHEN abs(chg) > 0.3 THEN sign(chg) ELSE 0 END AS a, CASE WHEN vr > 1.05 THEN sign(chg) WHEN vr < 0.95 THEN -abs(sign(chg)) ELSE 0 END AS b, CASE WHEN abs(day) > 4 THEN 2 * sign(day) WHEN abs(day) > 2 THEN sign(day) ELSE 0 END AS c FROM x)
 SELECT symbol, d, round(chg, 4) AS chg, round(vr, 4) AS vr, CAST(greatest(-6, least(6, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0))) AS INTEGER) AS beta FROM v""")
 def volume_and_beta_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,13 +122,17 @@ def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.divergence(daily_bars(spark, sf_dir), "close", "vol").select("symbol", "d", "signal")
 
 
-@query(f"""WITH {BARS}, {FACTORS}, l AS (SELECT symbol, max(factor) AS last FROM factors GROUP BY symbol) SELECT b.symbol, b.d, round(b.close * coalesce(f.factor, 1.0), 4) AS hfq, round(b.close * coalesce(f.factor, 1.0) / l.last, 4) AS qfq
-FROM bars b ASOF LEFT JOIN factors f ON b.symbol = f.symbol AND b.d >= f.d JOIN l ON l.symbol = b.symbol""")
+@query(f"""WITH {BARS}, {FACTORS}, q AS (SELECT * FROM factors WHERE month(d) IN (1, 4, 7, 10) AND symbol > 2), l AS (SELECT symbol, max_by(factor, d) AS last, min_by(factor, d) AS first FROM q GROUP BY symbol)
+SELECT b.symbol, b.d, round(b.close * coalesce(f.factor, l.first, 1.0), 4) AS hfq, round(b.close * coalesce(f.factor, l.first, 1.0) / coalesce(l.last, 1.0), 4) AS qfq FROM bars b ASOF LEFT JOIN q f ON b.symbol = f.symbol AND b.d >= f.d LEFT JOIN l ON l.symbol = b.symbol""")
 def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices times the factor of their day, forward and backward adjusted. Factors come in quarter months
+    and not for every symbol: before a symbol's first factor that one counts, without factors 1."""
     b = daily_bars(spark, sf_dir)
-    f = factors(b)
-    x = temporal.asof_join(b, f, "symbol", "d", "factor", first_as_fallback=True, default=1.0).join(f.groupBy("symbol").agg(F.max("factor").alias("last")), "symbol")
-    return x.select("symbol", "d", F.round(F.col("close") * F.col("factor"), 4).alias("hfq"), F.round(F.col("close") * F.col("factor") / F.col("last"), 4).alias("qfq"))
+    f = factors(b).where("month(d) in (1, 4, 7, 10) and symbol > 2")
+    last = f.groupBy("symbol").agg(F.max_by("factor", "d").alias("last"))
+    x = temporal.asof_join(b, f, "symbol", "d", "factor", first_as_fallback=True, default=1.0).join(last, "symbol", "left")
+    hfq = F.col("close") * F.col("factor")
+    return x.select("symbol", "d", F.round(hfq, 4).alias("hfq"), F.round(hfq / F.coalesce("last", F.lit(1.0)), 4).alias("qfq"))
 
 
 @query(f"""WITH {BARS}, {FACTORS} SELECT b.symbol, b.d, round(f.factor, 6) AS strict, round(CASE WHEN date_diff('day', t.d, b.d) <= 5 THEN t.factor END, 6) AS near, round(n.factor, 6) AS ahead
@@ -141,18 +145,31 @@ def asof_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "strict", "near", "ahead", digits=6)
 
 
-SPANS = "spans AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 20 AS INTEGER) AS e FROM orders WHERE o_orderkey % 3 = 0)"
+SPANS = "spans AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 20 AS INTEGER) AS e FROM orders)"
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = load(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), (30 + F.col("o_orderkey") % 20).cast("int")).alias("e"))
 
 
 @query(f"WITH {SPANS} SELECT o_orderkey, count(*) AS n FROM orders JOIN spans ON o_custkey = k AND CAST(o_orderdate AS DATE) >= s AND CAST(o_orderdate AS DATE) < e GROUP BY 1")
 def interval_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.to_date("o_orderdate").alias("d"))
-    return temporal.interval_join(points, spans(spark, sf_dir), "k", "d", "s", "e").groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    """How many spans of its customer each order lies in, counted by opened and closed spans."""
+    return temporal.interval_counts(points, spans(spark, sf_dir), "k", "d", "s", "e").where("n > 0").select("o_orderkey", "n")
+
+
+@query("""WITH x AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE) AS e, o_orderstatus AS name FROM orders), m AS (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS d FROM orders)
+SELECT DISTINCT k, d FROM x JOIN m ON d >= s AND (e IS NULL OR d < e) WHERE name = 'P'""")
+def marked_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month ends on which a customer's span of one kind is open; the last span has no end."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = load(spark, sf_dir, "orders")
+    x = o.select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.to_date(F.lead("o_orderdate").over(w)).alias("e"), "o_orderstatus").where("o_orderstatus = 'P'")
+    months = o.select(F.last_day(F.to_date("o_orderdate")).alias("d")).distinct()
+    points = x.select("k").distinct().crossJoin(F.broadcast(months))  # some hundred month ends
+    return temporal.interval_join(points, x.select("k", "s", "e"), "k", "d", "s", "e").select("k", "d").distinct()
 
 
 @query(f"""WITH {SPANS}, x AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans), y AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e) AS i FROM x)
@@ -214,20 +231,20 @@ def topk_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 3").select("d", "symbol", "amount")
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 1)
+@query("""WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'F')
 SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM b UNION ALL SELECT o_orderkey, round(o_totalprice, 2) FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)""")
 def upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    b = o.where("o_orderkey % 2 = 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return rounded(maintenance.upsert(o.where("o_orderkey % 2 = 0 or o_orderkey % 5 = 0"), b, ["o_orderkey"]), "o_totalprice", digits=2)
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    b = o.where("o_orderstatus <> 'F'").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return rounded(maintenance.upsert(o.where("o_orderstatus <> 'O'"), b, ["o_orderkey"]).drop("o_orderstatus"), "o_totalprice", digits=2)
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 4 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderstatus <> 'P')
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'touched' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v""")
 def keyed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    b = o.where("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("v")))
-    return maintenance.changes(o.where("k % 3 <> 0"), b, ["k"], ["v"])
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderstatus")
+    b = o.where("o_orderstatus <> 'P'").withColumn("v", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("v")))
+    return maintenance.changes(o.where("o_orderstatus <> 'O'"), b, ["k"], ["v"])
 
 
 @query("SELECT count(*) AS n, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS key_dups FROM lineitem")
@@ -236,9 +253,9 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.agg(F.sum("count").alias("n"), F.sum(F.col("count") - 1).alias("key_dups"))
 
 
-@query("""WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) SELECT c.d, max(c.d) OVER (PARTITION BY year(c.d), month(c.d)) = c.d AS month_last FROM c ANTI JOIN s ON s.d = c.d + 3""")
+@query("""WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45) SELECT c.d, max(c.d) OVER (PARTITION BY year(c.d), month(c.d)) = c.d AS month_last FROM c ANTI JOIN s ON s.d = c.d + 3""")
 def calendar_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = load(spark, sf_dir, "lineitem").select(F.date_sub(F.to_date("l_shipdate"), 3).alias("d")).distinct()
+    done = load(spark, sf_dir, "lineitem").where("l_returnflag = 'N' and l_quantity > 45").select(F.date_sub(F.to_date("l_shipdate"), 3).alias("d")).distinct()
     month = Window.partitionBy(F.year("d"), F.month("d"))
     return calendar(spark, sf_dir).join(done, "d", "left_anti").withColumn("month_last", F.max("d").over(month) == F.col("d"))
 
@@ -250,15 +267,6 @@ def bar_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("symbol").agg(F.count("*").alias("days"), some((F.col("high") < F.col("close") - 1e-6) | (F.col("low") > F.col("close") + 1e-6)).alias("bad_range"), F.sum((F.col("vol").isNull() | (F.col("vol") <= 0)).cast("long")).alias("bad_volume"), some((F.col("q") > 1.1) | (F.col("q") < 0.9)).alias("jumps"))
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, round(l_extendedprice / l_quantity, 4) AS p, l_linestatus = 'F' AS sell, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), x AS (SELECT *, greatest(q * p * 0.00025, 5) AS c, CASE WHEN sell THEN q * p * 0.001 ELSE 0 END AS s, q * 0.0006 AS t FROM f)
-SELECT d, count(*) AS n, round(sum(c), 2) AS commission, round(sum(s), 2) AS stamp, round(sum(t), 2) AS transfer FROM x GROUP BY d""")
-def fees_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_range(spark, sf_dir, "lineitem", "1990-01-01", "1997-12-31", ["l_quantity", "l_extendedprice", "l_linestatus", "l_shipdate"])
-    q, p = F.col("l_quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
-    sell = F.col("l_linestatus") == "F"
-    return li.groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count("*").alias("n"), F.round(F.sum(F.greatest(q * p * 2.5e-4, F.lit(5.0))), 2).alias("commission"), F.round(F.sum(F.when(sell, q * p * 0.001).otherwise(0.0)), 2).alias("stamp"), F.round(F.sum(q * 0.0006), 2).alias("transfer"))
-
-
 @query("SELECT CAST(i AS BIGINT) AS fold, i * 60 AS train_from, i * 60 + 250 AS test_from, i * 60 + 250 + 60 AS test_to FROM (SELECT unnest(generate_series(0, (SELECT (count(DISTINCT CAST(o_orderdate AS DATE)) - 310) // 60 FROM orders))) AS i)")
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = calendar(spark, sf_dir).agg(F.count("*").alias("n"))
@@ -268,6 +276,6 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def equal_weight_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = daily_bars(spark, sf_dir)
-    runs = b.select("symbol", F.explode(F.array(*(F.when(F.col("symbol") % k == 0, F.lit(k).cast("long")) for k in (2, 3, 5)))).alias("run_id")).where("run_id is not null").distinct()
-    return simulate.run_equal_weight(b.select("symbol", "d", "close"), runs)
+    """Net value of a run for every nation, over its symbols and all days."""
+    runs = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").cast("long").alias("run_id"))
+    return simulate.run_equal_weight(daily_bars(spark, sf_dir).select("symbol", "d", "close"), runs)

@@ -36,6 +36,14 @@ def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("symbol", "d", *(v.alias(k) for k, v in items.items())).groupBy("symbol", "d").agg(F.count("*").alias("n"), *(F.sum(k).cast("double").alias(k) for k in items))
 
 
+@query(f"""WITH {FILLS}, {ITEMS} SELECT d, count(*) AS n, CAST(round(sum(commission), 2) AS DOUBLE) AS commission, CAST(round(sum(stamp), 2) AS DOUBLE) AS stamp, CAST(round(sum(transfer), 2) AS DOUBLE) AS transfer FROM items GROUP BY d""")
+def fees_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost items of all fills of a day, added up in decimals and rounded once."""
+    items = simulate.fees(F.col("q"), F.col("p"), F.col("sell"), F.col("d"), F.col("shanghai"), F.col("fund"), exact=True)
+    sums = {k: F.round(F.sum(items[k]), 2).cast("double").alias(k) for k in ("commission", "stamp", "transfer")}
+    return fills(spark, sf_dir).groupBy("d").agg(F.count("*").alias("n"), *sums.values())
+
+
 @query(f"""WITH {FILLS}, x AS (SELECT symbol, round(q * p * CAST(0.001 AS DECIMAL(10, 5)), 2) AS flat FROM fills) SELECT symbol, CAST(sum(flat) AS DOUBLE) AS flat, 0.0::DOUBLE AS zero FROM x GROUP BY symbol""")
 def flat_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat share of the amount, and no cost at all."""
