@@ -16,25 +16,91 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str] | None, order: l
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
+def _path(spark, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark, path: str) -> bool:
+    where, files = _path(spark, path)
+    return files.exists(where)
+
+
+def remove(spark, path: str) -> None:
+    where, files = _path(spark, path)
+    files.delete(where, True)
+
+
 def upsert_by_year(spark, path: str, new: DataFrame, keys: list[str], date: str) -> None:
     """Upsert into a table partitioned by year; only years that `new` touches are rewritten, from a
-    staged copy. A missing date column or a null date is an error."""
+    staged copy that is removed afterwards. A missing date column or a null date is an error."""
     if date not in new.columns:
         raise ValueError(f"no column {date}")
     new = new.withColumn("year", F.year(date))
     if new.where(F.col("year").isNull()).limit(1).count():
         raise ValueError(f"null in {date}")
-    years = [r.year for r in new.select("year").distinct().collect()]
-    try:
-        old = spark.read.parquet(path).where(F.col("year").isin(years)).select(new.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, path):
         new.write.partitionBy("year").parquet(path)
         return
+    years = [r.year for r in new.select("year").distinct().collect()]  # a row a year
+    old = spark.read.parquet(path).where(F.col("year").isin(years)).select(new.columns)
+    replace_partitions(spark, path, upsert(old, new, keys), "year")
+
+
+def replace_partitions(spark, path: str, rows: DataFrame, by: str) -> None:
+    """Rewrite the partitions that rows have, through a staged copy."""
     staged = f"{path}_staged"
-    upsert(old, new, keys).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    try:
+        rows.write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    finally:
+        remove(spark, staged)
+
+
+def upsert_grouped(spark, path: str, new: DataFrame, group: str, keys: list[str]) -> None:
+    """Upsert into a table with a partition for each value of `group`; a table laid out by year is refused."""
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        if "year" in old.columns and group != "year":
+            raise ValueError("the table is laid out by year")
+        touched = new.select(group).distinct()
+        rows = upsert(old.join(F.broadcast(touched) if touched.count() < 100_000 else touched, group, "left_semi").select(new.columns), new, keys)
+        replace_partitions(spark, path, rows, group)
+    else:
+        new.write.partitionBy(group).parquet(path)
+
+
+def to_year_partitions(spark, path: str, target: str, dates: list[str], dry_run: bool = False) -> int:
+    """Lay a table out by the year of the first of `dates` that is not null; a copy with another number
+    of rows is removed and an error raised. Gives the rows; dry_run counts alone."""
+    rows = spark.read.parquet(path)
+    year = F.coalesce(*(F.year(c) for c in dates if c in rows.columns))
+    n = rows.count()
+    if dry_run:
+        return n
+    if rows.where(year.isNull()).limit(1).count():
+        raise ValueError("a row without a year")
+    rows.withColumn("year", year).write.partitionBy("year").parquet(target)
+    if spark.read.parquet(target).count() != n:
+        remove(spark, target)
+        raise ValueError("the copy has another number of rows")
+    return n
+
+
+def aligned(frames: list[DataFrame]) -> list[DataFrame]:
+    """The frames with one order of columns and one type for each, as common_schema decides."""
+    from tidemill.sources.tables import common_schema
+
+    schema = common_schema(frames)
+    return [f.select(*(F.col(c).cast(t).alias(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in schema.items())) for f in frames]
+
+
+def normalized(rows: DataFrame, names: dict[str, str], date: str, day=None) -> DataFrame:
+    """Source rows renamed, with a day put in where they lack one, without null days and repeats."""
+    out = rows.withColumnsRenamed(names)
+    if date not in out.columns:
+        out = out.withColumn(date, F.lit(day).cast("date"))
+    return out.where(F.col(date).isNotNull()).distinct()
 
 
 def changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

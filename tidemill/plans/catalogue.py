@@ -167,8 +167,9 @@ def marked_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = load(spark, sf_dir, "orders")
     x = o.select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.to_date(F.lead("o_orderdate").over(w)).alias("e"), "o_orderstatus").where("o_orderstatus = 'P'")
-    months = o.select(F.last_day(F.to_date("o_orderdate")).alias("d")).distinct()
-    points = x.select("k").distinct().crossJoin(F.broadcast(months))  # some hundred month ends
+    last = o.agg(F.last_day(F.to_date(F.max("o_orderdate"))).alias("last"))  # one row
+    own = x.groupBy("k").agg(F.min(F.trunc("s", "month")).alias("a")).join(F.broadcast(last), F.lit(True))
+    points = own.select("k", F.explode(F.sequence("a", "last", F.expr("interval 1 month"))).alias("m")).select("k", F.last_day("m").alias("d"))
     return temporal.interval_join(points, x.select("k", "s", "e"), "k", "d", "s", "e").select("k", "d").distinct()
 
 

@@ -108,3 +108,16 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(ts AS DATE) AS d, event_type AS symbol, count(*) AS vol, round(sum(value), 4) AS amount, round(max(value), 4) AS high, round(min(value), 4) AS low FROM events GROUP BY 1, 2")
 def stream_daybars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.day_bars(spark, f"{sf_dir}/events.parquet"), "amount", "high", "low")
+
+
+@query("SELECT CAST(ts AS DATE) AS d, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users of a day: the stream keeps one event of each user and day."""
+    rows = events.deduped(spark, f"{sf_dir}/events.parquet", ["user_id", "ts"])
+    return rows.groupBy(F.to_date("ts").alias("d")).agg(F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS last_type, round(max_by(value, (ts, event_id)), 4) AS last_value, count(*) AS n FROM events GROUP BY user_id")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, kept up by a stream."""
+    return rounded(events.latest_states(spark, f"{sf_dir}/events.parquet", "user_id"), "last_value")
