@@ -7,8 +7,10 @@
 4. decontaminate drops documents that hold a window of a benchmark item.
 5. pieces encodes and decodes what is left.
 
-All stages but the last return the columns of documents; n_chars follows the text. Null texts fail
-the first stage.
+All stages but the last return the columns of documents; n_chars follows the text. Null and empty texts
+fail the first stage. Rows are told apart by keys of their own, so rows that share a doc_id, or have
+none, are judged each by its text; exact repeats are near copies, of which one row stays. Columns of
+any name pass through. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -20,38 +22,42 @@ from tidemill.llm.common import shared_folder, table, written
 from tidemill.llm.decontaminate import without_hits
 from tidemill.llm.jaccard import linked
 from tidemill.llm.pieces import coded
-from tidemill.llm.quality import judged, learned_rules
+from tidemill.llm.quality import kept_rows, learned_rules
 from tidemill.llm.substring import remove_repeats
 
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rules = learned_rules(docs, table(spark, sf_dir, "labels"))
-    return judged(docs, rules).where("_kept").select(*docs.columns)
+    """The documents that neither the base nor the learned list rejects."""
+    return kept_rows(docs, learned_rules(docs, table(spark, sf_dir, "labels")))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = linked(keyed.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
-    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
+    """One row of every group of near copies, the one of the smallest doc_id, null last, first row first."""
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    groups = linked(keyed.select(F.col("key").alias("doc_id"), "row.text"), k=5, percent=80).select(F.col("doc_id").alias("key"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "key")
+    first = groups.join(keyed.select("key", F.struct("row.doc_id").alias("row")), "key").groupBy("component_id").agg(F.min(order)["key"].alias("key"))
+    return keyed.join(first, "key", "left_semi").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the words of repeated windows; a document left without words stays, empty."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = remove_repeats(docs, texts_too=True, carry=carry)
     types = dict(docs.dtypes)
-    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept")} | {c: F.col(f"carried_{c}") for c in carry}
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept")} | {c: F.col(f"`carried_{c}`") for c in carry}
     return found.select(*(new[c].cast(types[c]).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no window of a benchmark item occurs."""
     return without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts."""
     import public_tokenizers
 
     return coded(docs, public_tokenizers.path("piece_bpe_32k.model"))

@@ -3,7 +3,7 @@
 import random
 
 from tidemill.llm.language import learned, predicted, spans
-from tidemill.llm.toxicity import fitted, scored
+from tidemill.llm.toxicity import LabelModel, fitted, op8_toxicity, scored, stratum
 
 VOCABULARY = {"xx": [a + b for a in ("ba", "do", "ki") for b in ("lan", "mor", "tis", "vek", "zul")], "yy": [a + b for a in ("sché", "grö", "wü") for b in ("nçht", "pfü", "rxë")], "zz": [a + b for a in ("ма", "ло") for b in ("кот", "рин", "дуб")]}
 
@@ -27,6 +27,99 @@ def test_toxicity(spark):
     assert {x.score for x in scored(docs, *fitted(docs, train.limit(0))).collect()} and scored(docs.limit(0), 0.0, {}, [0] * 4).count() == 0
 
 
+def test_label_model():
+    """Posteriors by enumeration of the classes; the fit does not lose likelihood and finds the made class."""
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    y = g.random(6000) < 0.2
+    votes = np.stack([np.where(y, g.random(6000) < p, g.random(6000) < q) for p, q in ((0.7, 0.02), (0.6, 0.03), (0.65, 0.01), (0.3, 0.25))], 1).astype(int)
+    votes = np.c_[votes, votes[:, 3] ^ (g.random(6000) < 0.1)]  # a voter that mostly follows another
+    kinds, count = np.unique(votes, axis=0, return_counts=True)
+    strata = np.zeros(len(kinds), int)
+    fits = [LabelModel(kinds, strata, count.astype(float), 0.1, 3, rounds, trust=0.0) for rounds in (2, 6, 12, 40)]
+
+    def joint(m, v):
+        """P(class, votes) of one pattern, voter by voter."""
+        out = [1 - m.prior, m.prior]
+        for c in (0, 1):
+            for i, x in enumerate(v):
+                p = m.table[c, 0, v[m.parent[i]] if m.parent[i] >= 0 else 0, i]
+                out[c] *= p if x else 1 - p
+        return out
+
+    for m in fits:
+        both = np.array([joint(m, v) for v in kinds])
+        assert np.allclose(m.posterior(kinds, strata), both[:, 1] / both.sum(1))
+    whole = [sum(n * np.log(sum(joint(m, v))) for v, n in zip(kinds, count)) for m in fits]
+    assert whole[0] <= whole[1] + 1 and whole[2] <= whole[3] + 1
+    m = fits[-1]
+    assert m.parent[4] == 3 or m.parent[3] == 4  # the tree joins the two that go together
+    found = dict(zip(map(tuple, kinds.tolist()), m.posterior(kinds, strata)))
+    right = np.mean([(found[tuple(v)] >= 0.5) == t for v, t in zip(votes.tolist(), y)])
+    assert right > 0.93 and abs(m.prior - y.mean()) < 0.05
+    assert [stratum(n) for n in (0, 31, 32, 63, 64, 511, 512, 10**6)] == [0, 0, 1, 1, 2, 4, 5, 5]
+
+
+def test_toxicity_query(spark, tmp_path):
+    """The registered query: columns, held-out rows by the hash of the id, predictions by the score."""
+    import zlib
+
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        words = r.choices([f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrstuvwx"], k=50)
+        toxic = int(i % 5 == 0)
+        if toxic:
+            words[3:5] = ["vile", "rotten"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = op8_toxicity(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    got = {x.doc_id: x for x in df.collect()}
+    assert all(x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and x.predicted == int(x.score >= 0.5) for i, x in got.items())
+    assert sum(got[i].predicted == t for i, _, t in labels) >= 396
+
+
+def test_language_by_hand(spark):
+    """Word scores, path and share recomputed from the counts in plain Python."""
+    import math
+    import zlib
+    from collections import Counter
+
+    r = random.Random(9)
+    train = [(i, " ".join(r.choices(VOCABULARY[lang], k=12)), lang) for i in range(60) for lang in [("xx", "yy", "zz")[i % 3]]]
+    asked = [(100, "balan domor grönçht kitis"), (101, "макот лорин balan"), (102, "schépfü"), (103, "q")]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = learned(docs, sample=6000, penalty=3.0)
+    slots = lambda w: [zlib.crc32(f"^{w}$"[i : i + 3].encode()) % (1 << 16) for i in range(len(w))]
+    counts = {x: Counter() for x in ("xx", "yy", "zz")}
+    for _, t, lang in train:
+        for w in t.lower().split():
+            counts[lang].update(slots(w))
+    allowed = lambda w: ["zz"] if w[0] > "\u0400" else ["xx", "yy"]
+
+    def scores_of(w):
+        raw = [sum(math.log((counts[x][s] + 0.1) / sum(counts[y][s] + 0.1 for y in counts)) for s in slots(w)) if x in allowed(w) else -math.inf for x in ("xx", "yy", "zz")]
+        top = max(raw)
+        norm = math.log(sum(math.exp(v - top) for v in raw))
+        return [max(v - top - norm, -50) for v in raw]
+
+    for x in predicted(spark.createDataFrame(asked, "doc_id long, text string"), model).collect():
+        words = dict(asked)[x.doc_id].split()
+        path = plain_viterbi([scores_of(w) for w in words], 3.0)
+        best = min(range(3), key=lambda i: (-path.count(i), i))
+        assert (x.lang_pred, round(x.score, 9)) == (("xx", "yy", "zz")[best], round(path.count(best) / len(words), 9)), x
+
+
+def test_rare_language_is_learned(spark):
+    rows = [(i, "balan domor kitis", "xx") for i in range(500)] + [(1000, "schépfü grönçht würxë", "yy")]
+    model = learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=40)
+    assert model.names == ["xx", "yy"]
+
+
 def test_language(spark):
     r = random.Random(6)
     rows = [(i, " ".join(r.choices(VOCABULARY[lang], k=r.randint(3, 80))), lang) for i in range(240) for lang in [("xx", "yy", "zz")[i % 3]]]

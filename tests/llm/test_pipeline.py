@@ -45,3 +45,26 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert sorted(map(str, (tuple(x)[:2] for x in kept.collect()))) == sorted(map(str, want))
     after = corpus_pipeline.substring_dedup(spark, kept, str(tmp_path))
     assert sorted(map(str, (tuple(x)[:2] for x in after.collect()))) == sorted(map(str, want))
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, extra columns with the names that stages use, a very long text, empty texts and repeats."""
+    r = random.Random(8)
+    vocabulary = [a + b + c for a in ("ba", "de", "fi", "go") for b in ("lo", "mu", "na", "pe") for c in ("r", "s", "t", "nd")]
+    text = lambda n: " ".join(r.choices(vocabulary, k=n))
+    long, a = text(60_000), text(90)
+    rows = [(1, long), (2, a), (2, a), (None, text(80)), (3, ""), (4, None), (5, " \n ")]
+    fields = "doc_id long, text string, n_chars long, _m string, _kept int, _words string, row string, key long, block long, bucket string, kept string, n_removed string"
+    docs = spark.createDataFrame([(i, t, len(t or ""), "m", 7, "w", "r", 1, 2, "b", "k", "n") for i, t in rows], fields)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for now, want in ((docs.repartition(2), {(1, long), (2, a), (None, rows[3][1])}), (docs.limit(0), set())):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, str(tmp_path))
+            assert out.schema.simpleString() == docs.schema.simpleString(), name
+            path = f"{tmp_path}/{name}-{len(want)}"
+            out.write.parquet(path)
+            now = spark.read.parquet(path)
+            assert all(tuple(x)[3:] == ("m", 7, "w", "r", 1, 2, "b", "k", "n") for x in now.collect()), name
+        assert {(x.doc_id, x.text) for x in now.collect()} == want
+        assert corpus_pipeline.pieces(spark, now, str(tmp_path)).count() == len(want)

@@ -3,7 +3,8 @@
 A word's script leaves the languages that use it; hashed letter trigrams score the word in each; the
 best path through a text's words, paying for each change of language, labels its spans. The text's
 language is the one with most words; the score is their share. Training counts trigrams of a sample
-of at most `sample` labelled documents, chosen by hash.
+of at most `sample` labelled documents, spread evenly over the languages and chosen by hash, so a rare
+language is learned from all it has.
 
 A text that is null or has no letter gets `und` and score 0, as do all texts if nothing was learned.
 Ties go to the language whose name sorts first. Rows with null lang teach nothing.
@@ -20,7 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Numbered, digest_bucket, looked_up, ranges, table, text_chunks, with_text
@@ -163,8 +164,15 @@ def gain_or_loss(score: np.ndarray, path: np.ndarray) -> np.ndarray:
 
 def learned(docs: DataFrame, sample: int = 6000, penalty: float = 12.0) -> LanguageModel:
     """A model from at most `sample` rows with text and lang; counts are added up by Spark."""
-    chosen = docs.where("text is not null and lang is not null").select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    rows = docs.where("lang is not null").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", F.col("text").cast("string").alias("text"))
+    labelled = docs.where("text is not null and lang is not null").withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30))
+    seen = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = seen.count()
+    if langs > sample:
+        raise ValueError(f"{langs} languages, but only {sample} rows to learn from")
+    each = sample // max(1, langs)
+    likely = labelled.join(F.broadcast(seen), "lang").where(F.col("u") < F.lit(1.5 * each + 50) / F.col("n"))  # a row a language, `sample` at most
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "text"))
+    rows = likely.select("lang", "doc_id", "u", F.col("text").cast("string").alias("text")).withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str, int], int] = Counter()

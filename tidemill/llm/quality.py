@@ -214,6 +214,12 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return measured(docs).withColumn("_kept", verdict(rules))
 
 
+def kept_rows(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs that the list keeps, all columns as they are, whatever their names."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    return judged(packed, rules).where("_kept").select("row.*")
+
+
 def learned_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
     return learn(labelled_rows(docs, labels, sample))
 

@@ -96,11 +96,13 @@ class LabelModel:
     """Hidden class with voters in a tree, by strata; fitted to counts of distinct vote patterns.
 
     votes: a row of 0 and 1 for each pattern. strata: its stratum. weight: how many texts have it.
-    prior: share of the class at the start. speaking: the first so many voters speak for the class."""
+    prior: share of the class at the start. speaking: the first so many voters speak for the class; that
+    they seldom do so outside of it is known beforehand, as `trust` times the texts there are in which
+    they would do so at the rate `slips`. Without it a text with a single vote is taken for a slip."""
 
-    def __init__(self, votes: np.ndarray, strata: np.ndarray, weight: np.ndarray, prior: float, speaking: int, rounds: int = 40):
+    def __init__(self, votes: np.ndarray, strata: np.ndarray, weight: np.ndarray, prior: float, speaking: int, rounds: int = 40, trust: float = 3.0, slips: float = 5e-4):
         votes = np.asarray(votes, float)
-        self.m = votes.shape[1]
+        self.m, self.speaking, self.trust, self.slips = votes.shape[1], np.arange(votes.shape[1]) < speaking, trust, slips
         self.parent = np.full(self.m, -1)
         self.prior = min(max(prior, 1e-4), 0.5)
         post = np.where(votes[:, :speaking].sum(1) > 0, 0.9, 0.02)  # a lexicon speaks for toxic until the fit says otherwise
@@ -139,10 +141,11 @@ class LabelModel:
         for y, w in ((0, weight * (1 - post)), (1, weight * post)):
             for s in range(STRATA):
                 own = np.where(strata == s, w, 0.0)
-                mean = ((own @ votes) + 0.1) / (own.sum() + 0.2)
+                known = self.speaking * self.trust * own.sum() * (1 - y)
+                mean = ((own @ votes) + 0.1 + known * self.slips) / (own.sum() + 0.2 + known)
                 for a in (0, 1):
                     given = own[:, None] * (above == a)
-                    self.table[y, s, a] = ((given * votes).sum(0) + 2 * mean) / (given.sum(0) + 2)
+                    self.table[y, s, a] = ((given * votes).sum(0) + (2 + known) * mean) / (given.sum(0) + 2 + known)
 
     def posterior(self, votes: np.ndarray, strata: np.ndarray) -> np.ndarray:
         """Probability of the class for each row of votes."""

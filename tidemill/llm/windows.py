@@ -193,7 +193,7 @@ def repeated_windows(
         return result
 
     for c in carry:
-        schema += f", carried_{c} {dict(docs.dtypes)[c]}"
+        schema += f", `carried_{c}` {dict(docs.dtypes)[c]}"
 
     sent = blocks.mapInArrow(each_block(send), SENT)
     by_bucket = sent.groupBy("bucket")
