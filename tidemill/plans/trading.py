@@ -23,9 +23,9 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ITEMS = """items AS (SELECT symbol, d, q, q * p AS amount, greatest(q * p * CAST(0.00025 AS DECIMAL(10, 5)), 5) AS commission,
- CASE WHEN sell AND NOT fund THEN q * p * CASE WHEN d >= DATE '2023-08-28' THEN CAST(0.0005 AS DECIMAL(10, 5)) ELSE CAST(0.001 AS DECIMAL(10, 5)) END ELSE 0 END AS stamp,
- CASE WHEN d < DATE '2015-08-01' THEN CASE WHEN shanghai THEN q * CAST(0.0006 AS DECIMAL(10, 5)) ELSE 0 END WHEN d < DATE '2022-04-29' THEN q * p * CAST(0.00002 AS DECIMAL(10, 5)) ELSE q * p * CAST(0.00001 AS DECIMAL(10, 5)) END AS transfer FROM fills)"""
+ITEMS = """items AS (SELECT symbol, d, q, CAST(q AS DECIMAL(8, 0)) * p AS amount, greatest(CAST(q AS DECIMAL(8, 0)) * p * CAST(0.00025 AS DECIMAL(10, 5)), 5) AS commission,
+ CASE WHEN sell AND NOT fund THEN CAST(q AS DECIMAL(8, 0)) * p * CASE WHEN d >= DATE '2023-08-28' THEN CAST(0.0005 AS DECIMAL(10, 5)) ELSE CAST(0.001 AS DECIMAL(10, 5)) END ELSE 0 END AS stamp,
+ CASE WHEN d < DATE '2015-08-01' THEN CASE WHEN shanghai THEN CAST(q AS DECIMAL(8, 0)) * CAST(0.0006 AS DECIMAL(10, 5)) ELSE 0 END WHEN d < DATE '2022-04-29' THEN CAST(q AS DECIMAL(8, 0)) * p * CAST(0.00002 AS DECIMAL(10, 5)) ELSE CAST(q AS DECIMAL(8, 0)) * p * CAST(0.00001 AS DECIMAL(10, 5)) END AS transfer FROM fills)"""
 
 
 @query(f"""WITH {FILLS}, {ITEMS} SELECT symbol, d, count(*) AS n, CAST(sum(round(commission, 2)) AS DOUBLE) AS commission, CAST(sum(round(stamp, 2)) AS DOUBLE) AS stamp, CAST(sum(round(transfer, 2)) AS DOUBLE) AS transfer, CAST(sum(round(commission + stamp + transfer, 2)) AS DOUBLE) AS total FROM items GROUP BY symbol, d""")
@@ -44,10 +44,10 @@ def fees_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(spark, sf_dir).groupBy("d").agg(F.count("*").alias("n"), *sums.values())
 
 
-@query(f"""WITH {FILLS}, x AS (SELECT symbol, round(q * p * CAST(0.001 AS DECIMAL(10, 5)), 2) AS flat FROM fills) SELECT symbol, CAST(sum(flat) AS DOUBLE) AS flat, 0.0::DOUBLE AS zero FROM x GROUP BY symbol""")
+@query(f"""WITH {FILLS}, x AS (SELECT symbol, round(CAST(q AS DECIMAL(8, 0)) * p * CAST(0.001 AS DECIMAL(10, 5)), 2) AS flat FROM fills) SELECT symbol, CAST(sum(flat) AS DOUBLE) AS flat, 0.0::DOUBLE AS zero FROM x GROUP BY symbol""")
 def flat_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat share of the amount, and no cost at all."""
-    flat = F.round(F.col("q") * F.col("p") * F.lit("0.00100").cast("decimal(10,5)"), 2)
+    flat = F.round(F.col("q").cast("decimal(8,0)") * F.col("p") * F.lit("0.00100").cast("decimal(10,5)"), 2)
     return fills(spark, sf_dir).groupBy("symbol").agg(F.sum(flat).cast("double").alias("flat")).withColumn("zero", F.lit(0.0))
 
 
