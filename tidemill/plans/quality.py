@@ -128,10 +128,10 @@ def cc5_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market(spark, sf_dir).groupBy("symbol").agg(*(count_if(F.col(c).isNull() | (F.col(c) <= 0)).alias(k) for c, k in (("vol", "bad_volume"), ("amount", "bad_amount"))))
 
 
-@query(f"WITH {MARKET}, l AS (SELECT symbol, d, close, round(pre * 1.1, 2) AS up, round(pre * 0.9, 2) AS down FROM mk WHERE pre > 0) SELECT symbol, count(*) AS checked, count(*) FILTER (close > up * 1.005 OR close < down * 0.995) AS bad FROM l GROUP BY symbol")
+@query(f"WITH {MARKET}, l AS (SELECT symbol, d, close, round(pre * 1.1 + 1e-8, 2) AS up, round(pre * 0.9 + 1e-8, 2) AS down FROM mk WHERE pre > 0) SELECT symbol, count(*) AS checked, count(*) FILTER (close > up * 1.005 OR close < down * 0.995) AS bad FROM l GROUP BY symbol")
 def cc5b_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closes beyond the stated limits by over half a hundredth."""
-    l = market(spark, sf_dir).where("pre > 0").select("symbol", "close", F.round(F.col("pre") * 1.1, 2).alias("up"), F.round(F.col("pre") * 0.9, 2).alias("down"))  # noqa: E741
+    l = market(spark, sf_dir).where("pre > 0").select("symbol", "close", F.round(F.col("pre") * 1.1 + 1e-8, 2).alias("up"), F.round(F.col("pre") * 0.9 + 1e-8, 2).alias("down"))  # noqa: E741
     return l.groupBy("symbol").agg(F.count("*").alias("checked"), count_if((F.col("close") > F.col("up") * 1.005) | (F.col("close") < F.col("down") * 0.995)).alias("bad"))
 
 
@@ -160,14 +160,14 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rule", "n", F.array_join("few.at", ",").alias("examples"), (F.col("rule") != "volume").alias("blocking"))
 
 
-@query(f"""WITH {MARKET}, p AS (SELECT symbol, d, pre, CASE WHEN regexp_matches(code, '^(300|301|302|688|689)') THEN 0.2 WHEN regexp_matches(code, '^(4|8|920)') THEN 0.3 WHEN st AND d < DATE '1999-07-06' THEN 0.05 ELSE 0.1 END AS lim, halted, st, close, coalesce(pos >= gone_pos, FALSE) AS gone, CASE WHEN pos % 11 <> 0 THEN round(pre * 1.1, 2) END AS up_given, CASE WHEN pos % 11 <> 0 THEN round(pre * 0.9, 2) END AS down_given FROM mk),
-q AS (SELECT *, coalesce(up_given, round(pre * (1 + lim), 2)) AS up, coalesce(down_given, round(pre * (1 - lim), 2)) AS down FROM p) SELECT symbol, d, round(up, 2) AS up, round(down, 2) AS down, halted, st, gone, coalesce(up > 0 AND close >= up * (1 - 1e-4), FALSE) AS at_up, coalesce(down > 0 AND close <= down * (1 + 1e-4), FALSE) AS at_down FROM q""")
+@query(f"""WITH {MARKET}, p AS (SELECT symbol, d, pre, CASE WHEN regexp_matches(code, '^(300|301|302|688|689)') THEN 0.2 WHEN regexp_matches(code, '^(4|8|920)') THEN 0.3 WHEN st AND d < DATE '1999-07-06' THEN 0.05 ELSE 0.1 END AS lim, halted, st, close, coalesce(pos >= gone_pos, FALSE) AS gone, CASE WHEN pos % 11 <> 0 THEN round(pre * 1.1 + 1e-8, 2) END AS up_given, CASE WHEN pos % 11 <> 0 THEN round(pre * 0.9 + 1e-8, 2) END AS down_given FROM mk),
+q AS (SELECT *, coalesce(up_given, round(pre * (1 + lim) + 1e-8, 2)) AS up, coalesce(down_given, round(pre * (1 - lim) + 1e-8, 2)) AS down FROM p) SELECT symbol, d, round(up, 2) AS up, round(down, 2) AS down, halted, st, gone, coalesce(up > 0 AND close >= up * (1 - 1e-4), FALSE) AS at_up, coalesce(down > 0 AND close <= down * (1 + 1e-4), FALSE) AS at_down FROM q""")
 def state_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits (given, or from the close before and the board), halts, ST, delisting and touched limits of a day."""
     board = classify.board(F.col("code"))
     lim = F.when(board.isin("gem", "star"), 0.2).when(board == "bse", 0.3).when(F.col("st") & (F.col("d") < F.lit("1999-07-06").cast("date")), 0.05).otherwise(0.1)
-    given = lambda x: F.when(F.col("pos") % 11 != 0, F.round(F.col("pre") * x, 2))
-    q = market(spark, sf_dir).withColumns({"up": F.coalesce(given(1.1), F.round(F.col("pre") * (1 + lim), 2)), "down": F.coalesce(given(0.9), F.round(F.col("pre") * (1 - lim), 2))})
+    given = lambda x: F.when(F.col("pos") % 11 != 0, F.round(F.col("pre") * x + 1e-8, 2))
+    q = market(spark, sf_dir).withColumns({"up": F.coalesce(given(1.1), F.round(F.col("pre") * (1 + lim) + 1e-8, 2)), "down": F.coalesce(given(0.9), F.round(F.col("pre") * (1 - lim) + 1e-8, 2))})
     at_up, at_down = classify.touches_up(F.col("close"), F.col("up")), classify.touches_down(F.col("close"), F.col("down"))
     return q.select("symbol", "d", "up", "down", "halted", "st", F.coalesce(F.col("pos") >= F.col("gone_pos"), F.lit(False)).alias("gone"), at_up.alias("at_up"), at_down.alias("at_down"))
 

@@ -9,16 +9,17 @@ from tidemill.operators import series, simulate, temporal
 from tidemill.plans.catalogue import BARS, query, rounded
 from tidemill.sources.tables import daily_bars, load
 
-#: Fills: a shipped line each, 20 years later so that all four fee segments occur. q whole, p in cents.
-FILLS = """fills AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS symbol, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(12, 2)) AS p, l_linestatus = 'F' AS sell,
+#: Fills: a shipped line each, 20 years later so that all four fee segments occur. q whole, p in whole cents.
+FILLS = """fills AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS symbol, CAST(l_quantity AS BIGINT) AS q, CAST(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS DECIMAL(12, 0)) * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(12, 2)) AS p, l_linestatus = 'F' AS sell,
  CAST(CAST(l_shipdate AS DATE) + INTERVAL 20 YEAR + INTERVAL 1 DAY AS DATE) AS d, l_suppkey % 2 = 0 AS shanghai, l_suppkey % 5 = 0 AS fund FROM lineitem)"""
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, s = load(spark, sf_dir, "lineitem"), F.col("l_suppkey")
     day = F.date_add(F.add_months(F.to_date("l_shipdate"), 240), 1)
+    cents = F.expr("cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint)")
     return li.select(
-        "l_orderkey", "l_linenumber", "l_partkey", s.alias("symbol"), F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(12,2)").alias("p"),
+        "l_orderkey", "l_linenumber", "l_partkey", s.alias("symbol"), F.col("l_quantity").cast("long").alias("q"), (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)").alias("p"),
         (F.col("l_linestatus") == "F").alias("sell"), day.alias("d"), (s % 2 == 0).alias("shanghai"), (s % 5 == 0).alias("fund"),
     )
 
@@ -53,7 +54,7 @@ def flat_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FILLS}, {BARS}, v AS (SELECT symbol, CAST(d + INTERVAL 20 YEAR + INTERVAL 1 DAY AS DATE) AS d, vol, r FROM (SELECT symbol, d, vol, stddev_samp(close) OVER (PARTITION BY symbol ORDER BY d ROWS 19 PRECEDING) / close AS r FROM bars)),
 x AS (SELECT l_orderkey, l_linenumber, l_partkey, f.symbol, CAST(p AS DOUBLE) AS p, CASE WHEN sell THEN -1 ELSE 1 END AS side, q, coalesce(r, 0.02) AS r, vol FROM fills f JOIN v USING (symbol, d))
-SELECT symbol, count(*) AS n, round(avg(p + side * 0.01), 4) AS fixed, round(avg(p * (1 + side * 0.001)), 4) AS share, round(avg(p * (1 + side * least(0.1 * r * sqrt(q / vol), 0.02))), 4) AS impact FROM x GROUP BY symbol""")
+SELECT symbol, count(*) AS n, round(avg(p + side * 0.01) + 1e-8, 4) AS fixed, round(avg(p * (1 + side * 0.001)) + 1e-8, 4) AS share, round(avg(p * (1 + side * least(0.1 * r * sqrt(q / vol), 0.02))) + 1e-8, 4) AS impact FROM x GROUP BY symbol""")
 def slippages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices moved by a tick, by a share, and by the root of the share of the day's volume, up to a cap."""
     v = daily_bars(spark, sf_dir).select("symbol", F.date_add(F.add_months("d", 240), 1).alias("d"), "vol", (F.stddev_samp("close").over(series.rows_back(19)) / F.col("close")).alias("r"))
@@ -61,7 +62,7 @@ def slippages(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("sell"), -1).otherwise(1)
     impact = F.least(0.1 * F.coalesce("r", F.lit(0.02)) * F.sqrt(F.col("q") / F.col("vol")), F.lit(0.02))
     made = {"fixed": F.col("p") + side * 0.01, "share": F.col("p") * (1 + side * 0.001), "impact": F.col("p") * (1 + side * impact)}
-    return x.groupBy("symbol").agg(F.count("*").alias("n"), *(F.round(F.avg(e), 4).alias(k) for k, e in made.items()))
+    return x.groupBy("symbol").agg(F.count("*").alias("n"), *(F.round(F.avg(e) + 1e-8, 4).alias(k) for k, e in made.items()))
 
 
 DAY_TOTAL = "t AS (SELECT symbol, d, sum(q) AS day FROM fills GROUP BY symbol, d)"
@@ -126,12 +127,12 @@ def risk_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("m", "symbol", verdict.alias("verdict"), F.round(F.least("weight", F.lit(0.15)), 6).alias("weight"))
 
 
-@query(f"""WITH {BARS}, {WEIGHTS}, s AS (SELECT b.d, sum(CAST(round(close, 2) AS DECIMAL(12, 2)) * target) AS held, sum(CAST(round(o.weight * 1e8, 2) AS DECIMAL(18, 2))) AS given FROM bars b JOIN o ON o.symbol = b.symbol AND o.m = date_trunc('month', b.d)::DATE GROUP BY b.d) SELECT d, CAST(held AS DOUBLE) AS held, round(CAST(held AS DOUBLE) / CAST(given AS DOUBLE), 4) AS share FROM s""")
+@query(f"""WITH {BARS}, {WEIGHTS}, s AS (SELECT b.d, sum(CAST(round(close + 1e-8, 2) AS DECIMAL(12, 2)) * target) AS held, sum(CAST(round(o.weight * 1e8, 2) AS DECIMAL(18, 2))) AS given FROM bars b JOIN o ON o.symbol = b.symbol AND o.m = date_trunc('month', b.d)::DATE GROUP BY b.d) SELECT d, CAST(held AS DOUBLE) AS held, round(CAST(held AS DOUBLE) / CAST(given AS DOUBLE), 4) AS share FROM s""")
 def month_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value of each day's priced holdings of the month."""
     o = month_weights(spark, sf_dir)
     x = daily_bars(spark, sf_dir).withColumn("m", F.trunc("d", "month")).join(o, ["symbol", "m"])
-    worth = F.sum(F.round("close", 2).cast("decimal(12,2)") * F.col("target"))
+    worth = F.sum(F.round(F.col("close") + 1e-8, 2).cast("decimal(12,2)") * F.col("target"))
     s = x.groupBy("d").agg(worth.alias("held"), F.sum(F.round(F.col("weight") * 1e8, 2).cast("decimal(18,2)")).alias("given"))
     return s.select("d", F.col("held").cast("double").alias("held"), F.round(F.col("held").cast("double") / F.col("given").cast("double"), 4).alias("share"))
 
