@@ -124,7 +124,9 @@ class Shard:
 def item_blocks(items: DataFrame, items_mb: float) -> tuple[DataFrame, list[int]]:
     """The benchmark in blocks of the shared folder, and their numbers."""
     named = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = packed_blocks(named.coalesce(1), items_mb, ("item_id", "text"))[0]
+    held = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    few = named.coalesce(1 + int(held / (items_mb * (1 << 20))))  # about a block for each partition
+    blocks = packed_blocks(few, items_mb, ("item_id", "text"))[0]
     return blocks, [r.block for r in blocks.select("block").orderBy("block").collect()]
 
 
