@@ -28,32 +28,40 @@ from tidemill.llm.substring import remove_repeats
 ORACLE_SQL = None
 
 
+def plainly_named(docs: DataFrame) -> DataFrame:
+    """docs under names by place, but for the columns that stages use: other names may hold dots and quotes."""
+    return docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither the base nor the learned list rejects."""
-    return kept_rows(docs, learned_rules(docs, table(spark, sf_dir, "labels")))
+    plain = plainly_named(docs)
+    return kept_rows(plain, learned_rules(plain, table(spark, sf_dir, "labels"))).toDF(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near copies, the one of the smallest doc_id, null last, first row first."""
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    plain = plainly_named(docs)
+    keyed = written(plain.select(F.monotonically_increasing_id().alias("key"), F.struct(*plain.columns).alias("row")))
     groups = linked(keyed.select(F.col("key").alias("doc_id"), "row.text"), k=5, percent=80).select(F.col("doc_id").alias("key"), "component_id")
     order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "key")
     first = groups.join(keyed.select("key", F.struct("row.doc_id").alias("row")), "key").groupBy("component_id").agg(F.min(order)["key"].alias("key"))
-    return keyed.join(first, "key", "left_semi").select("row.*")
+    return keyed.join(first, "key", "left_semi").select("row.*").toDF(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the words of repeated windows; a document left without words stays, empty."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = remove_repeats(docs, texts_too=True, carry=carry)
-    types = dict(docs.dtypes)
-    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept")} | {c: F.col(f"`carried_{c}`") for c in carry}
-    return found.select(*(new[c].cast(types[c]).alias(c) for c in docs.columns))
+    plain = plainly_named(docs)
+    carry = tuple(c for c in plain.columns if c not in ("doc_id", "text", "n_chars"))
+    found = remove_repeats(plain, texts_too=True, carry=carry)
+    types = dict(plain.dtypes)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept")} | {c: F.col(f"carried_{c}") for c in carry}
+    return found.select(*(new[c].cast(types[c]).alias(c) for c in plain.columns)).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no window of a benchmark item occurs."""
-    return without_hits(docs, table(spark, sf_dir, "benchmark"))
+    return without_hits(plainly_named(docs), table(spark, sf_dir, "benchmark")).toDF(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
