@@ -68,3 +68,26 @@ def test_odd_tables(spark, tmp_path):
             assert all(tuple(x)[3:] == ("m", 7, "w", "r", 1, 2, "b", "k", "n") for x in now.collect()), name
         assert {(x.doc_id, x.text) for x in now.collect()} == want
         assert corpus_pipeline.pieces(spark, now, str(tmp_path)).count() == len(want)
+
+
+def test_odd_names_meet_rules_and_items(spark, tmp_path):
+    """Columns whose names hold dots, quotes and prefixes of our own, through stages in which rows are
+    rejected, merged, cut and dropped."""
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    item, passage, one = text(14), text(50), text(90)
+    rows = [(1, one), (2, one), (3, text(80)), (4, text(70) + " " + item + " " + text(9)), (5, passage + " " + text(70)), (6, text(70) + " " + passage), (7, "| < > # * " * 40)]
+    names = ["a.b", "q`r", "carried_x", "x", "column_0", "row.text"]
+    fields = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names)
+    docs = spark.createDataFrame([(i, t, len(t), *range(10 * i, 10 * i + 6)) for i, t in rows], fields).repartition(2)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert all(tuple(x)[3:] == tuple(range(10 * x.doc_id, 10 * x.doc_id + 6)) for x in now.collect()), name
+    found = {x.doc_id: len(x.text.split()) for x in now.collect()}
+    assert found == {1: 90, 3: 80, 5: 70, 6: 70}
