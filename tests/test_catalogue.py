@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import inference, maintenance, simulate, temporal
-from tidemill.plans import actions, audits, catalogue, indicators, metrics, quality, research, trading  # noqa: F401  register their queries
+from tidemill.plans import actions, audits, catalogue, indicators, metrics, quality, research, trading, trials  # noqa: F401  register their queries
 from tidemill.sources.tables import union_all
 
 SF = "/root/testdata/sf0.001"

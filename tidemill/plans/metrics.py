@@ -1,11 +1,11 @@
-"""Performance metrics, inference on Sharpe ratios, resampling, grids and walk-forward folds."""
+"""Performance metrics, grids and walk-forward folds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import inference, series
+from tidemill.operators import series
 from tidemill.plans.catalogue import BARS, query, rounded
 from tidemill.sources.tables import calendar, daily_bars, load
 
@@ -76,23 +76,6 @@ def crisis_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("symbol", "name").agg(F.count("*").alias("days"), F.round(F.exp(F.sum(F.log1p("r"))) - 1, 4).alias("ret"))
 
 
-PHI = "(0.5 * (1 + sign(z) * (1 - (0.254829592 * k - 0.284496736 * k * k + 1.421413741 * pow(k, 3) - 1.453152027 * pow(k, 4) + 1.061405429 * pow(k, 5)) * exp(-z * z / 2))))"
-
-
-@query(f"""WITH {BARS}, {RET}, a AS (SELECT symbol, count(r) AS n, avg(r) / stddev_samp(r) AS sr, avg(r) AS m, var_pop(r) AS v FROM r WHERE r IS NOT NULL GROUP BY symbol), b AS (SELECT symbol, any_value(n) AS n, any_value(sr) AS sr, avg(pow(r - m, 3)) / pow(any_value(v), 1.5) AS skew, avg(pow(r - m, 4)) / pow(any_value(v), 2) AS kurt FROM r JOIN a USING (symbol) WHERE r IS NOT NULL GROUP BY symbol),
-s AS (SELECT *, sqrt((1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1)) AS se FROM b), t AS (SELECT count(*) AS trials, sqrt(var_samp(sr)) AS spread FROM s), e AS (SELECT s.*, spread * (0.42278433509846725 * 2.5 + 0.5772156649015329 * 3.0) AS best FROM s, t), z AS (SELECT *, sr / se AS z0, (sr - best) / se AS z1 FROM e)
-SELECT symbol, round(sr, 4) AS sharpe, round(se, 4) AS se, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round((SELECT {PHI} FROM (SELECT z0 AS z, 1 / (1 + 0.3275911 * abs(z0) / sqrt(2)) AS k)), 4) AS psr, round((SELECT {PHI} FROM (SELECT z1 AS z, 1 / (1 + 0.3275911 * abs(z1) / sqrt(2)) AS k)), 4) AS dsr FROM z""")
-def sharpe_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standard error, probability that a Sharpe ratio is above 0, and above the best of many by chance.
-    Quantiles of the normal law stand for the number of trials, as plain values."""
-    b = returns(spark, sf_dir).where("r is not null").groupBy("symbol").agg(F.count("*").alias("n"), (F.avg("r") / F.stddev_samp("r")).alias("sr"), F.skewness("r").alias("skew"), (F.kurtosis("r") + 3).alias("kurt"))
-    s = b.withColumn("se", F.sqrt(F.expr("(1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1)")))
-    best = s.agg((F.stddev_samp("sr") * inference.best_of(2.5, 3.0)).alias("best"))  # one row
-    z = s.crossJoin(F.broadcast(best))
-    out = z.select("symbol", F.col("sr").alias("sharpe"), "se", "skew", "kurt", inference.normal_cdf(F.col("sr") / F.col("se")).alias("psr"), inference.normal_cdf((F.col("sr") - F.col("best")) / F.col("se")).alias("dsr"))
-    return rounded(out, "sharpe", "se", "skew", "kurt", "psr", "dsr")
-
-
 @query(f"""WITH {BARS}, g AS (SELECT f, s FROM (SELECT unnest([3, 5, 10]) AS f), (SELECT unnest([10, 20, 40]) AS s) WHERE f < s), x AS (SELECT f, s, symbol, d, close / lag(close) OVER w - 1 AS r, CASE f WHEN 3 THEN avg(close) OVER (w ROWS 2 PRECEDING) WHEN 5 THEN avg(close) OVER (w ROWS 4 PRECEDING) ELSE avg(close) OVER (w ROWS 9 PRECEDING) END AS fast,
 CASE s WHEN 10 THEN avg(close) OVER (w ROWS 9 PRECEDING) WHEN 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) ELSE avg(close) OVER (w ROWS 39 PRECEDING) END AS slow FROM bars, g WINDOW w AS (PARTITION BY f, s, symbol ORDER BY d)), y AS (SELECT f, s, r, lag(round(fast, 9) > round(slow, 9)) OVER (PARTITION BY f, s, symbol ORDER BY d) AS held FROM x),
 o AS (SELECT f, s, round(avg(r) / stddev_samp(r), 4) AS score, count(*) AS days FROM y WHERE held GROUP BY f, s) SELECT f, s, score, days, row_number() OVER (ORDER BY score DESC NULLS LAST, f, s) AS place FROM o""")
@@ -169,20 +152,3 @@ def delisted_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = h.groupBy("run", "d").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "q"))).alias("held"))  # one customer's day
     x = maps.select("run", "d", F.explode("held").alias("symbol", "q")).where(F.col("d") > F.date_add(F.lit("1997-01-01").cast("date"), (F.col("symbol") * 5).cast("int")))
     return x.groupBy("run").agg(F.count("*").alias("held_after"), F.sum("q").alias("shares"), F.min("d").alias("since"))
-
-
-def resampled_check(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    r = returns(spark, sf_dir).where("r is not null").select("symbol", "d", "r")
-    return inference.bootstrap_mean(r, 200, 7) if how == "bootstrap" else inference.sign_test(r, 200, 7)
-
-
-@query()
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean return with the 5 and 95 percent points of 200 resamples; seeded, tested by its moments."""
-    return resampled_check(spark, sf_dir, "bootstrap")
-
-
-@query()
-def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided share of 200 sign flips whose mean is at least as far from 0, and the mean's place among them."""
-    return resampled_check(spark, sf_dir, "sign")
