@@ -123,3 +123,24 @@ def without_siblings(rows: DataFrame, clean: DataFrame, keys: list[str], values:
     a, b = rows.where(malformed), clean.select(*keys, *values).distinct()
     cond = [a[k] == b[k] for k in keys] + [a[v].eqNullSafe(b[v]) for v in values]
     return rows.where(~malformed).unionByName(a.join(b, cond, "left_anti"))
+
+
+def fill_days(spark, path: str, days: DataFrame, compute, unit) -> int:
+    """Work out the days of `days` (d) that the table at path lacks, and only those; how many there were.
+
+    compute(missing days) gives their rows, with d. The table is partitioned by `unit`, an expression of d;
+    only partitions with missing days are rewritten, with what they held, from a staged copy, so a run that
+    breaks off or comes again leaves the same table."""
+    held = spark.read.parquet(path) if exists(spark, path) else None
+    missing = days.select("d").distinct()
+    if held is not None:
+        missing = missing.join(held.select("d").distinct(), "d", "left_anti")
+    units = [r.unit for r in missing.groupBy(unit.alias("unit")).count().collect()]  # a row a partition
+    if not units:
+        return 0
+    rows = compute(missing).withColumn("unit", unit)
+    if held is not None:
+        rows = held.where(F.col("unit").isin(units)).select(rows.columns).unionByName(rows)
+    count = missing.count()
+    replace_partitions(spark, path, rows, "unit")
+    return count
