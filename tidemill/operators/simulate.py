@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.scan import state_scan
 from tidemill.operators.temporal import asof_join
 
 # First day, stamp duty on sales, transfer rate, basis of the transfer fee.
@@ -55,31 +56,36 @@ def fifo_pairs(fills: DataFrame) -> DataFrame:
     return filled.where("q is not null").join(sold, "symbol").where("q <= sold").groupBy("symbol", "buy_id", "sell_id").agg(F.sum(F.col("q") - F.col("p")).alias("qty"))
 
 
-def liquidity_states(days: DataFrame, confirm: int = 3, recovery: int = 3) -> DataFrame:
-    """d, raw, status: after a crisis `confirm` calm days still count as crisis, then `recovery` days
-    follow; a watch day inside of either starts it anew. A state machine over a row a day of one market."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        phase, n, status = "IDLE", 0, []
-        pdf = pdf.sort_values("d")
-        for raw in pdf["raw"]:
-            n += 1
-            if raw == "CRISIS" or (raw == "WATCH" and phase != "IDLE"):
-                phase, n, now = "CONFIRM", 0, "CRISIS"
-            elif raw == "WATCH":
-                phase, n, now = "IDLE", 0, "WATCH"
-            elif phase == "CONFIRM" and n < confirm:
-                now = "CRISIS"
-            elif phase == "CONFIRM":
-                phase, n, now = "RECOVERY", 0, "RECOVERY"
-            elif phase == "RECOVERY" and n < recovery:
-                now = "RECOVERY"
-            else:
-                phase, n, now = "IDLE", 0, "NORMAL"
-            status.append(now)
-        return pdf.assign(status=status)[["d", "raw", "status"]]
-
-    return days.select("d", "raw", F.lit("all").alias("market")).groupBy("market").applyInPandas(walk, "d date, raw string, status string")
+def liquidity_steps(confirm: int, recovery: int) -> dict[str, list[int]]:
+    """For each raw state of a day, where it leads from: 0 idle, then the calm days so far of a crisis to be
+    confirmed, then the days of recovery."""
+    last, end = confirm, confirm + recovery
+    calm = [0, *(i + 1 for i in range(1, end)), 0]
+    if recovery == 0:
+        calm[last] = 0
+    return {"CRISIS": [1] * (end + 1), "WATCH": [0] + [1] * end, "NORMAL": calm}
+
+
+def liquidity_status(raw: Column, was: Column, confirm: int) -> Column:
+    """What a day counts as, by the state it meets."""
+    idle = was == 0
+    return (
+        F.when((raw == "CRISIS") | ((raw == "WATCH") & ~idle), "CRISIS").when(raw == "WATCH", "WATCH")
+        .when(~idle & (was < confirm), "CRISIS").when(F.element_at("_step", was + 1) == 0, "NORMAL").otherwise("RECOVERY")
+    )
+
+
+def liquidity_states(days: DataFrame, confirm: int = 3, recovery: int = 3, by: str | None = None) -> DataFrame:
+    """d, raw, status (and by): after a crisis `confirm` calm days still count as crisis, then `recovery` days
+    follow; a watch day inside of either starts it anew. A machine of few states, scanned, so no task
+    holds all days of a market."""
+    steps = liquidity_steps(confirm, recovery)
+    chosen = F.lit(None).cast("array<int>")
+    for raw, step in steps.items():
+        chosen = F.when(F.col("raw") == raw, F.array(*map(F.lit, step))).otherwise(chosen)
+    rows = days.select(*([by] if by else []), "d", "raw", chosen.alias("_step"))
+    x = state_scan(rows if by else rows.withColumn("_all", F.lit(0)), [by or "_all"], [F.col("d")], F.col("_step"), "_was")
+    return x.select(*([by] if by else []), "d", "raw", liquidity_status(F.col("raw"), F.col("_was"), confirm).alias("status"))
 
 
 def run_equal_weight(bars: DataFrame, runs: DataFrame, cash: float = 1e6, lot: int = 100) -> DataFrame:
