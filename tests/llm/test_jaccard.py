@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidemill.llm import jaccard
-from tidemill.llm.jaccard import linked
+from tidemill.llm.jaccard import linked, rooted
 
 
 def corpus():
@@ -87,3 +88,19 @@ def test_split_by_shingles(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, linked(docs, 3, 90, 0.002, shingles=150).collect())) == brute(rows, 3, 90)
+
+
+def test_rooted():
+    """Fewer edges, the same components."""
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (5, 3), (400, 150), (300, 900), (2000, 1999)):
+        edges = rng.integers(0, n, (m, 2)) * 7 if m < 1999 else np.stack([np.arange(1, n), np.arange(n - 1)], 1)
+        label = {int(x): int(x) for x in edges.ravel()}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in edges.tolist():
+                low = min(label[a], label[b])
+                changed |= label[a] != low or label[b] != low
+                label[a] = label[b] = low
+        assert {(a, b) for a, b in rooted(edges).tolist()} == {(a, b) for a, b in label.items() if a != b}

@@ -137,7 +137,7 @@ def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFra
         shingle, owner = shingle[order], owner[order]
         fresh = np.concatenate(([True], shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, bool)
         least = owner[fresh][np.cumsum(fresh) - 1] if len(shingle) else owner
-        links = np.unique(np.stack([owner, least], 1)[owner != least], axis=0)
+        links = rooted(np.stack([owner, least], 1)[owner != least])
         shingle, owner = shingle[fresh], owner[fresh]
         to, link_to = (shingle % np.uint64(n_buckets)).astype(np.int64), links[:, 0] % n_buckets
         rows = [(i, block, len(s), f, None, None, None, None) for i, s, f in zip(ids, sets, first)]
@@ -147,8 +147,23 @@ def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFra
     return written(answer_blocks(blocks, shared_counts(blocks, k, n_buckets), find, PREFIXES))
 
 
+def rooted(edges: np.ndarray) -> np.ndarray:
+    """What connects the same rows as edges (a, b) do: each row but the smallest of its component, with that."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label, was = np.arange(len(nodes)), None
+    while was is None or (label != was).any():
+        was, least = label, np.minimum(label[a], label[b])
+        label = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    late = label != np.arange(len(nodes))
+    return np.stack([nodes[late], nodes[label[late]]], 1)
+
+
 def candidate_edges(found: DataFrame) -> DataFrame:
-    """(a, b): rows a with the smallest row b that shares a prefix shingle."""
+    """(a, b): edges that connect the rows which share a prefix shingle, a row's once for each bucket."""
 
     def star(rows: pa.Table) -> pa.Table:
         shingle, owner = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), t) for c, t in (("shingles", np.uint64), ("owners", np.int64)))
@@ -157,7 +172,7 @@ def candidate_edges(found: DataFrame) -> DataFrame:
         fresh = np.concatenate(([True], shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, bool)
         least = owner[fresh][np.cumsum(fresh) - 1] if len(shingle) else owner
         links = np.frombuffer(b"".join(x.as_py() for x in rows["links"]), np.int64).reshape(-1, 2)
-        edges = np.unique(np.concatenate((np.stack([owner, least], 1)[owner != least], links)), axis=0)
+        edges = rooted(np.concatenate((np.stack([owner, least], 1)[owner != least], links)))
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
     sent = found.where("bucket is not null").select("bucket", "shingles", "owners", "links")
