@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,23 @@ def later_days(rows: DataFrame, days: DataFrame, after: str, day: str) -> DataFr
     last = numbered.agg(F.max("_i").alias("_n"))
     spread = rows.join(upto, after).crossJoin(F.broadcast(last)).where("_at < _n").withColumn("_i", F.explode(F.sequence(F.col("_at") + 1, F.col("_n"))))
     return spread.join(numbered, "_i").drop("_i", "_at", "_n")
+
+
+def ratio_band(left: DataFrame, right: DataFrame, by: str, at: str, ratio: str, days: int, gap: float) -> DataFrame:
+    """Pairs of one key at most `days` apart whose ratios (above 0) part by at most `gap` of the left one:
+    left's columns, and right's as `other_<name>`, but for the key.
+
+    Cells of both measures are as wide as their tolerance, so a row meets the rows of its own and the
+    neighbouring cells alone; logarithms of ratios make the width the same for all. Right rows go to
+    nine cells, the bounds themselves are tested on the values."""
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    width = -math.log1p(-gap) * (1 + 1e-9)  # |ln r - ln s| is at most this
+    cell = lambda t, r: (F.floor(t / (days + 1)), F.floor(F.log(r) / width))
+    l_day, l_ratio = cell(day(at), F.col(ratio))
+    r_day, r_ratio = cell(day(f"other_{at}"), F.col(f"other_{ratio}"))
+    near = F.array(*(F.struct((r_day + i).alias("_day"), (r_ratio + j).alias("_ratio")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a = left.where(F.col(ratio) > 0).withColumns({"_day": l_day, "_ratio": l_ratio})
+    b = right.select(by, *(F.col(c).alias(f"other_{c}") for c in right.columns if c != by)).where(F.col(f"other_{ratio}") > 0)
+    b = b.withColumn("_near", F.explode(near)).select("*", "_near.*").drop("_near")
+    met = a.join(b, [by, "_day", "_ratio"]).drop("_day", "_ratio")
+    return met.where((F.abs(F.datediff(at, f"other_{at}")) <= days) & (F.abs(F.col(f"other_{ratio}") - F.col(ratio)) / F.col(ratio) <= gap))

@@ -303,11 +303,20 @@ def robust_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(F.year("d").alias("y"), (F.col("symbol") % 4).alias("slice")).agg(F.round(F.avg("e") * 252, 4).alias("excess"), F.round(F.avg("e") / F.stddev_samp("e") * 252**0.5, 4).alias("ir"))
 
 
-@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS e, CAST(bit_xor(o_orderkey * 31 + o_custkey) AS BIGINT) AS mark FROM orders GROUP BY 1")
+@query("""WITH x AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(o_orderdate AS DATE) AS d,
+         md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT), CAST(o_orderdate AS DATE), o_orderpriority)) AS m
+  FROM orders
+)
+SELECT y, count(*) AS n, min(d) AS a, max(d) AS e, CAST(sum(('0x' || substr(m, 1, 12))::BIGINT) % 1000000007 AS BIGINT) AS mark, count(DISTINCT m) AS different FROM x GROUP BY y""")
 def content_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, bounds and an order-free mark of the content, by year."""
-    o = load(spark, sf_dir, "orders")
-    return o.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("e"), F.bit_xor(F.col("o_orderkey") * 31 + F.col("o_custkey")).alias("mark"))
+    """Rows, bounds and an order-free mark of the content, by year: a sum over digests of whole rows, so
+    that repeated rows count as often as they come."""
+    values = ["o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long"), F.to_date("o_orderdate"), "o_orderpriority"]
+    x = load(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.to_date("o_orderdate").alias("d"), F.md5(F.concat_ws("|", *values).cast("binary")).alias("m"))
+    number = F.conv(F.substring("m", 1, 12), 16, 10).cast("decimal(20,0)")
+    mark = F.pmod(F.sum(number), F.lit(1000000007)).cast("long")
+    return x.groupBy("y").agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("e"), mark.alias("mark"), F.count_distinct("m").alias("different"))
 
 
 @query(f"WITH {BARS}, g AS (SELECT symbol, CAST(d - lag(d) OVER (PARTITION BY symbol ORDER BY d) AS INTEGER) AS gap FROM bars) SELECT symbol, CAST(median(gap) AS DOUBLE) AS gap, CASE WHEN median(gap) <= 4 THEN 'daily' WHEN median(gap) <= 10 THEN 'weekly' ELSE 'sparse' END AS pace FROM g GROUP BY symbol")
@@ -342,17 +351,21 @@ def largest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.orderBy(F.desc("v"), "k").limit(10)
 
 
-@query("""WITH a AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, l_orderkey AS id, l_quantity / 50 AS q FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS od, l_orderkey AS other, l_quantity / 50 AS oq FROM lineitem WHERE l_returnflag = 'A')
-SELECT id, k, min(abs(CAST(d - od AS INTEGER))) AS days FROM a JOIN b USING (k) WHERE abs(CAST(d - od AS INTEGER)) <= 10 AND abs(q / oq - 1) <= 0.01 GROUP BY 1, 2""")
+@query("""WITH a AS (
+  SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, l_orderkey AS id, l_linenumber AS nr, l_quantity / (1.0::DOUBLE + l_discount) AS q FROM lineitem WHERE l_returnflag = 'R'
+), b AS (
+  SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS od, l_quantity / (1.0::DOUBLE + l_discount) AS oq FROM lineitem WHERE l_returnflag = 'A'
+)
+SELECT id, nr, k, min(abs(CAST(d - od AS INTEGER))) AS days, count(*) AS n
+FROM a JOIN b USING (k) WHERE abs(CAST(d - od AS INTEGER)) <= 10 AND abs(oq - q) / q <= 0.01 GROUP BY id, nr, k""")
 def ratio_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one symbol at most ten days and a hundredth apart, the nearest day; joined by bins of both."""
-    li = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.unix_date(F.to_date("l_shipdate")).alias("t"), F.col("l_orderkey").alias("id"), (F.col("l_quantity") / 50).alias("q"), "l_returnflag")
-    bins = F.explode(F.array(*(F.floor(F.col("t") / 11) + i for i in (-1, 0, 1))))
-    a = li.where("l_returnflag = 'R'").withColumn("bin", bins)
-    b = li.where("l_returnflag = 'A'").select("k", F.col("t").alias("ot"), F.col("q").alias("oq"), F.floor(F.col("t") / 11).alias("bin"), F.round(F.col("q") * 50).alias("whole")).distinct()
-    a = a.withColumn("whole", F.round(F.col("q") * 50))  # quantities are whole and up to 50: a hundredth apart is equal
-    x = a.join(b, ["k", "bin", "whole"]).where("abs(t - ot) <= 10 and abs(q / oq - 1) <= 0.01D")
-    return x.groupBy("id", "k").agg(F.min(F.abs(F.col("t") - F.col("ot"))).alias("days"))
+    """Lines of one symbol at most ten days and a hundredth of their (broken) quantity apart: the nearest
+    day, and how many there are."""
+    q = F.col("l_quantity") / (1 + F.col("l_discount"))
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nr"), q.alias("q"), "l_returnflag")
+    a, b = (li.where(F.col("l_returnflag") == flag).drop("l_returnflag") for flag in "RA")
+    x = temporal.ratio_band(a, b.select("k", "d", "q"), "k", "d", "q", 10, 0.01)
+    return x.groupBy("id", "nr", "k").agg(F.min(F.abs(F.datediff("d", "other_d"))).alias("days"), F.count("*").alias("n"))
 
 
 @query("""WITH s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS v, p_brand AS g FROM part), o AS (SELECT k, v, g, CASE WHEN k % 5 = 0 THEN k || '.OF' ELSE CAST(k AS VARCHAR) END AS code FROM s), t AS (SELECT k, CASE WHEN k % 4 = 0 THEN v + 1 ELSE v END AS v, g FROM s)

@@ -116,12 +116,6 @@ def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.macd(daily_bars(spark, sf_dir)), "dif", "dea", "hist", digits=3)
 
 
-@query(f"""WITH {BARS}, x AS (SELECT symbol, d, close, vol, count(*) OVER (w ROWS 19 PRECEDING) AS n, max(close) OVER p AS hc, max(vol) OVER p AS hv, min(close) OVER p AS lc, min(vol) OVER p AS lv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d), p AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING))
-SELECT symbol, d, CASE WHEN n < 20 THEN 'none' WHEN close >= hc AND vol < hv * 0.9 THEN 'top' WHEN close <= lc AND vol > lv * 1.1 THEN 'bottom' ELSE 'none' END AS signal FROM x""")
-def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.divergence(daily_bars(spark, sf_dir), "close", "vol").select("symbol", "d", "signal")
-
-
 @query(f"""WITH {BARS}, {FACTORS}, q AS (SELECT * FROM factors WHERE month(d) IN (1, 4, 7, 10) AND symbol > 2), l AS (SELECT symbol, max_by(factor, d) AS last, min_by(factor, d) AS first FROM q GROUP BY symbol)
 SELECT b.symbol, b.d, round(b.close * coalesce(f.factor, l.first, 1.0) + 2e-9, 4) AS hfq, round(b.close * coalesce(f.factor, l.first, 1.0) / coalesce(l.last, 1.0) + 2e-9, 4) AS qfq FROM bars b ASOF LEFT JOIN q f ON b.symbol = f.symbol AND b.d >= f.d LEFT JOIN l ON l.symbol = b.symbol""")
 def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:

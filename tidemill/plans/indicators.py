@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import classify
 from tidemill.operators import series
+from tidemill.operators.scan import affine_scan
 from tidemill.plans.catalogue import BARS, BREADTH, breadth_days, query, rounded
 from tidemill.sources.tables import daily_bars, load
 
@@ -49,15 +50,37 @@ def macd_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(x.select("symbol", "d", "dif", "dea", hist.alias("hist"), (hist / F.col("close") * 100).alias("mom_ratio")), "dif", "dea", "hist", "mom_ratio", digits=3)
 
 
-@query(f"""WITH RECURSIVE {BARS}, {NUMBERED}, r AS (SELECT symbol, d, i, CASE WHEN max(high) OVER w = min(low) OVER w THEN 50.0 ELSE (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) * 100 END AS rsv FROM n WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING)),
-e AS (SELECT symbol, d, i, CAST(50 AS DOUBLE) AS k, CAST(50 AS DOUBLE) AS dd FROM r WHERE i = 14 UNION ALL SELECT r.symbol, r.d, r.i, e.k * 2 / 3 + r.rsv / 3, e.dd * 2 / 3 + (e.k * 2 / 3 + r.rsv / 3) / 3 FROM e JOIN r ON r.symbol = e.symbol AND r.i = e.i + 1)
+@query(f"""WITH RECURSIVE {BARS}, {NUMBERED}, e AS (
+  SELECT symbol, d, i, close, close AS fast, close AS slow FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.symbol, n.d, n.i, n.close, {EMA_SQL.format('fast', 13)}, {EMA_SQL.format('slow', 27)} FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1
+), x AS (
+  SELECT symbol, d, i, close, fast - slow AS dif, max(close) OVER p AS hc, max(fast - slow) OVER p AS hd, min(close) OVER p AS lc, min(fast - slow) OVER p AS ld
+  FROM e WINDOW p AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING)
+)
+SELECT symbol, d, CASE WHEN i < 20 THEN 'none' WHEN close >= hc AND dif < hd * 0.9 THEN 'top' WHEN close <= lc AND dif > ld * 1.1 THEN 'bottom' ELSE 'none' END AS signal FROM x""")
+def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices at a new high of twenty days while the gap of their averages stays behind its own, and the mirror."""
+    x = series.smoothed(daily_bars(spark, sf_dir).select("symbol", "d", "close"), {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27)})
+    return series.divergence(x.withColumn("dif", F.col("fast") - F.col("slow")), "close", "dif").select("symbol", "d", "signal")
+
+
+@query(f"""WITH RECURSIVE {BARS}, {NUMBERED}, r AS (
+  SELECT symbol, d, i, CASE WHEN i < 14 OR max(high) OVER w = min(low) OVER w THEN 50.0 ELSE (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) * 100 END AS rsv
+  FROM n WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING)
+), e AS (
+  SELECT symbol, d, i, CAST(50 AS DOUBLE) AS k, CAST(50 AS DOUBLE) AS dd FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.symbol, r.d, r.i, (e.k * 2 + r.rsv) / 3, (e.dd * 2 + (e.k * 2 + r.rsv) / 3) / 3 FROM e JOIN r ON r.symbol = e.symbol AND r.i = e.i + 1
+)
 SELECT symbol, d, round(k, 3) AS k, round(dd, 3) AS dd, round(3 * k - 2 * dd, 3) AS j FROM e""")
 def kdj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K, D and J from the first full range on, where K and D start at 50."""
-    x = series.stochastic(daily_bars(spark, sf_dir)).where("rsv is not null").select("symbol", "d", "rsv")
-    first = F.row_number().over(series.by_day()) == 1
-    k = series.smoothed(x.withColumn("rsv", F.when(first, 50.0).otherwise(F.col("rsv"))), {"k": ("rsv", 1 / 3)})
-    out = series.smoothed(k, {"dd": ("k", 1 / 3)})
+    """K, D and J of every day. Both start at 50 on a symbol's first day; until fourteen days are full, and on
+    a flat range, the place in the range counts as 50."""
+    x = series.stochastic(daily_bars(spark, sf_dir)).select("symbol", "d", F.coalesce("rsv", F.lit(50.0)).alias("rsv"))
+    k = affine_scan(x, ["symbol"], [F.col("d")], F.lit(2 / 3), F.col("rsv") / 3, "k0", 50.0)  # on the first day 50 again
+    k = k.withColumn("k", F.col("k0") * 2 / 3 + F.col("rsv") / 3)
+    out = affine_scan(k, ["symbol"], [F.col("d")], F.lit(2 / 3), F.col("k") / 3, "d0", 50.0).withColumn("dd", F.col("d0") * 2 / 3 + F.col("k") / 3)
     return rounded(out.select("symbol", "d", "k", "dd", (3 * F.col("k") - 2 * F.col("dd")).alias("j")), "k", "dd", "j", digits=3)
 
 

@@ -65,14 +65,14 @@ def excess_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("n >= 3").select("symbol", "n", F.round(F.expr("(mr - beta * mb) * 252"), 4).alias("alpha"), F.round(F.expr("pow(1 + mr - mb, 252) - 1"), 4).alias("excess_year"))
 
 
-CRISES = [("first", "1996-03-01", "1996-09-30"), ("second", "1998-07-01", "1998-12-31"), ("later", "2015-06-01", "2015-09-30")]
+CRISES = [("first", "1996-03-01", "1996-09-30"), ("second", "1998-07-01", "1998-12-31"), ("wide", "1996-08-01", "1998-09-15"), ("later", "2015-06-01", "2015-09-30")]
 
 
 @query(f"""WITH {BARS}, {RET}, c(name, a, e) AS (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{e}')" for n, a, e in CRISES)}) SELECT symbol, name, count(*) AS days, round(exp(sum(ln(1 + r))) - 1, 4) AS ret FROM r JOIN c ON d BETWEEN a AND e WHERE r IS NOT NULL GROUP BY 1, 2""")
 def crisis_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns inside of named spans; a span without days has no row."""
-    inside = F.coalesce(*(F.when(F.col("d").between(F.lit(a).cast("date"), F.lit(e).cast("date")), n) for n, a, e in CRISES))
-    x = returns(spark, sf_dir).where("r is not null").withColumn("name", inside).where("name is not null")
+    """Returns inside of named spans, of which a day may be in several; a span without days has no row."""
+    inside = F.array_compact(F.array(*(F.when(F.col("d").between(F.lit(a).cast("date"), F.lit(e).cast("date")), n) for n, a, e in CRISES)))
+    x = returns(spark, sf_dir).where("r is not null").withColumn("name", F.explode(inside))
     return x.groupBy("symbol", "name").agg(F.count("*").alias("days"), F.round(F.exp(F.sum(F.log1p("r"))) - 1, 4).alias("ret"))
 
 
