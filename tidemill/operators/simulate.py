@@ -24,7 +24,7 @@ def fees(qty: Column, price: Column, sell: Column, day: Column, shanghai: Column
             out = F.when(day >= F.lit(s[0]).cast("date"), rate(s[i])).otherwise(out)
         return out
 
-    qty = qty.cast("decimal(8,0)")  # so that products keep all their digits
+    qty = qty.cast("decimal(12,0)")  # so that products keep all their digits
     amount = qty * price
     commission = F.greatest(amount * F.lit("0.00025").cast("decimal(10,5)"), F.lit(5).cast("decimal(10,0)"))
     stamp = F.when(sell & ~fund, amount * segment(1)).otherwise(0)

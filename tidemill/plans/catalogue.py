@@ -220,6 +220,42 @@ def liquidity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.liquidity_states(breadth_days(spark, sf_dir).select("d", raw.alias("raw")))
 
 
+@query(f"""WITH RECURSIVE {BARS}, x AS (
+  SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY d) * 0.9 AS floor FROM bars
+), day AS (
+  SELECT CASE WHEN symbol % 2 = 0 THEN 'even' ELSE 'odd' END AS market, d, count(*) AS n, count(*) FILTER (floor > 0 AND close <= floor * 1.0001) AS down FROM x WHERE floor IS NOT NULL GROUP BY 1, 2
+), r AS MATERIALIZED (
+  SELECT market, d, CASE WHEN down * 100 >= 45 * n THEN 'CRISIS' WHEN down * 100 >= 40 * n THEN 'WATCH' ELSE 'NORMAL' END AS raw, row_number() OVER (PARTITION BY market ORDER BY d) AS i FROM day
+), m AS (
+  SELECT market, CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS d, '' AS raw, '' AS status, 0 AS crisis, 0 AS calm FROM r GROUP BY market
+  UNION ALL
+  SELECT r.market, r.i, r.d, r.raw,
+         CASE WHEN r.raw = 'CRISIS' OR (r.raw = 'WATCH' AND crisis + calm > 0) THEN 'CRISIS' WHEN r.raw = 'WATCH' THEN 'WATCH' WHEN crisis > 1 THEN 'CRISIS' WHEN crisis = 1 OR calm > 1 THEN 'RECOVERY' ELSE 'NORMAL' END,
+         CASE WHEN r.raw = 'CRISIS' OR (r.raw = 'WATCH' AND crisis + calm > 0) THEN 3 ELSE greatest(0, crisis - 1) END,
+         CASE WHEN r.raw <> 'NORMAL' THEN 0 WHEN crisis = 1 THEN 3 ELSE greatest(0, calm - 1) END
+  FROM m JOIN r ON r.market = m.market AND r.i = m.i + 1
+)
+SELECT market, d, raw, status FROM m WHERE i > 0""")
+def liquidity_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The machine of two markets kept up by a stream that takes a year of raw states at a time; a last row
+    far ahead lets the watermark pass all days."""
+    from tidemill.streaming.events import shared_folder
+    from tidemill.streaming.liquidity import liquidity_stream
+
+    x = daily_bars(spark, sf_dir).withColumn("floor", F.lag("close").over(series.by_day()) * 0.9).where("floor is not null")
+    market = F.when(F.col("symbol") % 2 == 0, "even").otherwise("odd")
+    share = 100 * F.sum(classify.touches_down(F.col("close"), F.col("floor")).cast("long"))
+    raw = F.when(share >= 45 * F.count("*"), "CRISIS").when(share >= 40 * F.count("*"), "WATCH").otherwise("NORMAL")
+    days, path = x.groupBy(market.alias("market"), "d").agg(raw.alias("raw")), f"{shared_folder(spark)}/days"
+    held = days.withColumn("year", F.year("d")).repartition(1, "year")  # a row a market and day
+    held.sortWithinPartitions("year").write.option("maxRecordsPerFile", 800).partitionBy("year").parquet(f"{path}_by_year")
+    for year in sorted(r.year for r in spark.read.parquet(f"{path}_by_year").select("year").distinct().collect()):  # a row a year
+        spark.read.parquet(f"{path}_by_year").where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(path)
+    end = days.select("market").distinct().select("market", F.lit("2100-01-01").cast("date").alias("d"), F.lit("NORMAL").alias("raw"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return liquidity_stream(spark, path, files_at_once=3)
+
+
 @query(f"WITH {BARS} SELECT d, symbol, amount FROM bars QUALIFY row_number() OVER (PARTITION BY d ORDER BY amount, symbol) <= 3")
 def topk_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("d").orderBy("amount", "symbol")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import series, simulate, temporal
+from tidemill.operators import holdings, series, simulate, temporal
 from tidemill.plans.catalogue import BARS, query, rounded
 from tidemill.sources.tables import daily_bars, load
 
@@ -24,9 +25,9 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ITEMS = """items AS (SELECT symbol, d, q, CAST(q AS DECIMAL(8, 0)) * p AS amount, greatest(CAST(q AS DECIMAL(8, 0)) * p * CAST(0.00025 AS DECIMAL(10, 5)), 5) AS commission,
- CASE WHEN sell AND NOT fund THEN CAST(q AS DECIMAL(8, 0)) * p * CASE WHEN d >= DATE '2023-08-28' THEN CAST(0.0005 AS DECIMAL(10, 5)) ELSE CAST(0.001 AS DECIMAL(10, 5)) END ELSE 0 END AS stamp,
- CASE WHEN d < DATE '2015-08-01' THEN CASE WHEN shanghai THEN CAST(q AS DECIMAL(8, 0)) * CAST(0.0006 AS DECIMAL(10, 5)) ELSE 0 END WHEN d < DATE '2022-04-29' THEN CAST(q AS DECIMAL(8, 0)) * p * CAST(0.00002 AS DECIMAL(10, 5)) ELSE CAST(q AS DECIMAL(8, 0)) * p * CAST(0.00001 AS DECIMAL(10, 5)) END AS transfer FROM fills)"""
+ITEMS = """items AS (SELECT symbol, d, q, CAST(q AS DECIMAL(12, 0)) * p AS amount, greatest(CAST(q AS DECIMAL(12, 0)) * p * CAST(0.00025 AS DECIMAL(10, 5)), 5) AS commission,
+ CASE WHEN sell AND NOT fund THEN CAST(q AS DECIMAL(12, 0)) * p * CASE WHEN d >= DATE '2023-08-28' THEN CAST(0.0005 AS DECIMAL(10, 5)) ELSE CAST(0.001 AS DECIMAL(10, 5)) END ELSE 0 END AS stamp,
+ CASE WHEN d < DATE '2015-08-01' THEN CASE WHEN shanghai THEN CAST(q AS DECIMAL(12, 0)) * CAST(0.0006 AS DECIMAL(10, 5)) ELSE 0 END WHEN d < DATE '2022-04-29' THEN CAST(q AS DECIMAL(12, 0)) * p * CAST(0.00002 AS DECIMAL(10, 5)) ELSE CAST(q AS DECIMAL(12, 0)) * p * CAST(0.00001 AS DECIMAL(10, 5)) END AS transfer FROM fills)"""
 
 
 @query(f"""WITH {FILLS}, {ITEMS} SELECT symbol, d, count(*) AS n, CAST(sum(round(commission, 2)) AS DOUBLE) AS commission, CAST(sum(round(stamp, 2)) AS DOUBLE) AS stamp, CAST(sum(round(transfer, 2)) AS DOUBLE) AS transfer, CAST(sum(round(commission + stamp + transfer, 2)) AS DOUBLE) AS total FROM items GROUP BY symbol, d""")
@@ -45,10 +46,10 @@ def fees_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(spark, sf_dir).groupBy("d").agg(F.count("*").alias("n"), *sums.values())
 
 
-@query(f"""WITH {FILLS}, x AS (SELECT symbol, round(CAST(q AS DECIMAL(8, 0)) * p * CAST(0.001 AS DECIMAL(10, 5)), 2) AS flat FROM fills) SELECT symbol, CAST(sum(flat) AS DOUBLE) AS flat, 0.0::DOUBLE AS zero FROM x GROUP BY symbol""")
+@query(f"""WITH {FILLS}, x AS (SELECT symbol, round(CAST(q AS DECIMAL(12, 0)) * p * CAST(0.001 AS DECIMAL(10, 5)), 2) AS flat FROM fills) SELECT symbol, CAST(sum(flat) AS DOUBLE) AS flat, 0.0::DOUBLE AS zero FROM x GROUP BY symbol""")
 def flat_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat share of the amount, and no cost at all."""
-    flat = F.round(F.col("q").cast("decimal(8,0)") * F.col("p") * F.lit("0.00100").cast("decimal(10,5)"), 2)
+    flat = F.round(F.col("q").cast("decimal(12,0)") * F.col("p") * F.lit("0.00100").cast("decimal(10,5)"), 2)
     return fills(spark, sf_dir).groupBy("symbol").agg(F.sum(flat).cast("double").alias("flat")).withColumn("zero", F.lit(0.0))
 
 
@@ -118,13 +119,35 @@ def threshold_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return month_weights(spark, sf_dir).where("abs(weight - was) > 0.01").select("m", "symbol", F.round(F.col("weight") - F.col("was"), 6).alias("move"))
 
 
-@query(f"""WITH {BARS}, {WEIGHTS}, c AS (SELECT *, coalesce(sum(weight) OVER (PARTITION BY m ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM o) SELECT m, symbol, CASE WHEN target = 0 THEN 'reject' WHEN weight > 0.15 THEN 'reduce' WHEN spent + weight > 0.9 THEN 'cash' ELSE 'allow' END AS verdict, round(least(weight, 0.15), 6) AS weight FROM c""")
+@query(f"""WITH RECURSIVE {BARS}, {WEIGHTS}, n AS (
+  SELECT m, symbol, weight, target, row_number() OVER (PARTITION BY m ORDER BY symbol) AS i, 1.5::DOUBLE / count(*) OVER (PARTITION BY m) AS most FROM o
+), walk AS (
+  SELECT m, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS symbol, '' AS verdict, CAST(0 AS DOUBLE) AS weight, CAST(0 AS DOUBLE) AS spent FROM n GROUP BY m
+  UNION ALL
+  SELECT n.m, n.i, n.symbol,
+         CASE WHEN target = 0 THEN 'reject' WHEN round(spent + least(n.weight, most), 9) > 0.9 THEN 'cash' WHEN n.weight > most THEN 'reduce' ELSE 'allow' END,
+         CASE WHEN target = 0 OR round(spent + least(n.weight, most), 9) > 0.9 THEN 0 ELSE least(n.weight, most) END,
+         spent + CASE WHEN target = 0 OR round(spent + least(n.weight, most), 9) > 0.9 THEN 0 ELSE least(n.weight, most) END
+  FROM walk JOIN n ON n.m = walk.m AND n.i = walk.i + 1
+)
+SELECT m, symbol, verdict, round(weight, 6) AS weight FROM walk WHERE i > 0""")
 def risk_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules in order, the first that does not allow decides: tradable lot, largest weight, cash left."""
-    before = Window.partitionBy("m").orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    x = month_weights(spark, sf_dir).withColumn("spent", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    verdict = F.when(F.col("target") == 0, "reject").when(F.col("weight") > 0.15, "reduce").when(F.col("spent") + F.col("weight") > 0.9, "cash").otherwise("allow")
-    return x.select("m", "symbol", verdict.alias("verdict"), F.round(F.least("weight", F.lit(0.15)), 6).alias("weight"))
+    """Rules in order for the targets of a month, symbol by symbol: a tradable lot, at most one and a half
+    times the mean weight, and cash left; a refused target spends none, a reduced one what it is reduced
+    to. Whether one passes hangs on those before, so a task walks the targets of one month."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, spent, out = pdf.sort_values("symbol"), 0.0, []
+        for target, weight, most in zip(pdf["target"], pdf["weight"], pdf["most"]):
+            kept = min(weight, most)
+            verdict = "reject" if target == 0 else "cash" if round(spent + kept, 9) > 0.9 else "reduce" if weight > most else "allow"
+            kept = 0.0 if verdict in ("reject", "cash") else kept
+            spent += kept
+            out.append((verdict, round(kept, 6)))
+        return pdf.assign(verdict=[v for v, _ in out], weight=[k for _, k in out])[["m", "symbol", "verdict", "weight"]]
+
+    x = month_weights(spark, sf_dir).withColumn("most", 1.5 / F.count("*").over(Window.partitionBy("m")))
+    return x.select("m", "symbol", "weight", "target", "most").groupBy("m").applyInPandas(walk, "m date, symbol long, verdict string, weight double")
 
 
 @query(f"""WITH {BARS}, {WEIGHTS}, s AS (SELECT b.d, sum(CAST(round(close + 1e-8, 2) AS DECIMAL(12, 2)) * target) AS held, sum(CAST(round(o.weight * 1e8, 2) AS DECIMAL(18, 2))) AS given FROM bars b JOIN o ON o.symbol = b.symbol AND o.m = date_trunc('month', b.d)::DATE GROUP BY b.d) SELECT d, CAST(held AS DOUBLE) AS held, round(CAST(held AS DOUBLE) / CAST(given AS DOUBLE), 4) AS share FROM s""")
@@ -137,26 +160,122 @@ def month_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("d", F.col("held").cast("double").alias("held"), F.round(F.col("held").cast("double") / F.col("given").cast("double"), 4).alias("share"))
 
 
-@query(f"""WITH {FILLS}, x AS (SELECT symbol, d, sum(CASE WHEN sell THEN 0 ELSE q END) AS bought, sum(CASE WHEN sell THEN q ELSE 0 END) AS sold, sum(CASE WHEN sell THEN 0 ELSE q * p END) AS paid FROM fills GROUP BY 1, 2)
-SELECT symbol, d, CAST(sum(bought - sold) OVER w AS BIGINT) AS net, CAST(sum(bought - sold) OVER w - bought AS BIGINT) AS free, round(CAST(sum(paid) OVER w AS DOUBLE) / nullif(CAST(sum(bought) OVER w AS DOUBLE), 0), 4) AS avg_cost FROM x WINDOW w AS (PARTITION BY symbol ORDER BY d)""")
+#: Fills of a symbol in order, purchases and sales mixed over all years.
+LEDGER = f"""{FILLS}, ledger AS (
+  SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY d, l_orderkey, l_linenumber, l_partkey, q, p) AS seq, (l_orderkey + l_linenumber) % 2 = 0 AS sell, q AS qty,
+         CAST(p AS DOUBLE) * (7778 / 7777.0::DOUBLE) AS price, greatest(5.0::DOUBLE, CAST(q AS DOUBLE) * CAST(p AS DOUBLE) * 0.00025::DOUBLE) AS fee
+  FROM fills
+)"""
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, d, seq, sell, qty, price, fee."""
+    w = Window.partitionBy("symbol").orderBy("d", "l_orderkey", "l_linenumber", "l_partkey", "q", "p")
+    p = F.col("p").cast("double")
+    price, fee = p * (7778 / 7777), F.greatest(F.lit(5.0), F.col("q").cast("double") * p * 0.00025)  # a slip of a share
+    sell = (F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0
+    return fills(spark, sf_dir).select("symbol", "d", F.row_number().over(w).cast("long").alias("seq"), sell.alias("sell"), F.col("q").alias("qty"), price.alias("price"), fee.alias("fee"))
+
+
+@query(f"""WITH RECURSIVE {LEDGER}, walk AS (
+  SELECT symbol, CAST(NULL AS DATE) AS d, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS bought, CAST(0 AS BIGINT) AS held, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS realized FROM ledger GROUP BY symbol
+  UNION ALL
+  SELECT l.symbol, l.d, l.seq, CASE WHEN sell THEN 0 ELSE qty END, CASE WHEN sell THEN greatest(0, held - qty) ELSE held + qty END,
+         CASE WHEN sell AND held <= qty THEN 0 WHEN sell THEN cost ELSE (cost * held + price * qty + fee) / (held + qty) END,
+         realized + CASE WHEN sell THEN (price - cost) * least(held, qty) - fee * least(held, qty) / qty ELSE 0 END
+  FROM walk JOIN ledger l ON l.symbol = walk.symbol AND l.seq = walk.seq + 1
+), days AS (
+  SELECT symbol, d, max_by(held, seq) AS held, sum(bought) AS bought, max_by(cost, seq) AS cost, max_by(realized, seq) AS realized FROM walk WHERE seq > 0 GROUP BY symbol, d
+)
+SELECT symbol, d, held AS net, CAST(greatest(0, held - bought) AS BIGINT) AS free, round(cost, 4) AS avg_cost, round(realized, 2) AS realized FROM days""")
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Net shares after each day, those free to sell (not bought that day), and the average price paid."""
-    buys = lambda e: F.sum(F.when(~F.col("sell"), e).otherwise(0))
-    x = fills(spark, sf_dir).groupBy("symbol", "d").agg(buys(F.col("q")).alias("bought"), F.sum(F.when(F.col("sell"), F.col("q")).otherwise(0)).alias("sold"), buys(F.col("q") * F.col("p")).alias("paid"))
-    net, w = F.sum(F.col("bought") - F.col("sold")).over(series.by_day()), series.by_day()
-    cost = F.sum("paid").over(w).cast("double") / F.nullif(F.sum("bought").over(w).cast("double"), F.lit(0.0))
-    return x.select("symbol", "d", net.alias("net"), (net - F.col("bought")).alias("free"), F.round(cost, 4).alias("avg_cost"))
-
-
-@query(f"""WITH {FILLS}, e AS (SELECT symbol, 1 + (symbol % 3) AS div, DATE '2018-01-01' + CAST(symbol AS INTEGER) AS ex FROM (SELECT DISTINCT symbol FROM fills)), h AS (SELECT f.symbol, any_value(ex) AS ex, any_value(div) AS div, sum(CASE WHEN sell THEN 0 ELSE q END) AS q FROM fills f JOIN e USING (symbol) WHERE d < ex GROUP BY 1)
-SELECT symbol, CAST(q AS BIGINT) AS held, CAST(round_even(q * 0.05, 0) AS BIGINT) AS bonus, CAST(floor(q * 0.3) AS BIGINT) AS rights, CAST(greatest(1, q // 10) AS BIGINT) AS merged, CAST(q * div AS BIGINT) AS cash FROM h""")
+    """Shares after each day, those free to sell (not bought that day), the running average cost of what is
+    held, fees of purchases included, and the gains of sales so far."""
+    x = holdings.running_cost(ledger(spark, sf_dir))
+    last = lambda c: F.max_by(c, "seq")
+    day = x.groupBy("symbol", "d").agg(last("held").alias("net"), F.sum(F.when(F.col("sell"), 0).otherwise(F.col("qty"))).alias("bought"), last("avg_cost").alias("avg_cost"), last("realized").alias("realized"))
+    return day.select("symbol", "d", "net", F.greatest(F.lit(0), F.col("net") - F.col("bought")).alias("free"), F.round("avg_cost", 4).alias("avg_cost"), F.round("realized", 2).alias("realized"))
+
+
+@query(f"""WITH {LEDGER}, e AS (SELECT symbol, 1 + (symbol % 3) AS div, DATE '2018-01-01' + CAST(symbol AS INTEGER) AS ex FROM (SELECT DISTINCT symbol FROM ledger)), n AS (
+  SELECT symbol, d, seq, sum(CASE WHEN sell THEN -qty ELSE qty END) OVER (PARTITION BY symbol ORDER BY seq) AS net FROM ledger
+), r AS (
+  SELECT symbol, d, seq, net - least(0, min(net) OVER (PARTITION BY symbol ORDER BY seq)) AS held FROM n
+), h AS (
+  SELECT symbol, any_value(div) AS div, max_by(held, seq) AS q FROM r JOIN e USING (symbol) WHERE d < ex GROUP BY symbol
+)
+SELECT symbol, CAST(q AS BIGINT) AS held, CAST(round_even(q * 0.05, 0) AS BIGINT) AS bonus, CAST(floor(q * 0.3) AS BIGINT) AS rights, CAST(CASE WHEN q > 0 THEN greatest(1, q // 10) ELSE 0 END AS BIGINT) AS merged, CAST(q * div AS BIGINT) AS cash FROM h""")
 def holding_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the shares held before an ex-day get: bonus shares to the even, whole rights, shares merged
-    ten to one (one at least), and cash."""
-    f = fills(spark, sf_dir).withColumn("ex", F.date_add(F.lit("2018-01-01").cast("date"), F.col("symbol").cast("int"))).where("d < ex")
-    h = f.groupBy("symbol").agg(F.sum(F.when(F.col("sell"), 0).otherwise(F.col("q"))).alias("q"))
+    """What the shares held before an ex-day, sales taken off, get: bonus shares to the even, whole rights,
+    shares merged ten to one (one at least), and cash."""
+    ex = F.date_add(F.lit("2018-01-01").cast("date"), F.col("symbol").cast("int"))
+    h = holdings.reflected(ledger(spark, sf_dir)).where(F.col("d") < ex).groupBy("symbol").agg(F.max_by("held", "seq").alias("q"))
     q = F.col("q")
-    return h.select("symbol", q.alias("held"), F.bround(q * 0.05, 0).cast("long").alias("bonus"), F.floor(q * 0.3).alias("rights"), F.greatest(F.lit(1).cast("long"), F.expr("q div 10")).alias("merged"), (q * (1 + F.col("symbol") % 3)).alias("cash"))
+    merged = F.when(q > 0, F.greatest(F.lit(1).cast("long"), F.expr("q div 10"))).otherwise(F.lit(0))
+    return h.select("symbol", q.alias("held"), F.bround(q * 0.05, 0).cast("long").alias("bonus"), F.floor(q * 0.3).alias("rights"), merged.cast("long").alias("merged"), (q * (1 + F.col("symbol") % 3)).alias("cash"))
+
+
+EVENT_DAY = "DATE '2016-06-01' + CAST(symbol AS INTEGER) * 3"
+
+
+def stage_sql(name: str, lots: str, sales: str) -> str:
+    """CTEs of the pairs and the rest of lots (symbol, seq, qty, cost, whole, fee) against sales (symbol, seq, qty, price, fee)."""
+    line = "PARTITION BY symbol ORDER BY seq"
+    return f"""{name}m AS (
+  SELECT symbol, seq, qty, FALSE AS sell FROM {lots} UNION ALL SELECT symbol, seq, qty, TRUE FROM {sales}
+), {name}n AS (
+  SELECT *, sum(CASE WHEN sell THEN -qty ELSE qty END) OVER ({line}) AS net FROM {name}m
+), {name}r AS (
+  SELECT *, net - least(0, min(net) OVER ({line})) AS held FROM {name}n
+), {name}d AS (
+  SELECT *, abs(held - coalesce(lag(held) OVER ({line}), 0)) AS done FROM {name}r
+), {name}b AS (
+  SELECT symbol, seq, done, sum(done) OVER ({line}) AS hi FROM {name}d WHERE NOT sell
+), {name}s AS (
+  SELECT symbol, seq, done, sum(done) OVER ({line}) AS hi FROM {name}d WHERE sell AND done > 0
+), {name}p AS (
+  SELECT b.symbol, b.seq AS buy_id, s.seq AS sell_id, CAST(least(b.hi, s.hi) - greatest(b.hi - b.done, s.hi - s.done) AS BIGINT) AS n
+  FROM {name}b b JOIN {name}s s ON b.symbol = s.symbol AND b.hi > s.hi - s.done AND s.hi > b.hi - b.done
+), {name}t AS (
+  SELECT p.symbol, buy_id, sell_id, n, l.cost, s.price, s.price * n - s.fee * n / s.qty - l.cost * n - l.fee * n / l.whole AS pnl
+  FROM {name}p p JOIN {lots} l ON l.symbol = p.symbol AND l.seq = buy_id JOIN {sales} s ON s.symbol = p.symbol AND s.seq = sell_id
+)"""
+
+
+@query(f"""WITH {LEDGER}, e AS (
+  SELECT *, {EVENT_DAY} AS ex, CASE CAST(symbol % 3 AS INTEGER) WHEN 0 THEN 0.37 WHEN 1 THEN 0.01 ELSE 2.5 END::DOUBLE AS ratio FROM ledger
+), lots0 AS (SELECT symbol, seq, qty, price AS cost, CAST(qty AS DOUBLE) AS whole, fee FROM e WHERE NOT sell AND d < ex), sales0 AS (SELECT symbol, seq, qty, price, fee FROM e WHERE sell AND d < ex),
+{stage_sql('x', 'lots0', 'sales0')}, rest AS (
+  SELECT l.symbol, l.seq, l.qty - coalesce(g.n, 0) AS left_, l.cost, l.whole, l.fee, q.ratio
+  FROM lots0 l LEFT JOIN (SELECT symbol, buy_id, sum(n) AS n FROM xp GROUP BY 1, 2) g ON g.symbol = l.symbol AND g.buy_id = l.seq
+  JOIN (SELECT DISTINCT symbol, ratio FROM e) q ON q.symbol = l.symbol WHERE l.qty > coalesce(g.n, 0)
+), lots1 AS (
+  SELECT symbol, seq, CAST(greatest(1, floor(left_ * ratio)) AS BIGINT) AS qty, CASE WHEN floor(left_ * ratio) > 0 THEN cost / ratio ELSE cost END AS cost, CASE WHEN floor(left_ * ratio) > 0 THEN whole * ratio ELSE 1 END AS whole, fee FROM rest
+  UNION ALL SELECT symbol, seq, qty, price, CAST(qty AS DOUBLE), fee FROM e WHERE NOT sell AND d >= ex
+), sales1 AS (SELECT symbol, seq, qty, price, fee FROM e WHERE sell AND d >= ex),
+{stage_sql('y', 'lots1', 'sales1')}
+SELECT symbol, buy_id, sell_id, n AS qty, round(cost, 4) AS cost, round(pnl, 4) AS pnl FROM (SELECT * FROM xt UNION ALL SELECT * FROM yt)""")
+def fifo_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales with the oldest shares left, through one consolidation of each symbol; a sale past the
+    holdings counts for what is held."""
+    f = ledger(spark, sf_dir)
+    ratio = F.when(F.col("symbol") % 3 == 0, 0.37).when(F.col("symbol") % 3 == 1, 0.01).otherwise(2.5)
+    events = f.select("symbol").distinct().select("symbol", F.date_add(F.lit("2016-06-01").cast("date"), (F.col("symbol") * 3).cast("int")).alias("ex"), ratio.alias("ratio"))
+    return rounded(holdings.fifo_trades(f, events).drop("price"), "cost", "pnl")
+
+
+@query(f"""WITH {LEDGER}, n AS (
+  SELECT symbol, seq, sell, qty, price, fee, sum(CASE WHEN sell THEN -qty ELSE qty END) OVER (PARTITION BY symbol ORDER BY seq) AS net FROM ledger
+), lots0 AS (SELECT symbol, seq, qty, price AS cost, CAST(qty AS DOUBLE) AS whole, fee FROM ledger WHERE NOT sell), sales0 AS (SELECT symbol, seq, qty, price, fee FROM ledger WHERE sell),
+{stage_sql('x', 'lots0', 'sales0')}
+SELECT symbol, count(*) AS trades, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END), 4) AS win_rate, round(avg(pnl) FILTER (pnl > 0) / abs(avg(pnl) FILTER (pnl < 0)), 4) AS win_to_loss, round(sum(pnl), 2) AS pnl FROM xt GROUP BY symbol""")
+def trade_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of closed trades that win, and the mean win against the mean loss."""
+    f = ledger(spark, sf_dir)
+    none = f.sparkSession.createDataFrame([], "symbol long, ex date, ratio double")
+    pnl = F.col("pnl")
+    ratio = F.avg(F.when(pnl > 0, pnl)) / F.abs(F.avg(F.when(pnl < 0, pnl)))
+    return holdings.fifo_trades(f, none).groupBy("symbol").agg(F.count("*").alias("trades"), F.round(F.avg((pnl > 0).cast("double")), 4).alias("win_rate"), F.round(ratio, 4).alias("win_to_loss"), F.round(F.sum("pnl"), 2).alias("pnl"))
 
 
 @query(f"""WITH {BARS}, l AS (SELECT symbol, max(d) - CAST(symbol % 7 AS INTEGER) * 30 AS gone FROM bars GROUP BY symbol), p AS (SELECT symbol, any_value(gone) AS gone, max_by(close, d) AS price FROM bars JOIN l USING (symbol) WHERE d <= gone GROUP BY symbol), c AS (SELECT DISTINCT d FROM bars)
