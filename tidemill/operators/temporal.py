@@ -80,6 +80,15 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], k: int | Column) -> DataFrame:
+    """The first k rows of each key in `order`, which must be total. Each task keeps the first k of its own
+    rows before any key is brought together, so that no task sorts all rows of a key."""
+    local = rows.withColumn("_part", F.spark_partition_id())
+    for keys in ([*by, "_part"], by):
+        local = local.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+    return local.drop("_part")
+
+
 def later_days(rows: DataFrame, days: DataFrame, after: str, day: str) -> DataFrame:
     """rows with every later day of a calendar: days are numbered once, and a row spans a sequence of
     numbers, so nothing is compared in pairs. The calendar, a row a day, is numbered in one window."""

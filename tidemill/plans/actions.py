@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import classify
 from tidemill.operators import series, temporal
 from tidemill.plans.catalogue import BARS, query
 from tidemill.sources.tables import calendar, daily_bars, load
@@ -115,3 +116,46 @@ def bonus_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = temporal.asof_join(x, f.select("symbol", "d", F.col("now").alias("before")), "symbol", "d", "before", strict=True)
     still = F.abs(F.col("now") / F.col("before") - 1) < 1e-4
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(still, 1)).alias("unmoved"))
+
+
+DROPS = """x AS (
+  SELECT symbol, d, vol, lag(vol) OVER w AS vol0, amount, lag(amount) OVER w AS amount0 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)
+), shares AS (
+  SELECT symbol, d, vol0 AS pre, vol AS post, vol / vol0 AS q FROM x WHERE vol0 > 0 AND vol / vol0 - 1 <= -0.03
+), jumps AS (
+  SELECT symbol, d, amount0 AS pre, amount AS post, amount / amount0 AS q FROM x WHERE amount0 > 0 AND amount / amount0 - 1 <= -0.03
+)"""
+
+
+@query(f"""WITH {BARS}, {DROPS}, met AS (
+  SELECT s.symbol, s.d, j.q, abs(CAST(s.d - j.d AS INTEGER)) AS days, row_number() OVER (PARTITION BY s.symbol, s.d ORDER BY abs(CAST(s.d - j.d AS INTEGER)), j.d) AS nth
+  FROM shares s JOIN jumps j USING (symbol) WHERE abs(CAST(s.d - j.d AS INTEGER)) <= 10 AND abs(j.q - s.q) / s.q <= 0.01
+)
+SELECT s.symbol, s.d, round(s.q, 6) AS ratio, CASE WHEN m.d IS NOT NULL THEN 'confirmed' WHEN year(s.d) BETWEEN 1996 AND 1997 THEN 'reform' ELSE 'buyback' END AS verdict, m.days, round(abs(m.q - s.q) / s.q, 6) AS apart
+FROM shares s LEFT JOIN met m ON m.symbol = s.symbol AND m.d = s.d AND nth = 1""")
+def share_consolidations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops of the share count by 3 % or more, confirmed where a factor drops within ten days by a ratio a
+    hundredth apart at most (the nearest day, the earlier of two); else told apart by their years."""
+    w = series.by_day()
+    x = daily_bars(spark, sf_dir)
+    drops = lambda c: x.select("symbol", "d", F.lag(c).over(w).alias("pre"), F.col(c).alias("post")).where("pre > 0 and post / pre - 1 <= -0.03D").withColumn("q", F.col("post") / F.col("pre"))
+    shares = drops("vol").select("symbol", "d", "q")
+    met = temporal.ratio_band(shares, drops("amount").select("symbol", "d", "q"), "symbol", "d", "q", 10, 0.01)
+    days = F.abs(F.datediff("d", "other_d"))
+    nearest = met.groupBy("symbol", "d").agg(F.min(F.struct(days.alias("days"), "other_d", "other_q")).alias("m"))
+    out = shares.join(nearest, ["symbol", "d"], "left")
+    verdict = F.when(F.col("m").isNotNull(), "confirmed").when(F.year("d").between(1996, 1997), "reform").otherwise("buyback")
+    return out.select("symbol", "d", F.round("q", 6).alias("ratio"), verdict.alias("verdict"), F.col("m.days").alias("days"), F.round(F.abs(F.col("m.other_q") - F.col("q")) / F.col("q"), 6).alias("apart"))
+
+
+LIMITS = """x AS (
+  SELECT o_orderkey AS k, CAST(o_orderdate + INTERVAL 27 YEAR AS DATE) AS d, lpad(CAST((o_custkey * 91193) % 1000000 AS VARCHAR), 6, '0') AS code, o_orderstatus = 'F' AS st FROM orders
+)"""
+
+
+@query(f"""WITH {LIMITS} SELECT k, CASE WHEN regexp_matches(code, '^(4|8|920)') THEN 0.30 WHEN regexp_matches(code, '^(300|301|302|688|689)') THEN 0.20 WHEN st AND d < DATE '2026-07-06' THEN 0.05 ELSE 0.10 END::DOUBLE AS pct FROM x""")
+def limit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily limits by board, mark and day, on days before and after the mark's limit widened."""
+    code = F.lpad((F.col("o_custkey") * 91193 % 1000000).cast("string"), 6, "0")
+    x = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.add_months(F.to_date("o_orderdate"), 27 * 12).alias("d"), code.alias("code"), (F.col("o_orderstatus") == "F").alias("st"))
+    return x.select("k", classify.limit_pct(classify.board(F.col("code")), F.col("st"), F.col("d")).alias("pct"))

@@ -232,11 +232,11 @@ def date_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.round(F.avg(t.rlike(r"^\d{4}-?\d{2}-?\d{2}$").cast("double")), 4).alias("date_share"))
 
 
-@query("""WITH u AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01'), s AS (SELECT c_custkey AS k, c_nationkey AS g FROM customer) SELECT g, count(*) AS codes, count(u.k) AS used, CASE WHEN count(u.k) = 0 THEN 'unused' WHEN count(u.k) * 10 >= count(*) * 9 THEN 'covered' ELSE 'partial' END AS verdict FROM s LEFT JOIN u USING (k) GROUP BY g""")
+@query("""WITH u AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01'), s AS (SELECT c_custkey AS k, c_nationkey AS g FROM customer) SELECT g, count(*) AS codes, count(u.k) AS used, CASE WHEN count(u.k) = 0 THEN 'unused' WHEN count(u.k) * 10 >= count(*) * 9 THEN 'covered' ELSE 'partial' END AS verdict FROM s LEFT JOIN u ON u.k = s.k AND g <> 5 GROUP BY g""")
 def consumer_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each group is used."""
-    u = load(spark, sf_dir, "orders").where("o_orderdate >= timestamp'1999-01-01'").select(F.col("o_custkey").alias("k")).distinct().withColumn("used", F.lit(1))
-    s = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g")).join(u, "k", "left").groupBy("g").agg(F.count("*").alias("codes"), F.count("used").alias("used"))
+    """How much of each group is used lately; group 5 is made one that nobody uses."""
+    u = load(spark, sf_dir, "orders").where("o_orderdate >= timestamp'2000-06-01'").select(F.col("o_custkey").alias("k")).distinct().withColumn("used", F.lit(1))
+    s = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g")).join(u, "k", "left").withColumn("used", F.when(F.col("g") != 5, F.col("used"))).groupBy("g").agg(F.count("*").alias("codes"), F.count("used").alias("used"))
     return s.withColumn("verdict", F.when(F.col("used") == 0, "unused").when(F.col("used") * 10 >= F.col("codes") * 9, "covered").otherwise("partial"))
 
 
@@ -251,16 +251,19 @@ def valuation_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT t.g, t.k, t.i, CASE WHEN f.spent + t.cost <= 20 THEN f.spent + t.cost ELSE f.spent END, f.spent + t.cost <= 20 FROM f JOIN t ON t.g = f.g AND t.i = f.i + 1) SELECT g, k, taken FROM f""")
 def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks of a group in order while a budget lasts; one that does not fit is passed over, later ones may
-    fit. A group's tasks are folded with its spent budget as state."""
-    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.struct(F.round("c_acctbal", 2).alias("a"), F.col("c_custkey").alias("k"), (1 + F.col("c_custkey") % 7).cast("int").alias("cost")).alias("t"))
+    fit. Of one cost only the first can be taken that the whole budget pays for, so no more of a group come
+    together, and are folded with what is spent as state."""
+    budget = 20
+    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.round("c_acctbal", 2).alias("a"), F.col("c_custkey").alias("k"), (1 + F.col("c_custkey") % 7).cast("int").alias("cost"))
+    near = temporal.first_rows(c, ["g", "cost"], [F.col("a"), F.col("k")], F.floor(F.lit(budget) / F.col("cost")))
     start = F.struct(F.lit(0).alias("spent"), F.array().cast("array<long>").alias("taken"))
 
     def step(s, t):
-        fits = s["spent"] + t["cost"] <= 20
+        fits = s["spent"] + t["cost"] <= budget
         return F.struct(F.when(fits, s["spent"] + t["cost"]).otherwise(s["spent"]).alias("spent"), F.when(fits, F.array_append(s["taken"], t["k"])).otherwise(s["taken"]).alias("taken"))
 
-    done = c.groupBy("g").agg(F.aggregate(F.sort_array(F.collect_list("t")), start, step, lambda s: s["taken"]).alias("taken"))  # twenty at most are kept
-    return c.join(done, "g").select("g", F.col("t.k").alias("k"), F.array_contains("taken", F.col("t.k")).alias("taken"))
+    done = near.groupBy("g").agg(F.explode(F.aggregate(F.sort_array(F.collect_list(F.struct("a", "k", "cost"))), start, step, lambda s: s["taken"])).alias("k"))
+    return c.join(done.withColumn("taken", F.lit(True)), ["g", "k"], "left").select("g", "k", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
 @query("""WITH n AS (SELECT s_suppkey AS k FROM supplier), h AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-30' AND l_returnflag = 'R') SELECT k FROM n EXCEPT SELECT k FROM h""")

@@ -119,14 +119,22 @@ def share_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("symbol", "d", change(5).alias("change5"), change(20).alias("change20"), flow(5).alias("flow5"), flow(20).alias("flow20"))
 
 
-@query(f"""WITH {BARS}, r AS (SELECT symbol, d, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM bars)
-SELECT symbol, round(pow(max_by(close, d) / min_by(close, d), 365.25 / CAST(max(d) - min(d) AS INTEGER)) - 1, 4) AS annual, CASE WHEN count(*) >= 120 AND count(*) FILTER (i > 91 AND abs(r) < 0.25) >= 100 THEN round(stddev_samp(r) FILTER (i > 91 AND abs(r) < 0.25) * sqrt(245), 4) END AS vol FROM r GROUP BY symbol""")
+@query(f"""WITH {BARS}, v AS (
+  SELECT symbol, d, avg(close) OVER w AS nav, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 19 PRECEDING)
+), r AS (
+  SELECT symbol, d, nav, nav / lag(nav) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM v WHERE n = 20
+)
+SELECT symbol, round(pow(max_by(nav, d) / min_by(nav, d), 365.25 / CAST(max(d) - min(d) AS INTEGER)) - 1, 4) AS annual,
+       CASE WHEN count(*) >= 120 AND count(*) FILTER (i > 91 AND abs(r) < 0.25) >= 100 THEN round(stddev_samp(r) FILTER (i > 91 AND abs(r) < 0.25) * sqrt(245), 4) END AS vol
+FROM r GROUP BY symbol""")
 def annual_and_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly growth by calendar days; volatility from row 92 on without jumps of a quarter, given 120 rows and 100 returns."""
+    """Yearly growth by calendar days of a net value (the mean of twenty closes); its volatility from row 92 on
+    without jumps of a quarter, given 120 rows and 100 returns."""
     w = series.by_day()
-    x = daily_bars(spark, sf_dir).select("symbol", "d", "close", (F.col("close") / F.lag("close").over(w) - 1).alias("r"), F.row_number().over(w).alias("i"))
+    v = daily_bars(spark, sf_dir).select("symbol", "d", series.moving_mean("close", 20).alias("nav")).where("nav is not null")
+    x = v.select("symbol", "d", "nav", (F.col("nav") / F.lag("nav").over(w) - 1).alias("r"), F.row_number().over(w).alias("i"))
     calm = F.when((F.col("i") > 91) & (F.abs("r") < 0.25), F.col("r"))
-    grown = F.pow(F.max_by("close", "d") / F.min_by("close", "d"), 365.25 / F.datediff(F.max("d"), F.min("d"))) - 1
+    grown = F.pow(F.max_by("nav", "d") / F.min_by("nav", "d"), 365.25 / F.datediff(F.max("d"), F.min("d"))) - 1
     vol = F.when((F.count("*") >= 120) & (F.count(calm) >= 100), F.stddev_samp(calm) * 245**0.5)
     return x.groupBy("symbol").agg(F.round(grown, 4).alias("annual"), F.round(vol, 4).alias("vol"))
 
@@ -224,17 +232,23 @@ def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(x.withColumn("dominant", F.when(F.col("corr_s") > F.col("corr_m"), "s").otherwise("m")), "corr_m", "corr_s", "slope_m", "r2_m")
 
 
-@query(f"""WITH {BARS}, e AS (SELECT symbol, min(d) AS d, 1 + 0.01 * count(*) AS f FROM bars GROUP BY symbol, year(d), month(d)), n AS (SELECT symbol, d, f / max_by(f, d) OVER (PARTITION BY symbol) AS f FROM e)
-SELECT b.symbol, b.d, round(b.close * n.f + 2e-9, 4) AS qfq FROM bars b ASOF JOIN n ON b.symbol = n.symbol AND b.d >= n.d""")
+@query(f"""WITH {BARS}, e AS (
+  SELECT symbol, CAST(date_trunc('month', d) AS DATE) AS d, 1 + 0.01::DOUBLE * count(*) AS f FROM bars GROUP BY 1, 2
+), n AS (
+  SELECT symbol, d, f / max_by(f, d) OVER (PARTITION BY symbol) AS f FROM e
+)
+SELECT b.symbol, b.d, round(b.close * n.f, 6) AS qfq, b.d <> n.d AS closed FROM bars b ASOF JOIN n ON b.symbol = n.symbol AND b.d >= n.d""")
 def last_factor_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event factors scaled so that the last is 1, carried from their day on."""
+    """Event factors scaled so that the last is 1, carried from their day on. Events are on the first of a
+    month, mostly a day without a bar (`closed`), whose factor must not get lost."""
     from tidemill.operators import temporal
 
     b = daily_bars(spark, sf_dir)
-    e = b.groupBy("symbol", F.year("d").alias("y"), F.month("d").alias("m")).agg(F.min("d").alias("d"), (1 + 0.01 * F.count("*")).alias("f"))
+    e = b.groupBy("symbol", F.trunc("d", "month").alias("d")).agg((1 + 0.01 * F.count("*")).alias("f"))
     last = F.max_by("f", "d").over(Window.partitionBy("symbol"))
-    x = temporal.asof_join(b, e.select("symbol", "d", (F.col("f") / last).alias("f")), "symbol", "d", "f").where("f is not null")
-    return x.select("symbol", "d", F.round(F.col("close") * F.col("f") + 2e-9, 4).alias("qfq"))
+    own = e.select("symbol", "d", F.struct((F.col("f") / last).alias("f"), F.col("d").alias("at")).alias("e"))
+    x = temporal.asof_join(b, own, "symbol", "d", "e").where("e is not null")
+    return x.select("symbol", "d", F.round(F.col("close") * F.col("e.f"), 6).alias("qfq"), (F.col("d") != F.col("e.at")).alias("closed"))
 
 
 @query(f"""WITH {BREADTH}, y AS (SELECT d, 100.0 * down / n AS pct, lag(100.0 * down / n) OVER (ORDER BY d) AS was FROM day)
