@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str] | None, order: list | None = None) -> DataFrame:
-    """Union where the last row of a key wins: new before existing, then by `order`. Without keys,
-    whole rows are compared."""
+    """Union where the last row of a key wins: new before existing, then by `order`, then by a digest of the
+    row, so that the same one of rows without an order is kept. Without keys, whole rows are compared."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     if not keys:
         return both.drop("_new").distinct()
-    w = Window.partitionBy(*keys).orderBy(F.desc("_new"), *(order or []))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_new"), *(order or []), F.xxhash64(*(f"`{c}`" for c in new.columns)))
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
@@ -144,3 +144,41 @@ def fill_days(spark, path: str, days: DataFrame, compute, unit) -> int:
     count = missing.count()
     replace_partitions(spark, path, rows, "unit")
     return count
+
+
+def replace_table(spark, path: str, rows: DataFrame, fewer: bool = False) -> None:
+    """Rewrite the table at path, through a staged copy. Fewer rows than it holds are an error unless allowed."""
+    staged = f"{path}_staged"
+    try:
+        rows.write.mode("overwrite").parquet(staged)
+        new = spark.read.parquet(staged)
+        if not fewer and exists(spark, path) and (was := spark.read.parquet(path).count()) > (now := new.count()):
+            raise ValueError(f"{now} rows would replace {was}")
+        new.write.mode("overwrite").parquet(path)
+    finally:
+        remove(spark, staged)
+
+
+def merge_append(spark, path: str, new: DataFrame, keys: list[str], sort_by: list[str] | None = None, keep: str = "last") -> dict:
+    """Merge rows by key into the table at path: rows (after), added, changed and whether it was written.
+
+    keep="last" lets new rows replace old ones, and of new rows of one key the last by sort_by; "first" keeps
+    the old row, and of new ones the first. A merge that changes no value writes nothing."""
+    by = [F.desc_nulls_last(c) if keep == "last" else F.asc_nulls_first(c) for c in sort_by or []]
+    fresh = upsert(new.limit(0), new, keys, by)
+    if not exists(spark, path):
+        fresh.write.parquet(path)
+        n = spark.read.parquet(path).count()
+        return {"rows": n, "added": n, "changed": 0, "written": n > 0}
+    old = spark.read.parquet(path).select(new.columns)
+    values = [c for c in new.columns if c not in keys]
+    pair = lambda df, name: df.select(*keys, F.struct(*values).alias(name))
+    both = pair(old, "_old").join(pair(fresh, "_new"), keys, "full")
+    differs = F.col("_old").isNotNull() & F.col("_new").isNotNull() & ~F.col("_old").eqNullSafe(F.col("_new"))
+    n = both.agg(F.count("*").alias("rows"), F.count_if(F.col("_old").isNull()).alias("added"), F.count_if(differs).alias("changed")).first()
+    changed = n.changed if keep == "last" else 0
+    if not n.added and not changed:
+        return {"rows": n.rows, "added": 0, "changed": 0, "written": False}
+    order = ("_new", "_old") if keep == "last" else ("_old", "_new")
+    replace_table(spark, path, both.select(*keys, F.coalesce(*order).alias("_x")).select(*keys, "_x.*").select(new.columns))
+    return {"rows": n.rows, "added": n.added, "changed": changed, "written": True}
