@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import inference, maintenance, simulate, temporal
-from tidemill.plans import actions, audits, catalogue, factors, indicators, indices, metrics, quality, reads, research, trading, trials  # noqa: F401  register their queries
+from tidemill.plans import actions, audits, catalogue, factors, indicators, indices, metrics, pools, quality, reads, research, trading, trials  # noqa: F401  register their queries
 from tidemill.sources.tables import union_all
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def test_against_sql(spark, name):
     df = catalogue.QUERIES[name](spark, sf)
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("orders", "lineitem", "part", "region", "events", "customer", "supplier", "documents", "labels", "benchmark"):
+    for t in ("orders", "lineitem", "part", "region", "nation", "events", "customer", "supplier", "documents", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(catalogue.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
