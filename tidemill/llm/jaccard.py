@@ -112,8 +112,8 @@ PREFIXES = "doc_id long, block long, n long, rep long, bucket long, shingles bin
 
 def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFrame:
     """Two kinds of rows. bucket null: a document, its block, set size and the first row of its block
-    with the same set. Else: prefix shingles that several sets hold, each with one holder,
-    and links of further holders of the block to that one."""
+    with the same set. Else: prefix shingles that several sets hold, each with the smallest row of those
+    that its holders in the block are connected with, and links of those rows to that one."""
 
     def find(block: int, blob: bytes, told: pa.Table) -> pa.Table:
         ids, texts = block_texts(blob)
@@ -139,6 +139,9 @@ def prefixes(blocks: DataFrame, k: int, percent: int, n_buckets: int) -> DataFra
         least = owner[fresh][np.cumsum(fresh) - 1] if len(shingle) else owner
         links = rooted(np.stack([owner, least], 1)[owner != least])
         shingle, owner = shingle[fresh], owner[fresh]
+        if len(links):  # to other blocks, a component of the block speaks as its smallest row
+            at = np.minimum(np.searchsorted(links[:, 0], owner), len(links) - 1)
+            owner = np.where(links[at, 0] == owner, links[at, 1], owner)
         to, link_to = (shingle % np.uint64(n_buckets)).astype(np.int64), links[:, 0] % n_buckets
         rows = [(i, block, len(s), f, None, None, None, None) for i, s, f in zip(ids, sets, first)]
         rows += [(None, block, None, None, b, *(x[to == b].tobytes() for x in (shingle, owner)), links[link_to == b].tobytes()) for b in np.union1d(to, link_to).tolist()]
