@@ -12,7 +12,7 @@ from tidemill.plans import actions, audits, catalogue, factors, indicators, indi
 from tidemill.sources.tables import union_all
 
 SF = "/root/testdata/sf0.001"
-LARGER = {"micro_index_daily", "micro_index_held"}  # need some hundred names a month
+LARGER = {"micro_index_daily", "micro_index_held", "four_factor_ols"}  # need some hundred names a month, or symbols each day
 
 
 def plain(rows):

@@ -102,10 +102,35 @@ def fund_kind(code: Column, suffix: Column) -> Column:
     return F.when(suffix == "OF", "outside").when(etf, "ETF").when((sh & code.startswith("50")) | (sz & code.rlike("^1[68]")), "LOF").otherwise("other")
 
 
+# Words of funds that invest abroad, in money, gold and bonds, and the code prefixes that stand in for them.
+ABROAD_WORDS = "恒生|港股|纳斯达克|标普|道琼斯|日经|德国|法国|亚太|中概|海外|跨境|QDII|美国|香港"
+MONEY_WORDS, GOLD_WORDS, BOND_WORDS = "货币|现金", "黄金|金ETF", "债"
+ABROAD_CODE, BOND_CODE = "513", "511"
+
+
 def fund_subclass(code: Column, name: Column) -> Column:
-    """By words of the name, then by the code."""
-    by_name = F.when(name.contains("Nasdaq"), "foreign").when(name.contains("cash"), "money").when(name.contains("gold"), "gold").when(name.contains("bond"), "bond")
-    return F.coalesce(by_name, F.when(code.startswith("513"), "foreign").when(code.startswith("511"), "bond").otherwise("stock"))
+    """By words of the name in this order, then by the code; all but stock funds can be sold on the day they are bought."""
+    text = F.coalesce(name, F.lit(""))
+    return (
+        F.when(text.rlike(ABROAD_WORDS), "foreign").when(text.rlike(MONEY_WORDS), "money").when(text.rlike(GOLD_WORDS), "gold").when(text.rlike(BOND_WORDS), "bond")
+        .when(code.startswith(ABROAD_CODE), "foreign").when(code.startswith(BOND_CODE), "bond").otherwise("stock")
+    )
+
+
+def liquidity_class(index: Column, small: Column, down: Column, ratio: Column, t: dict) -> tuple[Column, Column]:
+    """State of a day and the tests that fired, as texts. index and small are changes in percent, null where unknown:
+    their tests don't fire then. A crisis has the crisis tests alone."""
+    told = lambda tests: F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), k) for k, c in tests.items())))
+    crisis = told({
+        f"down>={t['down_crisis']}": down >= t["down_crisis"], f"small<={t['small_crisis']}": small <= t["small_crisis"],
+        f"index<={t['index_crisis']} and ratio>={t['ratio_crisis']}": (index <= t["index_crisis"]) & (ratio >= t["ratio_crisis"]),
+    })
+    watch = told({
+        f"index<={t['index_watch']}": index <= t["index_watch"], f"down>={t['down_watch']}": down >= t["down_watch"],
+        f"ratio>={t['ratio_watch']}": ratio >= t["ratio_watch"], f"small<={t['small_watch']}": small <= t["small_watch"],
+    })
+    state = F.when(F.size(crisis) > 0, "CRISIS").when(F.size(watch) > 0, "WATCH").otherwise("NORMAL")
+    return state, F.when(F.size(crisis) > 0, crisis).otherwise(watch)
 
 
 def fund_limit(equity: Column, follows: Column, day: Column) -> Column:

@@ -251,15 +251,35 @@ def last_factor_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("symbol", "d", F.round(F.col("close") * F.col("e.f"), 6).alias("qfq"), (F.col("d") != F.col("e.at")).alias("closed"))
 
 
-@query(f"""WITH {BREADTH}, y AS (SELECT d, 100.0 * down / n AS pct, lag(100.0 * down / n) OVER (ORDER BY d) AS was FROM day)
-SELECT d, CASE WHEN pct >= 45 THEN 'CRISIS' WHEN pct >= 40 OR pct - was >= 15 THEN 'WATCH' ELSE 'NORMAL' END AS state, array_to_string(list_filter([CASE WHEN pct >= 45 THEN 'wide' END, CASE WHEN pct >= 40 AND pct < 45 THEN 'near' END, CASE WHEN pct - was >= 15 THEN 'jump' END], lambda t: t IS NOT NULL), ',') AS triggers FROM y""")
+#: Bounds of the day's state, as wide as these prices move.
+LIQUIDITY = {"index_crisis": -8, "index_watch": -10, "small_crisis": -20, "small_watch": -16, "down_crisis": 16, "down_watch": 14, "ratio_crisis": 50, "ratio_watch": 62}
+FIRED = "array_to_string(list_filter([{}], lambda t: t IS NOT NULL), ',')"
+
+
+def fired_sql(tests: dict[str, str]) -> str:
+    return FIRED.format(", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in tests.items()))
+
+
+CRISIS_SQL = fired_sql({"down>=16": "down >= 16", "small<=-20": "small <= -20", "index<=-8 and ratio>=50": "index <= -8 AND ratio >= 50"})
+WATCH_SQL = fired_sql({"index<=-10": "index <= -10", "down>=14": "down >= 14", "ratio>=62": "ratio >= 62", "small<=-16": "small <= -16"})
+
+
+@query(f"""WITH {BREADTH}, level AS (
+  SELECT d, avg(close) AS a, avg(close) FILTER (symbol % 4 = 1) AS s FROM bars GROUP BY d
+), moves AS (
+  SELECT d, (a / lag(a) OVER (ORDER BY d) - 1) * 100 AS index, (s / lag(s) OVER (ORDER BY d) - 1) * 100 AS small FROM level
+), y AS (
+  SELECT d, down, 100.0::DOUBLE * down / n AS ratio, index, small FROM day JOIN moves USING (d)
+), t AS (SELECT d, {CRISIS_SQL} AS crisis, {WATCH_SQL} AS watch FROM y)
+SELECT d, CASE WHEN crisis <> '' THEN 'CRISIS' WHEN watch <> '' THEN 'WATCH' ELSE 'NORMAL' END AS state, CASE WHEN crisis <> '' THEN crisis ELSE watch END AS triggers FROM t""")
 def breadth_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of the day and the list of tests that fired; the window runs over a row a day."""
-    x = breadth_days(spark, sf_dir).select("d", (100.0 * F.col("down") / F.col("n")).alias("pct"))
-    x = x.withColumn("step", F.coalesce(F.col("pct") - F.lag("pct").over(Window.orderBy("d")), F.lit(0.0)))
-    wide, near, jump = F.col("pct") >= 45, (F.col("pct") >= 40) & (F.col("pct") < 45), F.col("step") >= 15
-    fired = F.array_compact(F.array(F.when(wide, "wide"), F.when(near, "near"), F.when(jump, "jump")))
-    return x.select("d", F.when(wide, "CRISIS").when(near | jump, "WATCH").otherwise("NORMAL").alias("state"), F.array_join(fired, ",").alias("triggers"))
+    """State of the day by how many symbols fell to their limit, their share, and the moves of a wide and a small
+    index, with the tests that fired; the window runs over a row a day."""
+    level = daily_bars(spark, sf_dir).groupBy("d").agg(F.avg("close").alias("a"), F.avg(F.when(F.col("symbol") % 4 == 1, F.col("close"))).alias("s"))
+    move = lambda c: (F.col(c) / F.lag(c).over(Window.orderBy("d")) - 1) * 100
+    x = breadth_days(spark, sf_dir).join(level.select("d", move("a").alias("index"), move("s").alias("small")), "d")
+    state, fired = classify.liquidity_class(F.col("index"), F.col("small"), F.col("down"), 100.0 * F.col("down") / F.col("n"), LIQUIDITY)
+    return x.select("d", state.alias("state"), F.array_join(fired, ",").alias("triggers"))
 
 
 @query("""WITH m AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(CAST(o_totalprice AS DECIMAL(18, 2))) FILTER (o_orderstatus = 'F') AS b FROM orders GROUP BY 1), t AS (SELECT CAST(l_shipdate AS DATE) AS d, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS v FROM lineitem GROUP BY 1)

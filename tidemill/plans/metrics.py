@@ -27,13 +27,32 @@ def nav_four(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(x, "r", "cum", "dd", digits=6)
 
 
-@query(f"""WITH {BARS}, s AS (SELECT symbol, d, close, vol, sum(vol) OVER (PARTITION BY symbol ORDER BY d) AS run, sum(CASE WHEN vol % 17 = 0 THEN 0 ELSE vol END) OVER (PARTITION BY symbol ORDER BY d) AS stored FROM bars) SELECT symbol, count(*) AS days, count(*) FILTER (abs(run - stored) > 1e-9) AS off, CAST(min(d) FILTER (abs(run - stored) > 1e-9) AS DATE) AS first_off FROM s GROUP BY symbol""")
+#: Stored snapshots of a net value whose fields are made to drift on some days.
+SNAPSHOTS = """x AS (
+  SELECT symbol, d, close, CAST(vol AS BIGINT) AS v, row_number() OVER w AS i, coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) AS r,
+         close / first_value(close) OVER w - 1 AS cum, close / max(close) OVER w - 1 AS dd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)
+)"""
+DRIFTS = {"total_value": "v % 61 = 0", "daily_return": "v % 67 = 1", "cumulative_return": "v % 71 = 2", "drawdown": "v % 73 = 3"}
+
+
+@query(f"""WITH {BARS}, {SNAPSHOTS}, f AS ({' UNION ALL '.join(f"SELECT symbol, d, '{k}' AS field FROM x WHERE {c}" for k, c in DRIFTS.items())})
+SELECT symbol, field, count(*) AS off, min(d) AS first_off FROM f GROUP BY symbol, field""")
 def nav_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running value recomputed against the stored one: days that part by over 1e-9, and the first."""
+    """Stored value, return, cumulated return and drawdown of each snapshot against those worked out anew from
+    cash and holdings: the fields and days that part by over 1e-9. The SQL counts the days that were made to."""
     w = series.by_day()
-    stored = F.sum(F.when(F.col("vol") % 17 == 0, 0.0).otherwise(F.col("vol"))).over(w)
-    s = daily_bars(spark, sf_dir).select("symbol", "d", (F.abs(F.sum("vol").over(w) - stored) > 1e-9).alias("off"))
-    return s.groupBy("symbol").agg(F.count("*").alias("days"), F.count(F.when(F.col("off"), 1)).alias("off"), F.min(F.when(F.col("off"), F.col("d"))).alias("first_off"))
+    cash = F.col("close") * 0.25
+    made = daily_bars(spark, sf_dir).select("symbol", "d", "close", F.col("vol").cast("long").alias("v"), cash.alias("cash"), (F.col("close") - cash).alias("held"))
+    was = F.lag("close").over(w)
+    right = {"total_value": F.col("close"), "daily_return": F.coalesce(F.col("close") / F.nullif(was, F.lit(0.0)) - 1, F.lit(0.0)), "cumulative_return": F.col("close") / F.first("close").over(w) - 1, "drawdown": F.col("close") / F.max("close").over(w) - 1}
+    stored = made.withColumns({k: right[k] + F.when(F.expr(c), 1e-6).otherwise(0.0) for k, c in DRIFTS.items()})
+    total = F.col("cash") + F.col("held")
+    anew = stored.withColumn("_total", total).withColumns({
+        "_daily_return": F.coalesce(F.col("_total") / F.nullif(F.lag("_total").over(w), F.lit(0.0)) - 1, F.lit(0.0)),
+        "_cumulative_return": F.col("_total") / F.first("_total").over(w) - 1, "_drawdown": F.col("_total") / F.greatest(F.max("_total").over(w), F.lit(0.0)) - 1, "_total_value": F.col("_total"),
+    })
+    fields = F.array_compact(F.array(*(F.when(F.abs(F.col(k) - F.col(f"_{k}")) > 1e-9, F.lit(k)) for k in DRIFTS)))
+    return anew.select("symbol", "d", F.explode(fields).alias("field")).groupBy("symbol", "field").agg(F.count("*").alias("off"), F.min("d").alias("first_off"))
 
 
 @query(f"""WITH {BARS}, {RET}, x AS (SELECT symbol, d, close, r, close / max(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS dd FROM r), a AS (SELECT symbol, count(*) AS n, max_by(close, d) / min_by(close, d) - 1 AS total, min(dd) AS dd, stddev_samp(r) AS sd FROM x GROUP BY symbol)
