@@ -12,7 +12,7 @@ from tidemill.sources.tables import daily_bars
 XS = ["market", "first", "second", "third"]
 
 FACTOR_DAYS = f"""{BARS}, r AS (
-  SELECT symbol, d, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) AS r FROM bars
+  SELECT symbol, d, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) / 100 AS r FROM bars
 ), f AS (
   SELECT d, avg(r) AS market, avg(r) FILTER (symbol % 4 = 1) - avg(r) AS first,
          avg(r) FILTER (symbol % 4 = 2) - avg(r) AS second, avg(r) FILTER (symbol % 4 = 3) - avg(r) AS third
@@ -24,9 +24,9 @@ FACTOR_DAYS = f"""{BARS}, r AS (
 
 
 def factor_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Log returns by symbol and day, and four factors by day: the mean of all symbols, and how far the means of
+    """Log returns by symbol and day (a hundredth of them, as these prices leap), and four factors by day: the mean of all symbols, and how far the means of
     three groups of symbols part from it. A factor without symbols is null."""
-    r = daily_bars(spark, sf_dir).select("symbol", "d", F.log(F.col("close") / F.lag("close").over(series.by_day())).alias("r")).where("r is not null")
+    r = daily_bars(spark, sf_dir).select("symbol", "d", (F.log(F.col("close") / F.lag("close").over(series.by_day())) / 100).alias("r")).where("r is not null")
     group = lambda k: F.avg(F.when(F.col("symbol") % 4 == k, F.col("r"))) - F.avg("r")
     return r, r.groupBy("d").agg(F.avg("r").alias("market"), group(1).alias("first"), group(2).alias("second"), group(3).alias("third"))
 
