@@ -237,7 +237,7 @@ def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), n AS (
   SELECT symbol, d, f / max_by(f, d) OVER (PARTITION BY symbol) AS f FROM e
 )
-SELECT b.symbol, b.d, round(b.close * n.f, 2) AS qfq, b.d <> n.d AS closed FROM bars b ASOF JOIN n ON b.symbol = n.symbol AND b.d >= n.d""")
+SELECT b.symbol, b.d, round(b.close * n.f + 2e-9, 4) AS qfq, b.d <> n.d AS closed FROM bars b ASOF JOIN n ON b.symbol = n.symbol AND b.d >= n.d""")
 def last_factor_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event factors scaled so that the last is 1, carried from their day on. Events are on the first of a
     month, mostly a day without a bar (`closed`), whose factor must not get lost."""
@@ -248,7 +248,7 @@ def last_factor_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max_by("f", "d").over(Window.partitionBy("symbol"))
     own = e.select("symbol", "d", F.struct((F.col("f") / last).alias("f"), F.col("d").alias("at")).alias("e"))
     x = temporal.asof_join(b, own, "symbol", "d", "e").where("e is not null")
-    return x.select("symbol", "d", F.round(F.col("close") * F.col("e.f"), 2).alias("qfq"), (F.col("d") != F.col("e.at")).alias("closed"))
+    return x.select("symbol", "d", F.round(F.col("close") * F.col("e.f") + 2e-9, 4).alias("qfq"), (F.col("d") != F.col("e.at")).alias("closed"))
 
 
 #: Bounds of the day's state, as wide as these prices move.
