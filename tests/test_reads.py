@@ -84,3 +84,18 @@ def test_layouts(spark, tmp_path):
     plan = layouts.read_table(spark, f"{tmp_path}/years", start="20210101", end="20211231").inputFiles()
     assert [p.rsplit("/", 1)[1] for p in plan] == ["2021.parquet"]
     assert layouts.read_file(spark, f"{tmp_path}/years/1999.parquet") is None and layouts.read_file(spark, f"{tmp_path}/years/2020.parquet", ["v", "w"]).columns == ["v"]
+
+
+def test_layouts_of_parts(spark, tmp_path):
+    """A year's or a code's rows in several files: the same kinds and rows, and still only the files asked for."""
+    rows = spark.range(0, 40, 1, 4).selectExpr("id as v", "if(id % 2 = 0, '600519.SH', 'BRK-1.X') as ts_code", "date_add(date'2020-12-20', cast(id as int)) as trade_date")
+    for kind, parts in {"by_year": [("2020.parquet", "year(trade_date) = 2020"), ("2021.parquet", "year(trade_date) = 2021")], "by_code": [(f"{c}.parquet", f"ts_code = '{c}'") for c in ("600519.SH", "BRK-1.X")], "single": [("all.parquet", "true")]}.items():
+        for name, test in parts:
+            rows.where(test).write.parquet(f"{tmp_path}/{kind}_staged/{name}")
+        layouts.gathered(spark, f"{tmp_path}/{kind}_staged", f"{tmp_path}/{kind}")
+        found = layouts.layout(spark, f"{tmp_path}/{kind}")
+        assert len(layouts.file_names(spark, f"{tmp_path}/{kind}")) > len(parts)
+        assert found.kind == kind and not found.mixed and found.years == ((2020, 2021) if kind == "by_year" else ()) and found.codes == (("600519.SH", "BRK-1.X") if kind == "by_code" else ())
+        x = layouts.read_table(spark, f"{tmp_path}/{kind}", "600519.SH", "2021-01-01", "2021-01-10")
+        assert sorted(r.v for r in x.collect()) == [12, 14, 16, 18, 20]
+        assert all({"by_year": "/2021-", "by_code": "/600519.SH-", "single": "/all-"}[kind] in f for f in x.inputFiles())

@@ -1,4 +1,5 @@
-"""Tables whatever their files are laid out by: one file a year, one a code, or any files."""
+"""Tables whatever their files are laid out by: files of a year, of a code, or any files. A year's or a code's
+rows may be several files <name>-<number>.parquet, as `gathered` leaves them of a large table."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-YEAR_FILE, CODE_FILE = re.compile(r"\d{4}\.parquet"), re.compile(r".+\..+\.parquet")
+YEAR_FILE, CODE_FILE, PART = re.compile(r"\d{4}(-\d+)?\.parquet"), re.compile(r".+\..+\.parquet"), re.compile(r"-\d+$")
 
 
 @dataclass(frozen=True)
@@ -35,12 +36,19 @@ def file_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(where) if s.isFile() and s.getPath().getName().endswith(".parquet"))
 
 
+def code_names(file: str) -> set[str]:
+    """The codes whose rows a file may hold: its name, and its name without the number of a part."""
+    name = file.removesuffix(".parquet")
+    return {name, PART.sub("", name)}
+
+
 def layout(spark: SparkSession, path: str) -> Layout:
     names = file_names(spark, path)
-    years = tuple(int(n[:4]) for n in names if YEAR_FILE.fullmatch(n))
-    codes = tuple(n.removesuffix(".parquet") for n in names if CODE_FILE.fullmatch(n))
+    in_years = [n for n in names if YEAR_FILE.fullmatch(n)]
+    years = tuple(sorted({int(n[:4]) for n in in_years}))
+    codes = tuple(sorted({min(code_names(n), key=len) for n in names if CODE_FILE.fullmatch(n)}))
     others = tuple(n for n in names if not YEAR_FILE.fullmatch(n) and not CODE_FILE.fullmatch(n))
-    kind = "none" if not names else "by_year" if len(years) == len(names) else "by_code" if codes else "single"
+    kind = "none" if not names else "by_year" if len(in_years) == len(names) else "by_code" if codes else "single"
     return Layout(kind, years, codes, others)
 
 
@@ -67,7 +75,7 @@ def read_table(spark: SparkSession, path: str, code: str | list[str] | None = No
     if found.kind == "by_year":
         names = [n for n in names if (start is None or int(n[:4]) >= int(start[:4])) and (end is None or int(n[:4]) <= int(end[:4]))]
     elif found.kind == "by_code" and codes is not None and not found.mixed:
-        names = [n for n in names if n.removesuffix(".parquet") in set(codes) or n in found.others]
+        names = [n for n in names if code_names(n) & set(codes) or n in found.others]
     if not names:
         return None
     df = spark.read.option("mergeSchema", True).parquet(*(f"{path}/{n}" for n in names))
