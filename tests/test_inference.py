@@ -147,6 +147,17 @@ def test_order(spark):
     assert len(orders) == 8
 
 
+def test_order_is_that_of_the_hashes(spark):
+    """The same orders as windows over rows repeated by replicate have; and no step repeats rows before a shuffle."""
+    rows = frame(spark, {"a": series(8, 40), None: series(9, 25), "gone": [-1.5, 0.2, -1.0]})
+    found = {(r.g, r.rep): r.v for r in I.shuffled_drawdowns(rows, "g", "r", "d", 12, 7).collect()}
+    laid = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("h", F.when(F.col("rep") > 0, F.xxhash64("g", "d", "rep", F.lit(7)))).orderBy("g", "rep", "h", "d").collect()
+    want = {k: fall([max(r.r, -1 + 1e-12) for r in laid if (r.g, r.rep) == k]) for k in {(r.g, r.rep) for r in laid}}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    plan = I.shuffled_drawdowns(rows, "g", "r", "d", 12, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+
+
 def test_random_holdings(spark):
     pool = frame(spark, {"a": series(9, 500)}).drop("g")
     v = [r.sharpe for r in I.random_holdings(pool, "d", "r", 100, 400, 5).collect()]

@@ -198,16 +198,34 @@ def compared(x: DataFrame, by: str) -> DataFrame:
     return own.groupBy(by).agg(F.first("observed").alias("observed"), share(F.abs("v") >= F.abs("observed")).alias("p"), share(F.col("v") < F.col("observed")).alias("place"))
 
 
+def hashed_on(key: np.ndarray, number: int) -> np.ndarray:
+    """Spark's xxhash64 of one more int, from that of the columns before it."""
+    x = key.view(np.uint64) + np.uint64(0x27D4EB2F165667C5 + 4)
+    x ^= np.uint64((number & 0xFFFFFFFF) * 0x9E3779B185EBCA87 & (1 << 64) - 1)
+    x = ((x << np.uint64(23)) | (x >> np.uint64(41))) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 def shuffled_drawdowns(rows: DataFrame, by: str, r: str, day: str, times: int, seed: int) -> DataFrame:
     """by, rep, v: the largest drawdown of each replicate's order of days, replicate 0 in their own order.
 
-    The order is that of seeded hashes; a task holds the days of one group and replicate."""
-    reps = rows.dropna(subset=[r]).select(by, day, F.col(r).alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(times))).alias("rep"))
-    place = F.when(F.col("rep") == 0, F.struct(F.lit(0).cast("long").alias("a"), F.col(day).alias("b"))).otherwise(F.struct(F.xxhash64(by, day, "rep", F.lit(seed)).alias("a"), F.col(day).alias("b")))
-    w = Window.partitionBy(by, "rep").orderBy("_place")
-    laid = reps.withColumn("_place", place).withColumn("_nav", F.sum(F.log1p(F.greatest("_r", F.lit(-1 + 1e-12)))).over(w))
-    peak = F.greatest(F.max("_nav").over(w), F.lit(0.0))
-    return laid.withColumn("_fall", F.exp(F.col("_nav") - peak) - 1).groupBy(by, "rep").agg(F.min("_fall").alias("v"))
+    The order is that of xxhash64(by, day, rep, seed). Days are shuffled once, not by replicate: a task holds
+    the days of one group, and orders them for one replicate after another."""
+    step = F.log1p(F.greatest(F.col(r).cast("double"), F.lit(-1 + 1e-12)))
+    keyed = rows.dropna(subset=[r]).select(F.col(by).alias("group"), F.col(day).alias("day"), F.xxhash64(by, day).alias("key"), step.alias("step"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("day", "ascending"), ("step", "ascending")])
+        keys, steps = table["key"].to_numpy(), table["step"].to_numpy()
+        worst = np.empty(times + 1)
+        for rep in range(times + 1):
+            nav = np.cumsum(steps[np.argsort(hashed_on(hashed_on(keys, rep), seed), kind="stable")] if rep else steps)
+            worst[rep] = np.exp(np.min(nav - np.maximum(np.maximum.accumulate(nav), 0.0))) - 1
+        return pa.table({"group": pa.array([table["group"][0].as_py()] * len(worst), table.schema.field("group").type), "rep": pa.array(range(times + 1), pa.int32()), "v": worst})
+
+    return keyed.groupBy("group").applyInArrow(run, f"group {dict(rows.dtypes)[by]}, rep int, v double").withColumnRenamed("group", by)
 
 
 def order_test(rows: DataFrame, by: str, r: str, day: str, times: int, seed: int) -> DataFrame:
