@@ -158,6 +158,15 @@ def test_order_is_that_of_the_hashes(spark):
     assert "Generate" not in plan and "Window" not in plan
 
 
+def test_weights():
+    """Poisson numbers by table equal those by search, at the bounds of numbers too; whole numbers are cut and put together."""
+    edges = (I.POISSON[:18] * 2**53).astype(np.uint64)
+    bits = np.concatenate([np.random.default_rng(1).integers(0, 2**64, 200_000, np.uint64), *((edges + np.uint64(k)) << np.uint64(11) for k in (0, 1)), (edges - np.uint64(1)) << np.uint64(11)])
+    assert np.array_equal(I.weights(bits, "poisson"), [np.searchsorted(I.POISSON, float(b >> np.uint64(11)) / 2**53, "right") for b in bits])
+    x = np.array([0, 1, -1, 2**40 + 7, -(2**45) - 3, 2**62, -(2**62) + 1])
+    assert np.array_equal(I.put_together(np.stack(I.pieces(x))), x)
+
+
 def test_random_holdings(spark):
     pool = frame(spark, {"a": series(9, 500)}).drop("g")
     v = [r.sharpe for r in I.random_holdings(pool, "d", "r", 100, 400, 5).collect()]

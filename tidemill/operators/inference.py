@@ -96,13 +96,34 @@ def drawn(key: np.ndarray, replicates: np.ndarray) -> np.ndarray:
 
 
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+#: For the first 16 of 53 bits the Poisson number that they leave, or -1 where the other bits decide.
+LEAST, MOST = (np.searchsorted(POISSON, (np.arange(1 << 16) * float(1 << 37) + rest) / float(1 << 53), "right") for rest in (0, (1 << 37) - 1))
+COUNTS = np.where(LEAST == MOST, LEAST, -1).astype(np.float64)
 
 
 def weights(bits: np.ndarray, scheme: str) -> np.ndarray:
     """How often a row counts: a Poisson number of mean 1 (`poisson`), or 1 or -1 (`sign`)."""
     if scheme == "poisson":
-        return np.searchsorted(POISSON, (bits >> np.uint64(11)) / float(1 << 53), "right")
-    return np.where(bits >> np.uint64(63), -1, 1)
+        out = COUNTS[bits >> np.uint64(48)]
+        open_ = out < 0
+        if open_.any():
+            out[open_] = np.searchsorted(POISSON, (bits[open_] >> np.uint64(11)) / float(1 << 53), "right")
+        return out
+    return 1.0 - 2.0 * (bits >> np.uint64(63))
+
+
+PIECE = 21
+
+
+def pieces(whole: np.ndarray) -> list[np.ndarray]:
+    """Three floats that add up to a whole number, of which sums over a block are exact."""
+    low = (1 << PIECE) - 1
+    return [(whole & low).astype(np.float64), ((whole >> PIECE) & low).astype(np.float64), (whole >> 2 * PIECE).astype(np.float64)]
+
+
+def put_together(sums: np.ndarray) -> np.ndarray:
+    x = sums.astype(np.int64)
+    return x[0] + (x[1] << PIECE) + (x[2] << 2 * PIECE)
 
 
 def replicate_sums(rows: DataFrame, by: str, r: str, key: list[str], times: int, seed: int, scheme: str, held_mb: int = 64) -> DataFrame:
@@ -129,27 +150,29 @@ def replicate_sums(rows: DataFrame, by: str, r: str, key: list[str], times: int,
             names, code = codes.dictionary.to_pylist(), codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
             names.append(None)
             order = np.argsort(code, kind="stable")
-            step = max(1, (1 << 21) // len(reps))
+            step = max(1, (1 << 16) // len(reps))  # a block's weights stay in the cache
             for a in range(0, len(order), step):
                 at = order[a : a + step]
-                w = weights(drawn(keys[at], reps), scheme).astype(np.int64)
+                w = weights(drawn(keys[at], reps), scheme)
                 w[:, 0] = 1
                 v = values[at]
                 alive = v > -1
-                parts = (np.ones(len(v)) / UNIT, v, v * v, np.log1p(np.where(alive, v, 0.0)))
-                first = np.flatnonzero(np.diff(code[at], prepend=-1))
-                whole = [np.round(p * UNIT).astype(np.int64)[:, None] for p in parts]
-                sums = [np.add.reduceat((np.abs(w) if p == 2 else w) * v, first) for p, v in enumerate(whole)]
-                sums.append(np.add.reduceat(np.abs(w) * ~alive[:, None], first))
-                for i, c in enumerate(code[at][first].tolist()):
-                    own = np.stack([s[i] for s in sums])
-                    held[names[c]] = held[names[c]] + own if names[c] in held else own
+                whole = [np.round(p * UNIT).astype(np.int64) for p in (v, v * v, np.log1p(np.where(alive, v, 0.0)))]
+                columns = np.stack([np.ones(len(v)), (~alive).astype(np.float64), *(x for p in whole for x in pieces(p))])
+                ends = [*np.flatnonzero(np.diff(code[at])) + 1, len(at)]
+                for b, e in zip([0, *ends], ends):
+                    sums = columns[:, b:e] @ w[b:e]
+                    if scheme == "sign":  # a square, or a dead row, has no sign
+                        sums[[1, 5, 6, 7]] = sums[[1, 5, 6, 7], :1]
+                    own = np.stack([sums[0].astype(np.int64), *(put_together(sums[i : i + 3]) for i in (2, 5, 8)), sums[1].astype(np.int64)])
+                    name = names[code[at[b]]]
+                    held[name] = held[name] + own if name in held else own
                 if len(held) * len(reps) * 40 > held_mb << 20:
                     yield from flush()
         yield from flush()
 
     keyed = rows.dropna(subset=[r]).select(F.col(by).alias("group"), F.col(r).cast("double").alias("value"), F.xxhash64(*key, F.lit(seed)).alias("key"))
-    parts = keyed.mapInArrow(run, f"group {kind}, rep int, w long, r long, rr long, log long, dead long")
+    parts = keyed.sortWithinPartitions("group").mapInArrow(run, f"group {kind}, rep int, w long, r long, rr long, log long, dead long")
     sums = parts.groupBy("group", "rep").agg(*(F.sum(c).alias(c) for c in ("w", "r", "rr", "log", "dead")))
     unit = lambda c: F.col(c) / UNIT
     return sums.select(F.col("group").alias(by), "rep", "w", unit("r").alias("r"), unit("rr").alias("rr"), F.when(F.col("dead") == 0, unit("log")).alias("log"))

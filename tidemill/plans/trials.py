@@ -48,7 +48,7 @@ BEST = f"""(0.42278433509846714 * ({quantile_sql('p1')}) + 0.5772156649015329 *
 def excess_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, d, r (a day's return) and e, what it exceeds the day's mean of all symbols by."""
     r = returns(spark, sf_dir).where("r is not null").select("symbol", "d", "r")
-    return r.join(r.groupBy("d").agg(F.avg("r").alias("b")), "d").select("symbol", "d", "r", (F.col("r") - F.col("b")).alias("e"))
+    return r.join(F.broadcast(r.groupBy("d").agg(F.avg("r").alias("b"))), "d").select("symbol", "d", "r", (F.col("r") - F.col("b")).alias("e"))
 
 
 @query(f"""WITH {EXCESS}, m AS ({moments_sql('e', 'symbol', 'e')}), t AS (
