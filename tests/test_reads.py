@@ -1,6 +1,7 @@
 """Footers, trees and layouts on made files."""
 
 import datetime as dt
+import hashlib
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -99,3 +100,15 @@ def test_layouts_of_parts(spark, tmp_path):
         x = layouts.read_table(spark, f"{tmp_path}/{kind}", "600519.SH", "2021-01-01", "2021-01-10")
         assert sorted(r.v for r in x.collect()) == [12, 14, 16, 18, 20]
         assert all({"by_year": "/2021-", "by_code": "/600519.SH-", "single": "/all-"}[kind] in f for f in x.inputFiles())
+
+
+def test_tree_in_pieces(spark, tmp_path):
+    """A file above a piece is read by several tasks; one up to it keeps the sha256 of its content."""
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    big, data = bytes(range(256)) * 10, {"one": b"x" * 1000, "a b/ü%20": b"y" * 999}
+    for name, content in (data | {"big": big, "empty": b"", "_hidden": b"h"}).items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(content)
+    found = footers.tree(spark, str(tmp_path / "t"), piece=1000)
+    marks = {r.path: (r.bytes, r.mark) for r in found.collect()}
+    assert marks == {k: (len(v), sha(v)) for k, v in data.items()} | {"big": (2560, sha(",".join(sha(big[i : i + 1000]) for i in (0, 1000, 2000)).encode()))}
