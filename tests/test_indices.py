@@ -89,3 +89,18 @@ def test_fill_days(spark, tmp_path):
     assert maintenance.fill_days(spark, path, frame(late), lambda m: compute(m, 3), unit) == 0 and len(asked) == 2
     assert maintenance.fill_days(spark, path, frame([]), lambda m: compute(m, 3), unit) == 0
     assert not maintenance.exists(spark, f"{path}_staged")
+
+
+def test_limit_states_read_the_market_once(spark, monkeypatch):
+    """Both runs read the market as it was written once, not the lines it is made of."""
+    from tidemill.plans import indices
+
+    fill, seen = indices.maintenance.fill_days, []
+
+    def watched(spark, path, days, compute, unit):
+        seen.extend(f for x in (days, compute(days)) for f in x.inputFiles())
+        return fill(spark, path, days, compute, unit)
+
+    monkeypatch.setattr(indices.maintenance, "fill_days", watched)
+    assert {r.run for r in indices.limit_state_table(spark, "/root/testdata/sf0.001").select("run").distinct().collect()} == {1, 2}
+    assert seen and all("/market/" in f for f in seen)

@@ -88,9 +88,12 @@ SELECT d, symbol, CAST(close AS DECIMAL(20, 8)) <= round(CAST(pre * (1 - pct) AS
 def limit_state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of limit states kept up in two runs: the first lacks all days from 1997-06-15 on and each
     ninth of a month before; the second works out those days alone. `run` tells which one wrote a row."""
-    path, rows = f"{shared_folder(spark)}/states", market(spark, sf_dir)
+    base = shared_folder(spark)
+    path = f"{base}/states"
+    market(spark, sf_dir).select("d", "symbol", "code", "st", "pre", "close").write.parquet(f"{base}/market")  # read by each step of each run
+    rows = spark.read.parquet(f"{base}/market")
     days = rows.where("pre is not null").select("d").distinct()
     for run, asked in ((1, days.where("d < date '1997-06-15' and day(d) <> 9")), (2, days)):
-        compute = lambda missing, run=run: limit_states(rows.join(missing, "d", "left_semi")).withColumn("run", F.lit(run))
+        compute = lambda missing, run=run: limit_states(rows.join(F.broadcast(missing), "d", "left_semi")).withColumn("run", F.lit(run))
         maintenance.fill_days(spark, path, asked, compute, F.trunc("d", "year"))
     return spark.read.parquet(path).select("d", "symbol", "is_limit_down_close", "board", "run")
