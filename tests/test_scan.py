@@ -137,3 +137,28 @@ def test_fifo_pairs_in_one_shuffle(spark):
     assert sorted(map(tuple, pairs.collect())) == [("a", 1, 4, 5), ("a", 3, 6, 3)]
     plan = pairs.select("*")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_affine_pair_takes_one_pass(spark):
+    rows = [(g, i, float(i % 5) - 1.5, None if (g, i) == ("b", 3) else 0.25 * i) for g in ("a", "b") for i in range(40)]
+    frame = spark.createDataFrame(rows, "g string, i int, a double, b double").repartition(3)
+    a = F.when(F.col("i") % 7 == 0, 0.0).otherwise(F.col("a") / 2)
+    found = scan.affine_pair(frame, ["g"], [F.col("i")], (a, F.col("b")), (F.lit(0.5), F.col("a"), F.lit(1.0)), ("x", "y"), (2.0, 3.0), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r.g, r.i): (r.x, r.y) for r in found.collect()}
+    assert got["b", 4][0] is None and got["b", 5][1] is None and got["b", 8][0] is not None  # a null goes on until a map leaves the state out
+    for g in ("a", "b"):
+        x, y = 2.0, 3.0
+        for _, i, m, n in (r for r in rows if r[0] == g):
+            if g == "b" and i > 3:
+                break
+            assert np.allclose(got[g, i], (x, y), atol=1e-12)
+            x, y = (0.0 if i % 7 == 0 else m / 2 * x) + (n or 0.0), 0.5 * y + m * x + 1
+
+
+def test_kdj_shuffles_once(spark):
+    from tidemill.plans.indicators import kdj
+
+    plan = kdj(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import classify
 from tidemill.operators import series
-from tidemill.operators.scan import affine_scan
+from tidemill.operators.scan import affine_pair
 from tidemill.plans.catalogue import BARS, BREADTH, breadth_days, query, rounded
-from tidemill.sources.tables import daily_bars, load
+from tidemill.sources.tables import daily_bars, load, parts_of
 
 CHG_VR = """x AS (SELECT symbol, d, (close / lag(close, 20) OVER w - 1) * 100 AS chg, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN
  CAST(sum(vol) OVER (w ROWS 4 PRECEDING) AS DOUBLE) * 3 / sum(vol) OVER (w ROWS BETWEEN 19 PRECEDING AND 5 PRECEDING) END AS vr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d))"""
@@ -77,10 +77,12 @@ SELECT symbol, d, round(k, 3) AS k, round(dd, 3) AS dd, round(3 * k - 2 * dd, 3)
 def kdj(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K, D and J of every day. Both start at 50 on a symbol's first day; until fourteen days are full, and on
     a flat range, the place in the range counts as 50."""
-    x = series.stochastic(daily_bars(spark, sf_dir)).select("symbol", "d", F.coalesce("rsv", F.lit(50.0)).alias("rsv"))
-    k = affine_scan(x, ["symbol"], [F.col("d")], F.lit(2 / 3), F.col("rsv") / 3, "k0", 50.0)  # on the first day 50 again
-    k = k.withColumn("k", F.col("k0") * 2 / 3 + F.col("rsv") / 3)
-    out = affine_scan(k, ["symbol"], [F.col("d")], F.lit(2 / 3), F.col("k") / 3, "d0", 50.0).withColumn("dd", F.col("d0") * 2 / 3 + F.col("k") / 3)
+    bars = daily_bars(spark, sf_dir, parts_of(spark, sf_dir, "lineitem"))
+    x = series.stochastic(bars).select("symbol", "d", F.coalesce("rsv", F.lit(50.0)).alias("rsv"))
+    two_thirds = F.lit(2 / 3)  # on the first day both are 50 again
+    k, d = (two_thirds, F.col("rsv") / 3), (two_thirds, F.lit(2 / 9), F.col("rsv") / 9)
+    out = affine_pair(x, ["symbol"], [F.col("d")], k, d, ("k0", "d0"), (50.0, 50.0))
+    out = out.withColumn("k", F.col("k0") * 2 / 3 + F.col("rsv") / 3).withColumn("dd", F.col("d0") * 2 / 3 + F.col("k") / 3)
     return rounded(out.select("symbol", "d", "k", "dd", (3 * F.col("k") - 2 * F.col("dd")).alias("j")), "k", "dd", "j", digits=3)
 
 

@@ -69,12 +69,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, aligned)
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, d, close, high, low, vol, amount: a supplier's shipments of a day as a bar."""
+def parts_of(spark: SparkSession, sf_dir: str, name: str, rows: int = 500_000) -> int:
+    """Shuffle partitions of at most about `rows` rows of a table each, so that a task's sorts don't grow with the
+    table. Rows are counted by the footers of its files."""
+    return max(spark.sparkContext.defaultParallelism, -(-load(spark, sf_dir, name).count() // rows))
+
+
+def daily_bars(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """symbol, d, close, high, low, vol, amount: a supplier's shipments of a day as a bar. With parts, lines are
+    dealt by symbol to so many partitions beforehand, and windows by symbol need no shuffle of their own."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
+    lines = load(spark, sf_dir, "lineitem").withColumn("symbol", F.col("l_suppkey"))
     return (
-        load(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("d"))
+        (lines.repartition(parts, "symbol") if parts else lines)
+        .groupBy("symbol", F.to_date("l_shipdate").alias("d"))
         .agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"), F.round(F.max(price), 6).alias("high"), F.round(F.min(price), 6).alias("low"), F.sum("l_quantity").cast("double").alias("vol"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
     )
 
