@@ -49,3 +49,18 @@ def test_merge_append(spark, tmp_path):
         maintenance.replace_table(spark, path, frame((1, "a", "x")))
     maintenance.replace_table(spark, path, frame((1, "a", "x")), fewer=True)
     assert held() == [(1, "a", "x")]
+
+
+def test_asof_variants_lie_on_one_line(spark):
+    left = spark.createDataFrame([(k, i) for k in (1, 2, 3) for i in range(9)], "k int, d int")
+    right = spark.createDataFrame([(1, 2, 0.2), (1, 5, 0.5), (2, 0, 1.0), (2, 8, 1.8)], "k int, d int, v double")
+    asked = {"at": {}, "strict": {"strict": True}, "ahead": {"forward": True}, "after": {"forward": True, "strict": True}, "filled": {"first_as_fallback": True, "default": 9.0}}
+    found = temporal.asof_joins(left, right, "k", "d", "v", asked, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
+    for r in found.collect():
+        own = [(d, v) for k, d, v in ((1, 2, 0.2), (1, 5, 0.5), (2, 0, 1.0), (2, 8, 1.8)) if k == r.k]
+        last, first = lambda x: x[-1][1] if x else None, lambda x: x[0][1] if x else None
+        at = last([x for x in own if x[0] <= r.d])
+        want = (at, last([x for x in own if x[0] < r.d]), first([x for x in own if x[0] >= r.d]), first([x for x in own if x[0] > r.d]), at or first(own) or 9.0)
+        assert (r["at"], r.strict, r.ahead, r.after, r.filled) == want

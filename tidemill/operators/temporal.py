@@ -8,32 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, value: str, *, strict: bool = False, forward: bool = False, tolerance_days: int | None = None, first_as_fallback: bool = False, default: float | None = None) -> DataFrame:
-    """left with `value` of the last right row at or before `on` (strict: before; forward: the first
-    at or after). One shuffle on `by`: both sides are laid on one time line and the value carried
-    along. tolerance_days: farther rows give null. first_as_fallback: before the first row, its
-    value; default: for keys without rows."""
-    late = 1 if strict else 0
-    side = left.withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_t", F.lit(None).cast(dict(right.dtypes)[on])).withColumn("_right", F.lit(1 - late))
-    rows = right.select(by, on, F.col(value).alias("_v"), F.col(on).alias("_t"), F.lit(late).alias("_right"))
-    side = side.withColumn("_left", F.lit(True))
-    line = side.unionByName(rows.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    if forward:
-        w = Window.partitionBy(by).orderBy(F.desc(on), "_right").rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(by).orderBy(on, "_right").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(~F.col("_left"), F.struct("_v", "_t")), ignorenulls=True).over(w)
-    out = line.withColumn("_f", found)
-    v = F.col("_f")["_v"]
-    if tolerance_days is not None:
-        v = F.when(F.abs(F.datediff(F.col(on), F.col("_f")["_t"])) <= tolerance_days, v)
-    if first_as_fallback:
-        every = Window.partitionBy(by).orderBy(on, "_right").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        out = out.withColumn("_first", F.first(F.when(~F.col("_left"), F.col("_v")), ignorenulls=True).over(every))
-        v = F.coalesce(v, F.col("_first"))
-    if default is not None:
-        v = F.coalesce(v, F.lit(default))
-    return out.withColumn(value, v).where("_left").select(*left.columns, value)
+def asof_joins(left: DataFrame, right: DataFrame, by: str, on: str, value: str, asked: dict[str, dict], parts: int | None = None) -> DataFrame:
+    """left with a column for each name in `asked`: `value` of the last right row at or before `on`, by these options.
+
+    strict: before; forward: the first at or after. tolerance_days: farther rows give null. first_as_fallback:
+    before the first row, its value; default: for keys without rows. Both sides are laid on one time line
+    for all names: one shuffle on `by`, to `parts` partitions if that is given, and a sort for each direction."""
+    side = lambda how: 2 if how.get("strict", False) != how.get("forward", False) else 0  # noqa: E731  right rows lie before left rows of their moment, or after them
+    kinds = sorted({side(how) for how in asked.values()})
+    fallback = any(how.get("first_as_fallback") for how in asked.values())
+    line = left.withColumns({"_v": F.lit(None).cast(dict(right.dtypes)[value]), "_kind": F.lit(1)})
+    rows = right.select(by, on, F.col(value).alias("_v"), F.explode(F.array(*map(F.lit, kinds))).alias("_kind"))
+    line = line.unionByName(rows, allowMissingColumns=True)
+    if parts:
+        line = line.repartition(parts, by)
+    w = Window.partitionBy(by)
+    found, names = {}, {}
+    for name, how in asked.items():
+        order = (F.desc(on), F.desc("_kind")) if how.get("forward") else (on, "_kind")
+        near = F.when(F.col("_kind") == side(how), F.struct("_v", F.col(on).alias("_t")))
+        names[name] = f"_found{len(names)}"
+        found[names[name]] = F.last(near, ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if fallback:
+        found["_least"] = F.first(F.when(F.col("_kind") == kinds[0], F.col("_v")), ignorenulls=True).over(w.orderBy(on, "_kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out, values = line.withColumns(found).where("_kind = 1"), []
+    for name, how in asked.items():
+        v = F.col(names[name])["_v"]
+        if how.get("tolerance_days") is not None:
+            v = F.when(F.abs(F.datediff(F.col(on), F.col(names[name])["_t"])) <= how["tolerance_days"], v)
+        if how.get("first_as_fallback"):
+            v = F.coalesce(v, F.col("_least"))
+        if how.get("default") is not None:
+            v = F.coalesce(v, F.lit(how["default"]))
+        values.append(v.alias(name))
+    return out.select(*left.columns, *values)
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, value: str, **how) -> DataFrame:
+    """asof_joins for one column, named as the value."""
+    return asof_joins(left, right, by, on, value, {value: how})
 
 
 def interval_join(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str, bin_days: int = 32) -> DataFrame:
