@@ -175,3 +175,11 @@ def test_random_holdings(spark):
     assert len(v) == 400 and abs(np.mean(v) - mean) < 4 * sd / 20 and 0.8 < np.std(v) / sd < 1.25
     assert sorted(v) == sorted(r.sharpe for r in I.random_holdings(pool, "d", "r", 100, 400, 5).collect())
     assert I.random_holdings(pool.where("r > 9"), "d", "r", 5, 3, 1).collect() == []
+
+
+def test_strategy_returns_spread_days_alone(spark):
+    from tidemill.plans.trials import strategy_returns
+
+    plan = strategy_returns(spark, "/root/testdata/sf0.001", [(3, 10), (5, 20)])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(symbol") == 1
+    assert plan.index("Generate explode") < plan.index("HashAggregate")  # rows are spread after they are added up

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import inference, series
 from tidemill.plans.catalogue import BARS, query, rounded
 from tidemill.plans.metrics import RET, returns
-from tidemill.sources.tables import daily_bars
+from tidemill.sources.tables import daily_bars, parts_of
 
 
 def horner(x: str, coefficients: tuple) -> str:
@@ -90,14 +90,20 @@ FAST, SLOW, DECLARED, DELTAS = (3, 5, 10), (10, 20, 40), 12, (0.1, 0.2, 0.34)
 
 def strategy_returns(spark: SparkSession, sf_dir: str, pairs: list[tuple[int, int]]) -> DataFrame:
     """fast, slow, d, e: mean excess return of the symbols whose fast mean was above their slow one two
-    days before. Bars are read once: the means of all lengths are columns, the pairs an array of them."""
+    days before. Bars are read once, and a day's means of all pairs are one row, spread afterwards.
+
+    A moving mean is the difference of two running sums: of whole millionths, to which closes are rounded,
+    so that it is exact and costs the same for any length."""
     w, lengths = series.by_day(), sorted({n for p in pairs for n in p})
-    mean = lambda n: F.round(F.avg("close").over(series.rows_back(n - 1)), 9)
-    x = daily_bars(spark, sf_dir).select("symbol", "d", (F.col("close") / F.lag("close").over(w) - 1).alias("r"), *(mean(n).alias(f"m{n}") for n in lengths))
-    held = x.select("symbol", "d", "r", *(F.lag(F.col(f"m{f}") > F.col(f"m{s}"), 2).over(w).alias(f"h{f}_{s}") for f, s in pairs)).where("r is not null")
-    day = held.groupBy("d").agg(F.avg("r").alias("b"))
-    runs = F.array(*(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.col(f"h{f}_{s}").alias("held")) for f, s in pairs))
-    return held.select("d", "r", F.explode(runs).alias("g")).where("g.held").groupBy("g.fast", "g.slow", "d").agg(F.avg("r").alias("r")).join(day, "d").select("fast", "slow", "d", (F.col("r") - F.col("b")).alias("e"))
+    sofar = F.struct(F.sum(F.round(F.col("close") * 1e6).cast("long")).over(w).alias("s"), F.count("close").over(w).alias("n"))
+    was = lambda n, c: F.coalesce(F.lag("_all", n).over(w)[c], F.lit(0))
+    mean = lambda n: F.round((F.col("_all")["s"] - was(n, "s")) / (F.nullif(F.col("_all")["n"] - was(n, "n"), F.lit(0)) * 1e6), 9)
+    x = daily_bars(spark, sf_dir, parts_of(spark, sf_dir, "lineitem")).select("symbol", "d", "close", sofar.alias("_all"))
+    x = x.select("symbol", "d", (F.col("close") / F.lag("close").over(w) - 1).alias("r"), *(mean(n).alias(f"m{n}") for n in lengths))
+    held = x.select("d", "r", *(F.lag(F.col(f"m{f}") > F.col(f"m{s}"), 2).over(w).alias(f"h{f}_{s}") for f, s in pairs)).where("r is not null")
+    day = held.groupBy("d").agg(F.avg("r").alias("b"), *(F.avg(F.when(F.col(f"h{f}_{s}"), F.col("r"))).alias(f"r{f}_{s}") for f, s in pairs))
+    runs = F.array(*(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.col(f"r{f}_{s}").alias("r")) for f, s in pairs))
+    return day.select("d", "b", F.explode(runs).alias("g")).where("g.r is not null").select("g.fast", "g.slow", "d", (F.col("g.r") - F.col("b")).alias("e"))
 
 
 def strategy_sql(pairs: str) -> str:
