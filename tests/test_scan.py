@@ -162,3 +162,10 @@ def test_kdj_shuffles_once(spark):
 
     plan = kdj(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_positions_shuffle_once(spark):
+    from tidemill.plans.trading import positions
+
+    plan = positions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

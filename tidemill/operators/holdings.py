@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators.scan import affine_scan
+from tidemill.operators.scan import affine_pair
 from tidemill.operators.simulate import fifo_pairs
 
 
@@ -27,16 +27,18 @@ def running_cost(fills: DataFrame) -> DataFrame:
     """fills (symbol, seq, sell, qty, price, fee) with was, held, done, avg_cost (of a held share, fees of
     purchases included; 0 without holdings) and realized (gains of sales so far, less their fees).
 
-    A purchase mixes its cost in, a sale keeps the average: maps of the whole cost, scanned."""
+    A purchase mixes its cost in, a sale keeps the average: the whole cost and the gains so far are walked
+    together, in the order that the windows have sorted."""
     x = reflected(fills)
+    sells = F.col("sell") & (F.col("done") > 0)
     share = F.col("done") / F.when(F.col("was") > 0, F.col("was")).otherwise(1)
     a = F.when(F.col("sell"), F.when(F.col("held") == 0, 0.0).otherwise(1 - share)).otherwise(1.0)
     b = F.when(F.col("sell"), 0.0).otherwise(F.col("price") * F.col("qty") + F.col("fee"))
-    x = affine_scan(x, ["symbol"], [F.col("seq")], a, b, "_cost")
-    after = F.when(F.col("held") == 0, 0.0).otherwise((F.col("_cost") * a + b) / F.nullif("held", F.lit(0)))
     fee = F.col("fee") * F.col("done") / F.nullif("qty", F.lit(0))
-    gain = F.when(F.col("sell") & (F.col("done") > 0), F.col("price") * F.col("done") - F.col("_cost") * share - fee).otherwise(0.0)
-    return x.withColumn("avg_cost", after).withColumn("realized", F.sum(gain).over(Window.partitionBy("symbol").orderBy("seq"))).drop("_cost")
+    gain = (F.lit(1.0), F.when(sells, -share).otherwise(0.0), F.when(sells, F.col("price") * F.col("done") - fee).otherwise(0.0))
+    x = affine_pair(x, ["symbol"], [F.col("seq")], (a, b), gain, ("_cost", "_gains"))
+    after = F.when(F.col("held") == 0, 0.0).otherwise((F.col("_cost") * a + b) / F.nullif("held", F.lit(0)))
+    return x.withColumn("avg_cost", after).withColumn("realized", F.col("_gains") + F.when(sells, gain[2] - F.col("_cost") * share).otherwise(0.0)).drop("_cost", "_gains")
 
 
 def fifo_trades(fills: DataFrame, events: DataFrame) -> DataFrame:
