@@ -208,3 +208,17 @@ def test_no_items_or_documents(spark):
     docs, items = bench_rows()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert not hits(d, b.limit(0)).filter("contaminated").count() and hits(d.limit(0), b).count() == 0
+
+
+def test_a_process_keeps_its_words(spark):
+    """Tasks of one process share what was merged, also words with characters that have no piece."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["kept words \U0001f9ff\x00 stay", "kept words"]
+    assert coded(frame(spark, texts), path).count() == 2 and PieceCoder.kept(path) is PieceCoder.kept(path)
+    sp, coder = sentencepiece.SentencePieceProcessor(model_file=path), PieceCoder.kept(path)
+    assert coder.encode(texts[0]) == sp.encode(texts[0]) and coder.words
+    coder.learn([])
+    assert coder.encode(texts[1]) == sp.encode(texts[1])

@@ -14,6 +14,7 @@ A null or empty text has no ids and decodes to the empty text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -50,6 +51,10 @@ class PieceModel:
                 self.symbols.setdefault(c, n + len(self.symbols))
         self.loose = {i: c for c, i in self.symbols.items() if i not in self.surface}
         self.base = 1 + max(self.symbols.values(), default=0)
+        self.of_code = -1 - np.arange(0x110000)
+        single = {ord(c): i for c, i in self.symbols.items() if len(c) == 1}
+        self.of_code[list(single)] = list(single.values())
+        self.first_loose = min(self.loose, default=self.base)
         scores = sorted({sp.get_score(i) for i in normal}, reverse=True)
         rank = {s: r for r, s in enumerate(scores)}
         pairs = sorted((self.symbols[p[:j]] * self.base + self.symbols[p[j:]], rank[sp.get_score(i)], i) for p, i in self.pieces.items() for j in range(1, len(p)) if p[:j] in self.symbols and p[j:] in self.symbols)
@@ -94,8 +99,7 @@ class PieceModel:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; a character without piece is -1 - code point until the end."""
-        symbols = self.symbols
-        flat = np.fromiter((symbols.get(c, -1 - ord(c)) for w in words for c in w), np.int64)
+        flat = self.of_code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         whole = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         code = np.concatenate((flat[:-1] * self.base + flat[1:], [0])) if len(flat) else flat
         apart = ~np.isin(code, self.inside) | (flat < 0) | np.append(flat[1:] < 0, True) | (np.diff(whole, append=-1) != 0)
@@ -112,8 +116,9 @@ class PieceModel:
             over = least == self.never
             if over.any():
                 keep = np.repeat(~over, size)
-                for w, ids in zip(word[first[over]].tolist(), np.split(flat[~keep], np.cumsum(size[over])[:-1])):
-                    out[w] = ids.tolist()
+                ids, a = flat[~keep].tolist(), 0
+                for w, b in zip(word[first[over]].tolist(), np.cumsum(size[over]).tolist()):
+                    out[w], a = ids[a:b], b
             best = np.flatnonzero((rank == np.repeat(least, size)) & keep)
             if not len(best):
                 break
@@ -139,13 +144,22 @@ class PieceModel:
         joined: list[list[int]] = [[] for _ in words]
         for w, ids in zip(whole.tolist(), out):
             joined[w] += ids
-        return [[y for x in ids for y in ((x,) if x in self.surface else [self.bytes[b] for b in self.loose.get(x, chr(-1 - min(x, -1))).encode()])] for ids in joined]
+        for k, ids in enumerate(joined):
+            if ids and (min(ids) < 0 or max(ids) >= self.first_loose):
+                joined[k] = [y for x in ids for y in ((x,) if x in self.surface else [self.bytes[b] for b in self.loose.get(x, chr(-1 - min(x, -1))).encode()])]
+        return joined
 
 
 class PieceCoder:
-    """Encodes and decodes whole texts; remembers words."""
+    """Encodes and decodes whole texts; remembers words. A process keeps its coder from task to task."""
 
-    def __init__(self, path: str, remember: int = 100_000):
+    @staticmethod
+    @functools.cache
+    def kept(path: str) -> PieceCoder:
+        """This process's coder."""
+        return PieceCoder(path)
+
+    def __init__(self, path: str, remember: int = 400_000):
         self.model, self.remember = PieceModel(path), remember
         inner = f"[^{SPACE}{self.model.apart}]"
         self.cut = re.compile(f"{SPACE}+{inner}*|{inner}+" + (f"|{self.model.apart}" if self.model.apart else "")).findall
@@ -178,7 +192,7 @@ def coded(docs: DataFrame, path: str, chunk_mb: float = 2.0) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(path)
+        coder = PieceCoder.kept(path)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in text_chunks(batches, chunk_mb):
             texts = [coder.split(t or "") for t in batch.column("text").to_pylist()]
