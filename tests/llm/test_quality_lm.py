@@ -112,3 +112,16 @@ def unseen(a, state):
     while state != a.empty:
         out, state = out + a.lost[state], a.fail[state]
     return out
+
+
+def test_only_labelled_rows_are_measured(spark, monkeypatch):
+    """No filter by counts goes below the join, where it would count the words of every document."""
+    from tidemill.llm import quality
+
+    plans = []
+    monkeypatch.setattr(quality, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    docs = spark.createDataFrame([(i, "a b c " * 40) for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    quality.labelled_rows(docs, labels, 10)
+    below = plans[0][plans[0].index("Join ") :]
+    assert "split(" not in below and "split(" in plans[0]
