@@ -91,6 +91,35 @@ def test_words_cut_before_the_library():
         assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def same_as_library(e, texts):
+    ids, sizes = e.encode([e.lowered(t.encode()) for t in texts], step=50)
+    ends = np.cumsum(sizes).tolist()
+    for t, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_signs_make_no_new_words():
+    """A word and the signs after it are learnt apart, so each is encoded once."""
+    e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    cores, signs = "the Tion don't 12 naïve GROSS groß 'tis x's é É".split(), [",", ".", "!!", "...", ");", "'", '"', "#$%&*|", "<", "|>", "-", "'-"]
+    same_as_library(e, [" ".join(c + s for c in cores[:-1]) for s in signs])
+    assert e.known <= len(cores) + len(signs)
+    same_as_library(e, ["!" * 9 + " the" + "!" * 9, "É, ½. »! e\u0301, the<\u0338 the, <|endoftext|>, A, the<|endoftext|>", "İ! Σ. ΑΣ, ς;", ",", "", " "])
+
+
+def test_words_of_one_hash(monkeypatch):
+    """Longer words that share a hash get their own ids, and a full encoder starts anew."""
+    from tidemill.llm import tokenfiles
+
+    hashes = tokenfiles.hashes_at
+    monkeypatch.setattr(tokenfiles, "hashes_at", lambda whole, start, end: np.where(end - start > 8, np.uint64(7), hashes(whole, start, end)))
+    long = ["abcdefgh" * 9 + x for x in ("", "a", "b", "abcdefgh")]
+    for most in (1_000_000, 20):
+        e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most)
+        for _ in range(2):
+            same_as_library(e, [*(t or "" for t in texts()[:60]), "collision colliding colliders, the colliding colliders", " ".join(long + long[::-1])])
+
+
 def test_shard_starts(spark):
     files = [(p, s, 1 + (7 * p + s) % 5) for p in range(40) for s in range(p % 3)]
     got = {(r.part, r.shard): r.base for r in shard_starts(spark.createDataFrame(files, "part long, shard long, n_ids long"), group=8).collect()}

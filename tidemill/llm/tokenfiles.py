@@ -1,7 +1,7 @@
 """Token-ID output (operator 4): one wavelet matrix per shard in compressed binary files.
 
 Documents are encoded word by word (white space always ends a token of this vocabulary, so equal
-words have equal ids and each is encoded once), dealt by doc_id ranges, and packed into shards. A
+words have equal ids and each is encoded once; words are told apart on arrays, by hash and content), dealt by doc_id ranges, and packed into shards. A
 shard is one row of a Parquet file: the bit-planes of its ids, from the highest bit down, each
 plane ordering the ids stably by the bits above, with the ones before every 512 bits (a thirty-second of
 the planes' size in the file). Access, counting and occurrence lookup walk the planes by rank and select; they open
@@ -19,7 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Numbered, looked_up, ranges, scratch, table, text_chunks, texts_of, with_text, written
+from tidemill.llm.common import LOW_BYTES, hashes_at, looked_up, ranges, scratch, table, text_chunks, texts_of, with_text, word_places, written
 
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 SHARD = "part long, shard long, n_ids long, doc_ids binary, known binary, sizes binary, matrix binary"
@@ -54,14 +54,14 @@ class WaveletMatrix:
         blocks = -(-n // BLOCK)
         frames, ranks = [], np.zeros((bits, blocks + 1), np.uint32)
         for level in range(bits):
-            up = ((ids >> (bits - 1 - level)) & 1).astype(bool)
+            up = (ids & ids.dtype.type(1 << (bits - 1 - level))) != 0
             plane = np.zeros(blocks * BLOCK // 8, np.uint8)
             own = np.packbits(up, bitorder="little")
             plane[: len(own)] = own
             ranks[level, 1:] = np.cumsum(np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32))
             step = STRETCH * BLOCK // 8
             frames.append([squeeze(plane[i : i + step].tobytes()) for i in range(0, len(plane), step)])
-            ids = np.concatenate((ids[~up], ids[up]))
+            ids = np.concatenate([ids.take(np.flatnonzero(~up)), ids.take(np.flatnonzero(up))])
         return cls(frames, ranks, n)
 
     def stretch(self, level: int, k: int) -> np.ndarray:
@@ -134,15 +134,14 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids, from the last plane up."""
-        ids = np.zeros(self.n, np.uint32)
+        ids = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in reversed(range(self.bits)):
             plane = np.concatenate([self.stretch(level, k) for k in range(len(self.frames[level]))] or [np.zeros((0, BLOCK // 64), np.uint64)]).view(np.uint8).ravel()
-            up = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            back = np.empty_like(ids)
-            zeros = int(self.zeros[level])
-            back[~up], back[up] = ids[:zeros], ids[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            up = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            back, zeros = np.empty_like(ids), int(self.zeros[level])
+            back[np.flatnonzero(~up)], back[np.flatnonzero(up)] = ids[:zeros], ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - level))
             ids = back
-        return ids
+        return ids.astype(np.uint32)
 
     def to_bytes(self) -> bytes:
         """Number of planes, sizes of stretches and of the directory, the directory, the stretches."""
@@ -167,19 +166,35 @@ class WaveletMatrix:
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Words of visible ASCII and small Latin-1 letters stay as they are under NORMAL; on them this is SPLIT.
-PLAIN = re.compile(r"[!-@\[-~ß-öø-ÿ]+").fullmatch
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+#: Words of visible ASCII and small Latin-1 letters stay as they are under NORMAL; on them, a line each, this is
+#: SPLIT, where {} stands for the characters that spell the bytes of small Latin-1 letters.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z{}]+|[0-9]|[!-/:-@\[-`{{-~]+|\n"
+PLAIN_BYTE = np.isin(np.arange(256), [*b"\n", *range(0x21, 0x41), *range(0x5B, 0x7F)])
+SMALL_BYTE = np.isin(np.arange(256), [*range(0x9F, 0xB7), *range(0xB8, 0xC0)])  #: after 0xC3
+SIGN_BYTE = np.isin(np.arange(256), [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+ALNUM_BYTE = np.isin(np.arange(256), [*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+
+
+def roomy(a: np.ndarray, n: int) -> np.ndarray:
+    """a with room for n values at least, grown to twice its length."""
+    return a if n <= len(a) else np.concatenate((a, np.zeros(max(n - len(a), len(a)), a.dtype)))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data.data, 0, (1,))
 
 
 class WordEncoder:
     """Ids of words as the tokenizers library gives them, each distinct word encoded once.
 
-    If the file normalizes by NORMAL and splits by SPLIT, plain words are cut here and go to the
-    library's byte-level merges by the thousand, without the steps that would not change them; the
-    mark at the end of a piece tells whose ids are whose. All other words take the library's whole way.
+    If the file normalizes by NORMAL and splits by SPLIT, plain words are cut here and their pieces go
+    to the library's merges, without the steps that would not change them. All other words take the
+    library's whole way.
 
-    A process keeps its encoder from task to task; with over `most` words it starts anew.
+    Words are found again by 64-bit hashes in a sorted array and compared byte by byte with the word that
+    is kept; one that only shares a hash is encoded for itself. A process keeps its encoder from task to
+    task; with over `most` words it starts anew.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -189,19 +204,21 @@ class WordEncoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         made = json.loads(self.tokenizer.to_str())
         cuts = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        mark = made["model"].get("end_of_word_suffix")
-        self.lowers = bool(mark) and (made["normalizer"] or {}).get("normalizers") == NORMAL and [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": SPLIT}
+        self.lowers = (made["normalizer"] or {}).get("normalizers") == NORMAL and [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": SPLIT}
         if self.lowers:
-            self.bare = Tokenizer.from_file(path)
-            self.bare.normalizer = None
-            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.last = np.zeros(1 + max(made["model"]["vocab"].values()), bool)
-            self.last[[i for piece, i in made["model"]["vocab"].items() if piece.endswith(mark)]] = True
+            self.merged = self.tokenizer.model.tokenize
+            spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            second = {chr(b): spelled(bytes([0xC3, b]).decode())[0][0] for b in np.flatnonzero(SMALL_BYTE).tolist()}
+            self.respelled = {b: own[1] for b, own in second.items() if own[1] != b}
+            self.cut = re.compile(CUT.format("".join({c for own in second.values() for c in own}))).findall
         self.reset()
 
+    def lowered(self, text: bytes) -> bytes:
+        """A-Z lowered where the file does so, unless a mark could join a letter or a special token be meant."""
+        return text.lower() if self.lowers and b"\xcc" not in text and b"<|" not in text else text
+
     def split(self, text: bytes) -> list[bytes]:
-        """Words; A-Z lowered where the file does so, unless a mark could join a letter or a special token be meant."""
-        return (text.lower() if self.lowers and b"\xcc" not in text and b"<|" not in text else text).split()
+        return self.lowered(text).split()
 
     @staticmethod
     @functools.cache
@@ -210,53 +227,136 @@ class WordEncoder:
         return WordEncoder(path)
 
     def reset(self):
-        self.numbers, self.known = Numbered(), 0
-        self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = 0
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of known words, by hash
+        self.known = self.used = self.spelt = 0
+        self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.letters, self.begin, self.length = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word and all ids in a row. In small batches: few objects live at a time."""
         size, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for i in range(0, len(words), 2_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 2_000], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 2_000]], add_special_tokens=False)]
             size.append(np.fromiter(map(len, found), np.int64, len(found)))
             flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
         return np.concatenate(size), np.concatenate(flat)
 
-    def asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def pieced(self, lines: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """As whole(), plain words by their pieces; a line end after each word."""
+        text = lines.decode("latin-1")
+        for byte, spelled in self.respelled.items():
+            text = text.replace(byte, spelled)
+        pieces = self.cut(text)
+        numbers = dict(zip(dict.fromkeys(pieces), count()))
+        codes = looked_up(numbers, pieces, np.int64)
+        ids, ends = [], []
+        for piece in numbers:
+            if piece != "\n":
+                ids += [t.id for t in self.merged(piece)]
+            ends.append(len(ids))
+        size, flat = np.diff(np.array(ends, np.int64), prepend=0), np.array(ids, np.uint32)
+        sizes = size.take(codes)
+        return np.diff(np.cumsum(sizes)[codes == numbers.get("\n")], prepend=0), flat.take(ranges((np.array(ends, np.int64) - size).take(codes), sizes))
+
+    def asked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As whole(), plain words by their pieces."""
-        plain = np.fromiter((self.lowers and PLAIN(w) is not None and "<|" not in w for w in words), bool, len(words))
-        if not plain.any():
-            return self.whole(words)
-        cut = [CUT(w) for w, is_plain in zip(words, plain.tolist()) if is_plain]
-        pieces = list(chain.from_iterable(cut))
-        part = np.concatenate([np.array(self.bare.encode_batch_fast([pieces[i : i + 2_000]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(pieces), 2_000)])
-        ends = np.flatnonzero(self.last[part]) + 1
-        if len(ends) != len(pieces):  # some piece has no end mark: the library's whole way
+        if not self.lowers:
             return self.whole(words)
+        lines = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
+        ends = np.flatnonzero(lines == 10)
+        small = np.append(False, lines[:-1] == 0xC3) & SMALL_BYTE[lines]
+        other = ~(PLAIN_BYTE[lines] | small | np.append(small[1:], False))
+        other[1:] |= (lines[:-1] == ord("<")) & (lines[1:] == ord("|"))
+        plain = np.ones(len(words), bool)
+        plain[np.searchsorted(ends, np.flatnonzero(other))] = False
+        mine = np.repeat(plain, np.diff(ends, prepend=-1))
         size = np.zeros(len(words), np.int64)
-        size[plain] = np.diff(ends[np.cumsum([len(own) for own in cut]) - 1], prepend=0)
-        size[~plain], rest = self.whole([w for w, is_plain in zip(words, plain.tolist()) if not is_plain])
+        size[plain], part = self.pieced(lines[mine].tobytes())
+        size[~plain], rest = self.whole([words[i] for i in np.flatnonzero(~plain).tolist()])
         flat, mine = np.zeros(int(size.sum()), np.uint32), np.repeat(plain, size)
         flat[mine], flat[~mine] = part, rest
         return size, flat
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
-        if len(self.numbers) > self.most:
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """The numbers that new words get."""
+        size, flat = self.asked(words)
+        letters, length = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        n, used, spelt = self.known + len(words), self.used + len(flat), self.spelt + len(letters)
+        self.ids, self.letters = roomy(self.ids, used), roomy(self.letters, spelt + 8)
+        self.ids[self.used : used], self.letters[self.spelt : spelt] = flat, letters
+        for name, value in (("first", self.used + np.cumsum(size) - size), ("size", size), ("begin", self.spelt + np.cumsum(length) - length), ("length", length)):
+            setattr(self, name, roomy(getattr(self, name), n))
+            getattr(self, name)[self.known : n] = value
+        numbers = np.arange(self.known, n, dtype=np.int32)
+        self.known, self.used, self.spelt = n, used, spelt
+        return numbers
+
+    def same(self, whole: bytes, start: np.ndarray, length: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Which words of whole are the known ones of these numbers. Up to 8 bytes a hash belongs to one word
+        of a length; longer words are compared byte by byte."""
+        out = self.length.take(codes) == length
+        word = np.flatnonzero((length > 8) & out)
+        data, kept = eights(np.frombuffer(whole, np.uint8)), eights(self.letters)
+        a, b, left = start[word], self.begin[codes[word]], length[word]
+        for _ in range(8):
+            equal = ((data[a] ^ kept[b]) & LOW_BYTES[np.minimum(left, 8)]) == 0
+            out[word[~equal]] = False
+            more = np.flatnonzero(equal & (left > 8))
+            word, a, b, left = word[more], a[more] + 8, b[more] + 8, left[more] - 8
+        for i, x, y, n in zip(word.tolist(), a.tolist(), b.tolist(), left.tolist()):
+            out[i] = whole[x : x + n] == self.letters[y : y + n].tobytes()
+        return out
+
+    def words_of(self, whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the words. Up to 8 ASCII signs that end a word after a letter or digit are a word of
+        their own, as SPLIT cuts there; not where a special token may be meant."""
+        data = np.frombuffer(whole, np.uint8)
+        start, end = word_places(data)
+        if not self.lowers or b"<|" in whole:
+            return start, end
+        core, word = end.copy(), np.arange(len(end))
+        for _ in range(8):
+            word = word[SIGN_BYTE[data[core[word] - 1]] & (core[word] > start[word])]
+            core[word] -= 1
+        last, before = data[core - 1], data[core - 2]
+        word = np.flatnonzero((core < end) & (core > start) & (ALNUM_BYTE[last] | (SMALL_BYTE[last] & (before == 0xC3) & (core > start + 1))))
+        return np.insert(start, word + 1, core[word]), np.insert(end, word, core[word])
+
+    def found(self, whole: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words of whole in a row, and how many each has."""
+        if self.known > self.most:
             self.reset()
-        codes = looked_up(self.numbers, words, np.int64)
-        if len(self.numbers) > self.known:
-            size, flat = self.asked([w.decode() for w in islice(self.numbers, self.known, None)])
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.first = np.concatenate((self.first, self.used + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.used += len(flat)
-            self.known = len(self.numbers)
-        sizes = self.size[codes]
-        return self.ids[ranges(self.first[codes], sizes)], sizes
+        hashes = hashes_at(whole, start, end)
+        order = np.argsort(hashes)
+        ordered = hashes.take(order)
+        begun = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        apart = ordered[begun]
+        at = np.searchsorted(self.hashes, apart)
+        known = np.append(self.hashes, 0)[at] == apart
+        known &= at < len(self.hashes)
+        number = np.zeros(len(apart), np.int64)
+        number[known] = self.numbers[at[known]]
+        if not known.all():
+            new = order[begun[~known]]
+            number[~known] = self.learn([whole[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+            self.hashes, self.numbers = np.insert(self.hashes, at[~known], apart[~known]), np.insert(self.numbers, at[~known], number[~known])
+        codes = np.zeros(len(order), np.int64)
+        codes[order] = np.repeat(number, np.diff(np.append(begun, len(order))))
+        ids, first, sizes = self.ids, self.first.take(codes), self.size.take(codes)
+        odd = np.flatnonzero(~self.same(whole, start, end - start, codes))
+        if len(odd):
+            sizes[odd], more = self.asked([whole[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist())])
+            first[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
+            ids = np.concatenate((ids, more))
+        return ids.take(ranges(first, sizes)), sizes
+
+    def encode(self, texts: list[bytes], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (lowered ones, or words) in a row, and how many each has; `step` words at a time."""
+        whole = b" ".join([*texts, b" " * 8])
+        start, end = self.words_of(whole)
+        ids, sizes = (np.concatenate(x) for x in zip(*(self.found(whole, start[i : i + step], end[i : i + step]) for i in range(0, len(start) or 1, step))))
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[ends], prepend=0)
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -266,16 +366,9 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder = WordEncoder.kept(path)
         kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         for batch in text_chunks(batches):
-            words: list[bytes] = []
-            counts = []
-            for t in texts_of(batch):
-                own = encoder.split(t)
-                words += own
-                counts.append(len(own))
-            ids, sizes = encoder.encode(words)
-            ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
-            own = np.diff(np.concatenate(([0], ends))) + 1
-            out = np.full(len(ids) + len(counts), end_id, kind)
+            ids, own = encoder.encode([encoder.lowered(t) for t in texts_of(batch)])
+            own += 1
+            out = np.full(len(ids) + len(own), end_id, kind)
             keep = np.ones(len(out), bool)
             keep[np.cumsum(own) - 1] = False
             out[keep] = ids
@@ -297,7 +390,7 @@ def write_shards(tokens: DataFrame, shards: int, shard_ids: int = 1 << 20) -> Da
 
         def close():
             width = sum(map(len, data)) // sum(sizes)
-            matrix = WaveletMatrix.of(np.frombuffer(b"".join(data), f"<u{width}").astype(np.uint32))
+            matrix = WaveletMatrix.of(np.frombuffer(b"".join(data), f"<u{width}"))
             row = (part, shard, matrix.n, np.array([x or 0 for x in ids], np.int64).tobytes(), np.array([x is not None for x in ids]).tobytes(), np.array(sizes, np.int64).tobytes(), matrix.to_bytes())
             return pa.RecordBatch.from_pydict({f.split()[0]: pa.array([v], pa.binary() if f.endswith("binary") else pa.int64()) for f, v in zip(SHARD.split(", "), row)})
 
